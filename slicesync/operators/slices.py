@@ -7,8 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slicesync.functions.columns import null_safe_equal
-
 # Above this many key values a literal list gives way to a join.
 MAX_LITERAL_KEYS = 1000
 
@@ -39,8 +37,12 @@ def drop_slices(
 
 
 def restrict(df: DataFrame, column: str, values: Sequence) -> DataFrame:
-    """Rows with one of the given values, as a predicate the scan can prune with."""
-    known = [value for value in values if value is not None]
+    """Rows with one of the given values, as a predicate the scan can prune with.
+
+    Values given as text are cast to the column's type, never the other way.
+    """
+    kind = df.schema[column].dataType
+    known = [F.lit(value).cast(kind) for value in values if value is not None]
     condition = F.col(column).isin(known) if known else F.lit(False)
     if len(known) < len(values):
         condition = condition | F.col(column).isNull()
@@ -58,7 +60,9 @@ def keep_level1(df: DataFrame, slices: DataFrame, column: str, name: str) -> Dat
     ]
     if len(values) <= MAX_LITERAL_KEYS:
         return restrict(df, column, values)
-    return keep_slices(df, slices, [column], [name])
+    kind = df.schema[column].dataType
+    typed = slices.select(F.col(name).cast(kind).alias(name))
+    return keep_slices(df, typed, [column], [name])
 
 
 def replace_slices(

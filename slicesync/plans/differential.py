@@ -74,11 +74,11 @@ def run_differential_sync(
     source = lower_case_names(source)
     level1, level2 = level1.lower(), level2.lower()
     stats = DiffSyncStats(table_name, country)
-    stored1 = store.load(country, table_name, "period")
-    stats.is_first_sync = not target.exists() or stored1.isEmpty()
-
-    if stats.is_first_sync:
+    first = not target.exists() or not store.table(country, table_name, "period").exists()
+    stats.is_first_sync = first
+    if first:
         return _first_sync(source, target, store, stats, level1, level2, job_id, method)
+    stored1 = store.load(country, table_name, "period")
 
     now1 = _as_text(level1_fingerprint(source, level1, method=method))
     status1 = classify(now1, stored1.select("level1_value", *_MEASURES), ["level1_value"])
@@ -89,20 +89,17 @@ def run_differential_sync(
     _fill(stats, sync_stats(status1).first())
 
     open1 = status1.where(F.col("in_window") & F.col("status").isin("changed", "new"))
-    stats.outside_window = (
-        stats.changed_level1 + stats.new_level1 - open1.count()
-    )
-    if stats.changed_level1 + stats.new_level1 == stats.outside_window:
+    open_values = {row[0]: row[1] for row in open1.select("level1_value", "status").collect()}
+    stats.outside_window = stats.changed_level1 + stats.new_level1 - len(open_values)
+    if not open_values:
         stats.rows_skipped = _rows(status1)
         if stats.deleted_level1:
             store.save(_level1_to_store(status1), country, table_name, "period", job_id)
         return stats
 
-    touched = keep_level1(_keyed(source, level1, level2), open1, "level1_value", "level1_value")
+    touched = _keyed(keep_level1(source, open1, level1, "level1_value"), level1, level2)
     now2 = stage(_as_text(_level2_of(touched, source.columns, method)), "level2-now")
-    changed_parts = [
-        row[0] for row in open1.select("level1_value").collect()
-    ]
+    changed_parts = list(open_values)
     stored2 = store.load(country, table_name, "product", changed_parts)
     status2 = classify(now2, stored2.select(*SLICE, *_MEASURES), SLICE)
     slices = stage(slices_to_sync(open1, status2), "slices")
@@ -115,8 +112,7 @@ def run_differential_sync(
     if stats.total_changed_pairs:
         fresh = keep_slices(touched, slices, SLICE).drop(*SLICE)
         # Level-1 values that are new may have rows from before they left scope.
-        new_parts = [row[0] for row in open1.where("status = 'new'").select("level1_value")
-                     .collect()]
+        new_parts = [value for value, status in open_values.items() if status == "new"]
         slice_parts = [row[0] for row in slices.select("level1_value").distinct().collect()]
         parts = sorted({*slice_parts, *new_parts}, key=lambda part: (part is not None, part))
         old = _keyed(target.read(parts=[p for p in parts if p not in set(new_parts)]),
@@ -149,14 +145,14 @@ def _first_sync(source, target, store, stats, level1, level2, job_id, method) ->
 
 def _as_text(prints: DataFrame) -> DataFrame:
     names = [name for name in SLICE if name in prints.columns]
-    return prints.withColumns({name: F.trim(F.col(name).cast("string")) for name in names})
+    return prints.withColumns({name: F.col(name).cast("string") for name in names})
 
 
 def _keyed(df: DataFrame, level1: str, level2: str) -> DataFrame:
     return df.withColumns(
         {
-            "level1_value": F.trim(F.col(level1).cast("string")),
-            "level2_value": F.trim(F.col(level2).cast("string")),
+            "level1_value": F.col(level1).cast("string"),
+            "level2_value": F.col(level2).cast("string"),
         }
     )
 

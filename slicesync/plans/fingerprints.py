@@ -41,9 +41,10 @@ class FingerprintStore:
         self, country: str, table_name: str, level: str, level1_values: list | None = None
     ) -> DataFrame:
         table = self.table(country, table_name, level)
-        if not table.exists():
+        try:
+            return table.read(parts=level1_values if table.partition_by else None)
+        except LookupError:
             return self.spark.createDataFrame([], COLUMNS)
-        return table.read(parts=level1_values if table.partition_by else None)
 
     def save(
         self,
@@ -62,9 +63,9 @@ class FingerprintStore:
             F.lit(country).alias("country"),
             F.lit(table_name).alias("table_name"),
             F.lit(level).alias("level"),
-            F.trim(F.col("level1_value").cast("string")).alias("level1_value"),
+            F.col("level1_value").cast("string").alias("level1_value"),
             (
-                F.trim(F.col("level2_value").cast("string"))
+                F.col("level2_value").cast("string")
                 if "level2_value" in have
                 else F.lit(None).cast("string")
             ).alias("level2_value"),

@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from slicesync.functions.columns import lower_case_names
+from slicesync.functions.hashing import row_hash
 from slicesync.functions.periods import moment_literal, now_utc
 
 HISTORY_SCHEMA = (
@@ -95,23 +96,33 @@ class VersionedTable:
             .select("part", "version")
         )
 
-    def schema(self, version: int | None = None) -> T.StructType:
+    def _state(self, version: int | None = None) -> tuple[T.StructType, dict[int, list]]:
+        """Schema and live parts by version, in one small job."""
         log = self.log()
         if version is not None:
             log = log.where(F.col("version") <= version)
-        found = log.agg(F.max_by("table_schema", "version")).first()[0]
-        if found is None:
+        latest = log.agg(F.max_by("table_schema", "version").alias("table_schema"))
+        rows = (
+            self.live_parts(version).withColumn("table_schema", F.lit(None).cast("string"))
+            .unionByName(latest, allowMissingColumns=True).collect()
+        )
+        schema = next((row["table_schema"] for row in rows if row["table_schema"]), None)
+        if schema is None:
             raise LookupError(f"no table at {self.path}")
-        return T.StructType.fromJson(json.loads(found))
+        live: dict[int, list] = {}
+        for row in rows:
+            if row["version"] is not None:
+                live.setdefault(row["version"], []).append(row["part"])
+        return T.StructType.fromJson(json.loads(schema)), live
+
+    def schema(self, version: int | None = None) -> T.StructType:
+        return self._state(version)[0]
 
     # --- reading ----------------------------------------------------------
 
     def read(self, version: int | None = None, parts: Sequence | None = None) -> DataFrame:
         """The table as of a version (default: now), optionally only some parts."""
-        live: dict[int, list] = {}
-        for part, number in self.live_parts(version).collect():
-            live.setdefault(number, []).append(part)
-        schema = self.schema(version)
+        schema, live = self._state(version)
         if parts is not None:
             wanted = {None if part is None else str(part) for part in parts}
             live = {
@@ -247,8 +258,6 @@ def change_feed(
 
     Only parts whose directories differ are read. ``keys`` must be unique.
     """
-    from slicesync.functions.hashing import row_hash
-
     old, new = table.live_parts(before), table.live_parts(after)
     parts = None
     if table.partition_by:
@@ -258,6 +267,7 @@ def change_feed(
             .distinct().collect()
         ]
     left, right = table.read(before, parts), table.read(after, parts)
+    names = right.columns
     left = left.withColumn("_hash", row_hash(left)).alias("o")
     right = right.withColumn("_hash", row_hash(right)).alias("n")
     condition = None
@@ -270,7 +280,6 @@ def change_feed(
         .otherwise("update")
     )
     gone = F.col("n._hash").isNull()
-    names = [name for name in table.schema(after).names]
     return (
         left.join(right, condition, "full_outer")
         .where(~F.col("o._hash").eqNullSafe(F.col("n._hash")))
