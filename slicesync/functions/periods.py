@@ -165,3 +165,16 @@ def period_range_of(column: str, start: int, end: int) -> Column:
     return (F.col(column) >= moment_literal(date(start // 100, start % 100, 1))) & (
         F.col(column) < moment_literal(date(after // 100, after % 100, 1))
     )
+
+
+def since_period_of(column: str, as_of: datetime, months: int) -> Column:
+    """Period of ``column`` >= period of as_of - months, as a range on the bare column."""
+    start = shift_months(as_of, -_check_lookback(months))
+    return F.col(column) >= moment_literal(date(start.year, start.month, 1))
+
+
+def in_years_of(column: str, start: int, end: int) -> Column:
+    """``year(column)`` between two years, as a range on the bare column."""
+    return (F.col(column) >= moment_literal(date(start, 1, 1))) & (
+        F.col(column) < moment_literal(date(end + 1, 1, 1))
+    )

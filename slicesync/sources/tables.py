@@ -91,6 +91,62 @@ def find_entry(common: DataFrame, tenant: DataFrame, keys: Mapping[str, object])
     raise LookupError(f"no entry for {dict(keys)}")
 
 
+class DatabaseMap:
+    """Scans by three-part name; each database has a reader of its own."""
+
+    def __init__(self, readers: Mapping[str, Callable[[str, str], DataFrame]]):
+        self.readers = dict(readers)
+
+    def scan(self, name: str) -> DataFrame:
+        parts = name.split(".")
+        if len(parts) != 3:
+            raise ValueError(f"expected database.schema.table: {name!r}")
+        database, schema, table = parts
+        if database not in self.readers:
+            raise LookupError(f"no reader for database {database!r}")
+        return self.readers[database](schema, table)
+
+
+def chunk_counts(df: DataFrame, key: str, chunk_rows: int) -> DataFrame:
+    """How a scan in equal key ranges would split: rows and bounds per chunk.
+
+    Uneven chunks show a skewed key before a long scan is started.
+    """
+    totals = df.agg(
+        F.min(key).alias("lo"), F.max(key).alias("hi"), F.count(F.lit(1)).alias("n")
+    ).first()
+    if not totals["n"] or totals["lo"] is None:
+        return empty_relation(
+            df.sparkSession, "chunk long, row_count long, min_key long, max_key long"
+        )
+    chunks = -(-totals["n"] // chunk_rows)
+    width = totals["hi"] - totals["lo"] + 1
+    chunk = F.floor((F.col(key) - totals["lo"]) * F.lit(chunks) / F.lit(width))
+    return df.groupBy(chunk.cast("long").alias("chunk")).agg(
+        F.count(F.lit(1)).alias("row_count"),
+        F.min(key).alias("min_key"),
+        F.max(key).alias("max_key"),
+    )
+
+
+def column_null_counts(df: DataFrame) -> DataFrame:
+    """One row per column with its position and number of NULLs, in one scan."""
+    counted = df.agg(*[F.count_if(F.col(name).isNull()).alias(name) for name in df.columns])
+    pairs = F.explode(
+        F.array(
+            *[
+                F.struct(
+                    F.lit(position).alias("position"),
+                    F.lit(name).alias("column_name"),
+                    F.col(name).alias("null_count"),
+                )
+                for position, name in enumerate(df.columns)
+            ]
+        )
+    )
+    return counted.select(pairs.alias("_c")).select("_c.*")
+
+
 def union_servers(
     readers: Mapping[str, Callable[[], DataFrame]], label: str = "server"
 ) -> DataFrame:
