@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def job_report(jobs: DataFrame, results: DataFrame, steps: DataFrame) -> DataFrame:
     """Job, step and query rows in one table, told apart by ``section``."""
     sections = {
-        "job": jobs.select("job_id", F.col("job_id").alias("name"), "status",
+        "job": jobs.select("job_id", F.col("job_id").cast("string").alias("name"), "status",
                            F.lit(None).cast("long").alias("rows_extracted"), "error"),
         "step": steps.select("job_id", F.col("step_name").alias("name"), "status",
                              F.lit(None).cast("long").alias("rows_extracted"), "error"),

@@ -14,7 +14,8 @@ import json
 from collections.abc import Iterable, Sequence
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
@@ -27,6 +28,11 @@ HISTORY_SCHEMA = (
     "version long, committed_at timestamp_ntz, operation string, action string, "
     "part string, row_count long, job_id string, table_schema string"
 )
+_HISTORY = pa.schema(
+    [("version", pa.int64()), ("committed_at", pa.timestamp("us")), ("operation", pa.string()),
+     ("action", pa.string()), ("part", pa.string()), ("row_count", pa.int64()),
+     ("job_id", pa.string()), ("table_schema", pa.string())]
+)
 VERSION_COLUMN = "_version"
 
 
@@ -54,11 +60,22 @@ class VersionedTable:
                 raise
             return self.spark.createDataFrame([], HISTORY_SCHEMA)
 
+    def _head(self, version: int | None = None) -> Row:
+        """Latest version, its schema and the last reset, in one small aggregate."""
+        log = self.log()
+        if version is not None:
+            log = log.where(F.col("version") <= version)
+        return log.agg(
+            F.max("version").alias("version"),
+            F.max_by("table_schema", "version").alias("table_schema"),
+            F.max(F.when(F.col("action") == "reset", F.col("version"))).alias("start"),
+        ).first()
+
     def exists(self) -> bool:
         return self.latest_version() is not None
 
     def latest_version(self) -> int | None:
-        return self.log().agg(F.max("version")).first()[0]
+        return self._head()["version"]
 
     def version_at(self, moment: datetime) -> int:
         found = (
@@ -81,48 +98,36 @@ class VersionedTable:
 
     def live_parts(self, version: int | None = None) -> DataFrame:
         """(part, version) pairs whose directories make up the given version."""
-        log = self.log()
-        if version is not None:
-            log = log.where(F.col("version") <= version)
-        base = F.max(F.when(F.col("action").isin("replace", "remove"), F.col("version")))
-        start = log.where("action = 'reset'").agg(F.max("version").alias("v"))
-        parts = log.where("action <> 'reset'")
-        newest = parts.groupBy(F.col("part").alias("_part")).agg(base.alias("_base"))
+        return self._live(self._existing_head(version))
+
+    def _live(self, head: Row) -> DataFrame:
+        log = self.log().where(F.col("version").between(head["start"], head["version"]))
+        replaced = F.when(F.col("action").isin("replace", "remove"), F.col("version"))
+        base = F.max(replaced).over(Window.partitionBy("part"))
         return (
-            parts.where("action <> 'remove'")
-            .join(newest, F.col("part").eqNullSafe(F.col("_part")))
-            .withColumn("_start", start.scalar())
-            .where(F.col("version") >= F.greatest("_base", "_start"))
+            log.where("action <> 'reset'").withColumn("_base", base)
+            .where((F.col("action") != "remove") & (F.col("version") >= F.coalesce("_base", "version")))
             .select("part", "version")
         )
 
-    def _state(self, version: int | None = None) -> tuple[T.StructType, dict[int, list]]:
-        """Schema and live parts by version, in one small job."""
-        log = self.log()
-        if version is not None:
-            log = log.where(F.col("version") <= version)
-        latest = log.agg(F.max_by("table_schema", "version").alias("table_schema"))
-        rows = (
-            self.live_parts(version).withColumn("table_schema", F.lit(None).cast("string"))
-            .unionByName(latest, allowMissingColumns=True).collect()
-        )
-        schema = next((row["table_schema"] for row in rows if row["table_schema"]), None)
-        if schema is None:
+    def _existing_head(self, version: int | None = None) -> Row:
+        head = self._head(version)
+        if head["version"] is None:
             raise LookupError(f"no table at {self.path}")
-        live: dict[int, list] = {}
-        for row in rows:
-            if row["version"] is not None:
-                live.setdefault(row["version"], []).append(row["part"])
-        return T.StructType.fromJson(json.loads(schema)), live
+        return head
 
     def schema(self, version: int | None = None) -> T.StructType:
-        return self._state(version)[0]
+        return _schema_of(self._existing_head(version))
 
     # --- reading ----------------------------------------------------------
 
     def read(self, version: int | None = None, parts: Sequence | None = None) -> DataFrame:
         """The table as of a version (default: now), optionally only some parts."""
-        schema, live = self._state(version)
+        head = self._existing_head(version)
+        schema = _schema_of(head)
+        live: dict[int, list] = {}
+        for part, number in self._live(head).collect():
+            live.setdefault(number, []).append(part)
         if parts is not None:
             wanted = {None if part is None else str(part) for part in parts}
             live = {
@@ -157,26 +162,28 @@ class VersionedTable:
 
     def overwrite(self, df: DataFrame, **commit) -> int:
         """Replace the whole table, also by an empty one."""
-        return self._commit(lower_case_names(df), None, commit.pop("operation", "overwrite"),
-                            **commit)
+        return self._commit(
+            lower_case_names(df), None, commit.pop("operation", "overwrite"),
+            self.latest_version(), **commit,
+        )
 
     def append(self, df: DataFrame, **commit) -> int:
         """Add rows, columns by name; creates the table if there is none."""
-        if not self.exists():
-            return self.overwrite(df, **{"operation": "append", **commit})
         return self.replace_parts(df, [], **{"operation": "append", **commit})
 
     def replace_parts(
         self, df: DataFrame, parts: Iterable, operation: str = "replace", **commit
     ) -> int:
         """Put ``df`` in place of the given parts; its rows elsewhere are added."""
-        schema = self.schema()
-        df = align_columns(lower_case_names(df), schema)
         replaced = {None if part is None else str(part) for part in parts}
-        if not self.partition_by:
-            if replaced:
-                raise ValueError("an unpartitioned table has no parts to replace")
-        return self._commit(df, replaced, operation, **commit)
+        if replaced and not self.partition_by:
+            raise ValueError("an unpartitioned table has no parts to replace")
+        head = self._head()
+        df = lower_case_names(df)
+        if head["version"] is None:
+            return self._commit(df, None, operation, None, **commit)
+        df = align_columns(df, _schema_of(head))
+        return self._commit(df, replaced, operation, head["version"], **commit)
 
     def write_if_absent(self, df: DataFrame, **commit) -> int | None:
         """Write only where there is no table yet; returns None if skipped."""
@@ -187,10 +194,11 @@ class VersionedTable:
         df: DataFrame,
         replaced: set | None,
         operation: str,
+        previous: int | None,
         job_id: str | None = None,
         committed_at: datetime | None = None,
     ) -> int:
-        version = (self.latest_version() or 0) + 1
+        version = (previous or 0) + 1
         directory = f"{self._data}/{VERSION_COLUMN}={version}"
         # Rebalancing gathers each part's rows into few files, yet lets
         # adaptive execution split a part that is too large for one task.
@@ -220,16 +228,21 @@ class VersionedTable:
             actions += [(part, "remove", 0) for part in replaced if part not in counts]
             actions = actions or [(None, "none", 0)]
         stamp = committed_at or now_utc()
+        schema = df.schema.json()
         rows = [
-            (version, stamp, operation, action, part, n, job_id, df.schema.json())
+            dict(zip(_HISTORY.names, (version, stamp, operation, action, part, n, job_id, schema)))
             for part, action, n in actions
         ]
-        self.spark.createDataFrame(rows, HISTORY_SCHEMA).coalesce(1).write.mode(
-            "append"
-        ).parquet(self._history)
+        # An Arrow table needs no Python worker; one file makes the commit atomic.
+        entries = self.spark.createDataFrame(pa.Table.from_pylist(rows, schema=_HISTORY))
+        entries.coalesce(1).write.mode("append").parquet(self._history)
         return version
 
 
+def _schema_of(head: Row) -> T.StructType:
+    return T.StructType.fromJson(json.loads(head["table_schema"]))
+
+
 def align_columns(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Columns by name in the table's order; a difference is an error.
 
