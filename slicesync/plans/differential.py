@@ -8,24 +8,19 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slicesync.functions.columns import lower_case_names
 from slicesync.functions.periods import now_utc, period_int, shift_months
 from slicesync.operators.fingerprint import (
     classify,
-    fingerprint,
     in_mutable_window,
-    level1_fingerprint,
-    level2_fingerprint,
     roll_up,
     slices_to_sync,
     sync_stats,
 )
-from slicesync.operators.slices import drop_slices, keep_level1, keep_slices
+from slicesync.operators.slices import drop_slices
 from slicesync.plans.fingerprints import FingerprintStore
+from slicesync.plans.slice_source import MEASURES, SLICE, DatabaseSource, FrameSource, keyed
 from slicesync.session import stage
-from slicesync.sources.versions import VersionedTable
-
-SLICE = ["level1_value", "level2_value"]
+from slicesync.sources.versions import VersionedTable, align_columns
 
 
 @dataclass
@@ -49,7 +44,7 @@ class DiffSyncStats:
 
 
 def run_differential_sync(
-    source: DataFrame,
+    source: DataFrame | FrameSource | DatabaseSource,
     target: VersionedTable,
     store: FingerprintStore,
     *,
@@ -68,109 +63,88 @@ def run_differential_sync(
     values that it does not hold are out of scope and stay in the target.
     Fingerprints are taken before the rows are read and stored after the rows
     are committed, so a failure or a concurrent change is seen again next time.
+    Level-1 values and statuses pass through the driver, as partition values
+    do in any partitioned write; slices and rows do not.
     """
     if target.partition_by != level1.lower():
         raise ValueError(f"the target must be partitioned by {level1}")
-    source = lower_case_names(source)
+    if isinstance(source, DataFrame):
+        source = FrameSource(source, level1, level2, method)
     level1, level2 = level1.lower(), level2.lower()
     stats = DiffSyncStats(table_name, country)
-    first = not target.exists() or not store.table(country, table_name, "period").exists()
-    stats.is_first_sync = first
-    if first:
-        return _first_sync(source, target, store, stats, level1, level2, job_id, method)
-    stored1 = store.load(country, table_name, "period")
-
-    now1 = _as_text(level1_fingerprint(source, level1, method=method))
-    status1 = classify(now1, stored1.select("level1_value", *_MEASURES), ["level1_value"])
+    stats.is_first_sync = not (
+        target.exists() and store.table(country, table_name, "period").exists()
+    )
+    if stats.is_first_sync:
+        return _first_sync(source, target, store, stats, job_id)
+
+    stored1 = store.load(country, table_name, "period").select("level1_value", *MEASURES)
+    status1 = classify(source.level1_prints(), stored1, ["level1_value"])
     cutoff = (
         period_int(shift_months(as_of or now_utc(), -mutable_months)) if mutable_months else 0
     )
     status1 = stage(in_mutable_window(status1, cutoff), "level1-status")
-    _fill(stats, sync_stats(status1).first())
+    counted = sync_stats(status1).first()
+    for name in ("total_level1_values", "changed_level1", "new_level1", "deleted_level1",
+                 "unchanged_level1", "rows_skipped"):
+        setattr(stats, name, counted[name])
+    all_rows = counted["rows_candidate"] + counted["rows_skipped"]
 
     open1 = status1.where(F.col("in_window") & F.col("status").isin("changed", "new"))
-    open_values = {row[0]: row[1] for row in open1.select("level1_value", "status").collect()}
-    stats.outside_window = stats.changed_level1 + stats.new_level1 - len(open_values)
-    if not open_values:
-        stats.rows_skipped = _rows(status1)
+    to_open = counted["changed_level1"] + counted["new_level1"]
+    opened = (
+        {row[0]: row[1] for row in open1.select("level1_value", "status").collect()}
+        if to_open
+        else {}
+    )
+    stats.outside_window = to_open - len(opened)
+    if not opened:
+        stats.rows_skipped = all_rows
         if stats.deleted_level1:
             store.save(_level1_to_store(status1), country, table_name, "period", job_id)
         return stats
 
-    touched = _keyed(keep_level1(source, open1, level1, "level1_value"), level1, level2)
-    now2 = stage(_as_text(_level2_of(touched, source.columns, method)), "level2-now")
-    changed_parts = list(open_values)
-    stored2 = store.load(country, table_name, "product", changed_parts)
-    status2 = classify(now2, stored2.select(*SLICE, *_MEASURES), SLICE)
-    slices = stage(slices_to_sync(open1, status2), "slices")
-    totals = slices.agg(
+    values = list(opened)
+    now2 = stage(source.level2_prints(values), "level2-now")
+    stored2 = store.load(country, table_name, "product", values).select(*SLICE, *MEASURES)
+    slices = stage(slices_to_sync(open1, classify(now2, stored2, SLICE)), "slices")
+    per_part = slices.groupBy("level1_value").agg(
         F.count(F.lit(1)), F.coalesce(F.sum("row_count"), F.lit(0))
-    ).first()
-    stats.total_changed_pairs, stats.rows_downloaded = totals[0], totals[1]
-    stats.rows_skipped = _rows(status1) - stats.rows_downloaded
-
-    if stats.total_changed_pairs:
-        fresh = keep_slices(touched, slices, SLICE).drop(*SLICE)
-        # Level-1 values that are new may have rows from before they left scope.
-        new_parts = [value for value, status in open_values.items() if status == "new"]
-        slice_parts = [row[0] for row in slices.select("level1_value").distinct().collect()]
-        parts = sorted({*slice_parts, *new_parts}, key=lambda part: (part is not None, part))
-        old = _keyed(target.read(parts=[p for p in parts if p not in set(new_parts)]),
-                     level1, level2)
-        kept = drop_slices(old, slices, SLICE).drop(*SLICE)
+    ).collect()
+    stats.total_changed_pairs = sum(row[1] for row in per_part)
+    stats.rows_downloaded = sum(row[2] for row in per_part)
+    stats.rows_skipped = all_rows - stats.rows_downloaded
+
+    # A level-1 value that is new may have rows from before it left the scope.
+    new_values = {value for value, status in opened.items() if status == "new"}
+    parts = new_values | {row[0] for row in per_part}
+    if parts:
+        fresh = source.slice_rows(slices, values)
+        old = target.read(parts=[part for part in parts if part not in new_values])
+        kept = drop_slices(keyed(old, level1, level2), slices, SLICE).drop(*SLICE)
+        rows = kept.unionByName(align_columns(fresh, kept.schema))
         stats.version = target.replace_parts(
-            kept.unionByName(fresh), parts, operation="differential", job_id=job_id
+            rows, parts, operation="differential", job_id=job_id
         )
-    store.save(now2, country, table_name, "product", job_id, level1_values=changed_parts)
+    store.save(now2, country, table_name, "product", job_id, level1_values=values)
     store.save(_level1_to_store(status1), country, table_name, "period", job_id)
     return stats
 
 
-_MEASURES = ["row_count", "checksum_xor", "checksum_sum"]
-
-
-def _first_sync(source, target, store, stats, level1, level2, job_id, method) -> DiffSyncStats:
+def _first_sync(source, target, store, stats: DiffSyncStats, job_id: str) -> DiffSyncStats:
     """One scan to fingerprint all slices, one to write; level 1 is rolled up."""
-    now2 = stage(_as_text(level2_fingerprint(source, level1, level2, method=method)), "level2")
+    now2 = stage(source.level2_prints(), "level2-now")
     now1 = roll_up(now2)
     totals = now1.agg(F.count(F.lit(1)), F.coalesce(F.sum("row_count"), F.lit(0))).first()
     stats.total_level1_values = stats.new_level1 = totals[0]
     stats.total_changed_pairs = now2.count()
     stats.rows_downloaded = totals[1]
-    stats.version = target.overwrite(source, operation="full", job_id=job_id)
+    stats.version = target.overwrite(source.all_rows(), operation="full", job_id=job_id)
     store.save(now2, stats.country, stats.table_name, "product", job_id)
     store.save(now1, stats.country, stats.table_name, "period", job_id)
     return stats
 
 
-def _as_text(prints: DataFrame) -> DataFrame:
-    names = [name for name in SLICE if name in prints.columns]
-    return prints.withColumns({name: F.col(name).cast("string") for name in names})
-
-
-def _keyed(df: DataFrame, level1: str, level2: str) -> DataFrame:
-    return df.withColumns(
-        {
-            "level1_value": F.col(level1).cast("string"),
-            "level2_value": F.col(level2).cast("string"),
-        }
-    )
-
-
-def _level2_of(keyed: DataFrame, columns: list[str], method: str) -> DataFrame:
-    return fingerprint(keyed, SLICE, columns, method)
-
-
-def _fill(stats: DiffSyncStats, row) -> None:
-    for name in ("total_level1_values", "changed_level1", "new_level1", "deleted_level1",
-                 "unchanged_level1", "rows_skipped"):
-        setattr(stats, name, row[name])
-
-
-def _rows(status1: DataFrame) -> int:
-    return status1.agg(F.coalesce(F.sum("row_count"), F.lit(0))).first()[0]
-
-
 def _level1_to_store(status1: DataFrame) -> DataFrame:
     """What is true of the target now.
 
@@ -183,5 +157,5 @@ def _level1_to_store(status1: DataFrame) -> DataFrame:
     )
     return rows.select(
         "level1_value",
-        *[F.when(applied, F.col(m)).otherwise(F.col(f"stored_{m}")).alias(m) for m in _MEASURES],
+        *[F.when(applied, F.col(m)).otherwise(F.col(f"stored_{m}")).alias(m) for m in MEASURES],
     )

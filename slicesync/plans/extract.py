@@ -159,5 +159,4 @@ def synchronise(
     if keep_when_empty and target.exists() and source.isEmpty():
         return {"mode": mode, "rows": 0, "version": None}
     version = target.overwrite(source, operation="full", job_id=job_id)
-    rows = target.history().where(F.col("version") == version).first()["rows_written"]
-    return {"mode": mode, "rows": rows, "version": version}
+    return {"mode": mode, "rows": target.rows_written(version), "version": version}

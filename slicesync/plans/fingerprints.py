@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from datetime import datetime
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slicesync.functions.periods import moment_literal, now_utc
+from slicesync.operators.slices import drop_slices, keep_slices
 from slicesync.sources.versions import VersionedTable
 
 COLUMNS = (
@@ -21,8 +23,8 @@ LEVELS = ("period", "product", "window")
 class FingerprintStore:
     """Fingerprints below ``root``, one table per country, source table and level.
 
-    The tables are partitioned by level-1 value where they hold level 2, so a
-    sync rewrites only the values it touched.
+    A table holds one row per slice and is written anew when it changes: that
+    is little next to the scan of the source that every sync needs.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -32,19 +34,18 @@ class FingerprintStore:
     def table(self, country: str, table_name: str, level: str) -> VersionedTable:
         if level not in LEVELS:
             raise ValueError(f"unknown level {level!r}; use one of {LEVELS}")
-        part = "level1_value" if level == "product" else None
-        return VersionedTable(
-            self.spark, f"{self.root}/{country}/{table_name}/{level}", partition_by=part
-        )
+        return VersionedTable(self.spark, f"{self.root}/{country}/{table_name}/{level}")
 
     def load(
         self, country: str, table_name: str, level: str, level1_values: list | None = None
     ) -> DataFrame:
-        table = self.table(country, table_name, level)
         try:
-            return table.read(parts=level1_values if table.partition_by else None)
+            rows = self.table(country, table_name, level).read()
         except LookupError:
             return self.spark.createDataFrame([], COLUMNS)
+        if level1_values is None:
+            return rows
+        return keep_slices(rows, self._values(level1_values), ["level1_value"])
 
     def save(
         self,
@@ -56,26 +57,29 @@ class FingerprintStore:
         level1_values: list | None = None,
         synced_at: datetime | None = None,
     ) -> int:
-        """Replace the scope: the whole level, or the given level-1 values of level 2."""
-        have = prints.columns
-        stamp = synced_at or now_utc()
+        """Replace the scope: the whole level, or the given level-1 values of it."""
+        inner = F.col("level2_value") if "level2_value" in prints.columns else F.lit(None)
         rows = prints.select(
             F.lit(country).alias("country"),
             F.lit(table_name).alias("table_name"),
             F.lit(level).alias("level"),
             F.col("level1_value").cast("string").alias("level1_value"),
-            (
-                F.col("level2_value").cast("string")
-                if "level2_value" in have
-                else F.lit(None).cast("string")
-            ).alias("level2_value"),
+            inner.cast("string").alias("level2_value"),
             "row_count",
             "checksum_xor",
             F.col("checksum_sum").cast("decimal(38,0)").alias("checksum_sum"),
-            moment_literal(stamp).alias("synced_at"),
+            moment_literal(synced_at or now_utc()).alias("synced_at"),
             F.lit(job_id).alias("job_id"),
         )
         table = self.table(country, table_name, level)
-        if level1_values is None or not table.exists():
-            return table.overwrite(rows, operation="save", job_id=job_id)
-        return table.replace_parts(rows, level1_values, operation="save", job_id=job_id)
+        if level1_values is not None and table.exists():
+            others = drop_slices(table.read(), self._values(level1_values), ["level1_value"])
+            rows = others.unionByName(rows)
+        # Sorted files let a load skip the level-1 values it does not want.
+        return table.overwrite(
+            rows.sortWithinPartitions("level1_value"), operation="save", job_id=job_id
+        )
+
+    def _values(self, values: list) -> DataFrame:
+        texts = pa.array([None if v is None else str(v) for v in values], pa.string())
+        return self.spark.createDataFrame(pa.table({"level1_value": texts}))

@@ -90,34 +90,26 @@ def run_incremental_sync(
     if max_key is None:
         stats.mode = "full"
         stats.version = target.overwrite(source, operation="full", job_id=job_id)
-        stats.rows_new = target.history().where(
-            F.col("version") == stats.version
-        ).first()["rows_written"]
+        stats.rows_new = target.rows_written(stats.version)
         if windowed:
             store.save(now, country, table_name, "window", job_id)
         return stats
 
     fresh = beyond(source, key, max_key, date_column, boundary)
-    stored = store.load(country, table_name, "window") if windowed else None
-    changed = windowed and not _same(now, stored)
-    if changed:
+    if windowed and not _same(now, store.load(country, table_name, "window")):
+        stats.mode = "window"
         stats.rows_window = now.first()["row_count"]
+        stats.rows_new = fresh.count()
         # The window is one commit with the appended rows, so no reader ever
         # sees the one without the other.
-        combined = fresh.unionByName(window)
-        stats.version, total = _replace_window(
-            target, combined, date_column, boundary, job_id
+        stats.version = _replace_window(
+            target, fresh.unionByName(window), date_column, boundary, job_id
         )
-        stats.rows_new = total - stats.rows_window
-        stats.mode = "window"
         store.save(now, country, table_name, "window", job_id)
-        return stats
-
-    staged = stage(fresh, "beyond-watermark")
-    stats.rows_new = staged.count()
-    if stats.rows_new:
+    elif not fresh.isEmpty():
         stats.mode = "append"
-        stats.version = target.append(staged, operation="incremental", job_id=job_id)
+        stats.version = target.append(fresh, operation="incremental", job_id=job_id)
+        stats.rows_new = target.rows_written(stats.version)
     return stats
 
 
@@ -127,23 +119,20 @@ def _same(now: DataFrame, stored: DataFrame) -> bool:
     return before is not None and tuple(before) == tuple(now.select(*measures).first())
 
 
-def _replace_window(target, combined, date_column, boundary, job_id) -> tuple[int, int]:
-    """Rows of the window out, ``combined`` in; returns the version and rows put in."""
-    staged = stage(combined, "window-rows")
+def _replace_window(
+    target: VersionedTable, rows: DataFrame, date_column: str, boundary: datetime, job_id: str
+) -> int:
+    """Rows of the window out, ``rows`` in; parts the window does not touch stay as they are."""
     current = target.read()
-    hit = F.col(date_column) >= moment_literal(boundary)
-    if target.partition_by:
-        part = F.col(target.partition_by)
-        parts = [row[0] for row in current.where(hit).select(part).distinct().collect()]
-        kept = target.read(parts=parts).where(~F.coalesce(hit, F.lit(False)))
-        version = target.replace_parts(
-            kept.unionByName(staged.select(*kept.columns)), parts,
-            operation="incremental", job_id=job_id,
-        )
-    else:
-        kept = current.where(~F.coalesce(hit, F.lit(False)))
-        version = target.overwrite(
-            kept.unionByName(staged.select(*kept.columns)),
-            operation="incremental", job_id=job_id,
+    hit = F.coalesce(F.col(date_column) >= moment_literal(boundary), F.lit(False))
+    if not target.partition_by:
+        kept = current.where(~hit)
+        return target.overwrite(
+            kept.unionByName(rows.select(*kept.columns)), operation="incremental", job_id=job_id
         )
-    return version, staged.count()
+    parts = [row[0] for row in current.where(hit).select(target.partition_by).distinct().collect()]
+    kept = target.read(parts=parts).where(~hit)
+    return target.replace_parts(
+        kept.unionByName(rows.select(*kept.columns)), parts,
+        operation="incremental", job_id=job_id,
+    )

@@ -506,6 +506,6 @@ def agg24(spark, sf_dir):
     """,
 )
 def agg25(spark, sf_dir):
-    now = G.level1_fingerprint(current_purchases(spark, sf_dir), "period", method="md5")
-    before = G.level1_fingerprint(previous_purchases(spark, sf_dir), "period", method="md5")
+    now = G.level1_fingerprint(current_purchases(spark, sf_dir), "period")
+    before = G.level1_fingerprint(previous_purchases(spark, sf_dir), "period")
     return G.sync_stats(G.classify(now, before, ["level1_value"]))

@@ -109,8 +109,8 @@ def join4(spark, sf_dir):
     f"WITH {DIFF_CTE} SELECT period AS level1_value, status, row_count, stored_row_count FROM d1",
 )
 def join5(spark, sf_dir):
-    now = level1_fingerprint(current_purchases(spark, sf_dir), "period", method="md5")
-    before = level1_fingerprint(previous_purchases(spark, sf_dir), "period", method="md5")
+    now = level1_fingerprint(current_purchases(spark, sf_dir), "period")
+    before = level1_fingerprint(previous_purchases(spark, sf_dir), "period")
     return classify(now, before, ["level1_value"]).select(
         "level1_value", "status",
         F.coalesce("row_count", F.lit(0)).alias("row_count"),

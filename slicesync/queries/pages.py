@@ -183,8 +183,8 @@ def set3(spark, sf_dir):
     f"WITH {DIFF_CTE} SELECT period AS level1_value, stored_row_count FROM d1 WHERE status = 'deleted'",
 )
 def set4(spark, sf_dir):
-    now = level1_fingerprint(current_purchases(spark, sf_dir), "period", method="md5")
-    before = level1_fingerprint(previous_purchases(spark, sf_dir), "period", method="md5")
+    now = level1_fingerprint(current_purchases(spark, sf_dir), "period")
+    before = level1_fingerprint(previous_purchases(spark, sf_dir), "period")
     return classify(now, before, ["level1_value"]).where("status = 'deleted'").select(
         "level1_value", "stored_row_count"
     )

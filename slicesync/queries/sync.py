@@ -15,6 +15,7 @@ from slicesync.plans.extract import synchronise
 from slicesync.plans.fingerprints import FingerprintStore
 from slicesync.plans.incremental import beyond, run_incremental_sync
 from slicesync.plans.report import job_report, write_csv, write_parts
+from slicesync.plans.slice_source import DatabaseSource
 from slicesync.queries.registry import query
 from slicesync.queries.shared import (
     AS_OF_ORDERS,
@@ -38,17 +39,17 @@ SLICE, NAMES = ["period", "l_suppkey"], ["level1_value", "level2_value"]
 
 
 def level1_status(spark, sf_dir) -> DataFrame:
-    now = G.level1_fingerprint(current_purchases(spark, sf_dir), "period", method="md5")
-    before = G.level1_fingerprint(previous_purchases(spark, sf_dir), "period", method="md5")
+    now = G.level1_fingerprint(current_purchases(spark, sf_dir), "period")
+    before = G.level1_fingerprint(previous_purchases(spark, sf_dir), "period")
     return G.classify(now, before, ["level1_value"])
 
 
 def changed_slices(spark, sf_dir) -> DataFrame:
     """Slices to synchronise; both levels come from one fingerprint pass per state."""
     now2 = G.level2_fingerprint(
-        current_purchases(spark, sf_dir), "period", "l_suppkey", method="md5")
+        current_purchases(spark, sf_dir), "period", "l_suppkey")
     before2 = G.level2_fingerprint(
-        previous_purchases(spark, sf_dir), "period", "l_suppkey", method="md5")
+        previous_purchases(spark, sf_dir), "period", "l_suppkey")
     now2, before2 = stage(now2, "now"), stage(before2, "before")
     status1 = G.classify(G.roll_up(now2), G.roll_up(before2), ["level1_value"])
     status2 = G.classify(now2, before2, NAMES)
@@ -482,3 +483,32 @@ def snk7(spark, sf_dir):
     report = job_report(headers, results, steps)
     write_csv(report, path)
     return spark.read.schema(report.schema).option("header", True).csv(path)
+
+
+@query(
+    "dif_pushed_down_fingerprints",
+    f"""
+    WITH {PURCHASES_CTE}
+    SELECT period, count(*) AS row_count, sum(l_quantity)::DOUBLE AS quantity FROM p GROUP BY 1
+    """,
+)
+def dif_pushed_down(spark, sf_dir):
+    """The same sync where the source's own SQL engine computes the fingerprints."""
+    target, store = _target(spark, "pushed"), _store(spark)
+    for number, rows in enumerate((previous_purchases, current_purchases), 1):
+        view = f"slicesync_pushed_{number}"
+        rows(spark, sf_dir).createOrReplaceTempView(view)
+        source = DatabaseSource(
+            view, "period", "l_suppkey",
+            run=spark.sql,
+            read=lambda predicates, view=view: spark.table(view).where(
+                " OR ".join(f"({predicate})" for predicate in predicates)
+            ),
+            read_all=lambda view=view: spark.table(view),
+            row_hash="xxhash64(*)", xor="bit_xor",
+            hash_sum="sum(cast(xxhash64(*) AS decimal(20,0)))",
+        )
+        _sync(source, target, store)
+    return target.read().groupBy("period").agg(
+        F.count(F.lit(1)).alias("row_count"), F.sum("l_quantity").alias("quantity")
+    )

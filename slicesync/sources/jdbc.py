@@ -132,16 +132,24 @@ def scan_slices(
 
 
 def fingerprint_query(
-    source: str, groups: Sequence[tuple[str, str]], row_hash: str, xor: str, where: str = ""
+    source: str,
+    groups: Sequence[tuple[str, str]],
+    row_hash: str,
+    xor: str,
+    hash_sum: str,
+    where: str = "",
 ) -> str:
     """Statement that lets the database fingerprint its own slices.
 
-    ``groups`` pairs an expression with its output name; ``row_hash`` and
-    ``xor`` are the database's own spelling, e.g. ``CHECKSUM(*)`` and
-    ``CHECKSUM_AGG``.
+    ``groups`` pairs an expression with its output name; the hash of a row, the
+    XOR aggregate and the sum of hashes are in the database's own spelling.
     """
     selected = [f"{expression} AS {name}" for expression, name in groups]
-    selected += ["COUNT(*) AS row_count", f"{xor}({row_hash}) AS checksum_xor"]
+    selected += [
+        "COUNT(*) AS row_count",
+        f"{xor}({row_hash}) AS checksum_xor",
+        f"{hash_sum} AS checksum_sum",
+    ]
     text = f"SELECT {', '.join(selected)} FROM {source}"
     if where:
         text += f" WHERE {where}"

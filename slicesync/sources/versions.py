@@ -21,7 +21,6 @@ from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from slicesync.functions.columns import lower_case_names
-from slicesync.functions.hashing import row_hash
 from slicesync.functions.periods import moment_literal, now_utc
 
 HISTORY_SCHEMA = (
@@ -96,6 +95,9 @@ class VersionedTable:
             F.max("job_id").alias("job_id"),
         )
 
+    def rows_written(self, version: int) -> int:
+        return self.log().where(F.col("version") == version).agg(F.sum("row_count")).first()[0]
+
     def live_parts(self, version: int | None = None) -> DataFrame:
         """(part, version) pairs whose directories make up the given version."""
         return self._live(self._existing_head(version))
@@ -189,6 +191,19 @@ class VersionedTable:
         """Write only where there is no table yet; returns None if skipped."""
         return None if self.exists() else self.overwrite(df, **commit)
 
+    def compact(self, min_versions: int = 2) -> int | None:
+        """Write parts that many appends have scattered once more; None if there are none."""
+        scattered = (
+            self.live_parts().groupBy("part").agg(F.count_distinct("version").alias("n"))
+            .where(F.col("n") >= min_versions)
+        )
+        parts = [row["part"] for row in scattered.collect()]
+        if not parts:
+            return None
+        if not self.partition_by:
+            return self.overwrite(self.read(), operation="compact")
+        return self.replace_parts(self.read(parts=parts), parts, operation="compact")
+
     def _commit(
         self,
         df: DataFrame,
@@ -203,6 +218,7 @@ class VersionedTable:
         # Rebalancing gathers each part's rows into few files, yet lets
         # adaptive execution split a part that is too large for one task.
         if self.partition_by:
+            df = df.withColumn(self.partition_by, _no_empty_text(df, self.partition_by))
             writer = df.hint("rebalance", self.partition_by).write.partitionBy(self.partition_by)
         else:
             writer = df.write
@@ -239,6 +255,15 @@ class VersionedTable:
         return version
 
 
+def _no_empty_text(df: DataFrame, name: str):
+    """The column itself; empty text is refused, as a directory name it reads as NULL."""
+    column = F.col(name)
+    if not isinstance(df.schema[name].dataType, T.StringType):
+        return column
+    refused = F.raise_error(F.lit(f"empty text in partition column {name}")).cast("string")
+    return F.when(column == "", refused).otherwise(column)
+
+
 def _schema_of(head: Row) -> T.StructType:
     return T.StructType.fromJson(json.loads(head["table_schema"]))
 
@@ -270,6 +295,7 @@ def change_feed(
     """Rows inserted, updated or deleted between two versions.
 
     Only parts whose directories differ are read. ``keys`` must be unique.
+    Rows are compared value by value.
     """
     old, new = table.live_parts(before), table.live_parts(after)
     parts = None
@@ -281,21 +307,22 @@ def change_feed(
         ]
     left, right = table.read(before, parts), table.read(after, parts)
     names = right.columns
-    left = left.withColumn("_hash", row_hash(left)).alias("o")
-    right = right.withColumn("_hash", row_hash(right)).alias("n")
+
+    def marked(df: DataFrame, side: str) -> DataFrame:
+        return df.withColumn("_there", F.lit(True)).alias(side)
+
+    def row_of(side: str):
+        return F.struct(*[F.col(f"{side}.{name}") for name in names])
+
     condition = None
     for key in keys:
         term = F.col(f"o.{key}").eqNullSafe(F.col(f"n.{key}"))
         condition = term if condition is None else condition & term
-    change = (
-        F.when(F.col("o._hash").isNull(), "insert")
-        .when(F.col("n._hash").isNull(), "delete")
-        .otherwise("update")
-    )
-    gone = F.col("n._hash").isNull()
+    added, gone = F.col("o._there").isNull(), F.col("n._there").isNull()
+    change = F.when(added, "insert").when(gone, "delete").otherwise("update")
     return (
-        left.join(right, condition, "full_outer")
-        .where(~F.col("o._hash").eqNullSafe(F.col("n._hash")))
+        marked(left, "o").join(marked(right, "n"), condition, "full_outer")
+        .where(added | gone | ~row_of("o").eqNullSafe(row_of("n")))
         .select(
             change.alias("change_type"),
             *[F.when(gone, F.col(f"o.{n}")).otherwise(F.col(f"n.{n}")).alias(n) for n in names],
