@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from slicesync.operators.paging import page
 
@@ -119,8 +118,3 @@ def running_total(
     window = Window.partitionBy(*within).orderBy(*order)
     return F.sum(amount).over(window.rowsBetween(Window.unboundedPreceding, 0))
 
-
-def label_of(column: str, labels: Mapping[object, str]) -> Column:
-    from slicesync.functions.columns import code_label
-
-    return code_label(column, labels)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from slicesync.functions.hashing import (
@@ -151,8 +151,6 @@ def largest_slices_cost(slices: DataFrame, largest: int, *tie_break: str) -> Dat
 
     Only the top slices reach the running total, so its single task is bounded.
     """
-    from pyspark.sql import Window
-
     totals = slices.agg(F.sum("row_count").alias("n"))
     order = [F.desc("row_count"), *tie_break]
     top = slices.withColumn("_all", totals.scalar()).orderBy(*order).limit(largest)

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from slicesync.session import local_rows
+
 
 def profile(
     df: DataFrame,
@@ -52,9 +54,7 @@ def schema_rows(
         for (table, tenant), columns in schemas.items()
         for column in columns
     ]
-    return spark.createDataFrame(
-        rows, "table_name string, tenant string, column_name string"
-    )
+    return local_rows(spark, rows, "table_name string, tenant string, column_name string")
 
 
 def column_availability(rows: DataFrame, tenants: Sequence[str]) -> DataFrame:
@@ -63,15 +63,14 @@ def column_availability(rows: DataFrame, tenants: Sequence[str]) -> DataFrame:
     ``common`` columns exist in every tenant that has the table, the others are
     ``tenant-specific``.
     """
-    rows = rows.distinct()
-    per_table = rows.groupBy(F.col("table_name").alias("_table")).agg(
-        F.sort_array(F.collect_set("tenant")).alias("_tenants")
-    )
     per_column = rows.groupBy("table_name", "column_name").agg(
         F.sort_array(F.collect_set("tenant")).alias("_have")
     )
-    known = F.array(*[F.lit(name) for name in tenants])
-    return per_column.join(per_table, F.col("table_name") == F.col("_table")).select(
+    # One row per column by now, so a table's window holds its columns only.
+    of_table = Window.partitionBy("table_name")
+    tenants_of_table = F.array_distinct(F.flatten(F.collect_set("_have").over(of_table)))
+    known = F.array(*[F.lit(name) for name in tenants]).cast("array<string>")
+    return per_column.withColumn("_tenants", tenants_of_table).select(
         "table_name",
         "column_name",
         F.when(F.size("_have") == F.size("_tenants"), "common").otherwise("tenant-specific")
@@ -102,7 +101,7 @@ def probe_queries(
             rows.append((tenant, name, "OK", len(df.columns), not df.isEmpty(), None))
         except Exception as error:  # a broken query is a finding, not a failure
             rows.append((tenant, name, "FAIL", 0, False, str(error).split("\n")[0]))
-    return spark.createDataFrame(rows, PROBE_SCHEMA)
+    return local_rows(spark, rows, PROBE_SCHEMA)
 
 
 def probe_summary(probes: DataFrame) -> DataFrame:

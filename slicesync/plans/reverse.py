@@ -6,12 +6,15 @@ import json
 from collections.abc import Callable, Mapping, Sequence
 from datetime import datetime
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from slicesync.functions.periods import now_utc
 from slicesync.operators import apply as A
+from slicesync.operators.events import queue_order
 from slicesync.operators.slices import keep_slices
+from slicesync.session import local_rows
 from slicesync.sources.versions import VersionedTable
 
 RESULT_SCHEMA = (
@@ -157,13 +160,10 @@ class EventApplier:
 
 def apply_events(events: DataFrame, applier: EventApplier) -> DataFrame:
     """Apply events in queue order; headers stream through the driver one by one."""
-    from slicesync.operators.events import queue_order
-
     results = [applier.apply(event) for event in events.orderBy(*queue_order()).toLocalIterator()]
-    return events.sparkSession.createDataFrame(
-        [tuple(r[name] for name in _RESULT_NAMES) for r in results], RESULT_SCHEMA
-    )
+    return result_rows(events.sparkSession, results)
 
 
-_RESULT_NAMES = ["event_id", "status", "rows_affected", "discrepancy", "warning",
-                 "error_message", "processed_at"]
+def result_rows(spark: SparkSession, results: Sequence[dict]) -> DataFrame:
+    names = StructType.fromDDL(RESULT_SCHEMA).names
+    return local_rows(spark, [tuple(r[name] for name in names) for r in results], RESULT_SCHEMA)

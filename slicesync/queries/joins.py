@@ -19,9 +19,9 @@ from slicesync.queries.shared import (
     money,
     previous_purchases,
     purchases,
-    queue_events,
     table,
 )
+from slicesync.session import local_rows
 
 SLICE, NAMES = ["period", "l_suppkey"], ["level1_value", "level2_value"]
 
@@ -174,24 +174,32 @@ def join7(spark, sf_dir):
     return annotated_history(history, tags)
 
 
-# A small permission table in the shape the operator expects.
+# A small permission table in the shape the operator expects.
 GRANTS = [
     ("loader", "dbo.purchase", "read_write", 300),
     ("loader", "dbo.view", "write", None),
     ("loader", "dbo.click", "read", None),
     ("loader", "*", "write", 10),
+    ("reader", "dbo.signup", "write", 50),
+    ("reader", "*", "read", None),
 ]
-GRANTS_SQL = """
-g(table_name, access, cap) AS (VALUES ('dbo.purchase', 'read_write', 300),
-  ('dbo.view', 'write', NULL), ('dbo.click', 'read', NULL), ('*', 'write', 10))"""
+GRANTS_SQL = f"""
+g(user_name, table_name, access, cap) AS (VALUES {", ".join(
+    str(grant).replace("None", "NULL") for grant in GRANTS)}),
+r AS (SELECT *, CASE WHEN user_id < 75 THEN 'loader' ELSE 'reader' END AS user_name FROM q)"""
+
+
+def grants(spark):
+    return local_rows(spark, GRANTS, PERMISSION_SCHEMA)
 
 
 def permission_requests(spark, sf_dir):
-    return queue_events(spark, sf_dir).select(
-        "event_id",
-        F.lit("loader").alias("user_name"),
-        F.col("target_table").alias("table_name"),
-        F.col("rows_expected").alias("delete_rows"),
+    """Each queued event asks to write its target table."""
+    return table(spark, sf_dir, "events").select(
+        F.concat(F.lit("ev-"), "event_id").alias("event_id"),
+        F.when(F.col("user_id") < 75, "loader").otherwise("reader").alias("user_name"),
+        F.concat(F.lit("dbo."), "event_type").alias("table_name"),
+        F.floor("value").alias("delete_rows"),
     )
 
 
@@ -200,12 +208,11 @@ def permission_requests(spark, sf_dir):
     f"""
     WITH {QUEUE_CTE}, {GRANTS_SQL}
     SELECT event_id, coalesce(own.access, anywhere.access) IN ('write', 'read_write') AS granted
-    FROM q LEFT JOIN g own ON own.table_name = q.target_table
-    LEFT JOIN g anywhere ON anywhere.table_name = '*'
+    FROM r LEFT JOIN g own ON own.table_name = r.target_table AND own.user_name = r.user_name
+    LEFT JOIN g anywhere ON anywhere.table_name = '*' AND anywhere.user_name = r.user_name
     """,
 )
 def join8(spark, sf_dir):
-    grants = spark.createDataFrame(GRANTS, PERMISSION_SCHEMA)
-    return decide(permission_requests(spark, sf_dir), grants, F.lit("write")).select(
+    return decide(permission_requests(spark, sf_dir), grants(spark), F.lit("write")).select(
         "event_id", "granted"
     )

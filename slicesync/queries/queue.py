@@ -12,12 +12,12 @@ from slicesync.functions.periods import moment_literal
 from slicesync.operators import apply as A
 from slicesync.operators import events as E
 from slicesync.operators.audit import audit_rows, search, severity
-from slicesync.operators.permissions import PERMISSION_SCHEMA, decide
+from slicesync.operators.permissions import decide
 from slicesync.plans.reverse import EventApplier, apply_events
 from slicesync.queries.joins import (
-    GRANTS,
     GRANTS_SQL,
     UPDATED_SQL,
+    grants,
     permission_requests,
     price_corrections,
 )
@@ -185,8 +185,8 @@ decided AS (
          coalesce(own.access, anywhere.access) IN ('write', 'read_write') AS granted,
          CASE WHEN own.table_name IS NOT NULL THEN own.cap ELSE anywhere.cap END AS delete_cap,
          rows_expected
-  FROM q LEFT JOIN g own ON own.table_name = q.target_table
-  LEFT JOIN g anywhere ON anywhere.table_name = '*')"""
+  FROM r LEFT JOIN g own ON own.table_name = r.target_table AND own.user_name = r.user_name
+  LEFT JOIN g anywhere ON anywhere.table_name = '*' AND anywhere.user_name = r.user_name)"""
 
 
 @query(
@@ -203,8 +203,7 @@ decided AS (
     """,
 )
 def rev7(spark, sf_dir):
-    grants = spark.createDataFrame(GRANTS, PERMISSION_SCHEMA)
-    return decide(permission_requests(spark, sf_dir), grants, F.lit("write")).select(
+    return decide(permission_requests(spark, sf_dir), grants(spark), F.lit("write")).select(
         "event_id", "decision", "reason"
     )
 

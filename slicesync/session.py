@@ -1,11 +1,15 @@
-"""Session defaults and the shared folder that intermediate tables go to."""
+"""Session defaults, driver rows, and the shared folder for intermediate tables."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 DEFAULTS = {
     "spark.ui.enabled": "false",
@@ -48,6 +52,8 @@ def workspace(spark: SparkSession) -> str:
     if named:
         return named.rstrip("/")
     context = spark.sparkContext
+    if context.getCheckpointDir():
+        return context.getCheckpointDir().rstrip("/")
     if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     if context.applicationId not in _local_roots:
@@ -71,3 +77,14 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     path = run_dir(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def local_rows(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
+    """A few driver rows as a relation of known size, so that joins can broadcast it."""
+    kinds = StructType.fromDDL(schema)
+    columns = list(zip(*rows)) if rows else [()] * len(kinds)
+    arrays = {
+        field.name: pa.array(list(values), to_arrow_type(field.dataType))
+        for field, values in zip(kinds, columns)
+    }
+    return spark.createDataFrame(pa.table(arrays), kinds)

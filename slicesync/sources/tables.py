@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from slicesync.functions.columns import null_safe_equal
+
 RESCUED_COLUMN = "_rescued_data"
 
 
@@ -60,7 +62,7 @@ def list_tables(spark: SparkSession, database: str | None = None) -> DataFrame:
 def override_rows(common: DataFrame, tenant: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Tenant rows win; a common row stays only where the tenant has no such key."""
     wanted = tenant.select(*keys).distinct()
-    kept = common.join(wanted, _same_keys(common, wanted, keys), "left_anti")
+    kept = common.join(wanted, null_safe_equal(common, wanted, keys), "left_anti")
     return tenant.unionByName(kept)
 
 
@@ -160,9 +162,3 @@ def union_servers(
             part if combined is None else combined.unionByName(part, allowMissingColumns=True)
         )
     return combined
-
-
-def _same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]):
-    from slicesync.functions.columns import null_safe_equal
-
-    return null_safe_equal(left, right, keys)

@@ -13,8 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from slicesync.operators.events import EVENT_SCHEMA, conditions_problem, queue_order, request_problem
-from slicesync.plans.reverse import RESULT_SCHEMA, EventApplier, apply_events
+from slicesync.operators.events import (
+    EVENT_SCHEMA,
+    conditions_problem,
+    queue_order,
+    request_problem,
+)
+from slicesync.plans.reverse import EventApplier, result_rows
 from slicesync.sources.versions import VersionedTable
 
 
@@ -42,18 +47,17 @@ def stream_apply(
 
     def run(batch: DataFrame, _batch_id: int) -> None:
         spark = batch.sparkSession
-        rows: list[tuple] = []
+        done: list[dict] = []
 
         def flush() -> None:
-            if rows:
-                results.append(spark.createDataFrame(rows, RESULT_SCHEMA), operation="results")
-                rows.clear()
+            if done:
+                results.append(result_rows(spark, done), operation="results")
+                done.clear()
 
         waiting = unseen(batch, results).orderBy(*queue_order())
         for event in waiting.toLocalIterator():
-            outcome = applier.apply(event)
-            rows.append(tuple(outcome[name] for name in _NAMES))
-            if len(rows) >= chunk:
+            done.append(applier.apply(event))
+            if len(done) >= chunk:
                 flush()
         flush()
 
@@ -91,10 +95,3 @@ def check_events(batch: DataFrame) -> DataFrame:
         F.when(problem.isNull(), "processing").otherwise("failed").alias("status"),
         problem.alias("error_message"),
     )
-
-
-__all__ = ["apply_events", "check_events", "read_events", "stream_apply", "stream_status",
-           "unseen"]
-
-_NAMES = ["event_id", "status", "rows_affected", "discrepancy", "warning", "error_message",
-          "processed_at"]
