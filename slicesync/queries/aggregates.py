@@ -127,7 +127,7 @@ def agg7(spark, sf_dir):
     SELECT count(*) AS row_count, min(l_shipdate) AS first_date, max(l_shipdate) AS last_date,
            count(DISTINCT l_orderkey) AS unique_trips,
            count(DISTINCT l_linestatus) AS unique_forms,
-           count_if(l_returnflag = 'R') AS duplicate_count FROM lineitem
+           count_if(l_returnflag = 'R')::BIGINT AS duplicate_count FROM lineitem
     """,
 )
 def agg8(spark, sf_dir):
@@ -263,7 +263,7 @@ def agg15(spark, sf_dir):
     f"""
     WITH {JOBS_CTE}
     SELECT country, job_id AS run_id, period, completed_at FROM (
-      SELECT *, year(created_at) * 100 + month(created_at) AS period FROM j)
+      SELECT *, (year(created_at) * 100 + month(created_at))::INT AS period FROM j)
     WHERE status = 'completed' AND stage = '1-URGENT'
     QUALIFY row_number() OVER (PARTITION BY country ORDER BY completed_at DESC, job_id DESC) = 1
     """,
@@ -406,7 +406,7 @@ def agg20(spark, sf_dir):
                  sum(row_count) OVER (w ROWS UNBOUNDED PRECEDING) AS rows_to_read,
                  sum(row_count) OVER () AS n
           FROM s WINDOW w AS (ORDER BY row_count DESC, period, l_suppkey))
-    SELECT slices_changed, period, l_suppkey, row_count, rows_to_read::BIGINT AS rows_to_read,
+    SELECT slices_changed::INT AS slices_changed, period, l_suppkey, row_count, rows_to_read::BIGINT AS rows_to_read,
            round(100 * (1 - rows_to_read / n), 1)::DOUBLE AS savings_pct
     FROM o WHERE slices_changed <= 100
     """,
@@ -422,7 +422,7 @@ def agg21(spark, sf_dir):
     "agg22_step_progress",
     f"""
     WITH {JOBS_CTE}
-    SELECT country, count(*) AS steps_total, count_if(status = 'completed') AS steps_completed,
+    SELECT country, count(*) AS steps_total, count_if(status = 'completed')::BIGINT AS steps_completed,
            round(count_if(status = 'completed') * 100.0 / count(*), 1)::DOUBLE AS progress_pct
     FROM j GROUP BY 1
     """,
@@ -462,9 +462,9 @@ def _panel_weights(spark, sf_dir):
     """
     WITH w AS (SELECT period, c_custkey AS household,
                       (1 + floor(abs(c_acctbal) / 1000))::BIGINT AS weight
-               FROM customer, (SELECT DISTINCT year(o_orderdate) * 100 + month(o_orderdate) AS period
+               FROM customer, (SELECT DISTINCT (year(o_orderdate) * 100 + month(o_orderdate))::INT AS period
                                FROM orders)),
-    b AS (SELECT year(o_orderdate) * 100 + month(o_orderdate) AS period, o_custkey AS household,
+    b AS (SELECT (year(o_orderdate) * 100 + month(o_orderdate))::INT AS period, o_custkey AS household,
                  count(DISTINCT o_orderkey) AS occasions,
                  sum(o_totalprice::DECIMAL(18,4)) AS spent FROM orders GROUP BY 1, 2),
     k AS (SELECT period, sum(weight) AS hholds, count(*) AS hholds_raw,
@@ -495,10 +495,10 @@ def agg24(spark, sf_dir):
     "agg25_diff_stats",
     f"""
     WITH {DIFF_CTE}
-    SELECT count_if(row_count > 0) AS total_level1_values,
-           count_if(status = 'changed') AS changed_level1, count_if(status = 'new') AS new_level1,
-           count_if(status = 'deleted') AS deleted_level1,
-           count_if(status = 'unchanged') AS unchanged_level1,
+    SELECT count_if(row_count > 0)::BIGINT AS total_level1_values,
+           count_if(status = 'changed')::BIGINT AS changed_level1, count_if(status = 'new')::BIGINT AS new_level1,
+           count_if(status = 'deleted')::BIGINT AS deleted_level1,
+           count_if(status = 'unchanged')::BIGINT AS unchanged_level1,
            sum(CASE WHEN status IN ('changed', 'new') THEN row_count ELSE 0 END)::BIGINT
              AS rows_candidate,
            sum(CASE WHEN status = 'unchanged' THEN row_count ELSE 0 END)::BIGINT AS rows_skipped

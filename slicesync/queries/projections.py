@@ -48,7 +48,7 @@ def prj3(spark, sf_dir):
 
 @query(
     "prj4_period_of_date",
-    "SELECT o_orderkey, year(o_orderdate) * 100 + month(o_orderdate) AS periodo FROM orders",
+    "SELECT o_orderkey, (year(o_orderdate) * 100 + month(o_orderdate))::INT AS periodo FROM orders",
 )
 def prj4(spark, sf_dir):
     spec = Extraction(
@@ -61,7 +61,7 @@ def prj4(spark, sf_dir):
 @query(
     "prj5_period_of_parts",
     """
-    SELECT o_custkey, year(o_orderdate) * 100 + month(o_orderdate) AS periodo,
+    SELECT o_custkey, (year(o_orderdate) * 100 + month(o_orderdate))::INT AS periodo,
            count(*) AS orders FROM orders GROUP BY 1, 2
     """,
 )
@@ -154,7 +154,7 @@ def prj10(spark, sf_dir):
 @query(
     "fn_scalar_functions",
     f"""
-    SELECT o_orderkey, year(o_orderdate) AS y, month(o_orderdate) AS m,
+    SELECT o_orderkey, year(o_orderdate)::INT AS y, month(o_orderdate)::INT AS m,
            strftime(o_orderdate, '%Y%m')::INT AS yyyymm,
            date_trunc('month', o_orderdate)::DATE AS month_start,
            (o_orderdate::DATE - INTERVAL 30 DAY)::DATE AS thirty_days_before,

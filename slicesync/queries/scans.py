@@ -67,7 +67,7 @@ def src2(spark, sf_dir):
 @query(
     "src3_template_params",
     """
-    SELECT year(o_orderdate) * 100 + month(o_orderdate) AS period, count(*) AS orders
+    SELECT (year(o_orderdate) * 100 + month(o_orderdate))::INT AS period, count(*) AS orders
     FROM orders
     WHERE o_orderdate >= DATE '1999-08-01' AND o_orderdate <= DATE '2001-08-02'
       AND year(o_orderdate) * 100 + month(o_orderdate) BETWEEN 199908 AND 200108
@@ -221,7 +221,7 @@ def src15(spark, sf_dir):
     "src16_column_metadata",
     "\nUNION ALL\n".join(
         f"SELECT {i} AS position, '{name}' AS column_name, "
-        f"count_if({name} IS NULL) AS null_count FROM orders"
+        f"count_if({name} IS NULL)::BIGINT AS null_count FROM orders"
         for i, name in enumerate(
             ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate",
              "o_orderpriority"]

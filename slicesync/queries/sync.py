@@ -201,9 +201,9 @@ def _stats_row(spark, stats) -> DataFrame:
     "dif9_full_job",
     f"""
     WITH {DIFF_CTE}
-    SELECT count_if(status = 'changed') AS changed_level1, count_if(status = 'new') AS new_level1,
-           count_if(status = 'deleted') AS deleted_level1,
-           count_if(status = 'unchanged') AS unchanged_level1,
+    SELECT count_if(status = 'changed')::BIGINT AS changed_level1, count_if(status = 'new')::BIGINT AS new_level1,
+           count_if(status = 'deleted')::BIGINT AS deleted_level1,
+           count_if(status = 'unchanged')::BIGINT AS unchanged_level1,
            (SELECT count(*) FROM slices) AS total_changed_pairs,
            (SELECT sum(row_count)::BIGINT FROM slices) AS rows_downloaded,
            (sum(row_count) - (SELECT sum(row_count) FROM slices))::BIGINT AS rows_skipped
@@ -220,9 +220,9 @@ def dif9(spark, sf_dir):
     "dif10_no_change",
     f"""
     WITH {STATES_CTE}
-    SELECT 0 AS changed_level1, 0 AS new_level1, 0 AS deleted_level1,
-           count(DISTINCT period) AS unchanged_level1, 0 AS total_changed_pairs,
-           0 AS rows_downloaded, count(*) AS rows_skipped FROM cur
+    SELECT 0::BIGINT AS changed_level1, 0::BIGINT AS new_level1, 0::BIGINT AS deleted_level1,
+           count(DISTINCT period) AS unchanged_level1, 0::BIGINT AS total_changed_pairs,
+           0::BIGINT AS rows_downloaded, count(*) AS rows_skipped FROM cur
     """,
 )
 def dif10(spark, sf_dir):

@@ -40,7 +40,7 @@ THIRD_SQL = """
 @query(
     "ver1_create_tag",
     """
-    SELECT 'orders' AS table_name, 3 AS version, 'latest' AS tag, 'rows: ' || count(*) AS description
+    SELECT 'orders' AS table_name, 3::BIGINT AS version, 'latest' AS tag, 'rows: ' || count(*) AS description
     FROM orders WHERE o_orderstatus <> 'P'
     UNION ALL SELECT 'orders', 1, 'first', NULL
     """,
@@ -55,7 +55,7 @@ def ver1(spark, sf_dir):
 @query(
     "ver2_list_and_delete_tags",
     """
-    SELECT 'orders' AS table_name, 3 AS version, 'third' AS tag, (SELECT count(*) FROM orders) AS row_count
+    SELECT 'orders' AS table_name, 3::BIGINT AS version, 'third' AS tag, (SELECT count(*) FROM orders) AS row_count
     UNION ALL SELECT 'orders', 1, 'first', (SELECT count(*) FROM orders)
     """,
 )
@@ -90,7 +90,7 @@ def ver3(spark, sf_dir):
 @query(
     "ver4_history",
     """
-    SELECT 1 AS version, TIMESTAMP '2024-01-01' AS committed_at, 'overwrite' AS operation,
+    SELECT 1::BIGINT AS version, TIMESTAMP '2024-01-01' AS committed_at, 'overwrite' AS operation,
            count(*) AS rows_written, '' AS tags FROM orders WHERE o_orderdate < '2001-01-01'
     UNION ALL SELECT 2, TIMESTAMP '2024-01-02', 'append', count(*), 'complete' FROM orders
       WHERE o_orderdate >= '2001-01-01'
@@ -197,7 +197,7 @@ def val1(spark, sf_dir):
 
 @query(
     "val2_probe_summary",
-    "SELECT r_name AS tenant, 3 AS total, 2 AS ok, 1 AS failed FROM region",
+    "SELECT r_name AS tenant, 3::BIGINT AS total, 2::BIGINT AS ok, 1::BIGINT AS failed FROM region",
 )
 def val2(spark, sf_dir):
     return Q.probe_summary(_probes(spark, sf_dir))
