@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from slicesync.session import local_rows
+
 # Above this many key values a literal list gives way to a join.
 MAX_LITERAL_KEYS = 1000
 
@@ -37,11 +39,17 @@ def drop_slices(
 
 
 def restrict(df: DataFrame, column: str, values: Sequence) -> DataFrame:
-    """Rows with one of the given values, as a predicate the scan can prune with.
+    """Rows with one of the given values, which may be given as text.
 
-    Values given as text are cast to the column's type, never the other way.
+    Few values become literals of the column's type, which prune partitions
+    and row groups; many go through a semi join.
     """
     kind = df.schema[column].dataType
+    if len(values) > MAX_LITERAL_KEYS:
+        texts = [(None if value is None else str(value),) for value in values]
+        wanted = local_rows(df.sparkSession, texts, "_value string")
+        typed = wanted.select(F.col("_value").cast(kind).alias("_value"))
+        return keep_slices(df, typed, [column], ["_value"])
     known = [F.lit(value).cast(kind) for value in values if value is not None]
     condition = F.col(column).isin(known) if known else F.lit(False)
     if len(known) < len(values):
@@ -49,22 +57,6 @@ def restrict(df: DataFrame, column: str, values: Sequence) -> DataFrame:
     return df.where(condition)
 
 
-def keep_level1(df: DataFrame, slices: DataFrame, column: str, name: str) -> DataFrame:
-    """Rows whose level-1 value occurs in ``slices``.
-
-    Few values become literals, which prune partitions and row groups; many
-    values go through a semi join. Either way no row is lost.
-    """
-    values = [
-        row[0] for row in slices.select(name).distinct().limit(MAX_LITERAL_KEYS + 1).collect()
-    ]
-    if len(values) <= MAX_LITERAL_KEYS:
-        return restrict(df, column, values)
-    kind = df.schema[column].dataType
-    typed = slices.select(F.col(name).cast(kind).alias(name))
-    return keep_slices(df, typed, [column], [name])
-
-
 def replace_slices(
     target: DataFrame, fresh: DataFrame, slices: DataFrame, keys: Sequence[str],
     names: Sequence[str] | None = None,

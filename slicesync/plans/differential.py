@@ -72,13 +72,12 @@ def run_differential_sync(
         source = FrameSource(source, level1, level2, method)
     level1, level2 = level1.lower(), level2.lower()
     stats = DiffSyncStats(table_name, country)
-    stats.is_first_sync = not (
-        target.exists() and store.table(country, table_name, "period").exists()
-    )
+    stored1 = store.find(country, table_name, "period")
+    stats.is_first_sync = stored1 is None or not target.exists()
     if stats.is_first_sync:
         return _first_sync(source, target, store, stats, job_id)
 
-    stored1 = store.load(country, table_name, "period").select("level1_value", *MEASURES)
+    stored1 = stored1.select("level1_value", *MEASURES)
     status1 = classify(source.level1_prints(), stored1, ["level1_value"])
     cutoff = (
         period_int(shift_months(as_of or now_utc(), -mutable_months)) if mutable_months else 0

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from datetime import datetime
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slicesync.functions.periods import moment_literal, now_utc
 from slicesync.operators.slices import drop_slices, keep_slices
+from slicesync.session import local_rows
 from slicesync.sources.versions import VersionedTable
 
 COLUMNS = (
@@ -36,12 +36,18 @@ class FingerprintStore:
             raise ValueError(f"unknown level {level!r}; use one of {LEVELS}")
         return VersionedTable(self.spark, f"{self.root}/{country}/{table_name}/{level}")
 
+    def find(self, country: str, table_name: str, level: str) -> DataFrame | None:
+        """Stored fingerprints; None if none were ever saved."""
+        try:
+            return self.table(country, table_name, level).read()
+        except LookupError:
+            return None
+
     def load(
         self, country: str, table_name: str, level: str, level1_values: list | None = None
     ) -> DataFrame:
-        try:
-            rows = self.table(country, table_name, level).read()
-        except LookupError:
+        rows = self.find(country, table_name, level)
+        if rows is None:
             return self.spark.createDataFrame([], COLUMNS)
         if level1_values is None:
             return rows
@@ -81,5 +87,5 @@ class FingerprintStore:
         )
 
     def _values(self, values: list) -> DataFrame:
-        texts = pa.array([None if v is None else str(v) for v in values], pa.string())
-        return self.spark.createDataFrame(pa.table({"level1_value": texts}))
+        texts = [(None if value is None else str(value),) for value in values]
+        return local_rows(self.spark, texts, "level1_value string")

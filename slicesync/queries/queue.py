@@ -253,14 +253,14 @@ def evt2(spark, sf_dir):
     WITH {QUEUE_CTE}
     SELECT event_id, CASE WHEN status <> 'pending' THEN status WHEN rows_expected >= 50
                           THEN 'failed' ELSE 'completed' END AS status,
-           CASE WHEN status = 'pending' THEN rows_expected END AS rows_affected,
+           CASE WHEN status IN ('pending', 'completed') THEN rows_expected END AS rows_affected,
            CASE WHEN status <> 'pending' THEN error_message
                 WHEN rows_expected >= 50 THEN 'too many' END AS error_message
-    FROM (SELECT *, CASE WHEN status = 'completed' THEN NULL END AS x FROM q WHERE status <> 'completed')
+    FROM q
     """,
 )
 def evt3(spark, sf_dir):
-    queue = queue_events(spark, sf_dir).where("status <> 'completed'")
+    queue = queue_events(spark, sf_dir)
     too_many = F.col("rows_expected") >= 50
     results = queue.where("status = 'pending'").select(
         "event_id",

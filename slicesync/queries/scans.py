@@ -114,7 +114,7 @@ def src6(spark, sf_dir):
     """
     WITH t AS (SELECT min(l_orderkey) AS lo, max(l_orderkey) AS hi,
                       (count(*) + 9999) // 10000 AS chunks FROM lineitem)
-    SELECT ((l_orderkey - lo) * chunks) // (hi - lo + 1) AS chunk, count(*) AS row_count,
+    SELECT (l_orderkey - lo) // ((hi - lo + chunks) // chunks) AS chunk, count(*) AS row_count,
            min(l_orderkey) AS min_key, max(l_orderkey) AS max_key
     FROM lineitem, t GROUP BY 1
     """,

@@ -122,9 +122,9 @@ def chunk_counts(df: DataFrame, key: str, chunk_rows: int) -> DataFrame:
             df.sparkSession, "chunk long, row_count long, min_key long, max_key long"
         )
     chunks = -(-totals["n"] // chunk_rows)
-    width = totals["hi"] - totals["lo"] + 1
-    chunk = F.floor((F.col(key) - totals["lo"]) * F.lit(chunks) / F.lit(width))
-    return df.groupBy(chunk.cast("long").alias("chunk")).agg(
+    stride = -(-(totals["hi"] - totals["lo"] + 1) // chunks)
+    chunk = F.expr(f"(`{key}` - {totals['lo']}) div {stride}")
+    return df.groupBy(chunk.alias("chunk")).agg(
         F.count(F.lit(1)).alias("row_count"),
         F.min(key).alias("min_key"),
         F.max(key).alias("max_key"),

@@ -128,8 +128,11 @@ class VersionedTable:
         head = self._existing_head(version)
         schema = _schema_of(head)
         live: dict[int, list] = {}
-        for part, number in self._live(head).collect():
-            live.setdefault(number, []).append(part)
+        if not self.partition_by and head["start"] == head["version"]:
+            live[head["version"]] = [None]  # nothing was added since the last overwrite
+        else:
+            for part, number in self._live(head).collect():
+                live.setdefault(number, []).append(part)
         if parts is not None:
             wanted = {None if part is None else str(part) for part in parts}
             live = {

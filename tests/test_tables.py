@@ -3,6 +3,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from slicesync.operators import slices
 from slicesync.plans.tags import TagRegistry
 from slicesync.sources import tables as S
 from slicesync.sources.unify import concat_parts
@@ -137,3 +138,20 @@ def test_row_cap(spark):
     assert [r[0] for r in S.row_cap(spark.range(9), 2, F.desc("id")).collect()] == [8, 7]
     with pytest.raises(ValueError):
         S.row_cap(spark.range(9), 0)
+
+
+@pytest.mark.parametrize("limit", [0, 1000])
+def test_restrict_by_literals_or_join(spark, monkeypatch, limit):
+    monkeypatch.setattr(slices, "MAX_LITERAL_KEYS", limit)
+    df = spark.createDataFrame([(1,), (2,), (None,), (4,)], "k int")
+    kept = slices.restrict(df, "k", ["1", None, "9"]).collect()
+    assert sorted([r[0] for r in kept], key=repr) == [1, None]
+    assert slices.restrict(df, "k", []).isEmpty()
+
+
+def test_chunks_cover_every_row(spark):
+    df = spark.range(5, 1005).withColumnRenamed("id", "k")
+    chunks = S.chunk_counts(df, "k", 300).orderBy("chunk").collect()
+    assert [tuple(r) for r in chunks] == [
+        (0, 250, 5, 254), (1, 250, 255, 504), (2, 250, 505, 754), (3, 250, 755, 1004)]
+    assert S.chunk_counts(df.limit(0), "k", 300).isEmpty()
