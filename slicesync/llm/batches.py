@@ -37,10 +37,10 @@ def slices(
             first = last
 
 
-def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+def words_of(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Words ``[^\\x20\\x09-\\x0D]+``: codes, offsets of each text's codes, distinct words.
 
-    White space is single bytes in UTF-8, so it is made a space in the buffer itself.
+    White space and A-Z are single bytes in UTF-8, so they are changed in the buffer itself.
     """
     texts = plain_text(texts)
     if len(texts) == 0:
@@ -49,6 +49,8 @@ def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     data = texts.buffers()[2]
     raw = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].copy() if data else np.zeros(0, np.uint8)
     raw[(raw >= 9) & (raw <= 13)] = 32
+    if lower:
+        raw[(raw >= 65) & (raw <= 90)] |= 32
     spaced = pa.LargeStringArray.from_buffers(
         len(texts), pa.py_buffer((ends - ends[0]).copy()), pa.py_buffer(raw)
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from slicesync.session import run_dir
 
@@ -51,3 +52,18 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     write_token_files(
         table(spark, sf_dir, "documents"), folder, tokenizer_path("byte_bpe_50k.json"), END_ID)
     return with_crc32(read_token_files(spark, folder))
+
+
+@register("op3_substring_dedup")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from slicesync.llm.substrings import remove_repeats
+
+    left = remove_repeats(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@register("op10_minhash_near_dedup")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from slicesync.llm.minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
