@@ -67,3 +67,47 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from slicesync.llm.minhash import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
+
+
+OP9_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+w AS (
+  SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w,
+    list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM d),
+g AS (
+  SELECT doc_id, unnest(range(1, greatest(len(w) - 1, 1))) AS i, w FROM w),
+t AS (SELECT doc_id, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM g),
+r AS (SELECT doc_id, i FROM (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n FROM t) WHERE n > 1),
+k AS (SELECT doc_id, count(*) AS n FROM (
+  SELECT DISTINCT doc_id, i + j AS p FROM r, (SELECT unnest([0, 1, 2]) AS j)) GROUP BY doc_id),
+l AS (
+  SELECT doc_id, x, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS n,
+    len(regexp_extract_all(x, '[#*$%&<>{}\[\]~^=]')) AS marks,
+    len(regexp_extract_all(x, '!')) AS bangs, len(regexp_extract_all(x, '\|')) AS bars
+  FROM (SELECT doc_id, unnest(lines) AS x FROM w)),
+lost AS (
+  SELECT doc_id, sum(length(regexp_replace(x, '[\x20\x09-\x0D]+', '', 'g'))) AS chars FROM l
+  WHERE (marks >= 3 AND marks * 5 > n) OR (bangs * 3 > n AND n >= 3) OR bars * 4 >= n
+    OR regexp_matches(x, '(?i)\b(lorem ipsum|(enable|requires?) javascript|accept (all )?cookies|we use cookies|subscribe to our newsletter|click here to|skip to (main )?content|share on facebook|follow us on|sign up for free|log in to continue|read more\s*$)')
+  GROUP BY doc_id),
+b AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words,
+    length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
+    len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+    (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+    coalesce(k.n, 0)::BIGINT AS n_repeat_words, coalesce(lost.chars, 0) AS lost_chars
+  FROM w LEFT JOIN k USING (doc_id) LEFT JOIN lost USING (doc_id)),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND 100 * lost_chars <= 25 * word_chars AS kept
+FROM f
+"""
+
+
+@register("op9_quality_rules", OP9_SQL)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from slicesync.llm.quality import judge
+
+    return judge(table(spark, sf_dir, "documents")).drop("lost_chars", "clean_text")
