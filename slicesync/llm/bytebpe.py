@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from slicesync.llm.batches import gather, plain_text
+from slicesync.llm.batches import plain_text
 
 # White space of Unicode, and the separators that some libraries count too.
 _BLANK = (
@@ -24,6 +24,8 @@ _BLANK = (
 )
 #: Words that one generation of the cache holds; two generations are kept.
 CACHE_WORDS = 250_000
+#: Bytes of text to encode at once: the more, the fewer words are looked up again.
+ENCODED_BYTES = 8 << 20
 _JOINED = 64
 
 
@@ -61,7 +63,8 @@ class ByteBpe:
         cuts = np.searchsorted(ends, wanted)
         if len(ends) == 0 or cuts[-1] >= len(ends) or (ends[cuts] != wanted).any():
             return self._whole(words)
-        return [part.tobytes() for part in np.split(ids, cuts[:-1] + 1)]
+        raw, stops = ids.tobytes(), [0, *(4 * cuts + 4).tolist()]
+        return [raw[a:b] for a, b in zip(stops[:-1], stops[1:])]
 
     def _lookup(self, words: list[str]) -> list[bytes]:
         young, old = self.young, self.old
@@ -95,11 +98,8 @@ class ByteBpe:
         codes[bounds[:-1]] = firsts.indices.to_numpy() + len(words)  # no space before the first
         values = self._lookup(words + firsts.dictionary.to_pylist())
         lengths = np.fromiter(map(len, values), np.int64, len(values)) // 4
-        store = np.frombuffer(b"".join(values), np.uint32)
-        starts = np.cumsum(lengths) - lengths
-        counts = lengths[codes]
-        ids = store[gather(starts[codes], counts)]
-        return ids, np.concatenate([[0], np.cumsum(counts)])[bounds]
+        ids = np.frombuffer(b"".join(map(values.__getitem__, codes.tolist())), np.uint32)
+        return ids, np.concatenate([[0], np.cumsum(lengths[codes])])[bounds]
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids (uint32) and the offsets of each text's ids; null is empty text."""

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slicesync.llm.batches import slices
-from slicesync.llm.bytebpe import byte_bpe
+from slicesync.llm.bytebpe import ENCODED_BYTES, byte_bpe
 from slicesync.session import stage
 
 CAPACITY = 1024
@@ -49,7 +49,7 @@ def token_pieces(
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = byte_bpe(tokenizer, end_id)
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", ENCODED_BYTES):
             ids, offsets = encoder.encode(part.column("text"))
             rows: list[tuple] = []
             for number, low, high in zip(part.column("doc_id").to_pylist(), offsets[:-1], offsets[1:]):

@@ -111,3 +111,60 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     from slicesync.llm.quality import judge
 
     return judge(table(spark, sf_dir, "documents")).drop("lost_chars", "clean_text")
+
+
+def _op2_rules():
+    from slicesync.llm.urls import Rule
+
+    return (
+        Rule("allow", "org", "/"), Rule("block", "example.org", "/es/"),
+        Rule("block", "example.org", "/en/1"), Rule("allow", "com", "/fr/"), Rule("block", "com", "/de/"))
+
+
+OP2_SQL = r"""
+WITH p AS (
+  SELECT page_id, coalesce(url, '') AS url,
+    translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
+  FROM pages),
+r(verdict, h, p) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'),
+  ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+best AS (
+  SELECT page_id, host, path, arg_max(h || r.p, length(h || r.p)) AS rule,
+    arg_max(verdict, length(h || r.p)) AS ruled
+  FROM (SELECT DISTINCT page_id, host, path FROM p) p JOIN r
+    ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, r.p)
+  GROUP BY page_id, host, path),
+words AS (
+  SELECT *, regexp_extract_all(translate(url, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[\p{L}\p{N}]+') AS w FROM p),
+n AS (
+  SELECT page_id, host, path,
+    len(list_intersect(list_distinct(w), ['adult', 'casino', 'escort', 'hentai', 'porn', 'porno', 'spam',
+      'viagra', 'xxx']))::INT AS n_strict,
+    len(list_intersect(list_distinct(w), ['ad', 'ads', 'bet', 'bets', 'bonus', 'buy', 'cheap', 'cialis',
+      'click', 'credit', 'crypto', 'deal', 'deals', 'farm', 'free', 'jackpot', 'loan', 'loans', 'lottery',
+      'pill', 'pills', 'poker', 'prize', 'promo', 'sale', 'sex', 'slots', 'track', 'tracker', 'win',
+      'winner']))::INT AS n_soft
+  FROM words)
+SELECT n.page_id, n.host, n.path, rule,
+  coalesce(ruled, CASE WHEN n_strict > 0 OR n_soft >= 2 THEN 'block' ELSE 'allow' END) AS verdict,
+  n_strict, n_soft
+FROM n LEFT JOIN best ON best.page_id IS NOT DISTINCT FROM n.page_id AND best.host = n.host
+  AND best.path = n.path
+"""
+
+
+@register("op2_url_filter", OP2_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from slicesync.llm.urls import filter_urls
+
+    return filter_urls(table(spark, sf_dir, "pages"), _op2_rules())
+
+
+@register("op6_html_extraction")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from slicesync.llm.htmltext import extract
+
+    return extract(table(spark, sf_dir, "pages"))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from slicesync.llm.batches import Files, qualified, slices
-from slicesync.llm.bytebpe import byte_bpe
+from slicesync.llm.bytebpe import ENCODED_BYTES, byte_bpe
 
 FILE_TOKENS = 32 << 20
 GROUP_TOKENS = 2 << 20
@@ -114,7 +114,7 @@ def write_token_files(
         encoder = byte_bpe(tokenizer, end_id)
         writer = _Writer(
             f"{folder}/data", TaskContext.get().partitionId(), file_tokens, group_tokens)
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", ENCODED_BYTES):
             writer.add(part.column("doc_id"), *encoder.encode(part.column("text")))
         writer.close()
         if writer.done:
