@@ -168,3 +168,12 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     from slicesync.llm.htmltext import extract
 
     return extract(table(spark, sf_dir, "pages"))
+
+
+@register("op5_warc")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from slicesync.llm.warc import read_warc, write_warc
+
+    folder = run_dir(spark, "warc")
+    write_warc(table(spark, sf_dir, "pages"), folder, revisit_bytes=0)
+    return read_warc(spark, folder).drop("url", "payload")
