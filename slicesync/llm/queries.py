@@ -203,3 +203,11 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     from slicesync.llm.embeddings import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@register("op7_bpe_lexicon")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from slicesync.llm.lexicon import encode_and_decode, lexicon_for
+
+    docs, path = table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json")
+    return encode_and_decode(docs, path, lexicon_for(docs, path))
