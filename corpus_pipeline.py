@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from slicesync.llm.queries import END_ID, table, tokenizer_path
 from slicesync.session import stage
@@ -12,6 +13,32 @@ from slicesync.session import stage
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def _counted(docs: DataFrame) -> DataFrame:
+    """``n_chars`` as the texts now are."""
+    return docs.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without lines that are not prose, and without documents that fail."""
+    from slicesync.llm.quality import clean
+
+    return _counted(clean(docs))
+
+
+def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates (five words, 0.8)."""
+    from slicesync.llm.minhash import one_of_each
+
+    return one_of_each(docs)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without passages of 35 words that stand anywhere else too."""
+    from slicesync.llm.substrings import without_repeats
+
+    return _counted(without_repeats(docs))
+
+
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The remaining documents' tokens in sequences of at most 1024."""
     from slicesync.llm.packing import pack, token_pieces
@@ -20,10 +47,13 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 STAGES: list[tuple[str, Stage]] = [
+    ("quality_rules", quality_rules),
+    ("minhash_near_dedup", minhash_near_dedup),
+    ("substring_dedup", substring_dedup),
     ("best_fit_packing", best_fit_packing),
 ]
 
-#: Tokenizer ids and near duplicates are beyond SQL; tests hold the rows against brute force.
+#: Near duplicates and tokenizer ids are beyond SQL; tests hold the rows against brute force.
 ORACLE_SQL = None
 
 

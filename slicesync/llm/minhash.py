@@ -286,3 +286,14 @@ def _labelled(signed: DataFrame, classes: DataFrame, names: DataFrame) -> DataFr
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The documents, with all their columns, that stay: one row of each group. Rows
+    without id, which link with nothing, stay."""
+    kept = near_duplicates(docs, id_col, text_col, **how).where("kept AND doc_id IS NOT NULL")
+    named = docs.where(F.col(id_col).isNotNull())
+    kept = kept.select(F.col("doc_id").alias(id_col)).distinct()
+    # The join has dealt the rows by id, so that dropping rows of one id costs no shuffle.
+    stay = named.join(kept, id_col, "left_semi").dropDuplicates([id_col])
+    return stay.unionAll(docs.where(F.col(id_col).isNull()))

@@ -50,11 +50,11 @@ def _chars(words: Column) -> Column:
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-    kept, lost_chars, clean_text)`` of each document."""
+    kept, lost_chars, clean_text, row)`` of each document; ``row`` is the document itself."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     # Each step is a projection of its own, so that no array is computed twice.
     found = docs.select(
-        F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"),
+        F.struct("*").alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"),
         F.filter(F.split(text, SPACE + "+"), lambda w: w != "").alias("w"),
         F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"))
     n = F.size("w")
@@ -80,7 +80,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         F.coalesce(F.regexp_count("text", F.lit(SYMBOLS)), F.lit(0)).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"), lost.alias("lost_chars"),
-        "bad", "text")
+        "bad", "text", "row")
     failed = (F.col("n_words") < MIN_WORDS) | (
         100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
     clean = F.when(F.size("bad") > 0, F.array_join(
@@ -89,4 +89,11 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return found.withColumn("base_failed", failed).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & (100 * F.col("lost_chars") <= MAX_LOST_PERCENT * F.col("word_chars")))
-        .alias("kept"), "lost_chars", clean.alias("clean_text"))
+        .alias("kept"), "lost_chars", clean.alias("clean_text"), "row")
+
+
+def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents that pass, with all their columns and without the lines that fail."""
+    kept = judge(docs, id_col, text_col).where("kept")
+    return kept.select(*(
+        F.col("clean_text").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns))

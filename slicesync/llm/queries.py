@@ -59,7 +59,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     from slicesync.llm.substrings import remove_repeats
 
     left = remove_repeats(table(spark, sf_dir, "documents"))
-    return left.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+    return left.select("row.doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
 @register("op10_minhash_near_dedup")
@@ -110,7 +110,7 @@ FROM f
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     from slicesync.llm.quality import judge
 
-    return judge(table(spark, sf_dir, "documents")).drop("lost_chars", "clean_text")
+    return judge(table(spark, sf_dir, "documents")).drop("lost_chars", "clean_text", "row")
 
 
 def _op2_rules():

@@ -20,6 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from slicesync.llm.batches import words_of
 from slicesync.llm.hashing import BASES, inner_windows, window_hashes, word_hashes
@@ -32,7 +33,7 @@ _BYTES_A_WINDOW = 6
 _VALUES = pa.schema([
     ("bucket", pa.int32()), ("block", pa.int32()), ("values", pa.binary()), ("twice", pa.binary())])
 _MARKS = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("marks", pa.binary())])
-_JUDGED = "doc_id long, n_words long, n_removed long, text string, removed array<struct<start: int, stop: int>>"
+_JUDGED = "n_words long, n_removed long, text string, removed array<struct<start: int, stop: int>>"
 
 
 class _Windows:
@@ -77,14 +78,15 @@ def _spans(covered: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 def remove_repeats(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WINDOW,
 ) -> DataFrame:
-    """``(doc_id, n_words, n_removed, text, removed)``: what is left of each text, and the
-    intervals of words that went. Words are joined by one space."""
+    """``(row, n_words, n_removed, text, removed)``: the document's other columns, what is
+    left of its text, and the intervals of words that went. Words are joined by one space."""
+    others = [F.col(c) for c in docs.columns if c != text_col]
     chosen = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+        F.struct(*others).alias("row"), F.col(text_col).cast("string").alias("text"))
     total = int(chosen.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     blocks = total // BLOCK_BYTES + 1
     buckets = total // _BYTES_A_WINDOW // BUCKET_WINDOWS * 2 + 1
-    dealt = chosen.withColumn("block", block_of(blocks, "doc_id", "text"))
+    dealt = chosen.withColumn("block", block_of(blocks, f"row.{id_col}", "text"))
 
     def values(table: pa.Table) -> pa.Table:
         found = _Windows(table.column("text").combine_chunks(), width, buckets)
@@ -135,13 +137,21 @@ def remove_repeats(
         text = pc.binary_join(lists, pa.scalar(" ", pa.large_string()))
         counts = np.diff(found.offsets)
         return pa.Table.from_arrays([
-            rows.column("doc_id"), pa.array(counts), pa.array(counts - np.diff(kept_before)),
-            text.cast(pa.string()), spans], ["doc_id", "n_words", "n_removed", "text", "removed"])
+            rows.column("row"), pa.array(counts), pa.array(counts - np.diff(kept_before)),
+            text.cast(pa.string()), spans], ["row", "n_words", "n_removed", "text", "removed"])
 
     answers = (
         dealt.groupBy("block").applyInArrow(values, _ddl(_VALUES))
         .groupBy("bucket").applyInArrow(marks, _ddl(_MARKS)))
-    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(judged, _JUDGED)
+    out = StructType([chosen.schema["row"], *StructType.fromDDL(_JUDGED)])
+    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(judged, out)
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WINDOW) -> DataFrame:
+    """The documents with all their columns, and what is left of their text."""
+    left = remove_repeats(docs, id_col, text_col, width)
+    return left.select(*(
+        F.col("text").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def block_of(blocks: int, *columns: str) -> Column:
