@@ -28,6 +28,7 @@ from slicesync.llm.batches import slices
 
 FED = 1 << 16
 SIGMA = 1.0
+APART = 4.0
 #: A container is the region if it holds at least this share of the content's text.
 SHARE = 0.75
 
@@ -156,7 +157,8 @@ def smoothed(values: list[float], sigma: float = SIGMA) -> list[float]:
 
 
 def threshold(values: list[float]) -> float:
-    """The cut between two clusters of the logarithms of the values (two means)."""
+    """The cut between two clusters of the logarithms of the values (two means); below all
+    of them if the clusters' means are not ``APART`` times each other, as there is but one."""
     logs = [math.log1p(v) for v in values]
     low, high = min(logs), max(logs)
     for _ in range(32):
@@ -168,7 +170,7 @@ def threshold(values: list[float]) -> float:
         if means == (low, high):
             break
         low, high = means
-    return math.expm1((low + high) / 2)
+    return math.expm1((low + high) / 2) if high - low > math.log(APART) else 0.0
 
 
 def main_text(html: str) -> str:
