@@ -42,6 +42,7 @@ ROWS = 2
 AGREE = 0.42
 #: Members of a bucket that one task compares at once.
 CHUNK = 4096
+SMALL = 64
 SIGNED = (
     "doc_id long, text_hash long, n_shingles long, digest binary, first array<long>, "
     "second array<long>, sketch binary")
@@ -170,35 +171,64 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -
     return joined.select("a", "b", "left", "right").mapInArrow(confirm, "a long, b long")
 
 
+def _compared(group: pa.Table, agree: float, every: bool) -> np.ndarray:
+    """Pairs of different components of one bucket that agree: all of them, or in a bucket of
+    more than ``SMALL`` members each one's nearest."""
+    cls, part = group.column("cls").to_numpy(), group.column("component").to_numpy()
+    sketch = _sketches(group.column("sketch").combine_chunks())
+    own = np.flatnonzero(group.column("own").to_numpy())
+    outside = np.flatnonzero(group.column("outside").to_numpy())
+    least, found = agree * sketch.shape[1], [np.zeros((2, 0), np.int64)]
+    for low in range(0, len(outside) if len(own) else 0, 64):
+        probe = outside[low : low + 64]
+        same = np.zeros((len(probe), len(own)), np.int32)
+        for place in range(sketch.shape[1]):
+            same += sketch[probe, place][:, None] == sketch[own, place][None, :]
+        same[part[probe][:, None] == part[own][None, :]] = -1
+        if every or len(cls) <= SMALL:
+            x, y = np.nonzero(same >= least)
+        else:
+            y = same.argmax(axis=1)
+            x = np.flatnonzero(same[np.arange(len(probe)), y] >= least)
+            y = y[x]
+        found.append(np.stack([cls[probe[x]], cls[own[y]]]))
+    return np.concatenate(found, axis=1)
+
+
 def _proposals(members: DataFrame, agree: float, every: bool) -> DataFrame:
-    """Pairs of different components within a bucket: each member outside the bucket's main
-    component with its nearest, or with all that agree. Only pairs that agree leave a task."""
-
-    def propose(table: pa.Table) -> pa.Table:
-        cls, part = table.column("cls").to_numpy(), table.column("component").to_numpy()
-        sketch = _sketches(table.column("sketch"))
-        own = np.flatnonzero(table.column("own").to_numpy())
-        outside = np.flatnonzero(table.column("outside").to_numpy())
-        least, found = agree * sketch.shape[1], [np.zeros((2, 0), np.int64)]
-        for low in range(0, len(outside), 64):
-            probe = outside[low : low + 64]
-            same = np.zeros((len(probe), len(own)), np.int32)
-            for place in range(sketch.shape[1]):
-                same += sketch[probe, place][:, None] == sketch[own, place][None, :]
-            same[part[probe][:, None] == part[own][None, :]] = -1
-            if every:
-                x, y = np.nonzero(same >= least)
-            elif len(own):
-                y = same.argmax(axis=1)
-                x = np.flatnonzero(same[np.arange(len(probe)), y] >= least)
-                y = y[x]
-            else:
-                continue
-            found.append(np.stack([cls[probe[x]], cls[own[y]]]))
-        pairs = np.concatenate(found, axis=1)
-        return pa.table({"a": pairs.min(axis=0), "b": pairs.max(axis=0)})
-
-    return members.groupBy("key", "chunk").applyInArrow(propose, "a long, b long").distinct()
+    """Pairs of different components that share a bucket and agree; only those leave a task."""
+
+    def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches):
+            pairs = _compared(group, agree, every)
+            if pairs.shape[1]:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(pairs.min(axis=0)), pa.array(pairs.max(axis=0))], ["a", "b"])
+
+    tasks = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = members.repartition(tasks, "key", "chunk").sortWithinPartitions("key", "chunk")
+    return dealt.mapInArrow(propose, "a long, b long").distinct()
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Runs of rows of one bucket and chunk; at most one run and one batch are held."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        key, chunk = batch.column("key").to_numpy(), batch.column("chunk").to_numpy()
+        cuts = np.flatnonzero((key[1:] != key[:-1]) | (chunk[1:] != chunk[:-1])) + 1
+        bounds = [0, *cuts.tolist(), batch.num_rows]
+        for low, high in zip(bounds[:-1], bounds[1:]):
+            if held and low == 0 and high and (key[0], chunk[0]) != (
+                held[-1].column("key")[0].as_py(), held[-1].column("chunk")[0].as_py()):
+                yield pa.Table.from_batches(held)
+                held = []
+            if low:
+                yield pa.Table.from_batches(held)
+                held = []
+            if high > low:
+                held.append(batch.slice(low, high - low))
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 def _unsettled(met: DataFrame, names: DataFrame, classes: DataFrame) -> DataFrame:
@@ -238,8 +268,13 @@ def near_duplicates(
         grouped.select("digest", "row.*", "first", "second", "sketch",
                        F.monotonically_increasing_id().alias("cls")), "classes")
     keys = _table_keys(classes)
-    centres = keys.groupBy("key").agg(F.min("cls").alias("centre"), F.count("*").alias("n")).where("n > 1")
-    met = stage(keys.join(centres.drop("n"), "key"), "met")
+    # Buckets of the same members, as similar documents fill them in table after table, are
+    # one bucket: members are told by their number, ends and two 64-bit hashes.
+    buckets = keys.groupBy("key").agg(
+        F.min("cls").alias("centre"), F.max("cls").alias("last"), F.count("*").alias("n"),
+        F.bit_xor(F.xxhash64("cls")).alias("x"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("y")).where("n > 1")
+    buckets = buckets.groupBy("centre", "last", "n", "x", "y").agg(F.min("key").alias("key"))
+    met = stage(keys.join(buckets.select("key", "centre"), "key"), "met")
     texts = stage(_texts(chosen, classes.join(met.select("cls").distinct(), "cls", "left_semi")), "texts")
     tried = stage(_agreeing(
         met.where("cls <> centre").select(F.col("centre").alias("a"), F.col("cls").alias("b")).distinct(),
@@ -257,7 +292,7 @@ def near_duplicates(
             names = components(links)
         if every:
             break
-        every = not linked
+        every = not linked  # the last pass, when nearer ones link no more
     return _labelled(signed, classes, names)
 
 
