@@ -3,7 +3,8 @@
 Texts become pieces of at most ``capacity`` tokens; a longer text's first piece takes the
 remainder and the others are full. In each round every task packs its items best-fit,
 largest first, and emits the bins that are nearly full. Bins with room are items of the
-next round, in fewer tasks: a tree of merges. A task gets a bounded number of items
+next round, in fewer tasks: a tree of merges. Items are dealt by a hash, so that a source
+with its own lengths doesn't fill a task alone. A task gets a bounded number of items
 (``task_items``), however many remain; when only one task is left, or a round on several
 tasks closes next to no bin, what remains is emitted as it is.
 
@@ -90,7 +91,7 @@ def best_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def _round(items: DataFrame, tasks: int | None, level: int, capacity: int) -> DataFrame:
+def _round(items: DataFrame, tasks: int, level: int, capacity: int) -> DataFrame:
     """One round: items regrouped into ``tasks`` tasks and packed in each of them."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,10 +105,9 @@ def _round(items: DataFrame, tasks: int | None, level: int, capacity: int) -> Da
         if held:
             yield from _packed(held, known + count, capacity)
 
-    if tasks:
-        # Which bins meet changes from round to round; the hash makes it repeatable.
-        items = items.repartition(tasks, F.xxhash64("bin", F.lit(level)))
-    return items.mapInArrow(pack, BINS)
+    # Dealt by a hash, so that each task has all sizes, whatever the order of the input;
+    # which bins meet changes from round to round.
+    return items.repartition(tasks, F.xxhash64("bin", F.lit(level))).mapInArrow(pack, BINS)
 
 
 def _packed(held: list[pa.RecordBatch], first: int, capacity: int) -> Iterator[pa.RecordBatch]:
@@ -139,20 +139,19 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, slack: int = SLACK) -> Dat
     rounds: list[DataFrame] = []
     # Pieces that fill a sequence alone are done; the rest goes round.
     full = pieces.where(F.col("length") >= capacity - slack)
-    left, level, tasks, before = items.where(F.col("size") < capacity - slack), 0, None, None
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    left = items.where(F.col("size") < capacity - slack)
+    level, tasks, before = 0, left.count() // TASK_ITEMS + 1, None
     while True:
         bins = stage(_round(left, tasks, level, capacity), f"bins-{level}")
         room = F.col("size") < capacity - slack
         count, open_bins = bins.agg(F.count("*"), F.count_if(room)).first()
         merges = -(-open_bins // TASK_ITEMS)
-        width = max(1, merges, -(-width // FAN_IN))
         stuck = before is not None and merges > 1 and count > 0.999 * before
         if tasks == 1 or open_bins <= 1 or stuck:
             rounds.append(bins)
             break
         rounds.append(bins.where(~room))
-        left, level, tasks, before = bins.where(room), level + 1, width, open_bins
+        left, level, tasks, before = bins.where(room), level + 1, max(merges, -(-tasks // FAN_IN)), open_bins
     packed = rounds[0]
     for more in rounds[1:]:
         packed = packed.unionAll(more)

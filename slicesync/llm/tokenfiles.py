@@ -56,8 +56,23 @@ class _Writer:
         self.docs, self.tokens, self.first, self.last = 0, 0, None, None
 
     def add(self, doc_ids: pa.Array, ids: np.ndarray, offsets: np.ndarray) -> None:
-        if self.out is None:
-            self._open()
+        """Documents in order; a row group and a file end with the document that fills them."""
+        first = 0
+        while first < len(doc_ids):
+            if self.out is None:
+                self._open()
+            room = min(self.file_tokens - self.tokens, self.group_tokens - self.held_tokens)
+            last = min(int(np.searchsorted(offsets, offsets[first] + room)), len(doc_ids))
+            last = max(last, first + 1)
+            self._hold(doc_ids.slice(first, last - first), ids[offsets[first] : offsets[last]],
+                       offsets[first : last + 1] - offsets[first])
+            first = last
+            if self.held_tokens >= self.group_tokens:
+                self._flush()
+            if self.tokens >= self.file_tokens:
+                self.close()
+
+    def _hold(self, doc_ids: pa.Array, ids: np.ndarray, offsets: np.ndarray) -> None:
         counts, n = np.diff(offsets), len(doc_ids)
         table = pa.Table.from_arrays([
             doc_ids.cast(pa.int64()), pa.array(np.full(n, self.shard, np.int32)),
@@ -70,10 +85,6 @@ class _Writer:
         self.last = known[-1] if known else self.last
         self.docs, self.tokens = self.docs + n, self.tokens + int(offsets[-1])
         self.held, self.held_tokens = [*self.held, table], self.held_tokens + int(offsets[-1])
-        if self.held_tokens >= self.group_tokens:
-            self._flush()
-        if self.tokens >= self.file_tokens:
-            self.close()
 
     def _flush(self) -> None:
         if self.held:
