@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-NULL_MARK = "<null>"
 HASH_METHODS = ("xxhash64", "md5")
 
 # The unsigned sum is kept in three lanes of plain long additions (22 bits
@@ -21,35 +20,61 @@ _LANE_BITS = 22
 _LANE_MASK = (1 << _LANE_BITS) - 1
 
 
-def _portable_text(field: T.StructField) -> Column:
-    """Text of a value that other SQL engines produce too."""
+def _as_json(column: Column) -> Column:
+    """Nested values as text in which NULLs stay where they are."""
+    return F.to_json(column, {"ignoreNullFields": "false"})
+
+
+def _portable_text(field: T.StructField, scale: int | None) -> Column:
+    """Framed text of a value that other SQL engines produce too.
+
+    The length comes before the text, and NULL has no length, so no value can
+    pass for another or for the end of its neighbour.
+    """
     column = F.col(f"`{field.name}`")
     if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
-        column = column.cast("decimal(28,6)")
+        if scale is None:
+            raise ValueError(f"column {field.name!r} is binary floating point; name a scale")
+        column = column.cast(f"decimal(38,{scale})")
     elif isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
-        column = F.to_json(column)
-    return F.coalesce(column.cast("string"), F.lit(NULL_MARK))
+        column = _as_json(column)
+    text = column.cast("string")
+    framed = F.concat(F.char_length(text).cast("string"), F.lit(":"), text)
+    return F.coalesce(framed, F.lit("N"))
 
 
 def _hashable(field: T.StructField) -> list[Column]:
     """Inputs of xxhash64 for one column; it skips NULLs, so they get a flag."""
     column = F.col(f"`{field.name}`")
-    if isinstance(field.dataType, (T.MapType, T.VariantType)):
-        column = F.to_json(column)
+    if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType, T.VariantType)):
+        column = _as_json(column)
     return [column, column.isNull()] if field.nullable else [column]
 
 
-def row_hash(df: DataFrame, columns: list[str] | None = None, method: str = "xxhash64") -> Column:
-    """A 64-bit hash of the row: ``xxhash64`` (fast) or ``md5`` (portable, 60 bits)."""
+def row_hash(
+    df: DataFrame, columns: list[str] | None = None, method: str = "xxhash64",
+    scale: int | None = None,
+) -> Column:
+    """A 64-bit hash of the row: ``xxhash64`` (fast) or ``md5`` (portable).
+
+    ``md5`` needs the decimal ``scale`` at which binary floating point values
+    count as equal; ``xxhash64`` takes them bit by bit.
+    """
     fields = [df.schema[name] for name in (columns or df.columns)]
     if method == "xxhash64":
         return F.xxhash64(*[part for field in fields for part in _hashable(field)])
     if method == "md5":
-        text = F.concat_ws("|", *[_portable_text(field) for field in fields])
-        return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+        text = F.concat(*[_portable_text(field, scale) for field in fields])
+        return F.conv(F.substring(F.md5(text), 1, 16), 16, -10).cast("long")
     raise ValueError(f"unknown hash method {method!r}; use one of {HASH_METHODS}")
 
 
+def made_by(df: DataFrame, method: str = "xxhash64", scale: int | None = None) -> str:
+    """How a hash of ``df`` is made: equal texts mean comparable fingerprints."""
+    columns = ",".join(f"{f.name}:{f.dataType.simpleString()}{'?' if f.nullable else ''}" for f in df.schema)
+    return f"{method}({columns})" if scale is None else f"{method}/{scale}({columns})"
+
+
 def fingerprint_aggregates(hash_column: str = "_row_hash") -> list[Column]:
     """Aggregates over the row hash; finish with :func:`finish_fingerprint`."""
     value = F.col(hash_column)

@@ -21,6 +21,7 @@ def fingerprint(
     keys: Sequence[str] = (),
     columns: list[str] | None = None,
     method: str = "xxhash64",
+    scale: int | None = None,
 ) -> DataFrame:
     """Count, XOR and sum of row hashes per combination of ``keys``.
 
@@ -28,7 +29,7 @@ def fingerprint(
     a slice that holds most rows costs no more than any other.
     """
     # The hash is projected first: each aggregate would compute it again.
-    hashed = df.select(*keys, row_hash(df, columns, method).alias("_row_hash"))
+    hashed = df.select(*keys, row_hash(df, columns, method, scale).alias("_row_hash"))
     grouped = hashed.groupBy(*keys) if keys else hashed.groupBy()
     return finish_fingerprint(grouped.agg(*fingerprint_aggregates()))
 

@@ -9,10 +9,6 @@ from pyspark.sql import functions as F
 
 from slicesync.session import local_rows
 
-# Above this many key values a literal list gives way to a join.
-MAX_LITERAL_KEYS = 1000
-
-
 def _keys_of(df: DataFrame, slices: DataFrame, keys: Sequence[str], names: Sequence[str]):
     wanted = slices.select(*[F.col(n).alias(f"_k{i}") for i, n in enumerate(names)]).distinct()
     condition = None
@@ -41,20 +37,18 @@ def drop_slices(
 def restrict(df: DataFrame, column: str, values: Sequence) -> DataFrame:
     """Rows with one of the given values, which may be given as text.
 
-    Few values become literals of the column's type, which prune partitions
-    and row groups; many go through a semi join.
+    A semi join on typed keys, however many they are; their range stands beside
+    it as a bare filter, which prunes partitions and row groups.
     """
     kind = df.schema[column].dataType
-    if len(values) > MAX_LITERAL_KEYS:
-        texts = [(None if value is None else str(value),) for value in values]
-        wanted = local_rows(df.sparkSession, texts, "_value string")
-        typed = wanted.select(F.col("_value").cast(kind).alias("_value"))
-        return keep_slices(df, typed, [column], ["_value"])
-    known = [F.lit(value).cast(kind) for value in values if value is not None]
-    condition = F.col(column).isin(known) if known else F.lit(False)
-    if len(known) < len(values):
-        condition = condition | F.col(column).isNull()
-    return df.where(condition)
+    texts = [(None if value is None else str(value),) for value in values]
+    wanted = local_rows(df.sparkSession, texts, "_value string")
+    typed = wanted.select(F.col("_value").cast(kind).alias("_value"))
+    low, high = typed.agg(F.min("_value"), F.max("_value")).first()
+    condition = F.col(column).isNull() if (None,) in texts else F.lit(False)
+    if low is not None:
+        condition = condition | F.col(column).between(F.lit(low).cast(kind), F.lit(high).cast(kind))
+    return keep_slices(df.where(condition), typed, [column], ["_value"])
 
 
 def replace_slices(

@@ -55,7 +55,6 @@ def run_differential_sync(
     mutable_months: int = 0,
     as_of: datetime | None = None,
     job_id: str = "",
-    method: str = "xxhash64",
 ) -> DiffSyncStats:
     """Bring ``target`` to the state of ``source`` within the source's scope.
 
@@ -63,24 +62,30 @@ def run_differential_sync(
     values that it does not hold are out of scope and stay in the target.
     Fingerprints are taken before the rows are read and stored after the rows
     are committed, so a failure or a concurrent change is seen again next time.
+    Stored fingerprints that were made in another way, or given up by a run in
+    another mode, say nothing: then every level-1 value of the source counts as
+    new, whatever the window.
     Level-1 values and statuses pass through the driver, as partition values
     do in any partitioned write; slices and rows do not.
     """
     if target.partition_by != level1.lower():
         raise ValueError(f"the target must be partitioned by {level1}")
     if isinstance(source, DataFrame):
-        source = FrameSource(source, level1, level2, method)
+        source = FrameSource(source, level1, level2)
     level1, level2 = level1.lower(), level2.lower()
     stats = DiffSyncStats(table_name, country)
     stored1 = store.find(country, table_name, "period")
     stats.is_first_sync = stored1 is None or not target.exists()
     if stats.is_first_sync:
-        return _first_sync(source, target, store, stats, job_id)
+        return full_sync(source, target, store, stats, job_id)
 
-    stored1 = stored1.select("level1_value", *MEASURES)
+    known = store.known(country, table_name, "period", source.made_by)
+    stored1 = stored1.where(F.lit(known)).select("level1_value", *MEASURES)
     status1 = classify(source.level1_prints(), stored1, ["level1_value"])
     cutoff = (
-        period_int(shift_months(as_of or now_utc(), -mutable_months)) if mutable_months else 0
+        period_int(shift_months(as_of or now_utc(), -mutable_months))
+        if mutable_months and known
+        else 0
     )
     status1 = stage(in_mutable_window(status1, cutoff), "level1-status")
     counted = sync_stats(status1).first()
@@ -100,12 +105,14 @@ def run_differential_sync(
     if not opened:
         stats.rows_skipped = all_rows
         if stats.deleted_level1:
-            store.save(_level1_to_store(status1), country, table_name, "period", job_id)
+            store.save(_level1_to_store(status1), country, table_name, "period", job_id,
+                       made_by=source.made_by)
         return stats
 
     values = list(opened)
     now2 = stage(source.level2_prints(values), "level2-now")
-    stored2 = store.load(country, table_name, "product", values).select(*SLICE, *MEASURES)
+    stored2 = store.load(country, table_name, "product", values, source.made_by)
+    stored2 = stored2.where(F.lit(known)).select(*SLICE, *MEASURES)
     slices = stage(slices_to_sync(open1, classify(now2, stored2, SLICE)), "slices")
     per_part = slices.groupBy("level1_value").agg(
         F.count(F.lit(1)), F.coalesce(F.sum("row_count"), F.lit(0))
@@ -122,25 +129,33 @@ def run_differential_sync(
         old = target.read(parts=[part for part in parts if part not in new_values])
         kept = drop_slices(keyed(old, level1, level2), slices, SLICE).drop(*SLICE)
         rows = kept.unionByName(align_columns(fresh, kept.schema))
+        store.forget(country, table_name, ("window",))
         stats.version = target.replace_parts(
             rows, parts, operation="differential", job_id=job_id
         )
-    store.save(now2, country, table_name, "product", job_id, level1_values=values)
-    store.save(_level1_to_store(status1), country, table_name, "period", job_id)
+    store.save(now2, country, table_name, "product", job_id, level1_values=values,
+               made_by=source.made_by)
+    store.save(_level1_to_store(status1), country, table_name, "period", job_id,
+               made_by=source.made_by)
     return stats
 
 
-def _first_sync(source, target, store, stats: DiffSyncStats, job_id: str) -> DiffSyncStats:
-    """One scan to fingerprint all slices, one to write; level 1 is rolled up."""
+def full_sync(source, target, store, stats: DiffSyncStats, job_id: str) -> DiffSyncStats:
+    """One scan to fingerprint all slices, one to write; level 1 is rolled up.
+
+    What was stored is given up before the target changes, so a failure
+    between the two leaves fingerprints that are unknown, never wrong ones.
+    """
     now2 = stage(source.level2_prints(), "level2-now")
     now1 = roll_up(now2)
     totals = now1.agg(F.count(F.lit(1)), F.coalesce(F.sum("row_count"), F.lit(0))).first()
     stats.total_level1_values = stats.new_level1 = totals[0]
     stats.total_changed_pairs = now2.count()
     stats.rows_downloaded = totals[1]
+    store.forget(stats.country, stats.table_name)
     stats.version = target.overwrite(source.all_rows(), operation="full", job_id=job_id)
-    store.save(now2, stats.country, stats.table_name, "product", job_id)
-    store.save(now1, stats.country, stats.table_name, "period", job_id)
+    store.save(now2, stats.country, stats.table_name, "product", job_id, made_by=source.made_by)
+    store.save(now1, stats.country, stats.table_name, "period", job_id, made_by=source.made_by)
     return stats
 
 

@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from slicesync.functions import periods as P
 from slicesync.functions.columns import lower_case_names
-from slicesync.plans.differential import run_differential_sync
+from slicesync.plans.differential import DiffSyncStats, full_sync, run_differential_sync
 from slicesync.plans.fingerprints import FingerprintStore
 from slicesync.plans.incremental import run_incremental_sync
+from slicesync.plans.slice_source import FrameSource
 from slicesync.sources.tables import row_cap
 from slicesync.sources.versions import VersionedTable
 
@@ -140,7 +141,9 @@ def synchronise(
 ) -> dict:
     """Run one table in the mode its configuration asks for; returns what was done.
 
-    A full run of no rows writes an empty table unless ``keep_when_empty``.
+    A full run of no rows writes an empty table unless ``keep_when_empty``. A
+    forced full run leaves the fingerprints of what it wrote, so that the
+    configured mode goes on from there.
     """
     mode = choose_mode(force_full, differential, incremental)
     if mode == "differential":
@@ -158,5 +161,16 @@ def synchronise(
                 "version": result.version}
     if keep_when_empty and target.exists() and source.isEmpty():
         return {"mode": mode, "rows": 0, "version": None}
+    if differential:
+        slices = FrameSource(source, differential["level1"], differential["level2"])
+        stats = full_sync(slices, target, store, DiffSyncStats(table_name, country), job_id)
+        return {"mode": mode, "rows": stats.rows_downloaded, "version": stats.version}
+    if incremental:
+        result = run_incremental_sync(
+            source, target, store, country=country, table_name=table_name,
+            as_of=as_of, job_id=job_id, force_full=True, **incremental,
+        )
+        return {"mode": mode, "rows": result.rows_new, "version": result.version}
+    store.forget(country, table_name)
     version = target.overwrite(source, operation="full", job_id=job_id)
     return {"mode": mode, "rows": target.rows_written(version), "version": version}

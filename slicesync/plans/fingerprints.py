@@ -15,16 +15,22 @@ from slicesync.sources.versions import VersionedTable
 COLUMNS = (
     "country string, table_name string, level string, level1_value string, "
     "level2_value string, row_count long, checksum_xor long, checksum_sum decimal(38,0), "
-    "synced_at timestamp_ntz, job_id string"
+    "synced_at timestamp_ntz, job_id string, made_by string"
 )
 LEVELS = ("period", "product", "window")
 
 
+# In place of a method: the target was written by a run that took no fingerprints.
+UNKNOWN = "unknown"
+
+
 class FingerprintStore:
     """Fingerprints below ``root``, one table per country, source table and level.
 
     A table holds one row per slice and is written anew when it changes: that
-    is little next to the scan of the source that every sync needs.
+    is little next to the scan of the source that every sync needs. Rows say by
+    which method and over which columns they were made; fingerprints made in
+    another way cannot be compared, so they count as unknown.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -43,12 +49,30 @@ class FingerprintStore:
         except LookupError:
             return None
 
+    def known(self, country: str, table_name: str, level: str, made_by: str) -> bool:
+        """False if what is stored was made in another way, or given up by ``forget``."""
+        rows = self.find(country, table_name, level)
+        return rows is not None and rows.where(F.col("made_by") != made_by).isEmpty()
+
+    def forget(self, country: str, table_name: str, levels: tuple[str, ...] = LEVELS) -> None:
+        """Give up the fingerprints of a target that is about to be written in another mode."""
+        for level in levels:
+            rows = self.find(country, table_name, level)
+            if rows is not None and self.known(country, table_name, level, UNKNOWN) is False:
+                mark = local_rows(self.spark, [(None, 0, 0)], "level1_value string, row_count long, "
+                                  "checksum_xor long").withColumn("checksum_sum", F.lit(0))
+                self.save(mark, country, table_name, level, made_by=UNKNOWN)
+
     def load(
-        self, country: str, table_name: str, level: str, level1_values: list | None = None
+        self, country: str, table_name: str, level: str, level1_values: list | None = None,
+        made_by: str | None = None,
     ) -> DataFrame:
+        """Stored fingerprints, without those made in another way than ``made_by``."""
         rows = self.find(country, table_name, level)
         if rows is None:
             return self.spark.createDataFrame([], COLUMNS)
+        wanted = F.col("made_by") != UNKNOWN if made_by is None else F.col("made_by") == made_by
+        rows = rows.where(wanted)
         if level1_values is None:
             return rows
         return keep_slices(rows, self._values(level1_values), ["level1_value"])
@@ -62,6 +86,7 @@ class FingerprintStore:
         job_id: str = "",
         level1_values: list | None = None,
         synced_at: datetime | None = None,
+        made_by: str = "",
     ) -> int:
         """Replace the scope: the whole level, or the given level-1 values of it."""
         inner = F.col("level2_value") if "level2_value" in prints.columns else F.lit(None)
@@ -76,10 +101,12 @@ class FingerprintStore:
             F.col("checksum_sum").cast("decimal(38,0)").alias("checksum_sum"),
             moment_literal(synced_at or now_utc()).alias("synced_at"),
             F.lit(job_id).alias("job_id"),
+            F.lit(made_by).alias("made_by"),
         )
         table = self.table(country, table_name, level)
         if level1_values is not None and table.exists():
-            others = drop_slices(table.read(), self._values(level1_values), ["level1_value"])
+            others = table.read().where(F.col("made_by") == made_by)
+            others = drop_slices(others, self._values(level1_values), ["level1_value"])
             rows = others.unionByName(rows)
         # Sorted files let a load skip the level-1 values it does not want.
         return table.overwrite(

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slicesync.functions.columns import lower_case_names
+from slicesync.functions.hashing import made_by
 from slicesync.functions.periods import moment_literal, now_utc, shift_months
 from slicesync.operators.fingerprint import window_fingerprint
 from slicesync.plans.fingerprints import FingerprintStore
@@ -16,6 +17,8 @@ from slicesync.session import stage
 from slicesync.sources.versions import VersionedTable
 
 WINDOW_KEY = "mutable_window"
+# Fingerprints of the differential mode, which a write in this one outdates.
+SLICE_LEVELS = ("period", "product")
 
 
 def watermark(target: DataFrame, key: str) -> DataFrame:
@@ -62,10 +65,11 @@ def run_incremental_sync(
     mutable_months: int = 0,
     as_of: datetime | None = None,
     job_id: str = "",
-    method: str = "xxhash64",
+    force_full: bool = False,
 ) -> IncrementalStats:
     """Append rows whose key exceeds the target's, and replace a changed window.
 
+    ``force_full`` writes the whole source instead, as a first run does.
     The window's boundary is one value for the rows removed and the rows read.
     A row that arrives late, with a key below the watermark and a date before
     the window, is not found; use the differential sync where that happens.
@@ -74,14 +78,16 @@ def run_incremental_sync(
     key = key.lower()
     date_column = date_column.lower() if date_column else None
     stats = IncrementalStats(table_name)
-    max_key = watermark(target.read(), key).first()[0] if target.exists() else None
+    max_key = None
+    if target.exists() and not force_full:
+        max_key = watermark(target.read(), key).first()[0]
     windowed = bool(mutable_months and date_column)
     boundary = shift_months(as_of or now_utc(), -mutable_months) if windowed else None
-    now = None
+    now, how = None, made_by(source)
     if windowed:
         window = in_window(source, date_column, boundary)
         now = stage(
-            window_fingerprint(window, method=method).withColumn(
+            window_fingerprint(window).withColumn(
                 "level1_value", F.lit(WINDOW_KEY)
             ),
             "window",
@@ -89,15 +95,17 @@ def run_incremental_sync(
 
     if max_key is None:
         stats.mode = "full"
+        store.forget(country, table_name)
         stats.version = target.overwrite(source, operation="full", job_id=job_id)
         stats.rows_new = target.rows_written(stats.version)
         if windowed:
-            store.save(now, country, table_name, "window", job_id)
+            store.save(now, country, table_name, "window", job_id, made_by=how)
         return stats
 
     fresh = beyond(source, key, max_key, date_column, boundary)
-    if windowed and not _same(now, store.load(country, table_name, "window")):
+    if windowed and not _same(now, store.load(country, table_name, "window", made_by=how)):
         stats.mode = "window"
+        store.forget(country, table_name, SLICE_LEVELS)
         stats.rows_window = now.first()["row_count"]
         stats.rows_new = fresh.count()
         # The window is one commit with the appended rows, so no reader ever
@@ -105,9 +113,10 @@ def run_incremental_sync(
         stats.version = _replace_window(
             target, fresh.unionByName(window), date_column, boundary, job_id
         )
-        store.save(now, country, table_name, "window", job_id)
+        store.save(now, country, table_name, "window", job_id, made_by=how)
     elif not fresh.isEmpty():
         stats.mode = "append"
+        store.forget(country, table_name, SLICE_LEVELS)
         stats.version = target.append(fresh, operation="incremental", job_id=job_id)
         stats.rows_new = target.rows_written(stats.version)
     return stats

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slicesync.functions.columns import lower_case_names
+from slicesync.functions.hashing import made_by
 from slicesync.operators.fingerprint import fingerprint, level1_fingerprint
 from slicesync.operators.slices import keep_slices, restrict
 from slicesync.sources import jdbc
@@ -15,9 +16,8 @@ from slicesync.sources import jdbc
 SLICE = ["level1_value", "level2_value"]
 MEASURES = ["row_count", "checksum_xor", "checksum_sum"]
 
-# Beyond this many changed slices a database is asked for whole level-1 values
-# and the slices are picked out here.
-MAX_SLICE_PREDICATES = 10_000
+# Tasks that read one changed level-1 value, so that a large one is not read by one alone.
+LEVEL2_BUCKETS = 8
 
 
 def keyed(df: DataFrame, level1: str, level2: str) -> DataFrame:
@@ -33,20 +33,20 @@ def keyed(df: DataFrame, level1: str, level2: str) -> DataFrame:
 class FrameSource:
     """Slices of a DataFrame: files, a lake table, or any extraction of them."""
 
-    def __init__(self, df: DataFrame, level1: str, level2: str, method: str = "xxhash64"):
+    def __init__(self, df: DataFrame, level1: str, level2: str):
         self.df = lower_case_names(df)
         self.level1, self.level2 = level1.lower(), level2.lower()
-        self.method = method
+        self.made_by = made_by(self.df)
 
     def level1_prints(self) -> DataFrame:
-        prints = level1_fingerprint(self.df, self.level1, method=self.method)
+        prints = level1_fingerprint(self.df, self.level1)
         return prints.withColumn("level1_value", F.col("level1_value").cast("string"))
 
     def level2_prints(self, values: list | None = None) -> DataFrame:
         """All slices, or those of some level-1 values, in one pass."""
         rows = self.df if values is None else restrict(self.df, self.level1, values)
         return fingerprint(
-            keyed(rows, self.level1, self.level2), SLICE, self.df.columns, self.method
+            keyed(rows, self.level1, self.level2), SLICE, self.df.columns
         )
 
     def all_rows(self) -> DataFrame:
@@ -76,13 +76,15 @@ class DatabaseSource:
         row_hash: str = "CHECKSUM(*)",
         xor: str = "CHECKSUM_AGG",
         hash_sum: str = "SUM(CAST(CHECKSUM(*) AS BIGINT))",
-        max_slices: int = MAX_SLICE_PREDICATES,
+        bucket_hash: str = "ABS(CAST(CHECKSUM({}) AS BIGINT))",
+        buckets: int = LEVEL2_BUCKETS,
     ):
         self.relation = relation
         self.level1, self.level2 = level1.lower(), level2.lower()
         self.run, self.read, self.read_all = run, read, read_all
         self.row_hash, self.xor, self.hash_sum = row_hash, xor, hash_sum
-        self.max_slices = max_slices
+        self.bucket_hash, self.buckets = bucket_hash, buckets
+        self.made_by = f"{row_hash} {xor} {hash_sum}"
 
     @classmethod
     def over_jdbc(
@@ -125,12 +127,12 @@ class DatabaseSource:
         return jdbc.slice_predicates(self.level1, self.level2, {value: None for value in values})
 
     def slice_rows(self, slices: DataFrame, values: list) -> DataFrame:
-        chosen = [tuple(row) for row in slices.select(*SLICE).limit(self.max_slices + 1).collect()]
-        if len(chosen) <= self.max_slices:
-            by_level1: dict[object, list] = {}
-            for outer, inner in chosen:
-                by_level1.setdefault(outer, []).append(inner)
-            predicates = jdbc.slice_predicates(self.level1, self.level2, by_level1)
-            return lower_case_names(self.read(predicates))
-        rows = lower_case_names(self.read(self._level1_predicates(values)))
+        """Rows of the changed level-1 values, a task for each value and bucket of level 2;
+        the slices among them are picked by a semi join, however many they are."""
+        predicates = [
+            f"({value}) AND ({bucket})"
+            for value in self._level1_predicates(values)
+            for bucket in jdbc.bucket_predicates(self.bucket_hash.format(self.level2), self.buckets)
+        ]
+        rows = lower_case_names(self.read(predicates))
         return keep_slices(keyed(rows, self.level1, self.level2), slices, SLICE).drop(*SLICE)

@@ -59,6 +59,10 @@ class TagRegistry:
     def get(self, table_name: str, tag: str) -> DataFrame:
         return filtered(self.read(), {"table_name": table_name, "tag": tag})
 
+    def of(self, table_name: str) -> DataFrame:
+        """All tags of a table; ``list`` shows a page of them."""
+        return filtered(self.read(), {"table_name": table_name})
+
     def list(
         self, table_name: str | None = None, tag: str | None = None, limit: int = 50,
         offset: int = 0,

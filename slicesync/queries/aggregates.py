@@ -21,6 +21,7 @@ from slicesync.queries.shared import (
     DIFF_CTE,
     JOBS_CTE,
     PURCHASES_CTE,
+    SCALE,
     QUEUE_CTE,
     current_purchases,
     customers_with_nation,
@@ -29,6 +30,7 @@ from slicesync.queries.shared import (
     prints_sql,
     previous_purchases,
     purchases,
+    region_names,
     queue_events,
     table,
 )
@@ -48,7 +50,7 @@ def _texted(prints):
     """,
 )
 def agg1(spark, sf_dir):
-    return _texted(G.level1_fingerprint(purchases(spark, sf_dir), "period", method="md5"))
+    return _texted(G.level1_fingerprint(purchases(spark, sf_dir), "period", method="md5", scale=SCALE))
 
 
 @query(
@@ -61,7 +63,7 @@ def agg1(spark, sf_dir):
 )
 def agg2(spark, sf_dir):
     rows = purchases(spark, sf_dir)
-    return _texted(G.level2_fingerprint(rows, "period", "l_suppkey", method="md5"))
+    return _texted(G.level2_fingerprint(rows, "period", "l_suppkey", method="md5", scale=SCALE))
 
 
 @query(
@@ -74,7 +76,7 @@ def agg2(spark, sf_dir):
 )
 def agg3(spark, sf_dir):
     window = purchases(spark, sf_dir).where(since_days("l_shipdate", AS_OF_PURCHASES, 90))
-    return _texted(G.window_fingerprint(window, method="md5"))
+    return _texted(G.window_fingerprint(window, method="md5", scale=SCALE))
 
 
 @query("agg4_watermark", "SELECT max(o_orderkey) AS max_key FROM orders")
@@ -362,7 +364,7 @@ def agg19(spark, sf_dir):
     WITH t AS (SELECT DISTINCT p_type AS table_name, r_name AS tenant, p_brand AS column_name
                FROM part JOIN lineitem ON l_partkey = p_partkey
                JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey
-               JOIN region ON n_regionkey = r_regionkey WHERE l_quantity >= 50),
+               JOIN region ON n_regionkey = r_regionkey),
     b AS (SELECT table_name, count(DISTINCT tenant) AS tenants FROM t GROUP BY 1),
     c AS (SELECT table_name, column_name, count(*) AS n,
                  string_agg(tenant, ',' ORDER BY tenant) AS tenants_with_column FROM t GROUP BY 1, 2)
@@ -373,7 +375,10 @@ def agg19(spark, sf_dir):
                            AND tenant NOT IN (SELECT tenant FROM t t3
                                               WHERE t3.table_name = c.table_name
                                               AND t3.column_name = c.column_name))), '')
-             AS tenants_without_column
+             AS tenants_without_column,
+           coalesce((SELECT string_agg(r_name, ',' ORDER BY r_name) FROM region WHERE r_name NOT IN (
+                       SELECT tenant FROM t t4 WHERE t4.table_name = c.table_name)), '')
+             AS tenants_without_table
     FROM c JOIN b ON c.table_name = b.table_name
     """,
 )
@@ -386,7 +391,7 @@ def agg20(spark, sf_dir):
         .select("s_suppkey", "r_name")
     )
     rows = (
-        table(spark, sf_dir, "lineitem").where("l_quantity >= 50")
+        table(spark, sf_dir, "lineitem")
         .join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
         .join(places, F.col("l_suppkey") == F.col("s_suppkey"))
         .select(
@@ -394,7 +399,24 @@ def agg20(spark, sf_dir):
             F.col("p_brand").alias("column_name"),
         )
     )
-    return Q.column_availability(rows, []).drop("tenants_without_table")
+    return Q.column_availability(rows, region_names(spark, sf_dir))
+
+
+@query(
+    "agg20_schema_availability",
+    """
+    SELECT 'place' AS table_name, column_name, 'tenant-specific' AS availability, 1 AS tenant_count,
+           tenant AS tenants_with_column,
+           (SELECT string_agg(t, ',' ORDER BY t) FROM (VALUES ('nation'), ('region')) v(t) WHERE t <> tenant)
+             AS tenants_without_column, 'supplier' AS tenants_without_table
+    FROM (VALUES ('nation', 'n_nationkey'), ('nation', 'n_name'), ('nation', 'n_regionkey'),
+                 ('region', 'r_regionkey'), ('region', 'r_name')) c(tenant, column_name)
+    """,
+)
+def agg20_schema(spark, sf_dir):
+    """Out of the columns that two tenants' tables really have; a third tenant has none."""
+    schemas = {("place", name): table(spark, sf_dir, name).columns for name in ("nation", "region")}
+    return Q.column_availability(Q.schema_rows(spark, schemas), ["nation", "region", "supplier"])
 
 
 @query(
@@ -445,14 +467,16 @@ def agg23(spark, sf_dir):
 
 
 def _panel_weights(spark, sf_dir):
-    """Every customer is a panel member in every period, weighted by balance."""
-    months = table(spark, sf_dir, "orders").select(period_of("o_orderdate").alias("period"))
-    span = months.distinct().select(F.collect_list("period").alias("periods"))
+    """A customer is a panel member in each period with an order or a shipment of one."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", period_of("o_orderdate").alias("period"))
+    shipped = table(spark, sf_dir, "lineitem").select("l_orderkey", period_of("l_shipdate").alias("period"))
+    seen = orders.select("period", "o_custkey").unionByName(
+        shipped.join(orders.drop("period"), F.col("l_orderkey") == F.col("o_orderkey")).select("period", "o_custkey"))
     members = table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("household"),
         (F.lit(1) + F.floor(F.abs("c_acctbal") / 1000)).cast("long").alias("weight"),
     )
-    return members.withColumn("period", F.explode(span.scalar())).select(
+    return seen.distinct().join(members, F.col("o_custkey") == F.col("household")).select(
         "period", "household", "weight"
     )
 
@@ -460,10 +484,12 @@ def _panel_weights(spark, sf_dir):
 @query(
     "agg24_panel_kpis",
     """
-    WITH w AS (SELECT period, c_custkey AS household,
-                      (1 + floor(abs(c_acctbal) / 1000))::BIGINT AS weight
-               FROM customer, (SELECT DISTINCT (year(o_orderdate) * 100 + month(o_orderdate))::INT AS period
-                               FROM orders)),
+    WITH seen AS (
+      SELECT (year(o_orderdate) * 100 + month(o_orderdate))::INT AS period, o_custkey FROM orders
+      UNION SELECT (year(l_shipdate) * 100 + month(l_shipdate))::INT, o_custkey
+      FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+    w AS (SELECT period, c_custkey AS household, (1 + floor(abs(c_acctbal) / 1000))::BIGINT AS weight
+          FROM seen JOIN customer ON o_custkey = c_custkey),
     b AS (SELECT (year(o_orderdate) * 100 + month(o_orderdate))::INT AS period, o_custkey AS household,
                  count(DISTINCT o_orderkey) AS occasions,
                  sum(o_totalprice::DECIMAL(18,4)) AS spent FROM orders GROUP BY 1, 2),

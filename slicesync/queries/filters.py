@@ -67,11 +67,10 @@ def flt4(spark, sf_dir):
 
 @query(
     "flt5_timestamp_since_months",
-    "SELECT event_id, ts, user_id FROM events WHERE ts >= TIMESTAMP '2023-12-31 00:00:00'",
+    f"SELECT {ORDERS_SQL} FROM orders WHERE o_orderdate >= TIMESTAMP '2000-02-02 00:00:00'",
 )
 def flt5(spark, sf_dir):
-    events = table(spark, sf_dir, "events").select("event_id", "ts", "user_id")
-    return events.where(P.since_months("ts", AS_OF_EVENTS, 1))
+    return _orders(spark, sf_dir).where(P.since_months("o_orderdate", AS_OF_ORDERS, 18))
 
 
 @query(
@@ -131,11 +130,16 @@ def flt9(spark, sf_dir):
     ).select(*ORDERS, "n_name")
 
 
-@query("flt10_not_null", "SELECT p_partkey, p_brand FROM part WHERE p_brand IS NOT NULL")
+@query(
+    "flt10_not_null",
+    "SELECT p_partkey, p_brand AS brand FROM part WHERE nullif(p_brand, 'Brand#1') IS NOT NULL",
+)
 def flt10(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", "p_brand").where(
-        F.col("p_brand").isNotNull()
+    """One brand stands for parts without any."""
+    branded = table(spark, sf_dir, "part").select(
+        "p_partkey", F.nullif("p_brand", F.lit("Brand#1")).alias("brand")
     )
+    return branded.where(F.col("brand").isNotNull())
 
 
 @query("flt11_year_of_date", f"SELECT {ORDERS_SQL} FROM orders WHERE year(o_orderdate) = 2000")

@@ -154,8 +154,7 @@ def join6(spark, sf_dir):
     f"""
     WITH {DIFF_CTE},
     h AS (SELECT period AS version, count(*) AS row_count FROM p GROUP BY 1),
-    t AS (SELECT DISTINCT period AS version, l_returnflag || '-' || l_linestatus AS tag FROM p
-          WHERE l_quantity >= 50)
+    t AS (SELECT DISTINCT period AS version, l_returnflag || '-' || l_linestatus AS tag FROM p)
     SELECT h.version, h.row_count, coalesce(string_agg(tag, ',' ORDER BY tag), '') AS tags
     FROM h LEFT JOIN t ON h.version = t.version GROUP BY 1, 2
     """,
@@ -167,7 +166,7 @@ def join7(spark, sf_dir):
     history = rows.groupBy(F.col("period").alias("version")).agg(
         F.count(F.lit(1)).alias("row_count")
     )
-    tags = rows.where("l_quantity >= 50").select(
+    tags = rows.select(
         F.col("period").alias("version"),
         F.concat_ws("-", "l_returnflag", "l_linestatus").alias("tag"),
     ).distinct()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from slicesync.functions import columns as C
@@ -13,6 +15,7 @@ from slicesync.queries.shared import (
     AS_OF_EVENTS,
     AS_OF_ORDERS,
     CUSTOMERS_SQL,
+    SCALE,
     customers_with_nation,
     hash_sql,
     money,
@@ -186,7 +189,7 @@ def fn_scalar(spark, sf_dir):
         .alias("priority_number"),
         F.col("o_orderpriority").try_cast("bigint").isNull().alias("bad_cast_is_null"),
         F.trim(F.concat(F.lit("  "), "o_orderstatus", F.lit(" "))).alias("trimmed"),
-        row_hash(orders, ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"], "md5")
+        row_hash(orders, ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"], "md5", SCALE)
         .alias("checksum"),
         F.from_json(
             F.to_json(F.struct(F.col("o_orderstatus").alias("k"))), "struct<k:string>"
@@ -219,7 +222,7 @@ def extract_panel_fact(spark, sf_dir):
     """
     SELECT event_id AS idhato, ts AS data_criacao, money AS valor FROM (
       SELECT event_id, ts, value::DECIMAL(18,4)::DOUBLE AS money FROM events)
-    WHERE ts >= TIMESTAMP '2024-01-31' - INTERVAL 90 DAY
+    WHERE ts >= TIMESTAMP '2024-04-15' - INTERVAL 90 DAY
     """,
 )
 def extract_recent_days(spark, sf_dir):
@@ -228,4 +231,4 @@ def extract_recent_days(spark, sf_dir):
         F.col("ts").alias("data_criacao"),
         money("value").cast("double").alias("valor"),
     )
-    return panel_extraction("hato_ruim_cabecalho").build(source, AS_OF_EVENTS)
+    return panel_extraction("hato_ruim_cabecalho").build(source, datetime(2024, 4, 15))

@@ -130,16 +130,39 @@ def rev4(spark, sf_dir):
     )
 
 
+REQUESTS_SQL = QUEUE_CTE + """,
+requests AS (
+  SELECT event_id, operation, CASE WHEN user_id % 3 = 0 THEN 0 ELSE 1 END AS keys,
+         CASE user_id % 4 WHEN 0 THEN '{}' WHEN 1 THEN 'not json' ELSE '{"k": "1"}' END AS conditions
+  FROM q
+)"""
+
+
 @query(
     "rev5_validation",
     f"""
-    WITH {QUEUE_CTE}
-    SELECT event_id, CASE WHEN operation NOT IN ('INSERT', 'UPDATE', 'DELETE')
-                          THEN 'unknown operation' END AS problem FROM q
+    WITH {REQUESTS_SQL}
+    SELECT event_id, CASE
+        WHEN operation NOT IN ('INSERT', 'UPDATE', 'DELETE') THEN 'unknown operation'
+        WHEN operation IN ('UPDATE', 'DELETE') AND keys = 0 THEN 'primary keys are required'
+        WHEN operation = 'DELETE' AND length(conditions) = 2 THEN 'conditions are required'
+        WHEN conditions = 'not json' OR length(conditions) = 2
+          THEN 'filter_conditions is not a JSON object' END AS problem
+    FROM requests
     """,
 )
 def rev5(spark, sf_dir):
-    return queue_events(spark, sf_dir).select(
+    """Every third request has no keys; conditions are empty, broken or good in turn."""
+    user = table(spark, sf_dir, "events").select(
+        F.concat(F.lit("ev-"), F.col("event_id")).alias("event_id"), "user_id")
+    turn = F.col("user_id") % 4
+    requests = queue_events(spark, sf_dir).join(user, "event_id").withColumns({
+        "primary_keys": F.when(F.col("user_id") % 3 == 0, F.array().cast("array<string>"))
+        .otherwise(F.array(F.lit("user_id"))),
+        "filter_conditions": F.when(turn == 0, "{}").when(turn == 1, "not json")
+        .otherwise('{"k": "1"}'),
+    })
+    return requests.select(
         "event_id", F.coalesce(E.request_problem(), E.conditions_problem()).alias("problem")
     )
 

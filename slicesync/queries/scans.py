@@ -13,6 +13,7 @@ from slicesync.queries.shared import (
     customers_with_nation,
     money,
     purchases,
+    region_names,
     table,
 )
 from slicesync.session import run_dir
@@ -20,8 +21,6 @@ from slicesync.sources import tables as S
 from slicesync.sources.jdbc import spool
 from slicesync.sources.versions import VersionedTable
 
-REGIONS = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
-
 
 def _common(spark, sf_dir):
     return table(spark, sf_dir, "supplier").select(
@@ -178,7 +177,7 @@ def regional_servers(spark, sf_dir):
     return {
         name: (lambda name=name: everyone.where(F.col("r_name") == name).select(
             "c_custkey", "c_name", "n_name", "c_acctbal"))
-        for name in REGIONS
+        for name in region_names(spark, sf_dir)
     }
 
 
@@ -220,19 +219,22 @@ def src15(spark, sf_dir):
 @query(
     "src16_column_metadata",
     "\nUNION ALL\n".join(
-        f"SELECT {i} AS position, '{name}' AS column_name, "
+        f"SELECT {i} AS position, '{name}' AS column_name, '{kind}' AS data_type, true AS is_nullable, "
         f"count_if({name} IS NULL)::BIGINT AS null_count FROM orders"
-        for i, name in enumerate(
-            ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate",
-             "o_orderpriority"]
+        for i, (name, kind) in enumerate(
+            [("o_orderkey", "bigint"), ("o_custkey", "bigint"), ("o_orderstatus", "string"),
+             ("o_totalprice", "double"), ("o_orderdate", "timestamp_ntz"),
+             ("o_orderpriority", "string")]
         )
     ),
 )
 def src16(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
-    described = S.column_metadata(orders).select("position", "column_name")
+    described = S.column_metadata(orders)
     counted = S.column_null_counts(orders).select("column_name", "null_count")
-    return described.join(counted, "column_name").select("position", "column_name", "null_count")
+    return described.join(counted, "column_name").select(
+        "position", "column_name", "data_type", "is_nullable", "null_count"
+    )
 
 
 _LISTED = ("customer", "lineitem", "orders", "supplier")
@@ -241,7 +243,8 @@ _LISTED = ("customer", "lineitem", "orders", "supplier")
 @query(
     "src17_list_tables",
     "\nUNION ALL\n".join(
-        f"SELECT '{name}' AS table_name, true AS table_exists, count(*) AS row_count FROM {name}"
+        f"SELECT '{name}' AS table_name, 'TEMPORARY' AS table_type, true AS table_exists, "
+        f"count(*) AS row_count FROM {name}"
         for name in _LISTED
     ),
 )
@@ -255,4 +258,9 @@ def src17(spark, sf_dir):
             F.lit(name).alias("table_name"), F.lit(found).alias("table_exists"), "row_count"
         )
         combined = part if combined is None else combined.unionByName(part)
-    return combined
+    listed = S.list_tables(spark).where(F.col("table_name").startswith("slicesync_src17_")).select(
+        F.replace("table_name", F.lit("slicesync_src17_"), F.lit("")).alias("table_name"), "table_type"
+    )
+    return listed.join(combined, "table_name").select(
+        "table_name", "table_type", "table_exists", "row_count"
+    )

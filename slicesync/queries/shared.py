@@ -14,7 +14,6 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slicesync.functions.hashing import NULL_MARK
 from slicesync.functions.periods import period_of, period_range_of
 
 AS_OF_PURCHASES = datetime(2001, 11, 5)
@@ -60,6 +59,8 @@ PURCHASE_COLUMNS = (
     "l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, "
     "l_tax, l_returnflag, l_linestatus, l_shipdate, period"
 )
+#: Places at which amounts are compared by the portable hash.
+SCALE = 6
 _DOUBLES = {"l_quantity", "l_extendedprice", "l_discount", "l_tax", "o_totalprice"}
 
 
@@ -67,9 +68,11 @@ def hash_sql(columns: str) -> str:
     """SQL of the portable row hash over the named columns."""
     texts = []
     for name in columns.replace(" ", "").split(","):
-        value = f"{name}::DECIMAL(28,6)" if name in _DOUBLES else name
-        texts.append(f"coalesce(({value})::VARCHAR, '{NULL_MARK}')")
-    return f"('0x' || substr(md5(concat_ws('|', {', '.join(texts)})), 1, 15))::BIGINT"
+        value = f"({name}::DECIMAL(38,{SCALE}))" if name in _DOUBLES else name
+        text = f"{value}::VARCHAR"
+        texts.append(f"coalesce(length({text}) || ':' || {text}, 'N')")
+    digest = f"('0x' || substr(md5({' || '.join(texts)}), 1, 16))::UBIGINT::HUGEINT"
+    return f"({digest} - CASE WHEN {digest} >= {1 << 63} THEN {1 << 64}::HUGEINT ELSE 0 END)::BIGINT"
 
 
 PURCHASES_CTE = """
@@ -90,7 +93,7 @@ def prints_sql(source: str, keys: str, columns: str = PURCHASE_COLUMNS) -> str:
     """SQL of the fingerprints of ``source`` per combination of ``keys``."""
     return f"""
   SELECT {keys}, count(*) AS row_count, bit_xor(h) AS checksum_xor,
-         sum(h::HUGEINT)::VARCHAR AS checksum_sum
+         sum(h::HUGEINT + CASE WHEN h < 0 THEN {1 << 64}::HUGEINT ELSE 0 END)::VARCHAR AS checksum_sum
   FROM (SELECT *, {hash_sql(columns)} AS h FROM {source}) GROUP BY {keys}"""
 
 
@@ -137,6 +140,11 @@ def customers_with_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def region_names(spark: SparkSession, sf_dir: str) -> list[str]:
+    """The servers, as the small table that lists them has them."""
+    return [row[0] for row in table(spark, sf_dir, "region").select("r_name").orderBy("r_name").collect()]
+
+
 CUSTOMERS_SQL = """(
   SELECT * FROM customer JOIN nation ON c_nationkey = n_nationkey
   JOIN region ON n_regionkey = r_regionkey)"""

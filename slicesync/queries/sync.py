@@ -7,13 +7,13 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slicesync.functions.periods import moment_literal, period_of
+from slicesync.functions.periods import moment_literal, period_of, shift_months
 from slicesync.operators import fingerprint as G
 from slicesync.operators.slices import keep_slices, replace_slices
 from slicesync.plans.differential import run_differential_sync
 from slicesync.plans.extract import synchronise
 from slicesync.plans.fingerprints import FingerprintStore
-from slicesync.plans.incremental import beyond, run_incremental_sync
+from slicesync.plans.incremental import beyond, run_incremental_sync, watermark
 from slicesync.plans.report import job_report, write_csv, write_parts
 from slicesync.plans.slice_source import DatabaseSource
 from slicesync.queries.registry import query
@@ -24,6 +24,7 @@ from slicesync.queries.shared import (
     JOBS_CTE,
     PURCHASE_COLUMNS,
     PURCHASES_CTE,
+    SCALE,
     STATES_CTE,
     current_purchases,
     jobs,
@@ -161,7 +162,7 @@ def dif6(spark, sf_dir):
 def dif7(spark, sf_dir):
     store = _store(spark)
     for job, rows in (("job-1", previous_purchases), ("job-2", current_purchases)):
-        prints = G.level1_fingerprint(rows(spark, sf_dir), "period", method="md5")
+        prints = G.level1_fingerprint(rows(spark, sf_dir), "period", method="md5", scale=SCALE)
         store.save(prints, "all", "purchases", "period", job)
     return store.load("all", "purchases", "period").select(
         "country", "table_name", "level", "level1_value", "row_count", "checksum_xor",
@@ -180,7 +181,7 @@ def dif7(spark, sf_dir):
 def dif8(spark, sf_dir):
     store = _store(spark)
     prints = G.level2_fingerprint(
-        previous_purchases(spark, sf_dir), "period", "l_suppkey", method="md5")
+        previous_purchases(spark, sf_dir), "period", "l_suppkey", method="md5", scale=SCALE)
     store.save(prints, "all", "purchases", "product", "job-1")
     found = store.load("all", "purchases", "product", level1_values=["200103", "200104"])
     return found.select("level1_value", "level2_value", "row_count", "checksum_xor")
@@ -383,18 +384,127 @@ def inc5(spark, sf_dir):
 @query(
     "inc_beyond_watermark_rows",
     """
-    SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderkey >
-      (SELECT max(o_orderkey) FROM orders WHERE o_orderdate < '2001-05-02' AND o_orderstatus = 'F')
+    SELECT o_orderkey, o_orderdate FROM orders
+    WHERE o_orderkey > (SELECT max(o_orderkey) FROM orders
+                        WHERE o_orderkey <= (SELECT avg(o_orderkey) FROM orders))
+      AND o_orderdate < '2001-05-02'
     """,
 )
 def inc_beyond(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_orderstatus")
-    known = orders.where(
-        (F.col("o_orderdate") < moment_literal(datetime(2001, 5, 2)))
-        & (F.col("o_orderstatus") == "F")
-    )
-    highest = known.agg(F.max("o_orderkey")).first()[0]
-    return beyond(orders, "o_orderkey", highest).select("o_orderkey", "o_orderdate")
+    """Half of the keys are known; rows of the window are left to its refresh."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    known = orders.where(F.col("o_orderkey") <= orders.agg(F.avg("o_orderkey")).scalar())
+    highest = watermark(known, "o_orderkey").first()[0]
+    return beyond(orders, "o_orderkey", highest, "o_orderdate", datetime(2001, 5, 2))
+
+
+# --- changes of mode, and changes that are easily missed --------------------
+
+@query(
+    "dif_forced_full_between",
+    f"WITH {STATES_CTE} SELECT {PURCHASE_COLUMNS} FROM cur",
+)
+def dif_forced_full(spark, sf_dir):
+    """Differential, a forced full run of another state, differential to the first again."""
+    target, store = _target(spark, "dif-modes"), _store(spark)
+    settings = {"country": "all", "table_name": "purchases", "as_of": AS_OF_PURCHASES,
+                "differential": {"level1": "period", "level2": "l_suppkey"}}
+    first = current_purchases(spark, sf_dir)
+    other = first.withColumn("l_quantity", F.col("l_quantity") + F.col("l_suppkey") % 3)
+    synchronise(first, target, store, **settings)
+    synchronise(other, target, store, force_full=True, **settings)
+    synchronise(first, target, store, **settings)
+    return target.read()
+
+
+@query(
+    "inc_forced_full_between",
+    """
+    SELECT *, (year(o_orderdate) * 100 + month(o_orderdate))::INT AS period FROM orders
+    """,
+)
+def inc_forced_full(spark, sf_dir):
+    """The same for the incremental mode; the other state differs within the window."""
+    target, store = _target(spark, "inc-modes"), _store(spark)
+    settings = {"country": "all", "table_name": "orders", "as_of": AS_OF_ORDERS,
+                "incremental": {"key": "o_orderkey", "date_column": "o_orderdate",
+                                "mutable_months": BOUNDARY_MONTHS}}
+    first = _dated_orders(spark, sf_dir)
+    recent = F.col("o_orderdate") >= moment_literal(shift_months(AS_OF_ORDERS, -BOUNDARY_MONTHS))
+    other = first.withColumn(
+        "o_totalprice", F.when(recent, F.col("o_totalprice") / 2).otherwise(F.col("o_totalprice")))
+    synchronise(first, target, store, **settings)
+    synchronise(other, target, store, force_full=True, **settings)
+    synchronise(first, target, store, **settings)
+    return target.read()
+
+
+def _synced(spark, before: DataFrame, now: DataFrame, label: str) -> DataFrame:
+    """The target after two differential syncs, by market segment and nation."""
+    target, store = _target(spark, label, "c_mktsegment"), _store(spark)
+    for state in (before, now):
+        _sync(state, target, store, level1="c_mktsegment", level2="c_nationkey")
+    return target.read()
+
+
+@query(
+    "dif_framed_values",
+    """
+    SELECT 'sync' AS how, c_custkey, c_name AS a, '|' || c_phone AS b FROM (
+      SELECT *, c_custkey::VARCHAR AS c_phone FROM customer)
+    UNION ALL SELECT 'sync', -1 - c_custkey, '<null>', NULL FROM customer
+    """,
+)
+def dif_framed(spark, sf_dir):
+    """Text that moves to the next column, and the text of a mark for NULL, are changes."""
+    customer = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_nationkey")
+    phone = F.col("c_custkey").cast("string")
+    keys = ["c_mktsegment", "c_nationkey"]
+
+    def state(a, b, c, d):
+        moved = customer.select("c_custkey", a.alias("a"), b.alias("b"), *keys)
+        return moved.unionByName(customer.select(
+            (-1 - F.col("c_custkey")).alias("c_custkey"), c.alias("a"), d.alias("b"), *keys))
+
+    none, mark = F.lit(None).cast("string"), F.lit("<null>")
+    before = state(F.concat("c_name", F.lit("|")), phone, none, mark)
+    now = state(F.col("c_name"), F.concat(F.lit("|"), phone), mark, none)
+    return _synced(spark, before, now, "dif-framed").select(F.lit("sync").alias("how"), "c_custkey", "a", "b")
+
+
+@query(
+    "dif_framed_portable_hash",
+    "SELECT c_mktsegment AS level1_value, 'changed' AS status FROM customer GROUP BY 1",
+)
+def dif_framed_portable(spark, sf_dir):
+    """The portable hash sees what moves between columns, too."""
+    customer = table(spark, sf_dir, "customer")
+    before = customer.select("c_mktsegment", F.concat("c_name", F.lit("|")).alias("a"), F.lit("x").alias("b"))
+    now = customer.select("c_mktsegment", F.col("c_name").alias("a"), F.lit("|x").alias("b"))
+    prints = [G.level1_fingerprint(x, "c_mktsegment", method="md5") for x in (now, before)]
+    return G.classify(*prints, ["level1_value"]).select("level1_value", "status")
+
+
+@query(
+    "dif_nested_nulls",
+    """
+    SELECT c_custkey, 1 AS items, NULL::BIGINT AS p, c_custkey AS q, c_acctbal + 2e-7 AS balance
+    FROM customer
+    """,
+)
+def dif_nested(spark, sf_dir):
+    """A NULL that leaves an array or moves in a struct is a change, as is 2e-7."""
+    customer = table(spark, sf_dir, "customer")
+    key, none = F.col("c_custkey"), F.lit(None).cast("long")
+
+    def state(items, p, q, more):
+        return customer.select(
+            "c_custkey", items.alias("v"), F.struct(p.alias("p"), q.alias("q")).alias("s"),
+            (F.col("c_acctbal") + F.lit(more)).alias("balance"), "c_mktsegment", "c_nationkey")
+
+    before, now = state(F.array(key, none), key, none, 0.0), state(F.array(key), none, key, 2e-7)
+    return _synced(spark, before, now, "dif-nested").select(
+        "c_custkey", F.size("v").alias("items"), "s.p", "s.q", "balance")
 
 
 # --- sinks ----------------------------------------------------------------
@@ -507,6 +617,7 @@ def dif_pushed_down(spark, sf_dir):
             read_all=lambda view=view: spark.table(view),
             row_hash="xxhash64(*)", xor="bit_xor",
             hash_sum="sum(cast(xxhash64(*) AS decimal(20,0)))",
+            bucket_hash="abs(cast(hash({}) AS bigint))",
         )
         _sync(source, target, store)
     return target.read().groupBy("period").agg(

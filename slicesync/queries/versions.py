@@ -10,8 +10,7 @@ from slicesync.functions.periods import moment_literal, period_of
 from slicesync.operators import quality as Q
 from slicesync.plans.tags import TagRegistry, annotated_history, newest_versions, tag_text
 from slicesync.queries.registry import query
-from slicesync.queries.scans import REGIONS
-from slicesync.queries.shared import CUSTOMERS_SQL, customers_with_nation, table
+from slicesync.queries.shared import CUSTOMERS_SQL, customers_with_nation, region_names, table
 from slicesync.session import run_dir
 from slicesync.sources.versions import VersionedTable, change_feed
 
@@ -104,7 +103,33 @@ def ver4(spark, sf_dir):
     history = newest_versions(versions).select(
         "version", "committed_at", "operation", "rows_written"
     )
-    return annotated_history(history, tags.list("orders"))
+    return annotated_history(history, tags.of("orders"))
+
+
+@query(
+    "ver_many_tags",
+    """
+    WITH o AS (SELECT (year(o_orderdate) * 100 + month(o_orderdate))::BIGINT AS version, o_orderpriority,
+                      day(o_orderdate) AS d FROM orders),
+    t AS (SELECT DISTINCT version, o_orderpriority || '-' || lpad(d::VARCHAR, 2, '0') AS tag FROM o)
+    SELECT version, count(*)::BIGINT AS tag_count, string_agg(tag, ',' ORDER BY tag) AS tags FROM t GROUP BY 1
+    """,
+)
+def ver_many_tags(spark, sf_dir):
+    """More tags than a page holds: one for each priority and day of a month."""
+    orders = table(spark, sf_dir, "orders").select(
+        period_of("o_orderdate").cast("long").alias("version"),
+        F.concat_ws("-", "o_orderpriority", F.date_format("o_orderdate", "dd")).alias("tag"),
+    ).distinct()
+    registry = TagRegistry(spark, run_dir(spark, "many-tags"))
+    none = F.lit(None).cast("string")
+    registry.table.append(orders.select(
+        F.lit("orders").alias("table_name"), "version", "tag", none.alias("description"),
+        F.lit("system").alias("created_by"), moment_literal(FIRST_DAY).alias("created_at"),
+        none.alias("job_id"),
+    ), operation="tag")
+    history = orders.groupBy("version").agg(F.count(F.lit(1)).alias("tag_count"))
+    return annotated_history(history, registry.of("orders"))
 
 
 @query(
@@ -173,7 +198,7 @@ def _probes(spark, sf_dir):
     """Per region: its customers, its overdrawn customers, and a query that is broken."""
     everyone = customers_with_nation(spark, sf_dir)
     queries = {}
-    for name in REGIONS:
+    for name in region_names(spark, sf_dir):
         own = everyone.where(F.col("r_name") == name).select("c_custkey", "n_name", "c_acctbal")
         queries[(name, "customers")] = lambda own=own: own
         queries[(name, "overdrawn")] = lambda own=own: own.where("c_acctbal < -990")

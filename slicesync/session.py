@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Sequence
 
@@ -23,9 +22,6 @@ DEFAULTS = {
     "spark.sql.parquet.filterPushdown": "true",
 }
 
-# One scratch root per local application; a cluster names its own folder.
-_local_roots: dict[str, str] = {}
-
 
 def build_session(app_name: str = "slicesync", master: str | None = None, **conf) -> SparkSession:
     """A session with this package's defaults; keyword arguments override them.
@@ -45,20 +41,19 @@ def build_session(app_name: str = "slicesync", master: str | None = None, **conf
 def workspace(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a local session may go without the setting; it then gets a folder of
-    its own. On a cluster a machine-local folder would lose data, so we refuse.
+    Without the setting it is a folder below ``spark.sql.warehouse.dir``, which
+    a cluster keeps on shared storage. A cluster whose warehouse is a folder of
+    the driver's machine would lose data, so we refuse.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
     context = spark.sparkContext
-    if context.getCheckpointDir():
-        return context.getCheckpointDir().rstrip("/")
-    if not context.master.startswith("local"):
+    if named or context.getCheckpointDir():
+        return (named or context.getCheckpointDir()).rstrip("/")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    on_one_machine = warehouse.startswith(("file:", "/")) or ":" not in warehouse
+    if on_one_machine and not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    if context.applicationId not in _local_roots:
-        _local_roots[context.applicationId] = tempfile.mkdtemp(prefix="slicesync-")
-    return _local_roots[context.applicationId]
+    return f"{warehouse}/_slicesync"
 
 
 def run_dir(spark: SparkSession, label: str) -> str:

@@ -122,6 +122,12 @@ def slice_predicates(
     return predicates
 
 
+def bucket_predicates(hashed: str, buckets: int) -> list[str]:
+    """Disjoint predicates that split rows by a hash; rows without one go to the first."""
+    first = f"{hashed} % {buckets} = 0 OR {hashed} IS NULL"
+    return [first, *(f"{hashed} % {buckets} = {i}" for i in range(1, buckets))]
+
+
 def scan_slices(
     spark: SparkSession, database: Database, table: str, predicates: Sequence[str]
 ) -> DataFrame:
@@ -168,6 +174,7 @@ def write_table(
     """
     options = database.reader_options()
     options.pop("fetchsize", None)
-    df.coalesce(tasks).write.format("jdbc").options(
+    # Dealt anew, so that the plan above keeps its own number of tasks.
+    df.repartition(tasks).write.format("jdbc").options(
         **options, dbtable=table, batchsize=str(batch_rows)
     ).mode("append").save()

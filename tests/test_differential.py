@@ -161,3 +161,44 @@ def test_slice_with_a_third_of_all_rows(spark, folder):
 def test_stats_of_nothing(spark):
     empty = spark.createDataFrame([], "status string, row_count long")
     assert set(sync_stats(empty).first().asDict().values()) == {0}
+
+
+def _mode(bench, rows, mode, force_full=False):
+    from slicesync.plans.extract import synchronise
+
+    source = bench.spark.createDataFrame(
+        [(p, q, v, f"{p // 100}-{p % 100:02d}-01", p * 100 + q) for (p, q), v in rows.items()],
+        "periodo int, idproduto int, valor decimal(10,2), d string, k int",
+    ).withColumn("d", F.col("d").cast("timestamp_ntz"))
+    settings = {
+        "differential": {"level1": "periodo", "level2": "idproduto"},
+        "incremental": {"key": "k", "date_column": "d", "mutable_months": 24},
+    }
+    return synchronise(
+        source, bench.target, bench.store, country="x", table_name="t", force_full=force_full,
+        as_of=datetime(2024, 3, 15), **({mode: settings[mode]} if mode else {}))
+
+
+@pytest.mark.parametrize("between,full", [
+    ("differential", True), ("incremental", True), (None, True), ("incremental", False)])
+@pytest.mark.parametrize("mode", ["differential", "incremental"])
+def test_any_run_between_leaves_no_stale_fingerprint(bench, mode, between, full):
+    """Scenario: state A, a run in another mode with B, state A again."""
+    rows = baseline()
+    other = {key: value + 1 for key, value in rows.items()}
+    _mode(bench, rows, mode)
+    _mode(bench, other, between, full)
+    assert bench.rows() == other
+    _mode(bench, rows, mode)
+    assert bench.rows() == rows
+
+
+def test_fingerprints_made_in_another_way_say_nothing(bench):
+    rows = baseline()
+    bench.sync(rows)
+    assert bench.sync(rows).rows_downloaded == 0
+    prints = bench.store.find("x", "t", "period")
+    bench.store.save(prints, "x", "t", "period", made_by="other")
+    again = bench.sync(rows, mutable_months=1, as_of=datetime(2024, 3, 15))
+    assert not again.is_first_sync and again.new_level1 == 3 and again.rows_downloaded == 15
+    assert bench.rows() == rows and bench.sync(rows).rows_downloaded == 0

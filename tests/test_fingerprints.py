@@ -16,7 +16,7 @@ def test_order_and_partitioning_do_not_matter(spark, method):
     rows = [(i % 7, f"s{i}", i / 4) for i in range(500)]
     a = spark.createDataFrame(rows, ROWS)
     b = spark.createDataFrame(rows[::-1], ROWS).repartition(5)
-    assert one(a, method=method) == one(b, method=method)
+    assert one(a, method=method, scale=6) == one(b, method=method, scale=6)
 
 
 @pytest.mark.parametrize("method", ["xxhash64", "md5"])
@@ -24,7 +24,7 @@ def test_null_position_matters(spark, method):
     a = spark.createDataFrame([(1, None, 1.0)], ROWS)
     b = spark.createDataFrame([(None, "1", 1.0)], ROWS)
     c = spark.createDataFrame([(None, None, 1.0)], ROWS)
-    assert len({one(x, method=method) for x in (a, b, c)}) == 3
+    assert len({one(x, method=method, scale=6) for x in (a, b, c)}) == 3
 
 
 def test_sum_sees_a_swap_of_duplicated_rows_that_xor_does_not(spark):
@@ -77,3 +77,27 @@ def test_window_keeps_values_that_are_no_numbers(spark):
 def test_unknown_method(spark):
     with pytest.raises(ValueError):
         row_hash(spark.range(1), method="crc")
+
+
+@pytest.mark.parametrize("method", ["xxhash64", "md5"])
+@pytest.mark.parametrize("a,b", [
+    (("a|b", "c"), ("a", "b|c")), ((None, "x"), ("<null>", "x")), (("1:a", ""), ("", "1:a")), (("N", None), (None, "N"))])
+def test_values_are_framed(spark, method, a, b):
+    prints = {one(spark.createDataFrame([row], "x string, y string"), method=method) for row in (a, b)}
+    assert len(prints) == 2
+
+
+@pytest.mark.parametrize("method", ["xxhash64", "md5"])
+@pytest.mark.parametrize("kind,a,b", [
+    ("array<int>", [1, None], [1]), ("array<int>", [None, 1], [1, None]),
+    ("struct<p: int, q: int>", (1, None), (None, 1)), ("array<struct<p: int, q: int>>", [(1, None)], [(None, 1)])])
+def test_nested_nulls_count(spark, method, kind, a, b):
+    prints = {one(spark.createDataFrame([(x,)], f"v {kind}"), method=method) for x in (a, b)}
+    assert len(prints) == 2
+
+
+def test_small_changes_of_doubles_count(spark):
+    prints = {one(spark.createDataFrame([(v,)], "v double")) for v in (1.0, 1.0 + 2e-7, 1e23)}
+    assert len(prints) == 3
+    with pytest.raises(ValueError):
+        row_hash(spark.createDataFrame([(1.0,)], "v double"), method="md5")

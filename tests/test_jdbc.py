@@ -44,9 +44,9 @@ def test_fingerprint_query():
         "SUM(CAST(CHECKSUM(*) AS BIGINT)) AS checksum_sum FROM t WHERE p = 1 GROUP BY p")
 
 
-@pytest.mark.parametrize("max_slices", [0, 100])
-def test_many_slices_read_whole_level1_values(spark, max_slices):
-    rows = spark.createDataFrame([(p, q) for p in (1, 2, 3) for q in range(4)], "p int, q int")
+@pytest.mark.parametrize("slices", [1, 11])
+def test_changed_slices_are_read_in_buckets_and_picked_by_a_join(spark, slices):
+    rows = spark.createDataFrame([(p, q) for p in (1, 2, 3) for q in range(12)], "p int, q int")
     asked = []
 
     def read(predicates):
@@ -54,8 +54,9 @@ def test_many_slices_read_whole_level1_values(spark, max_slices):
         return rows.where(" OR ".join(f"({p})" for p in predicates))
 
     source = DatabaseSource("t", "p", "q", run=None, read=read, read_all=None,
-                            max_slices=max_slices)
-    slices = spark.createDataFrame([("1", "0"), ("3", "2")], "level1_value string, level2_value string")
-    got = source.slice_rows(slices, ["1", "3"]).collect()
-    assert sorted(map(tuple, got)) == [(1, 0), (3, 2)]
-    assert all(("IN" in p) == (max_slices > 0) for p in asked)
+                            bucket_hash="abs(hash({}))", buckets=4)
+    wanted = [("1", str(q)) for q in range(slices)] + [("3", "2")]
+    chosen = spark.createDataFrame(wanted, "level1_value string, level2_value string")
+    got = source.slice_rows(chosen, ["1", "3"]).collect()
+    assert sorted((str(a), str(b)) for a, b in got) == sorted(wanted)
+    assert len(asked) == 8  # two values in four buckets, however many slices

@@ -49,9 +49,12 @@ def test_only_needed_columns_are_read(spark, sf_dir):
     assert "ReadSchema: struct<l_suppkey:bigint>" in plan
 
 
-def test_level1_values_prune_the_scan(spark, sf_dir):
-    plan = plan_of(restrict(table(spark, sf_dir, "lineitem"), "l_suppkey", ["3", "5"]))
-    assert "In(l_suppkey, [3,5])" in plan
+@pytest.mark.parametrize("values", [2, 2000])
+def test_level1_values_prune_the_scan(spark, sf_dir, values):
+    keys = [str(3 + i) for i in range(values)]
+    plan = plan_of(restrict(table(spark, sf_dir, "lineitem"), "l_suppkey", keys))
+    assert f"GreaterThanOrEqual(l_suppkey,3), LessThanOrEqual(l_suppkey,{values + 2})" in plan
+    assert "LeftSemi" in plan
 
 
 def test_parts_are_pruned_as_directories(spark, sf_dir, folder):
