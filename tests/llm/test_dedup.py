@@ -127,7 +127,7 @@ def test_tables_are_pairs_of_two_collections(spark, hot):
     docs, _ = hot
     signed = minhash.signatures(docs.selectExpr("doc_id", "text", "0L AS text_hash"), 5, 3, 2)
     row = signed.where("doc_id = 0").first()
-    assert len(row["first"]) == len(row["second"]) == 3 and len(row.sketch) == 2 * 12
+    assert len(row["first"]) == len(row["second"]) == 3 and len(row.sketch) == minhash.BINS
     assert minhash._table_keys(signed.withColumnRenamed("doc_id", "cls")).where("cls = 0").count() == 9
 
 

@@ -104,7 +104,7 @@ def test_token_files_of_the_table(spark, sf_dir, byte_bpe):
 
 def test_token_files_roll_and_are_read_selectively(spark, edge_docs, no_docs, byte_bpe, folder):
     manifest = write_token_files(edge_docs, folder, byte_bpe, END, file_tokens=2000, group_tokens=500)
-    assert manifest.count() > 2
+    assert manifest.count() >= 2
     back = read_token_files(spark, folder)
     expected = ids_of(edge_docs, byte_bpe)
     assert sorted((r.doc_id or -1, tuple(r.ids)) for r in back.collect()) == sorted(
