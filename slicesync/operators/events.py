@@ -133,8 +133,11 @@ def record_results(events: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def retry(events: DataFrame, chosen: Column) -> DataFrame:
-    """Chosen events go back to pending, if they failed or were blocked."""
-    again = F.coalesce(chosen & F.col("status").isin(*RETRYABLE), F.lit(False))
+    """Chosen events go back to pending, if they failed or were blocked and have retries left."""
+    left = F.lit(True)
+    if "max_retries" in events.columns:  # NULL is no limit
+        left = F.coalesce(F.col("retry_count") < F.col("max_retries"), F.lit(True))
+    again = F.coalesce(chosen & F.col("status").isin(*RETRYABLE) & left, F.lit(False))
     return events.withColumns(
         {
             "status": F.when(again, "pending").otherwise(F.col("status")),

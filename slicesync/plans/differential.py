@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import asdict, dataclass
 from datetime import datetime
+from time import perf_counter
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,6 +39,8 @@ class DiffSyncStats:
     rows_downloaded: int = 0
     rows_skipped: int = 0
     version: int | None = None
+    fingerprint_seconds: float = 0.0
+    write_seconds: float = 0.0
 
     def as_dict(self) -> dict:
         return asdict(self)
@@ -79,6 +82,7 @@ def run_differential_sync(
     if stats.is_first_sync:
         return full_sync(source, target, store, stats, job_id)
 
+    started = perf_counter()
     known = store.known(country, table_name, "period", source.made_by)
     stored1 = stored1.where(F.lit(known)).select("level1_value", *MEASURES)
     status1 = classify(source.level1_prints(), stored1, ["level1_value"])
@@ -102,6 +106,7 @@ def run_differential_sync(
         else {}
     )
     stats.outside_window = to_open - len(opened)
+    stats.fingerprint_seconds = perf_counter() - started
     if not opened:
         stats.rows_skipped = all_rows
         if stats.deleted_level1:
@@ -121,6 +126,7 @@ def run_differential_sync(
     stats.rows_downloaded = sum(row[2] for row in per_part)
     stats.rows_skipped = all_rows - stats.rows_downloaded
 
+    stats.fingerprint_seconds, started = perf_counter() - started, perf_counter()
     # A level-1 value that is new may have rows from before it left the scope.
     new_values = {value for value, status in opened.items() if status == "new"}
     parts = new_values | {row[0] for row in per_part}
@@ -129,10 +135,11 @@ def run_differential_sync(
         old = target.read(parts=[part for part in parts if part not in new_values])
         kept = drop_slices(keyed(old, level1, level2), slices, SLICE).drop(*SLICE)
         rows = kept.unionByName(align_columns(fresh, kept.schema))
-        store.forget(country, table_name, ("window",))
+        store.forget(country, table_name, ("window", "watermark"))
         stats.version = target.replace_parts(
             rows, parts, operation="differential", job_id=job_id
         )
+    stats.write_seconds = perf_counter() - started
     store.save(now2, country, table_name, "product", job_id, level1_values=values,
                made_by=source.made_by)
     store.save(_level1_to_store(status1), country, table_name, "period", job_id,
@@ -146,6 +153,7 @@ def full_sync(source, target, store, stats: DiffSyncStats, job_id: str) -> DiffS
     What was stored is given up before the target changes, so a failure
     between the two leaves fingerprints that are unknown, never wrong ones.
     """
+    started = perf_counter()
     now2 = stage(source.level2_prints(), "level2-now")
     now1 = roll_up(now2)
     totals = now1.agg(F.count(F.lit(1)), F.coalesce(F.sum("row_count"), F.lit(0))).first()
@@ -153,7 +161,9 @@ def full_sync(source, target, store, stats: DiffSyncStats, job_id: str) -> DiffS
     stats.total_changed_pairs = now2.count()
     stats.rows_downloaded = totals[1]
     store.forget(stats.country, stats.table_name)
+    stats.fingerprint_seconds, started = perf_counter() - started, perf_counter()
     stats.version = target.overwrite(source.all_rows(), operation="full", job_id=job_id)
+    stats.write_seconds = perf_counter() - started
     store.save(now2, stats.country, stats.table_name, "product", job_id, made_by=source.made_by)
     store.save(now1, stats.country, stats.table_name, "period", job_id, made_by=source.made_by)
     return stats

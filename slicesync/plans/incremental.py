@@ -13,7 +13,7 @@ from slicesync.functions.hashing import made_by
 from slicesync.functions.periods import moment_literal, now_utc, shift_months
 from slicesync.operators.fingerprint import window_fingerprint
 from slicesync.plans.fingerprints import FingerprintStore
-from slicesync.session import stage
+from slicesync.session import local_rows, stage
 from slicesync.sources.versions import VersionedTable
 
 WINDOW_KEY = "mutable_window"
@@ -78,23 +78,15 @@ def run_incremental_sync(
     key = key.lower()
     date_column = date_column.lower() if date_column else None
     stats = IncrementalStats(table_name)
-    max_key = None
-    if target.exists() and not force_full:
-        max_key = watermark(target.read(), key).first()[0]
+    known = target.exists() and not force_full
+    max_key = _last_key(target, store, country, table_name, key) if known else None
     windowed = bool(mutable_months and date_column)
     boundary = shift_months(as_of or now_utc(), -mutable_months) if windowed else None
-    now, how = None, made_by(source)
-    if windowed:
-        window = in_window(source, date_column, boundary)
-        now = stage(
-            window_fingerprint(window).withColumn(
-                "level1_value", F.lit(WINDOW_KEY)
-            ),
-            "window",
-        )
+    how = made_by(source)
 
     if max_key is None:
         stats.mode = "full"
+        now = _window_prints(in_window(source, date_column, boundary)) if windowed else None
         store.forget(country, table_name)
         stats.version = target.overwrite(source, operation="full", job_id=job_id)
         stats.rows_new = target.rows_written(stats.version)
@@ -102,26 +94,57 @@ def run_incremental_sync(
             store.save(now, country, table_name, "window", job_id, made_by=how)
         return stats
 
-    fresh = beyond(source, key, max_key, date_column, boundary)
+    # One read of the source: what may be written is staged, and the fingerprint, the
+    # counts and the write all come from there.
+    wanted = F.col(key) > max_key
+    if windowed:
+        wanted = wanted | (F.col(date_column) >= moment_literal(boundary))
+    staged = stage(source.where(wanted), "incremental")
+    fresh = beyond(staged, key, max_key, date_column, boundary)
+    window = in_window(staged, date_column, boundary) if windowed else staged.where(F.lit(False))
+    new_rows, highest = fresh.agg(F.count(F.lit(1)), F.max(F.col(key).cast("bigint"))).first()
+    now = _window_prints(window) if windowed else None
     if windowed and not _same(now, store.load(country, table_name, "window", made_by=how)):
         stats.mode = "window"
-        store.forget(country, table_name, SLICE_LEVELS)
-        stats.rows_window = now.first()["row_count"]
-        stats.rows_new = fresh.count()
+        stats.rows_window, stats.rows_new = now.first()["row_count"], new_rows
+        highest = staged.agg(F.max(F.col(key).cast("bigint"))).first()[0]
+        store.forget(country, table_name, (*SLICE_LEVELS, "watermark"))
         # The window is one commit with the appended rows, so no reader ever
         # sees the one without the other.
         stats.version = _replace_window(
             target, fresh.unionByName(window), date_column, boundary, job_id
         )
         store.save(now, country, table_name, "window", job_id, made_by=how)
-    elif not fresh.isEmpty():
+    elif new_rows:
         stats.mode = "append"
-        store.forget(country, table_name, SLICE_LEVELS)
+        store.forget(country, table_name, (*SLICE_LEVELS, "watermark"))
         stats.version = target.append(fresh, operation="incremental", job_id=job_id)
-        stats.rows_new = target.rows_written(stats.version)
+        stats.rows_new = new_rows
+    if stats.version is not None:
+        _keep_key(store, max(max_key, highest or max_key), country, table_name, key, job_id)
     return stats
 
 
+def _window_prints(window: DataFrame) -> DataFrame:
+    prints = window_fingerprint(window).withColumn("level1_value", F.lit(WINDOW_KEY))
+    return stage(prints, "window")
+
+
+def _last_key(
+    target: VersionedTable, store: FingerprintStore, country: str, table_name: str, key: str
+) -> int | None:
+    """The highest key ever synchronised: as stored, else the target's key column is read."""
+    if store.known(country, table_name, "watermark", key):
+        return int(store.load(country, table_name, "watermark", made_by=key).first()["level1_value"])
+    return watermark(target.read(), key).first()[0]
+
+
+def _keep_key(store: FingerprintStore, value: int, country, table_name, key, job_id) -> None:
+    mark = local_rows(store.spark, [(str(value), 0, 0)], "level1_value string, row_count long, "
+                      "checksum_xor long").withColumn("checksum_sum", F.lit(0))
+    store.save(mark, country, table_name, "watermark", job_id, made_by=key)
+
+
 def _same(now: DataFrame, stored: DataFrame) -> bool:
     measures = ["row_count", "checksum_xor", "checksum_sum"]
     before = stored.select(*measures).first()

@@ -62,9 +62,8 @@ class Desk:
         return VersionedTable(self.spark, f"{self.root}/{name}", partition_by="o_orderstatus")
 
     def applier(self, **options) -> EventApplier:
-        return EventApplier(
-            self.source, self.target, max_delete_rows=None, clock=lambda: PROCESSED_AT, **options
-        )
+        settings = {"max_delete_rows": None, "clock": lambda: PROCESSED_AT, **options}
+        return EventApplier(self.source, self.target, **settings)
 
     def queue(self, *entries: dict) -> DataFrame:
         """Events in the given order of urgency."""
@@ -116,6 +115,25 @@ def rev3(spark, sf_dir):
     return desk.target("dbo.orders").read()
 
 
+@query(
+    "rev3_delete_over_cap",
+    """
+    WITH n AS (SELECT count(*) AS n FROM orders WHERE o_orderdate < '2001-01-01' AND o_orderstatus = 'P')
+    SELECT 'failed' AS status, 0::BIGINT AS rows_affected, true AS says_why,
+           (SELECT count(*) FROM orders WHERE o_orderdate < '2001-01-01') AS rows_left FROM n WHERE n > 1
+    """,
+)
+def rev3_over_cap(spark, sf_dir):
+    """A delete beyond the cap is refused whole."""
+    desk = Desk(spark, sf_dir)
+    results = apply_events(desk.queue(DELETE), desk.applier(max_delete_rows=1))
+    left = desk.target("dbo.orders").read().agg(F.count(F.lit(1)).alias("rows_left"))
+    return results.select(
+        "status", "rows_affected", F.col("error_message").contains("1").alias("says_why"),
+        left.scalar().alias("rows_left"),
+    )
+
+
 @query(
     "rev4_discrepancy",
     """

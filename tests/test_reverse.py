@@ -188,3 +188,12 @@ def test_names_and_audit(spark):
         "event_type string, token string")
     assert [tuple(r) for r in df.select(severity("event_type"), token_prefix("token")).collect()] == [
         ("warning", "01234567..."), ("error", None), ("info", None)]
+
+
+def test_retry_stops_at_the_limit(spark):
+    queue = spark.createDataFrame(
+        [("a", "failed", 2, 3), ("b", "failed", 3, 3), ("c", "failed", 9, None)],
+        "event_id string, status string, retry_count int, max_retries int",
+    ).selectExpr("*", "'x' AS error_message", "'y' AS warning")
+    got = {r["event_id"]: r["status"] for r in E.retry(queue, F.lit(True)).collect()}
+    assert got == {"a": "pending", "b": "failed", "c": "pending"}
