@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from slicesync.functions.columns import lower_case_names
+from slicesync.functions.hashing import row_hash
 from slicesync.functions.periods import moment_literal, now_utc
 
 HISTORY_SCHEMA = (
@@ -194,19 +195,6 @@ class VersionedTable:
         """Write only where there is no table yet; returns None if skipped."""
         return None if self.exists() else self.overwrite(df, **commit)
 
-    def compact(self, min_versions: int = 2) -> int | None:
-        """Write parts that many appends have scattered once more; None if there are none."""
-        scattered = (
-            self.live_parts().groupBy("part").agg(F.count_distinct("version").alias("n"))
-            .where(F.col("n") >= min_versions)
-        )
-        parts = [row["part"] for row in scattered.collect()]
-        if not parts:
-            return None
-        if not self.partition_by:
-            return self.overwrite(self.read(), operation="compact")
-        return self.replace_parts(self.read(parts=parts), parts, operation="compact")
-
     def _commit(
         self,
         df: DataFrame,
@@ -298,7 +286,6 @@ def change_feed(
     """Rows inserted, updated or deleted between two versions.
 
     Only parts whose directories differ are read. ``keys`` must be unique.
-    Rows are compared value by value.
     """
     old, new = table.live_parts(before), table.live_parts(after)
     parts = None
@@ -308,26 +295,37 @@ def change_feed(
             for row in old.exceptAll(new).unionAll(new.exceptAll(old)).select("part")
             .distinct().collect()
         ]
-    left, right = table.read(before, parts), table.read(after, parts)
-    names = right.columns
-
-    def marked(df: DataFrame, side: str) -> DataFrame:
-        return df.withColumn("_there", F.lit(True)).alias(side)
-
-    def row_of(side: str):
-        return F.struct(*[F.col(f"{side}.{name}") for name in names])
-
-    condition = None
-    for key in keys:
-        term = F.col(f"o.{key}").eqNullSafe(F.col(f"n.{key}"))
-        condition = term if condition is None else condition & term
-    added, gone = F.col("o._there").isNull(), F.col("n._there").isNull()
-    change = F.when(added, "insert").when(gone, "delete").otherwise("update")
-    return (
-        marked(left, "o").join(marked(right, "n"), condition, "full_outer")
-        .where(added | gone | ~row_of("o").eqNullSafe(row_of("n")))
-        .select(
-            change.alias("change_type"),
-            *[F.when(gone, F.col(f"o.{n}")).otherwise(F.col(f"n.{n}")).alias(n) for n in names],
-        )
+    return changed_rows(table.read(before, parts), table.read(after, parts), keys)
+
+
+def changed_rows(before: DataFrame, after: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows inserted, updated or deleted between two states with unique ``keys``.
+
+    Only keys and row hashes are shuffled for the comparison, aggregated on the
+    way; the changed rows alone are then fetched with all their columns. Rows
+    whose 64-bit hashes agree count as equal.
+    """
+    names = after.columns
+    both = before.select(*names, F.lit(False).alias("_now")).unionByName(
+        after.select(*names, F.lit(True).alias("_now"))
+    )
+    hashed = both.select(*keys, "_now", row_hash(both, names).alias("_hash"))
+    sides = hashed.groupBy(*keys).agg(
+        F.max(F.when(~F.col("_now"), F.col("_hash"))).alias("_old"),
+        F.max(F.when(F.col("_now"), F.col("_hash"))).alias("_new"),
+    )
+    change = F.when(F.col("_old").isNull(), "insert").when(F.col("_new").isNull(), "delete")
+    changed = sides.where(~F.col("_old").eqNullSafe(F.col("_new"))).select(
+        *[F.col(key).alias(f"_k{i}") for i, key in enumerate(keys)],
+        change.otherwise("update").alias("change_type"),
     )
+
+    def fetched(rows: DataFrame, kinds: DataFrame) -> DataFrame:
+        condition = None
+        for i, key in enumerate(keys):
+            term = rows[key].eqNullSafe(kinds[f"_k{i}"])
+            condition = term if condition is None else condition & term
+        return rows.join(kinds, condition).select("change_type", *[rows[name] for name in names])
+
+    gone = F.col("change_type") == "delete"
+    return fetched(after, changed.where(~gone)).unionByName(fetched(before, changed.where(gone)))

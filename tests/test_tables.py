@@ -30,12 +30,11 @@ def test_parts_are_replaced_added_and_removed(spark, table):
     table.append(frame(spark, (10, "c", "z")))
     assert rows_of(table.read(parts=["c"])) == [(10, "c", "z"), (9, "c", "y")]
     assert rows_of(table.read(version=1)) == [(1, "a", "x"), (2, "b", "x"), (3, None, "x")]
-    assert table.compact() == 4 and table.compact() is None
     assert len(rows_of(table.read())) == 4
     table.overwrite(frame(spark).limit(0))
     assert rows_of(table.read()) == []
     assert [r["operation"] for r in table.history().orderBy("version").collect()] == [
-        "overwrite", "replace", "append", "compact", "overwrite"]
+        "overwrite", "replace", "append", "overwrite"]
 
 
 def test_odd_partition_values_survive(spark, table):
