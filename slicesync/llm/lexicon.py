@@ -31,14 +31,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slicesync.llm.batches import Files, qualified, slices, words_of
-from slicesync.session import run_dir
+from slicesync.session import run_dir, stage
 
 LEXICON_WORDS = 50_000
 SUMMARY = 100_000
+#: Words with less than one in so many times ``LEXICON_WORDS`` of all occurrences are left out.
+RARE = 10
 CACHE_WORDS = 200_000
 ENCODED_BYTES = 8 << 20
 #: Words up to this long are merged by scanning, longer ones with a heap.
-_SCANNED = 40
+_SCANNED = 100
 
 
 def byte_alphabet() -> list[str]:
@@ -65,9 +67,8 @@ class WordBpe:
         alphabet = byte_alphabet()
         self.inner = [vocabulary[c] for c in alphabet]
         self.last = [vocabulary[c + self.end] for c in alphabet]
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
-        for rank, (a, b) in enumerate(model["merges"]):
-            self.merges[vocabulary[a], vocabulary[b]] = (rank, vocabulary[a + b])
+        self.rank = {(vocabulary[a], vocabulary[b]): n for n, (a, b) in enumerate(model["merges"])}
+        self.merged = [vocabulary[a + b] for a, b in model["merges"]]
 
     def words(self, chunk: str) -> list[str]:
         """Words of a stretch of text between white space, without special tokens."""
@@ -83,21 +84,20 @@ class WordBpe:
         return self._scan(parts) if len(parts) <= _SCANNED else self._heap(parts)
 
     def _scan(self, parts: list[int]) -> list[int]:
-        merges = self.merges
-        while len(parts) > 1:
-            found = [merges.get(pair) for pair in zip(parts, parts[1:])]
-            best = min((f for f in found if f), default=None)
-            if best is None:
+        """The lowest rank first, leftmost first; only ranks beside a merge change."""
+        rank, none = self.rank.get, len(self.merged)
+        ranks = [rank(pair, none) for pair in zip(parts, parts[1:])]
+        while ranks:
+            best = min(ranks)
+            if best == none:
                 break
-            out, at = [], 0
-            while at < len(parts):
-                if at < len(found) and found[at] == best:
-                    out.append(best[1])
-                    at += 2
-                else:
-                    out.append(parts[at])
-                    at += 1
-            parts = out
+            at = ranks.index(best)
+            parts[at] = self.merged[best]
+            del parts[at + 1], ranks[at]
+            if at:
+                ranks[at - 1] = rank((parts[at - 1], parts[at]), none)
+            if at < len(ranks):
+                ranks[at] = rank((parts[at], parts[at + 1]), none)
         return parts
 
     def _heap(self, parts: list[int]) -> list[int]:
@@ -107,25 +107,25 @@ class WordBpe:
 
         def offer(at: int) -> None:
             to = after[at]
-            if to < n and (found := self.merges.get((parts[at], parts[to]))):
-                queue.append((found[0], at, parts[at], parts[to], found[1]))
+            if to < n and (found := self.rank.get((parts[at], parts[to]))) is not None:
+                queue.append((found, at, parts[at], parts[to]))
 
         for at in range(n - 1):
             offer(at)
         heapq.heapify(queue)
         while queue:
-            _, at, left, right, new = heapq.heappop(queue)
+            best, at, left, right = heapq.heappop(queue)
             to = after[at]
             if parts[at] != left or to >= n or parts[to] != right:
                 continue
-            parts[at], parts[to] = new, -1
+            parts[at], parts[to] = self.merged[best], -1
             after[at] = after[to]
             if after[to] < n:
                 before[after[to]] = at
             for near in (before[at], at):
                 if near >= 0 and after[near] < n and (
-                    found := self.merges.get((parts[near], parts[after[near]]))):
-                    heapq.heappush(queue, (found[0], near, parts[near], parts[after[near]], found[1]))
+                    found := self.rank.get((parts[near], parts[after[near]]))) is not None:
+                    heapq.heappush(queue, (found, near, parts[near], parts[after[near]]))
         return [p for p in parts if p >= 0]
 
     def decode(self, ids: list[int]) -> str:
@@ -306,9 +306,12 @@ def frequent_words(docs: DataFrame, tokenizer: str, most: int = LEXICON_WORDS, t
         yield pa.RecordBatch.from_arrays(
             [pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["chunk", "n"])
 
-    top = (
+    counted = stage(
         docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(count, "chunk string, n long")
-        .groupBy("chunk").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "chunk").limit(most))
+        .groupBy("chunk").agg(F.sum("n").alias("n")), "words")
+    # At most ``RARE * most`` words have such a share, so the sort stays small at every size.
+    share = counted.agg(F.coalesce(F.sum("n"), F.lit(0)) / (RARE * most)).first()[0]
+    top = counted.where(F.col("n") >= share).orderBy(F.desc("n"), "chunk").limit(most)
     bpe, counts = WordBpe(tokenizer), {}
     for chunk, n in top.collect():  # at most ``most`` rows
         for word in bpe.words(chunk):
