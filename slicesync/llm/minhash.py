@@ -39,6 +39,8 @@ TABLES = 9
 ROWS = 2
 #: Bins of a sketch: the smallest hash of each of so many ranges of hashes, as one byte.
 BINS = 256
+#: Bins that are compared before the others.
+QUICK = 64
 #: The similarity by sketches from which on a pair is confirmed. At a true one of 0.8 the
 #: estimate's standard deviation is 0.025 at most, and nearly nothing for small sets.
 AGREE = 0.65
@@ -100,19 +102,33 @@ def _sketch(sets: Sets) -> np.ndarray:
     place = np.repeat(full, counts) * BINS + (sets.values >> np.uint64(56)).astype(np.int64)
     first = np.flatnonzero(np.diff(place, prepend=-1))
     out = np.zeros(int((counts > 0).sum()) * BINS, np.uint8)
-    out[place[first]] = 1 + sets.values[first] % np.uint64(255)
+    out[place[first]] = 1 + sets.values[first] % np.uint64(254)
     return out.reshape(-1, BINS)
 
 
-def _similar(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Similarity by sketches of each of the left with each of the right."""
-    same = np.zeros((len(left), len(right)), np.int16)
-    used = np.zeros((len(left), len(right)), np.int16)
-    for a, b in zip(left.T, right.T):
-        both = a[:, None] | b[None, :]
-        same += (a[:, None] == b[None, :]) & (both != 0)
-        used += both != 0
-    return same / np.maximum(used, 1)
+def _near(left: np.ndarray, right: np.ndarray, agree: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of left and right whose sketches agree, and how far: some bins are compared for
+    all of them, all bins for those that may still agree. At a similarity of 0.8 the first
+    look errs by more than 0.25 less often than once in 10**6 pairs."""
+    x_filled, y_filled = ((side[:, :QUICK] != 0).astype(np.float32) for side in (left, right))
+    used = x_filled.sum(axis=1)[:, None] + y_filled.sum(axis=1)[None, :] - x_filled @ y_filled.T
+    same = np.zeros((len(left), len(right)), np.uint8)
+    other = np.where(right == 0, 255, right)  # an empty bin is like no other
+    for a, b in zip(left.T[:QUICK], other.T[:QUICK]):
+        same += a[:, None] == b[None, :]
+    x, y = np.nonzero(same >= (agree - 0.25) * used - 2)
+    alike = np.zeros(len(x))
+    for low in range(0, len(x), 1 << 16):
+        a, b = left[x[low : low + (1 << 16)]], right[y[low : low + (1 << 16)]]
+        alike[low : low + (1 << 16)] = _alike(a, b)
+    good = alike >= agree
+    return x[good], y[good], alike[good]
+
+
+def _alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Similarity by sketches, row by row."""
+    used = (a | b) != 0
+    return ((a == b) & used).sum(axis=1) / np.maximum(used.sum(axis=1), 1)
 
 
 def _keys(hashes: np.ndarray) -> np.ndarray:
@@ -162,9 +178,7 @@ def _agreeing(pairs: DataFrame, classes: DataFrame, agree: float) -> DataFrame:
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             left, right = (_sketches(batch.column(c)) for c in ("left", "right"))
-            used = (left | right) != 0
-            near = ((left == right) & used).sum(axis=1) >= agree * used.sum(axis=1)
-            yield batch.select(["a", "b"]).filter(pa.array(near))
+            yield batch.select(["a", "b"]).filter(pa.array(_alike(left, right) >= agree))
 
     sketch = classes.select("cls", "sketch")
     joined = (
@@ -207,14 +221,13 @@ def _compared(group: pa.Table, agree: float, every: bool) -> np.ndarray:
     found = [np.zeros((2, 0), np.int64)]
     for low in range(0, len(outside) if len(own) else 0, 64):
         probe = outside[low : low + 64]
-        same = _similar(sketch[probe], sketch[own])
-        same[part[probe][:, None] == part[own][None, :]] = -1
-        if every or len(cls) <= SMALL:
-            x, y = np.nonzero(same >= agree)
-        else:
-            y = same.argmax(axis=1)
-            x = np.flatnonzero(same[np.arange(len(probe)), y] >= agree)
-            y = y[x]
+        x, y, alike = _near(sketch[probe], sketch[own], agree)
+        apart = part[probe[x]] != part[own[y]]
+        x, y, alike = x[apart], y[apart], alike[apart]
+        if not every and len(cls) > SMALL:  # the last of each, in order, is its nearest
+            order = np.lexsort((alike, x))
+            last = np.append(x[order][1:] != x[order][:-1], True)[: len(order)]
+            x, y = x[order][last], y[order][last]
         found.append(np.stack([cls[probe[x]], cls[own[y]]]))
     return np.concatenate(found, axis=1)
 
