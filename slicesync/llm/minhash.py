@@ -8,7 +8,7 @@ some table with probability (1 - (1 - 0.8**2)**9)**2 = 0.9998, more similar ones
 
 Documents of equal sets form one class first, so copies cost one row each from there on.
 In each bucket all classes are paired with one centre: linear, however large the bucket.
-Pairs whose sketches (one smallest hash of each of 256 ranges) agree too seldom go; the others are confirmed on whole sets. Then
+Pairs whose sketches (one smallest hash of each of 512 ranges) agree too seldom go; the others are confirmed on whole sets. Then
 classes that share a bucket but not a component are paired with their nearest, round by
 round while that links any, and at last with all that could still be linked to them. So
 no pair that meets in a bucket is left out unless it is in one component already.
@@ -38,12 +38,12 @@ PERCENT = 80
 TABLES = 9
 ROWS = 2
 #: Bins of a sketch: the smallest hash of each of so many ranges of hashes, as one byte.
-BINS = 256
+BINS = 512
 #: Bins that are compared before the others.
 QUICK = 64
-#: The similarity by sketches from which on a pair is confirmed. At a true one of 0.8 the
-#: estimate's standard deviation is 0.025 at most, and nearly nothing for small sets.
-AGREE = 0.65
+#: A pair is confirmed unless its similarity by sketches is below ``percent`` by more than
+#: so many standard deviations of the estimate: one linked pair in 300,000 is missed so.
+DEVIATIONS = 4.5
 #: Members of a bucket that one task compares at once.
 CHUNK = 4096
 SMALL = 64
@@ -99,36 +99,44 @@ def _sketch(sets: Sets) -> np.ndarray:
     Hashes are sorted, so a bin's smallest is the first that begins with its number."""
     counts = np.diff(sets.offsets)
     full = np.cumsum(counts > 0) - 1
-    place = np.repeat(full, counts) * BINS + (sets.values >> np.uint64(56)).astype(np.int64)
+    place = np.repeat(full, counts) * BINS + (sets.values >> np.uint64(55)).astype(np.int64)
     first = np.flatnonzero(np.diff(place, prepend=-1))
     out = np.zeros(int((counts > 0).sum()) * BINS, np.uint8)
     out[place[first]] = 1 + sets.values[first] % np.uint64(254)
     return out.reshape(-1, BINS)
 
 
-def _near(left: np.ndarray, right: np.ndarray, agree: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _near(left: np.ndarray, right: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows of left and right whose sketches agree, and how far: some bins are compared for
     all of them, all bins for those that may still agree. At a similarity of 0.8 the first
-    look errs by more than 0.25 less often than once in 10**6 pairs."""
+    look errs by more than 0.4 less often than once in 10**6 pairs."""
     x_filled, y_filled = ((side[:, :QUICK] != 0).astype(np.float32) for side in (left, right))
     used = x_filled.sum(axis=1)[:, None] + y_filled.sum(axis=1)[None, :] - x_filled @ y_filled.T
     same = np.zeros((len(left), len(right)), np.uint8)
     other = np.where(right == 0, 255, right)  # an empty bin is like no other
     for a, b in zip(left.T[:QUICK], other.T[:QUICK]):
         same += a[:, None] == b[None, :]
-    x, y = np.nonzero(same >= (agree - 0.25) * used - 2)
-    alike = np.zeros(len(x))
-    for low in range(0, len(x), 1 << 16):
-        a, b = left[x[low : low + (1 << 16)]], right[y[low : low + (1 << 16)]]
-        alike[low : low + (1 << 16)] = _alike(a, b)
-    good = alike >= agree
+    x, y = np.nonzero(same >= (percent / 100 - 0.4) * used - 2)
+    alike, good, step = np.zeros(len(x)), np.zeros(len(x), bool), 1 << 14
+    for low in range(0, len(x), step):
+        at = slice(low, low + step)
+        alike[at], good[at] = _agreement(left[x[at]], right[y[at]], percent)
     return x[good], y[good], alike[good]
 
 
-def _alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Similarity by sketches, row by row."""
-    used = (a | b) != 0
-    return ((a == b) & used).sum(axis=1) / np.maximum(used.sum(axis=1), 1)
+def _agreement(a: np.ndarray, b: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row by row, the similarity by sketches, and whether the sets may be similar enough.
+
+    The bins in use are a sample of the union: of how many hashes follows from how many
+    bins are empty. The more of them it holds, the less the estimate can err.
+    """
+    filled = (a | b) != 0
+    used = np.maximum(filled.sum(axis=1), 1)
+    alike = ((a == b) & filled).sum(axis=1) / used
+    union = -BINS * np.log(np.maximum(1 - used / BINS, 1e-9))
+    share = percent / 100
+    deviation = np.sqrt(share * (1 - share) / used * np.clip(1 - used / np.maximum(union, used), 0, 1))
+    return alike, alike >= share - DEVIATIONS * deviation - 2 / used
 
 
 def _keys(hashes: np.ndarray) -> np.ndarray:
@@ -172,13 +180,13 @@ def _table_keys(classes: DataFrame) -> DataFrame:
     return classes.select("cls", F.explode(pairs).alias("key"))
 
 
-def _agreeing(pairs: DataFrame, classes: DataFrame, agree: float) -> DataFrame:
+def _agreeing(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs whose sketches agree in enough places."""
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             left, right = (_sketches(batch.column(c)) for c in ("left", "right"))
-            yield batch.select(["a", "b"]).filter(pa.array(_alike(left, right) >= agree))
+            yield batch.select(["a", "b"]).filter(pa.array(_agreement(left, right, percent)[1]))
 
     sketch = classes.select("cls", "sketch")
     joined = (
@@ -211,7 +219,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -
     return joined.select("a", "b", "left", "right").mapInArrow(confirm, "a long, b long")
 
 
-def _compared(group: pa.Table, agree: float, every: bool) -> np.ndarray:
+def _compared(group: pa.Table, percent: int, every: bool) -> np.ndarray:
     """Pairs of different components of one bucket that agree: all of them, or in a bucket of
     more than ``SMALL`` members each one's nearest."""
     cls, part = group.column("cls").to_numpy(), group.column("component").to_numpy()
@@ -221,7 +229,7 @@ def _compared(group: pa.Table, agree: float, every: bool) -> np.ndarray:
     found = [np.zeros((2, 0), np.int64)]
     for low in range(0, len(outside) if len(own) else 0, 64):
         probe = outside[low : low + 64]
-        x, y, alike = _near(sketch[probe], sketch[own], agree)
+        x, y, alike = _near(sketch[probe], sketch[own], percent)
         apart = part[probe[x]] != part[own[y]]
         x, y, alike = x[apart], y[apart], alike[apart]
         if not every and len(cls) > SMALL:  # the last of each, in order, is its nearest
@@ -232,12 +240,12 @@ def _compared(group: pa.Table, agree: float, every: bool) -> np.ndarray:
     return np.concatenate(found, axis=1)
 
 
-def _proposals(members: DataFrame, agree: float, every: bool) -> DataFrame:
+def _proposals(members: DataFrame, percent: int, every: bool) -> DataFrame:
     """Pairs of different components that share a bucket and agree; only those leave a task."""
 
     def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches):
-            pairs = _compared(group, agree, every)
+            pairs = _compared(group, percent, every)
             if pairs.shape[1]:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(pairs.min(axis=0)), pa.array(pairs.max(axis=0))], ["a", "b"])
@@ -290,7 +298,7 @@ def _unsettled(met: DataFrame, names: DataFrame, classes: DataFrame) -> DataFram
 
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
-    percent: int = PERCENT, tables: int = TABLES, rows: int = ROWS, agree: float = AGREE,
+    percent: int = PERCENT, tables: int = TABLES, rows: int = ROWS,
 ) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)`` for each row of ``docs``."""
     chosen = docs.select(
@@ -315,12 +323,12 @@ def near_duplicates(
     texts = stage(_texts(chosen, classes.join(met.select("cls").distinct(), "cls", "left_semi")), "texts")
     tried = stage(_agreeing(
         met.where("cls <> centre").select(F.col("centre").alias("a"), F.col("cls").alias("b")).distinct(),
-        classes, agree), "tried")
+        classes, percent), "tried")
     links = stage(
         _confirmed(tried, texts, shingle, percent).unionAll(_same_id(known, classes)), "links")
     names, every = components(links), False
     while True:
-        fresh = stage(_proposals(_unsettled(met, names, classes), agree, every).join(
+        fresh = stage(_proposals(_unsettled(met, names, classes), percent, every).join(
             tried, ["a", "b"], "left_anti"), "proposals")
         more = stage(_confirmed(fresh, texts, shingle, percent), "links")
         tried, linked = tried.unionAll(fresh), not more.isEmpty()
