@@ -93,7 +93,12 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that pass, with all their columns and without the lines that fail."""
-    kept = judge(docs, id_col, text_col).where("kept")
+    """The documents that pass, with all their columns and without the lines that fail.
+
+    A condition on ``kept`` alone would be moved below the projections and its arrays computed
+    anew for each of their elements; a condition on a row number stays where it is.
+    """
+    judged = judge(docs, id_col, text_col).withColumn("at", F.monotonically_increasing_id())
+    kept = judged.where("kept AND at >= 0")
     return kept.select(*(
         F.col("clean_text").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns))
