@@ -41,8 +41,16 @@ BLOCKS = CONTAINERS | FURNITURE | frozenset(
     "address br caption dd details dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 head hr html legend li p "
     "pre summary tbody tfoot th thead title tr".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-#: Elements that end where the next block begins, closed or not.
-LOOSE = frozenset("dd dt li p td th tr".split())
+#: What a start tag ends if it was left open, unless one of the second kind was opened since.
+_CELL = ("table", "template", "object")
+_LIST = tuple("article aside blockquote button dd dialog dl fieldset figure footer form header main menu nav "
+              "object ol section table td template th ul".split())
+_ROWS = [(("tbody", "tfoot", "thead"), _CELL), (("tr",), _CELL), (("td", "th"), _CELL)]
+ENDS = {tag: [(("p",), ("button", "caption", "object", "table", "td", "template", "th"))]
+        for tag in BLOCKS - set("body br caption head html legend tbody td tfoot th thead title tr".split())}
+ENDS["li"] = [(("li",), _LIST), *ENDS["li"]]
+ENDS["dd"] = ENDS["dt"] = [(("dd", "dt"), tuple(t for t in _LIST if t != "dd")), *ENDS["dd"]]
+ENDS |= {tag: _ROWS for tag in ("tbody", "tfoot", "thead")} | {"tr": _ROWS[1:]} | {tag: _ROWS[2:] for tag in ("td", "th")}
 NAMES = frozenset(
     "ad ads adv advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent cookie "
     "cookies disclaimer disqus footer header login masthead menu modal nav navbar navigation newsletter "
@@ -63,48 +71,73 @@ def _is_furniture(attributes: list[tuple[str, str | None]]) -> bool:
 
 
 class _Lines(HTMLParser):
-    """Lines of a page. A container is its number; ``parents`` has the one around it."""
+    """Lines of a page. A container is its number; ``parents`` has the one around it.
+
+    ``open`` has the elements that are not closed yet, also while one is dropped, so that
+    an element left open ends with its ancestor.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, int, int, int]] = []  # text, tags, link characters, container
-        self.parents, self.kinds, self.stack = [-1], [""], [0]
-        self.dropped: list[tuple[str, int]] = []  # elements without lines, and their depth
+        self.parents, self.kinds = [-1], [""]
+        self.open: list[tuple[str, int]] = [("", 0)]  # tag and the container that text in it stands in
+        self.places: dict[str, list[int]] = {}  # where in ``open`` a tag stands
+        self.blocks: list[int] = []  # where in ``open`` any block stands
+        self.dropped = 0  # where in ``open`` the element without lines stands, 0 if none
         self.text, self.tags, self.linked, self.in_link = [], 0, 0, False
 
     def _end_line(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
-            self.lines.append((text, self.tags, self.linked, self.stack[-1]))
+            self.lines.append((text, self.tags, self.linked, self.open[-1][1]))
             self.tags = 0
         self.text, self.linked = [], 0
 
+    def _last(self, tags) -> int:
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def _close(self, place: int) -> None:
+        """Ends the element at a place in ``open`` and all that was opened in it."""
+        for tag, _ in self.open[place:]:
+            self.places[tag].pop()
+        del self.open[place:]
+        while self.blocks and self.blocks[-1] >= place:
+            self.blocks.pop()
+        if self.dropped >= place:
+            self.dropped = 0
+
     def handle_starttag(self, tag, attrs):
-        block = tag in BLOCKS
-        if block:
+        if tag in BLOCKS and not self.dropped:
             self._end_line()
-            while self.dropped and self.dropped[-1][0] in LOOSE and (
-                tag == self.dropped[-1][0] or self.dropped[-1][0] == "p"):
-                self.dropped.pop()
-        if tag in ARTICLE or tag == "body":  # what was dropped before it was left open
-            self.dropped = [d for d in self.dropped if d[0] in HIDDEN and tag != "body"]
-        if self.dropped:
-            if tag == self.dropped[-1][0] and tag not in VOID:
-                self.dropped[-1] = (tag, self.dropped[-1][1] + 1)
+        for ended, within in ENDS.get(tag, ()):
+            place = self._last(ended)
+            if place and place > self._last(within):
+                self._close(place)
+        if tag == "body" or (tag in ARTICLE and self.dropped and self.open[self.dropped][0] not in HIDDEN):
+            self.dropped = 0  # what was dropped before it was left open
+        if not self.dropped:
+            self.tags += 1
+            if tag == "a":
+                self.in_link = True
+        if tag in VOID or tag == "html":
             return
-        self.tags += 1
-        if tag == "a":
-            self.in_link = True
-        if tag in VOID:
+        container = self.open[-1][1]
+        self.places.setdefault(tag, []).append(len(self.open))
+        if tag in BLOCKS or tag in HIDDEN:
+            self.blocks.append(len(self.open))
+        if self.dropped:
+            self.open.append((tag, container))
             return
         if tag in HIDDEN or tag in FURNITURE or (
             tag not in ARTICLE and tag not in ("html", "body") and _is_furniture(attrs)):
             self._end_line()
-            self.dropped.append((tag, 1))
+            self.dropped = len(self.open)
         elif tag in CONTAINERS:
-            self.parents.append(self.stack[-1])
+            self.parents.append(container)
             self.kinds.append(tag)
-            self.stack.append(len(self.kinds) - 1)
+            container = len(self.kinds) - 1
+        self.open.append((tag, container))
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -112,26 +145,18 @@ class _Lines(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
-        if self.dropped:
-            name, depth = self.dropped[-1]
-            if tag == name:
-                self.dropped[-1] = (name, depth - 1)
-                if depth == 1:
-                    self.dropped.pop()
-                return
-            if name not in LOOSE or tag not in CONTAINERS:
-                return
-            self.dropped.pop()
-        self.tags += 1
-        if tag == "a":
-            self.in_link = False
-        if tag in BLOCKS:
+        place = self._last((tag,))
+        if self.blocks and place < self.blocks[-1] and tag not in BLOCKS and tag not in HIDDEN:
+            place = 0  # the end of an inline element ends no block
+        inside = self.dropped
+        if not inside and tag in BLOCKS:
             self._end_line()
-        if tag in CONTAINERS:
-            for at in range(len(self.stack) - 1, 0, -1):
-                if self.kinds[self.stack[at]] == tag:
-                    del self.stack[at:]
-                    break
+        if place:
+            self._close(place)
+        if not inside or 0 < place < inside:
+            self.tags += 1
+            if tag == "a":
+                self.in_link = False
 
     def handle_data(self, data):
         if not self.dropped:

@@ -165,6 +165,24 @@ def test_pages_without_their_furniture(page, text):
     assert htmltext.main_text(page) == text
 
 
+@pytest.mark.parametrize("left_open", ["<button>x", "<form>x", "<aside><div>x</div><p>y", "<span class=ad>x", "<p class=ad>x"])
+@pytest.mark.parametrize("around", ["div", "section", "ul><li"])
+def test_what_is_left_open_ends_with_its_ancestor(left_open, around):
+    end = "</li></ul>" if "li" in around else f"</{around}>"
+    page = f"<body><{around}>{left_open}{end}<section><p>{LONG}<p>Some <span>short</span> text.<p>{LONG}</section>"
+    assert htmltext.main_text(page) == f"{LONG} Some short text. {LONG}"
+
+
+@pytest.mark.parametrize("page,text", [
+    (f"<div><aside><div>x</div></b></p>y</aside><p>{LONG}</div>", LONG),
+    (f"<div><b><button>x</b>y</button><p>{LONG}</div>", LONG),
+    (f"<ul><li><span class=ad>x<li>{LONG}</ul>", LONG),
+    (f"<table><tr><td><form>x<td>{LONG}<tr><td>{LONG}</table>", f"{LONG} {LONG}"),
+])
+def test_end_tags_inside_what_is_dropped(page, text):
+    assert htmltext.main_text(page) == text
+
+
 def test_extraction_of_odd_tables(spark, odd_pages):
     rows = {r.page_id: r for r in htmltext.extract(odd_pages).collect()}
     assert rows[30].text == "" and rows[30].n_chars == 0 and rows[32].n_chars == 3_000_000
