@@ -2,8 +2,9 @@
 
 A page is fed to the standard library's parser in pieces; its events make lines, one for
 each block, with the line's text, its tags, its links' text and the container it stands
-in. Page furniture that says what it is (navigation, forms, adverts, ... by element or by
-class) gives no lines. Each line's ratio of text to tags is smoothed with a Gaussian over
+in. Page furniture that says what it is by element or role (navigation, forms, ...) gives
+no lines. Containers that go by a name of furniture (class or id) are left out, unless they
+hold most of the page's content: then the text-to-tag ratios overrule the name. Each line's ratio of text to tags is smoothed with a Gaussian over
 its neighbours; the smoothed ratios fall into two clusters, and the lines of the upper one
 are content. The region is the innermost container that holds most of the content's text:
 an article is taken whole, short paragraphs included; of any other container the lines
@@ -56,22 +57,44 @@ NAMES = frozenset(
     "cookies disclaimer disqus footer header login masthead menu modal nav navbar navigation newsletter "
     "notice pagination popup promo promoted related replies reply respond share sharing sidebar signup "
     "skip social sponsor sponsored subscribe toolbar widget".split())
+#: Words after which a class tells a state: has-sidebar, no-comments.
+MODIFIERS = frozenset("has no not with without".split())
+ADVERTS = frozenset("ad ads advert adverts advertisement".split())
+WHOLE = ARTICLE | {"html", "body"}
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+JUDGED = CONTAINERS - WHOLE | frozenset(
+    "address center dd details dt fieldset figure li tbody tfoot th thead tr".split())
 ROLES = frozenset("alert banner complementary contentinfo dialog form menu navigation search".split())
 _WORD = re.compile(r"[A-Za-z][a-z]*")
 
 
 def _is_furniture(attributes: list[tuple[str, str | None]]) -> bool:
+    return any((name == "role" and value in ROLES) or name == "hidden" for name, value in attributes)
+
+
+def _is_named(tag: str, attributes: list[tuple[str, str | None]]) -> bool:
+    """True if a container's class or id has a word that furniture goes by; of other elements,
+    as ids are often made from headings, only a class that is the word for an advert counts."""
+    if tag in WHOLE or tag in HEADINGS:
+        return False
     for name, value in attributes:
         if name in ("class", "id") and value:
-            if any(w.lower() in NAMES for w in _WORD.findall(value)):
-                return True
-        elif (name == "role" and value in ROLES) or name == "hidden":
-            return True
+            for part in value.split():
+                if tag not in JUDGED:
+                    if name == "class" and part.lower() in ADVERTS:
+                        return True
+                    continue
+                for word in _WORD.findall(part):
+                    if word.lower() in MODIFIERS:
+                        break  # what follows says what the element has, not what it is
+                    if word.lower() in NAMES:
+                        return True
     return False
 
 
 class _Lines(HTMLParser):
-    """Lines of a page. A container is its number; ``parents`` has the one around it.
+    """Lines of a page. A container is its number; ``parents`` has the one around it and
+    ``named`` says whether it goes by a name of furniture.
 
     ``open`` has the elements that are not closed yet, also while one is dropped, so that
     an element left open ends with its ancestor.
@@ -80,7 +103,8 @@ class _Lines(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, int, int, int]] = []  # text, tags, link characters, container
-        self.parents, self.kinds = [-1], [""]
+        self.parents, self.kinds, self.named = [-1], [""], [False]
+        self.before: dict[int, tuple[int, bool]] = {}  # tags and link outside a named element
         self.open: list[tuple[str, int]] = [("", 0)]  # tag and the container that text in it stands in
         self.places: dict[str, list[int]] = {}  # where in ``open`` a tag stands
         self.blocks: list[int] = []  # where in ``open`` any block stands
@@ -99,8 +123,11 @@ class _Lines(HTMLParser):
 
     def _close(self, place: int) -> None:
         """Ends the element at a place in ``open`` and all that was opened in it."""
-        for tag, _ in self.open[place:]:
-            self.places[tag].pop()
+        for at in range(len(self.open) - 1, place - 1, -1):
+            self.places[self.open[at][0]].pop()
+            if at in self.before:
+                self._end_line()
+                self.tags, self.in_link = self.before.pop(at)
         del self.open[place:]
         while self.blocks and self.blocks[-1] >= place:
             self.blocks.pop()
@@ -129,13 +156,16 @@ class _Lines(HTMLParser):
         if self.dropped:
             self.open.append((tag, container))
             return
-        if tag in HIDDEN or tag in FURNITURE or (
-            tag not in ARTICLE and tag not in ("html", "body") and _is_furniture(attrs)):
+        if tag in HIDDEN or tag in FURNITURE or (tag not in WHOLE and _is_furniture(attrs)):
             self._end_line()
             self.dropped = len(self.open)
-        elif tag in CONTAINERS:
+        elif (named := _is_named(tag, attrs)) or tag in CONTAINERS:
+            if named:
+                self._end_line()
+                self.before[len(self.open)] = self.tags, self.in_link
             self.parents.append(container)
             self.kinds.append(tag)
+            self.named.append(named)
             container = len(self.kinds) - 1
         self.open.append((tag, container))
 
@@ -198,38 +228,77 @@ def threshold(values: list[float]) -> float:
     return math.expm1((low + high) / 2) if high - low > math.log(APART) else 0.0
 
 
+def _content(lines: list[tuple[str, int, int, int]]) -> tuple[list[bool], list[bool]]:
+    """Which lines are content, and which have a high ratio though they may be mostly links."""
+    ratios = smoothed([len(t) / max(1, n) for t, n, _, _ in lines])
+    cut = threshold(ratios)
+    high = [r >= cut for r in ratios]
+    return [h and k * 2 <= len(t) for h, (t, _, k, _) in zip(high, lines)], high
+
+
+def _mass(parser: _Lines, lines: list[tuple[str, int, int, int]], content: list[bool]) -> list[int]:
+    """Characters of content in each container. A container has a higher number than the one around it."""
+    mass = [0] * len(parser.kinds)
+    for (text, _, _, container), good in zip(lines, content):
+        mass[container] += len(text) if good else 0
+    for c in range(len(mass) - 1, 0, -1):
+        mass[parser.parents[c]] += mass[c]
+    return mass
+
+
+def _overruled(parser: _Lines) -> set[int]:
+    """Named containers that hold most of the page's content, unless an article apart from
+    them holds some: the page then says itself where its content is."""
+    if not any(parser.named) or not parser.lines:
+        return set()
+    mass = _mass(parser, parser.lines, _content(parser.lines)[0])
+    most = {c for c, named in enumerate(parser.named) if named and mass[c] * 2 > mass[0]}
+    last = list(range(len(mass)))  # the last container within each
+    for c in range(len(mass) - 1, 0, -1):
+        last[parser.parents[c]] = max(last[parser.parents[c]], last[c])
+    hidden = _furniture(parser, most)
+    articles = [a for a, kind in enumerate(parser.kinds) if kind in ARTICLE and mass[a] and not hidden[a]]
+    return {c for c in most if all(c < a <= last[c] or a < c <= last[a] for a in articles)}
+
+
+def _furniture(parser: _Lines, overruled: set[int]) -> list[bool]:
+    """Of each container, whether its lines are left out; an article in furniture is none."""
+    out = [False]
+    for c in range(1, len(parser.kinds)):
+        own = parser.named[c] and c not in overruled
+        out.append(own or (out[parser.parents[c]] and parser.kinds[c] not in ARTICLE))
+    return out
+
+
 def main_text(html: str) -> str:
     """The text of the content region, blocks joined by one space."""
     parser = _Lines()
     for first in range(0, len(html), FED):
         parser.feed(html[first : first + FED])
     parser.close()
-    lines = parser.lines
+    overruled = _overruled(parser)
+    hidden = _furniture(parser, overruled)
+    lines = [line for line in parser.lines if not hidden[line[3]]]
     if not lines:
         return ""
-    ratios = smoothed([len(t) / max(1, n) for t, n, _, _ in lines])
-    cut = threshold(ratios)
-    content = [r >= cut and k * 2 <= len(t) for r, (t, _, k, _) in zip(ratios, lines)]
+    content, high = _content(lines)
     if not any(content):
-        content = [r >= cut for r in ratios]
-    mass = [0] * len(parser.kinds)
-    for (text, _, _, container), good in zip(lines, content):
-        while good and container >= 0:
-            mass[container] += len(text)
-            container = parser.parents[container]
+        content = high
+    mass = _mass(parser, lines, content)
+    inner: list[list[int]] = [[] for _ in mass]
+    for c in range(1, len(mass)):
+        inner[parser.parents[c]].append(c)
     region = 0
-    while True:
-        inner = [c for c, parent in enumerate(parser.parents) if parent == region and mass[c]]
-        best = max(inner, key=mass.__getitem__, default=None)
-        if best is None or mass[best] < SHARE * mass[0] or parser.kinds[region] in ARTICLE:
+    while parser.kinds[region] not in ARTICLE:
+        best = max(inner[region], key=mass.__getitem__, default=0)
+        # An element whose name was overruled is not the region while content stands beside it.
+        if not best or mass[best] < (1 if best in overruled else SHARE) * mass[0]:
             break
         region = best
-    inside = []
-    for at, (_, _, _, container) in enumerate(lines):
-        while container > region:
-            container = parser.parents[container]
-        if container == region:
-            inside.append(at)
+    within = [c == region for c in range(len(mass))]
+    for c in range(region + 1, len(mass)):
+        within[c] = within[parser.parents[c]]
+    inside = [at for at, line in enumerate(lines) if within[line[3]]]
     if parser.kinds[region] not in ARTICLE:
         kept = [at for at in inside if content[at]]
         inside = [at for at in inside if kept[0] <= at <= kept[-1] and (

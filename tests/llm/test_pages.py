@@ -165,6 +165,29 @@ def test_pages_without_their_furniture(page, text):
     assert htmltext.main_text(page) == text
 
 
+SIDE = "<div class='sidebar'><p>More of this kind</div>"
+
+
+@pytest.mark.parametrize("page,text", [
+    (f"<article><h2 id='related-work'>Related</h2><p>{LONG}<h2 id='Share_capital'>Capital</h2>"
+     f"<p id='notice-period'>{LONG} <span class='share'>Short.</span></article>",
+     f"Related {LONG} Capital {LONG} Short."),
+    (f"<body><div class='has-sidebar'><p>{LONG}<p>{LONG}{SIDE}</div>", f"{LONG} {LONG}"),
+    (f"<body><div id='page' class='no-comments'><p>{LONG}<p>{LONG}{SIDE}</div>", f"{LONG} {LONG}"),
+    (f"<body><div class='hasSidebar'><p>{LONG}</div>", LONG),
+    (f"<body><div class='sidebar-layout'><div class=header>Top of it</div><p>{LONG}<p>{LONG}{SIDE}</div>",
+     f"{LONG} {LONG}"),
+    (f"<body><p>{LONG}<div class='comments'><p>{LONG * 3}</div>", f"{LONG} {LONG * 3}"),
+    (f"<body><article><p>{LONG}</article><div class='comments'><p>{LONG * 3}</div>", LONG),
+    (f"<article><p>{LONG}<div class='related'><a href=x>One</div><p>{LONG}</article>", f"{LONG} {LONG}"),
+    (f"<div class='nav'><a href=x>Home</div><p>{LONG}", LONG),
+    ("<ul class='menu'><li><a>Home</a><li><a>About</a></ul>", ""),
+    (f"<ul><li class='share'>x<li>{LONG}<li>{LONG}</ul>", f"{LONG} {LONG}"),
+])
+def test_names_are_judged_by_what_they_hold(page, text):
+    assert htmltext.main_text(page) == text
+
+
 @pytest.mark.parametrize("left_open", ["<button>x", "<form>x", "<aside><div>x</div><p>y", "<span class=ad>x", "<p class=ad>x"])
 @pytest.mark.parametrize("around", ["div", "section", "ul><li"])
 def test_what_is_left_open_ends_with_its_ancestor(left_open, around):
