@@ -8,7 +8,8 @@ some table with probability (1 - (1 - 0.8**2)**9)**2 = 0.9998, more similar ones
 
 Documents of equal sets form one class first, so copies cost one row each from there on.
 In each bucket all classes are paired with one centre: linear, however large the bucket.
-Pairs whose sketches (one smallest hash of each of 512 ranges) agree too seldom go; the others are confirmed on whole sets. Then
+Pairs that cannot be similar enough by their sizes and sketches (one smallest hash of each
+of 512 ranges) go: a bound, no estimate. The others are confirmed on whole sets. Then
 classes that share a bucket but not a component are paired with their nearest, round by
 round while that links any, and at last with all that could still be linked to them. So
 no pair that meets in a bucket is left out unless it is in one component already.
@@ -40,10 +41,7 @@ ROWS = 2
 #: Bins of a sketch: the smallest hash of each of so many ranges of hashes, as one byte.
 BINS = 512
 #: Bins that are compared before the others.
-QUICK = 64
-#: A pair is confirmed unless its similarity by sketches is below ``percent`` by more than
-#: so many standard deviations of the estimate: one linked pair in 300,000 is missed so.
-DEVIATIONS = 4.5
+QUICK = 128
 #: Members of a bucket that one task compares at once.
 CHUNK = 4096
 SMALL = 64
@@ -106,37 +104,31 @@ def _sketch(sets: Sets) -> np.ndarray:
     return out.reshape(-1, BINS)
 
 
-def _near(left: np.ndarray, right: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows of left and right whose sketches agree, and how far: some bins are compared for
-    all of them, all bins for those that may still agree. At a similarity of 0.8 the first
-    look errs by more than 0.4 less often than once in 10**6 pairs."""
-    x_filled, y_filled = ((side[:, :QUICK] != 0).astype(np.float32) for side in (left, right))
-    used = x_filled.sum(axis=1)[:, None] + y_filled.sum(axis=1)[None, :] - x_filled @ y_filled.T
-    same = np.zeros((len(left), len(right)), np.uint8)
-    other = np.where(right == 0, 255, right)  # an empty bin is like no other
-    for a, b in zip(left.T[:QUICK], other.T[:QUICK]):
-        same += a[:, None] == b[None, :]
-    x, y = np.nonzero(same >= (percent / 100 - 0.4) * used - 2)
+def _near(
+    left: np.ndarray, right: np.ndarray, left_sizes: np.ndarray, right_sizes: np.ndarray, percent: int,
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of left and right that may be similar enough, and how far their sketches agree:
+    some bins are compared for all of them, all bins for those that are then still possible."""
+    differ = np.zeros((len(left), len(right)), np.uint8)
+    for a, b in zip(left.T[:QUICK], right.T[:QUICK]):
+        differ += a[:, None] != b[None, :]
+    x, y = np.nonzero(_possible(differ, left_sizes[:, None], right_sizes[None, :], percent))
     alike, good, step = np.zeros(len(x)), np.zeros(len(x), bool), 1 << 14
     for low in range(0, len(x), step):
         at = slice(low, low + step)
-        alike[at], good[at] = _agreement(left[x[at]], right[y[at]], percent)
+        a, b = left[x[at]], right[y[at]]
+        unlike = (a != b).sum(axis=1)
+        good[at] = _possible(unlike, left_sizes[x[at]], right_sizes[y[at]], percent)
+        alike[at] = 1 - unlike / np.maximum(((a | b) != 0).sum(axis=1), 1)
     return x[good], y[good], alike[good]
 
 
-def _agreement(a: np.ndarray, b: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row by row, the similarity by sketches, and whether the sets may be similar enough.
-
-    The bins in use are a sample of the union: of how many hashes follows from how many
-    bins are empty. The more of them it holds, the less the estimate can err.
-    """
-    filled = (a | b) != 0
-    used = np.maximum(filled.sum(axis=1), 1)
-    alike = ((a == b) & filled).sum(axis=1) / used
-    union = -BINS * np.log(np.maximum(1 - used / BINS, 1e-9))
-    share = percent / 100
-    deviation = np.sqrt(share * (1 - share) / used * np.clip(1 - used / np.maximum(union, used), 0, 1))
-    return alike, alike >= share - DEVIATIONS * deviation - 2 / used
+def _possible(differ: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of sizes a and b may be similar enough if so many bins of their sketches
+    differ. Each such bin has a hash that only one of the sets holds, and no two bins share
+    one, so what the sets have in common is bounded: no pair that is similar enough goes."""
+    both = np.minimum((a + b - differ) // 2, np.minimum(a, b))
+    return 100 * both >= percent * (a + b - both)
 
 
 def _keys(hashes: np.ndarray) -> np.ndarray:
@@ -181,18 +173,19 @@ def _table_keys(classes: DataFrame) -> DataFrame:
 
 
 def _agreeing(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose sketches agree in enough places."""
+    """The pairs that may be similar enough by their sizes and sketches."""
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             left, right = (_sketches(batch.column(c)) for c in ("left", "right"))
-            yield batch.select(["a", "b"]).filter(pa.array(_agreement(left, right, percent)[1]))
+            sizes = (batch.column(c).to_numpy() for c in ("m", "n"))
+            good = _possible((left != right).sum(axis=1), *sizes, percent)
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    sketch = classes.select("cls", "sketch")
     joined = (
-        pairs.join(sketch.select(F.col("cls").alias("a"), F.col("sketch").alias("left")), "a")
-        .join(sketch.select(F.col("cls").alias("b"), F.col("sketch").alias("right")), "b"))
-    return joined.select("a", "b", "left", "right").mapInArrow(similar, "a long, b long")
+        pairs.join(classes.select(F.col("cls").alias("a"), F.col("sketch").alias("left"), F.col("n_shingles").alias("m")), "a")
+        .join(classes.select(F.col("cls").alias("b"), F.col("sketch").alias("right"), F.col("n_shingles").alias("n")), "b"))
+    return joined.select("a", "b", "left", "right", "m", "n").mapInArrow(similar, "a long, b long")
 
 
 def _sketches(column: pa.Array) -> np.ndarray:
@@ -220,16 +213,16 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -
 
 
 def _compared(group: pa.Table, percent: int, every: bool) -> np.ndarray:
-    """Pairs of different components of one bucket that agree: all of them, or in a bucket of
-    more than ``SMALL`` members each one's nearest."""
+    """Pairs of different components of one bucket that may be similar enough: all of them, or
+    in a bucket of more than ``SMALL`` members each one's nearest."""
     cls, part = group.column("cls").to_numpy(), group.column("component").to_numpy()
-    sketch = _sketches(group.column("sketch").combine_chunks())
+    sketch, sizes = _sketches(group.column("sketch").combine_chunks()), group.column("n_shingles").to_numpy()
     own = np.flatnonzero(group.column("own").to_numpy())
     outside = np.flatnonzero(group.column("outside").to_numpy())
     found = [np.zeros((2, 0), np.int64)]
     for low in range(0, len(outside) if len(own) else 0, 64):
         probe = outside[low : low + 64]
-        x, y, alike = _near(sketch[probe], sketch[own], percent)
+        x, y, alike = _near(sketch[probe], sketch[own], sizes[probe], sizes[own], percent)
         apart = part[probe[x]] != part[own[y]]
         x, y, alike = x[apart], y[apart], alike[apart]
         if not every and len(cls) > SMALL:  # the last of each, in order, is its nearest
@@ -241,7 +234,8 @@ def _compared(group: pa.Table, percent: int, every: bool) -> np.ndarray:
 
 
 def _proposals(members: DataFrame, percent: int, every: bool) -> DataFrame:
-    """Pairs of different components that share a bucket and agree; only those leave a task."""
+    """Pairs of different components that share a bucket and may be similar enough; only those
+    leave a task."""
 
     def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches):
@@ -293,7 +287,7 @@ def _unsettled(met: DataFrame, names: DataFrame, classes: DataFrame) -> DataFram
         "chunk", F.explode(F.when(outside, F.sequence(F.lit(0), chunks - 1)).otherwise(F.array("home"))))
     return dealt.select(
         "key", "chunk", "cls", "component", "outside", (F.col("chunk") == F.col("home")).alias("own")
-    ).join(classes.select("cls", "sketch"), "cls")
+    ).join(classes.select("cls", "n_shingles", "sketch"), "cls")
 
 
 def near_duplicates(
@@ -308,9 +302,10 @@ def near_duplicates(
     known = signed.where("digest IS NOT NULL AND doc_id IS NOT NULL")
     grouped = known.groupBy("digest").agg(
         F.min(F.struct("doc_id", "text_hash")).alias("row"), F.any_value("first").alias("first"),
-        F.any_value("second").alias("second"), F.any_value("sketch").alias("sketch"))
+        F.any_value("second").alias("second"), F.any_value("sketch").alias("sketch"),
+        F.any_value("n_shingles").alias("n_shingles"))
     classes = stage(
-        grouped.select("digest", "row.*", "first", "second", "sketch",
+        grouped.select("digest", "row.*", "first", "second", "sketch", "n_shingles",
                        F.monotonically_increasing_id().alias("cls")), "classes")
     keys = _table_keys(classes)
     # Buckets of the same members, as similar documents fill them in table after table, are

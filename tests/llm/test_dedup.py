@@ -123,6 +123,30 @@ def test_minhash_loses_no_link_of_a_hot_group(hot, monkeypatch, small):
     assert [got[k] for k in range(len(texts))] == names
 
 
+def test_no_pair_is_lost_by_its_sketch(spark):
+    """Pairs of exactly 0.8 whose common words fall into few bins, the others into one each."""
+    each = [f"w{i}" for i in range(20_000)]
+    bins = defaultdict(list)
+    for word, value in zip(each, minhash.Sets(pa.array(each), 1).values):
+        bins[int(value) >> 55].append(word)
+    texts = []
+    for k in range(8):
+        common = [w for at in range(k * 4, k * 4 + 4) for w in bins[at][:20]]
+        own = [bins[at][k] for at in range(100, 120)]
+        texts += [" ".join(common + own[:10]), " ".join(common + own[10:])]
+    got = {r.doc_id: r for r in minhash.near_duplicates(
+        spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), shingle=1).collect()}
+    _, names = groups(texts, 1, 80)
+    assert names == [k // 2 * 2 for k in range(16)]
+    assert [got[k].component_id for k in range(16)] == names
+
+
+def test_sketches_bound_what_sets_can_share():
+    size = np.array(810)  # two such sets need 720 in common
+    assert minhash._possible(np.array([180, 181, 182]), size, size, 80).tolist() == [True, False, False]
+    assert not minhash._possible(np.array(0), np.array(79), np.array(100), 80)
+
+
 def test_tables_are_pairs_of_two_collections(spark, hot):
     docs, _ = hot
     signed = minhash.signatures(docs.selectExpr("doc_id", "text", "0L AS text_hash"), 5, 3, 2)
