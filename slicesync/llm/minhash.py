@@ -42,7 +42,7 @@ ROWS = 2
 BINS = 512
 #: Bins that are compared before the others.
 QUICK = 128
-#: Members of a bucket that one task compares at once.
+#: Members of a block; a task compares two blocks of a bucket at once.
 CHUNK = 4096
 SMALL = 64
 SIGNED = (
@@ -217,19 +217,19 @@ def _compared(group: pa.Table, percent: int, every: bool) -> np.ndarray:
     in a bucket of more than ``SMALL`` members each one's nearest."""
     cls, part = group.column("cls").to_numpy(), group.column("component").to_numpy()
     sketch, sizes = _sketches(group.column("sketch").combine_chunks()), group.column("n_shingles").to_numpy()
-    own = np.flatnonzero(group.column("own").to_numpy())
-    outside = np.flatnonzero(group.column("outside").to_numpy())
+    left, right = (np.flatnonzero(group.column(c).to_numpy()) for c in ("left", "right"))
+    nearest = not every and group.column("members")[0].as_py() > SMALL
     found = [np.zeros((2, 0), np.int64)]
-    for low in range(0, len(outside) if len(own) else 0, 64):
-        probe = outside[low : low + 64]
-        x, y, alike = _near(sketch[probe], sketch[own], sizes[probe], sizes[own], percent)
-        apart = part[probe[x]] != part[own[y]]
+    for low in range(0, len(left) if len(right) else 0, 64):
+        probe = left[low : low + 64]
+        x, y, alike = _near(sketch[probe], sketch[right], sizes[probe], sizes[right], percent)
+        apart = part[probe[x]] != part[right[y]]
         x, y, alike = x[apart], y[apart], alike[apart]
-        if not every and len(cls) > SMALL:  # the last of each, in order, is its nearest
+        if nearest:  # the last of each, in order, is its nearest
             order = np.lexsort((alike, x))
             last = np.append(x[order][1:] != x[order][:-1], True)[: len(order)]
             x, y = x[order][last], y[order][last]
-        found.append(np.stack([cls[probe[x]], cls[own[y]]]))
+        found.append(np.stack([cls[probe[x]], cls[right[y]]]))
     return np.concatenate(found, axis=1)
 
 
@@ -271,22 +271,28 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 
 def _unsettled(met: DataFrame, names: DataFrame, classes: DataFrame) -> DataFrame:
-    """Members of buckets with several components. A large bucket is dealt into chunks; what
-    is outside its main component goes to each of them, so every such pair meets once."""
+    """Members of buckets with several components. What is outside a bucket's main component
+    is dealt into blocks, and so is the main component; each block of the first kind meets
+    each block of either kind once, so a group holds two blocks, however large the bucket."""
     parts = met.select("key", "cls").join(
         names.withColumnRenamed("node", "cls"), "cls", "left"
     ).withColumn("component", F.coalesce("component", "cls"))
     split = (
         parts.groupBy("key", "component").agg(F.count("*").alias("n"))
-        .groupBy("key").agg(F.max_by("component", "n").alias("main"), F.sum("n").alias("n"),
-                            F.count("*").alias("parts")).where("parts > 1"))
-    chunks = F.ceil(F.col("n") / CHUNK).cast("int")
-    home = F.pmod(F.xxhash64("cls"), chunks).cast("int")
-    outside = F.col("component") != F.col("main")
-    dealt = parts.join(split, "key").withColumn("home", home).withColumn("outside", outside).withColumn(
-        "chunk", F.explode(F.when(outside, F.sequence(F.lit(0), chunks - 1)).otherwise(F.array("home"))))
+        .groupBy("key").agg(F.max_by("component", "n").alias("main"), F.sum("n").alias("members"),
+                            F.max("n").alias("most"), F.count("*").alias("parts")).where("parts > 1"))
+    split = split.select(
+        "key", "main", "members", F.ceil((F.col("members") - F.col("most")) / CHUNK).cast("int").alias("outer"),
+        F.ceil(F.col("most") / CHUNK).cast("int").alias("inner"))
+    outside, blocks = F.col("component") != F.col("main"), F.col("outer") + F.col("inner")
+    mine = F.when(outside, F.pmod(F.xxhash64("cls"), "outer")).otherwise(
+        F.col("outer") + F.pmod(F.xxhash64("cls"), "inner")).cast("int")
+    dealt = parts.join(split, "key").withColumn("mine", mine).withColumn("other", F.explode(
+        F.sequence(F.lit(0), F.when(outside, blocks).otherwise(F.col("outer")) - 1)))
+    low, high = F.least("mine", "other"), F.greatest("mine", "other")
     return dealt.select(
-        "key", "chunk", "cls", "component", "outside", (F.col("chunk") == F.col("home")).alias("own")
+        "key", (low.cast("long") * blocks + high).alias("chunk"), "cls", "component", "members",
+        (F.col("mine") == low).alias("left"), (F.col("mine") == high).alias("right")
     ).join(classes.select("cls", "n_shingles", "sketch"), "cls")
 
 

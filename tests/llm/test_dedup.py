@@ -147,6 +147,27 @@ def test_sketches_bound_what_sets_can_share():
     assert not minhash._possible(np.array(0), np.array(79), np.array(100), 80)
 
 
+@pytest.mark.parametrize("main", [0, 70])
+def test_a_bucket_of_many_components_is_dealt_into_bounded_groups(spark, monkeypatch, main):
+    monkeypatch.setattr(minhash, "CHUNK", 32)
+    members = range(300)
+    part = {c: 1000 if c < main else c for c in members}
+    met = spark.createDataFrame([(1, c) for c in members] + [(2, 0), (2, 299)], "key long, cls long")
+    names = spark.createDataFrame([(c, 1000) for c in range(main)], "node long, component long")
+    classes = spark.createDataFrame([(c, 9, b"\0" * minhash.BINS) for c in members],
+                                    "cls long, n_shingles long, sketch binary")
+    rows, pairs = defaultdict(list), Counter()
+    for r in minhash._unsettled(met, names, classes).collect():
+        rows[r.key, r.chunk].append(r)
+    for (key, _), group in rows.items():
+        assert len(group) <= 3 * 32
+        for a in group:
+            for b in group:
+                if key == 1 and a.left and b.right and a.component != b.component:
+                    pairs[min(a.cls, b.cls), max(a.cls, b.cls)] += 1
+    assert set(pairs) == {(a, b) for a in members for b in members if a < b and part[a] != part[b]}
+
+
 def test_tables_are_pairs_of_two_collections(spark, hot):
     docs, _ = hot
     signed = minhash.signatures(docs.selectExpr("doc_id", "text", "0L AS text_hash"), 5, 3, 2)
