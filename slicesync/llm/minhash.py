@@ -16,7 +16,8 @@ no pair that meets in a bucket is left out unless it is in one component already
 
 Null or empty text, or text without words, has an empty set and links with nothing. A row
 without id links with nothing either: its component is null and it is kept. Rows with the
-same id are one document with several texts. No rows give no rows.
+same id are one document with several texts; ``one_of_each`` takes them for documents of
+their own, unless their texts are equal. No rows give no rows.
 """
 
 from __future__ import annotations
@@ -301,6 +302,14 @@ def near_duplicates(
     percent: int = PERCENT, tables: int = TABLES, rows: int = ROWS,
 ) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)`` for each row of ``docs``."""
+    signed, classes, names = _found(docs, id_col, text_col, shingle, percent, tables, rows, by_id=True)
+    return _labelled(signed, classes, names)
+
+
+def _found(
+    docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int, tables: int, rows: int, by_id: bool,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Signatures, classes and the components' names; ``by_id`` links the texts of an id."""
     chosen = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")
     ).withColumn("text_hash", F.xxhash64("text"))
@@ -325,8 +334,8 @@ def near_duplicates(
     tried = stage(_agreeing(
         met.where("cls <> centre").select(F.col("centre").alias("a"), F.col("cls").alias("b")).distinct(),
         classes, percent), "tried")
-    links = stage(
-        _confirmed(tried, texts, shingle, percent).unionAll(_same_id(known, classes)), "links")
+    links = _confirmed(tried, texts, shingle, percent)
+    links = stage(links.unionAll(_same_id(known, classes)) if by_id else links, "links")
     names, every = components(links), False
     while True:
         fresh = stage(_proposals(_unsettled(met, names, classes), percent, every).join(
@@ -339,7 +348,7 @@ def near_duplicates(
         if every:
             break
         every = not linked  # the last pass, when nearer ones link no more
-    return _labelled(signed, classes, names)
+    return signed, classes, names
 
 
 def _texts(chosen: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -369,12 +378,23 @@ def _labelled(signed: DataFrame, classes: DataFrame, names: DataFrame) -> DataFr
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The documents, with all their columns, that stay: one row of each group. Rows
-    without id, which link with nothing, stay."""
-    kept = near_duplicates(docs, id_col, text_col, **how).where("kept AND doc_id IS NOT NULL")
-    named = docs.where(F.col(id_col).isNotNull())
-    kept = kept.select(F.col("doc_id").alias(id_col)).distinct()
-    # The join has dealt the rows by id, so that dropping rows of one id costs no shuffle.
-    stay = named.join(kept, id_col, "left_semi").dropDuplicates([id_col])
+def one_of_each(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
+    percent: int = PERCENT, tables: int = TABLES, rows: int = ROWS,
+) -> DataFrame:
+    """The documents, with all their columns, that stay: one row of each group. Rows of one id
+    with different texts are documents of their own; rows without id, which link with
+    nothing, stay."""
+    signed, classes, names = _found(docs, id_col, text_col, shingle, percent, tables, rows, by_id=False)
+    row = F.struct("doc_id", "text_hash")
+    first = (
+        classes.select("cls", row.alias("row")).join(names.withColumnRenamed("node", "cls"), "cls", "left")
+        .groupBy(F.coalesce("component", "cls")).agg(F.min("row").alias("row")).select("row.*"))
+    alone = signed.where("digest IS NULL AND doc_id IS NOT NULL").select("doc_id", "text_hash")
+    kept = first.unionAll(alone).select(F.col("doc_id").alias("_row_id"), F.col("text_hash").alias("_row_text"))
+    named = docs.where(F.col(id_col).isNotNull()).withColumns({
+        "_row_id": F.col(id_col).cast("long"), "_row_text": F.xxhash64(F.col(text_col).cast("string"))})
+    # The join has dealt the rows by id and text, so that dropping rows equal in them costs no shuffle.
+    keys = ["_row_id", "_row_text"]
+    stay = named.join(kept, keys, "left_semi").dropDuplicates(keys).drop(*keys)
     return stay.unionAll(docs.where(F.col(id_col).isNull()))

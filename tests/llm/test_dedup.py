@@ -97,6 +97,14 @@ def test_minhash_of_edge_cases(edge_docs, no_docs):
     assert sorted(-1 if r.doc_id is None else r.doc_id for r in stay.collect()) == [-1, *(i for i in range(18) if i != 15)]
 
 
+def test_rows_of_one_id_with_different_texts_stay(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a), (1, b), (2, b + " more"), (3, a + " more"), (3, c), (4, c), (4, c), (5, ""), (5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    stay = minhash.one_of_each(docs).collect()
+    assert sorted(map(tuple, stay), key=str) == sorted([(1, a), (1, b), (3, c), (5, ""), (5, None)], key=str)
+
+
 @pytest.fixture(scope="module")
 def hot(spark):
     """A third near copies of one text (a chain of small edits), a common passage, noise."""
