@@ -25,6 +25,7 @@ MAX_LOST_PERCENT = 25
 # White space between words, marks counted as symbols, marks of the line
 # rules, and phrases of page furniture.
 SPACE = r"[\x20\x09-\x0D]"
+WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
 LINE_MARKS = r"[#*$%&<>{}\[\]~^=]"
 BOILERPLATE = (
@@ -36,7 +37,7 @@ BOILERPLATE = (
 
 def line_fails(line: Column) -> Column:
     """True if a line is not prose; marks are counted against the line's words."""
-    n = F.size(F.split(F.trim(line), SPACE + "+"))
+    n = F.regexp_count(line, F.lit(WORD))
     marks = F.regexp_count(line, F.lit(LINE_MARKS))
     punctuation = (marks >= 3) & (marks * 5 > n)
     shouting = F.regexp_count(line, F.lit("!")) * 3 > n

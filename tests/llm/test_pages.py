@@ -28,6 +28,28 @@ def test_quality_of_edge_cases_agrees_with_sql(spark, edge_docs, no_docs, tmp_pa
     assert quality.judge(edge_docs).count() == edge_docs.count()
 
 
+@pytest.mark.parametrize("before,after", [("", "\r"), ("\t", ""), ("\t ", " \r"), ("\x0b", "\x0c")])
+def test_lines_with_odd_ends_agree_with_sql(spark, tmp_path, before, after):
+    """Marks, bars and exclamation marks at the limits and beside them, in lines that decide."""
+    lines = [" ".join(["# # #", *(f"{c}{i}" for i in range(n))]) for n in range(9, 14) for c in "ab"]
+    lines += [" ".join(["a|b", *(f"{c}{i}" for i in range(n))]) for n in range(1, 6) for c in "ab"]
+    lines += [" ".join(["hey!", *(f"{c}{i}" for i in range(n))]) for n in range(1, 5) for c in "ab"]
+    prose = " ".join(f"p{i}" for i in range(50))
+    texts = [f"{prose}\n" + "\n".join([f"{before}{line}{after}"] * k) for line in lines for k in (2, 3, 4, 9)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    rows = quality.judge(docs).drop("lost_chars", "clean_text", "row")
+    assert differences(rows, con, ORACLES["op9_quality_rules"]) == []
+    bad = {(r.doc_id // 4) for r in quality.judge(docs).where("lost_chars > 0").collect()}
+    plain = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    assert bad == {r.doc_id for r in quality.judge(plain).where("lost_chars > 0").collect()}
+    assert 0 < len(bad) < len(lines)
+
+
 def test_quality_runs_no_python(spark, edge_docs):
     plan = quality.judge(edge_docs)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow|Exchange", plan)
