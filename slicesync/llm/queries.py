@@ -1,4 +1,4 @@
-"""The ten operators as queries over the whole test tables."""
+"""The operators as queries over the whole test tables."""
 
 from __future__ import annotations
 
@@ -211,3 +211,12 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs, path = table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json")
     return encode_and_decode(docs, path, lexicon_for(docs, path))
+
+
+@register("op11_suffix_array_dedup")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from slicesync.llm.suffixes import remove_repeats
+
+    left = remove_repeats(table(spark, sf_dir, "documents"))
+    return left.select(
+        "row.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
