@@ -262,3 +262,63 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     from slicesync.llm.divergence import audit
 
     return audit(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = """
+WITH RECURSIVE c AS (
+  SELECT doc_id, n_chars, coalesce('=' || lang, '') AS key, row_number() OVER () AS r,
+    coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+      || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+    coalesce(strlen(text) || ':' || text, '-') AS tail,
+    xor(list_reduce(
+      list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+      lambda x, y: list_reduce([xor(x, y), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z:
+        CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)), 4294967295) AS crc
+  FROM documents),
+l AS (
+  SELECT doc_id, key, r, sha256(head || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') || tail) AS leaf,
+    sha256(head || coalesce(strlen((n_chars + 1)::VARCHAR) || ':' || (n_chars + 1), '-') || tail) AS other,
+    coalesce(crc % 7 = 0, false) AS tampered FROM c),
+p AS (
+  SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id NULLS FIRST, leaf, r) - 1 AS i,
+    count(*) OVER (PARTITION BY key) AS n FROM l),
+t(lvl, key, i, d, n) AS (
+  SELECT 0, key, i, leaf, n FROM p
+  UNION ALL
+  SELECT lvl + 1, key, i // 2, sha256(string_agg(d, '' ORDER BY i)), (n + 1) // 2
+  FROM t WHERE n > 1 GROUP BY lvl, key, i // 2, n),
+s AS (
+  SELECT key, d, row_number() OVER (ORDER BY key) - 1 AS i, count(*) OVER () AS n FROM t WHERE n = 1),
+u(lvl, i, d, n) AS (
+  SELECT 0, i, d, n FROM s
+  UNION ALL
+  SELECT lvl + 1, i // 2, sha256(string_agg(d, '' ORDER BY i)), (n + 1) // 2
+  FROM u WHERE n > 1 GROUP BY lvl, i // 2, n),
+w(r, key, lvl, i, fold, proof, n) AS (
+  SELECT r, key, 0, i, CASE WHEN tampered THEN other ELSE leaf END, '', n FROM p
+  UNION ALL
+  SELECT r, w.key, w.lvl + 1, w.i // 2, sha256(
+      CASE WHEN t.d IS NULL THEN fold WHEN w.i % 2 = 0 THEN fold || t.d ELSE t.d || fold END),
+    proof || coalesce(t.d, ''), (w.n + 1) // 2
+  FROM w LEFT JOIN t ON t.lvl = w.lvl AND t.key = w.key AND t.i = xor(w.i, 1) WHERE w.n > 1),
+x(r, lvl, i, fold, proof, n) AS (
+  SELECT r, 0, s.i, fold, proof, s.n FROM w JOIN s USING (key) WHERE w.n = 1
+  UNION ALL
+  SELECT r, x.lvl + 1, x.i // 2, sha256(
+      CASE WHEN u.d IS NULL THEN fold WHEN x.i % 2 = 0 THEN fold || u.d ELSE u.d || fold END),
+    proof || coalesce(u.d, ''), (x.n + 1) // 2
+  FROM x LEFT JOIN u ON u.lvl = x.lvl AND u.i = xor(x.i, 1) WHERE x.n > 1)
+SELECT p.doc_id, p.leaf, s.d AS subroot, u.d AS root, sha256(x.proof) AS proof_sha256, x.fold AS folded_root,
+  x.fold = u.d AS verified
+FROM p JOIN s USING (key) JOIN x ON x.r = p.r AND x.n = 1 JOIN u ON u.n = 1
+"""
+
+
+@register("op12_merkle_manifest", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from slicesync.llm.merkle import manifest
+
+    changed = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    return manifest(
+        table(spark, sf_dir, "documents"), where=changed,
+        changes={"n_chars": F.col("n_chars").cast("decimal(20,0)") + 1}).drop("copies")
