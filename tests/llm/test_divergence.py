@@ -60,6 +60,8 @@ TEXTS = [
 def test_against_brute_force(spark, least, monkeypatch):
     monkeypatch.setattr(divergence, "BLOCK_BYTES", 60)  # many blocks and buckets
     monkeypatch.setattr(divergence, "BUCKET_BYTES", 40)
+    monkeypatch.setattr(divergence, "FAN", 2)
+    monkeypatch.setattr(divergence, "PAIRS", 5)
     rows = [("en" if i % 3 else None, f"s{i % 4}" if i % 5 else None, t, i) for i, t in enumerate(TEXTS * 3)]
     rows += [("de", "only", None, 1), ("de", "other", "", 1), ("xx", "alone", "a b a", 1)]
     rows += [("en", "s1", "hot row that comes again", 7)] * 40  # repeated rows, a hot source
