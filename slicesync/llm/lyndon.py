@@ -13,9 +13,6 @@ each of those takes the next place of its group.
 
 from __future__ import annotations
 
-import heapq
-from collections import Counter
-
 import numpy as np
 
 #: Rounds in which a letter's groups are split together, as long as each settles many.
@@ -169,32 +166,43 @@ class LyndonGroups:
     def _one_by_one(self, members: np.ndarray, letter: np.ndarray) -> None:
         """The groups of one letter in descending order: what a group's members are taken in by
         moves up within its own group, by how many of them it takes in."""
-        inside = letter.tolist()
-        name = dict(zip(inside, self.name[letter].tolist()))
-        after = dict(zip(inside, self.after[letter].tolist()))
-        waiting = members.tolist()
-        taker = {after[p]: p for p in waiting}
-        size = Counter(map(name.__getitem__, waiting))
-        heap = [(-name[q], q) for q, p in taker.items() if name.get(q, -1) > name[p]]
-        heapq.heapify(heap)
+        # Members by number; the last number stands for whatever follows outside the letter.
+        low, outside = int(self.name[letter].min()), len(letter)
+        number = np.minimum(np.searchsorted(letter, self.after[letter]), outside - 1)
+        number[letter[number] != self.after[letter]] = outside
+        name, after = [*(self.name[letter] - low).tolist(), -1], [*number.tolist(), outside]
+        waiting = np.searchsorted(letter, members).tolist()
+        taker, size, ends = [-1] * (outside + 1), [0] * outside, {}
+        # What waits to be taken in, by group; a group only ever calls for smaller ones.
+        called: list[list] = [[] for _ in letter]
+        for p in waiting:
+            size[name[p]] += 1
+            taker[after[p]] = p
+        taker[outside] = -1
+        for p in waiting:
+            if name[after[p]] > name[p]:
+                called[name[after[p]]].append(after[p])
         taken, takers = [], []
-        while heap:
-            group, moved = -heap[0][0], {}
-            while heap and heap[0][0] == -group:
-                q = heapq.heappop(heap)[1]
-                p = taker.get(q)
-                if p is None or name[q] != group:
-                    continue
-                old = name[p]
-                if old >= group:
+        for group in range(outside - 1, -1, -1):
+            if not called[group]:
+                continue
+            moved: dict[int, list] = {}
+            for q in called[group]:
+                p = taker[q]
+                if p < 0 or name[q] != group or name[p] >= group:
                     continue
-                del taker[q]
+                taker[q] = -1
                 times, x = 0, q
-                while name.get(x) == group:
+                while name[x] == group:
                     taken.append(x)
                     takers.append(p)
-                    times, x = times + 1, after[x]
-                after[p], taker[x] = x, p
+                    times, last, x = times + 1, x, after[x]
+                after[p] = x
+                if x != outside:
+                    taker[x] = p
+                else:
+                    ends[p] = ends.get(last, last)
+                old = name[p]
                 if old in moved:
                     moved[old].append((times, p))
                 else:
@@ -205,21 +213,28 @@ class LyndonGroups:
                 begin = end - len(rows)
                 if len(rows) > 1:
                     rows.sort()
+                before = rows[0][0]
                 for k, (times, p) in enumerate(rows):
-                    if k and times != rows[k - 1][0]:
-                        begin = end - len(rows) + k
+                    if times != before:
+                        begin, before = end - len(rows) + k, times
                     name[p] = begin
                     size[begin] += 1
             for rows in moved.values():
                 for _, p in rows:
                     own, x = name[p], after[p]
-                    if name.get(x, -1) > own:
-                        heapq.heappush(heap, (-name[x], x))
-                    if p in taker and own > name[taker[p]]:
-                        heapq.heappush(heap, (-own, p))
-        self.name[members] = list(map(name.__getitem__, waiting))
-        self.after[members] = list(map(after.__getitem__, waiting))
-        self.before[taken] = takers
+                    if name[x] > own:
+                        called[name[x]].append(x)
+                    x = taker[p]
+                    if x >= 0 and own > name[x]:
+                        called[own].append(p)
+        every = np.append(letter, 0)
+        self.name[letter] = np.array(name[:-1]) + low
+        follows, own = np.array(after[:-1]), self.after[letter]
+        own[follows != outside] = every[follows[follows != outside]]
+        if ends:
+            own[list(ends)] = self.after[letter[list(ends.values())]]
+        self.after[letter] = own
+        self.before[letter[taken]] = letter[takers]
 
 
 def suffix_array(symbols: np.ndarray) -> np.ndarray:
