@@ -104,14 +104,6 @@ def _unpacked(path: bytes) -> list[tuple[int, list[bytes]]]:
     return out
 
 
-def _above(path: bytes, levels: int) -> bytes:
-    """The path without its first levels."""
-    at = 0
-    for _ in range(levels):
-        at += 2 + 32 * path[at + 1]
-    return path[at:]
-
-
 def ancestors(node: bytes, path: bytes) -> list[bytes]:
     """What a node and the digests beside its path give, level by level."""
     out = []
@@ -186,31 +178,36 @@ def _block_tree(depth: int, done: int):
     return build
 
 
-def paths(nodes: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """``(key, number, digest, path, copies, root)`` of nodes ``(key, place, total, number, digest,
-    changed)``: the digests beside the node's path to the key's own root, and the copies that the
-    block's version with ``changed`` has (null without)."""
-    width = FAN**depth
-    largest = nodes.agg(F.max("total")).first()[0] or 0
-    rounds, done = [], 0
-    while True:
-        blocks = nodes.withColumn("block", F.floor(F.col("place") / width))
-        built = stage(
-            blocks.groupBy("key", "block").applyInArrow(_block_tree(depth, done), _BLOCK), "merkle-blocks")
-        rounds.append(built.where("place IS NOT NULL"))
-        tops, done = built.where("place IS NULL"), done + depth
-        if _levels(largest) <= done:
-            break
-        # A key that has its root already stays one block of one node.
-        nodes = tops.select(
-            "key", F.col("block").alias("place"), "total", F.lit(None).cast("long").alias("number"), "digest",
-            F.lit(None).cast("binary").alias("changed"))
-    upper = tops.select("key", "block", F.lit(b"").alias("upper"), F.col("digest").alias("root"))
-    for rows in reversed(rounds[1:]):  # one row for each block of the round below
-        upper = rows.join(upper, ["key", "block"]).select(
-            "key", F.col("place").alias("block"), F.concat("path", "upper").alias("upper"), "root")
-    return rounds[0].join(upper, ["key", "block"]).select(
-        "key", "number", "digest", F.concat("path", "upper").alias("path"), "copies", "root")
+class Forest:
+    """The trees of all keys, for nodes ``(key, place, total, number, digest, changed)``.
+
+    ``nodes``: ``(key, block, number, digest, path, copies)``, the digests beside a node's path
+    within its block and the copies that the block's version with ``changed`` has (null without).
+    ``blocks``: ``(key, block, above, root)``, the digests beside the block's path to the key's
+    root, one row for each block."""
+
+    def __init__(self, nodes: DataFrame, depth: int):
+        width = FAN**depth
+        largest = nodes.agg(F.max("total")).first()[0] or 0
+        rounds, done = [], 0
+        while True:
+            blocks = nodes.withColumn("block", F.floor(F.col("place") / width))
+            built = stage(
+                blocks.groupBy("key", "block").applyInArrow(_block_tree(depth, done), _BLOCK), "merkle-blocks")
+            rounds.append(built.where("place IS NOT NULL"))
+            tops, done = built.where("place IS NULL"), done + depth
+            if _levels(largest) <= done:
+                break
+            # A key that has its root already stays one block of one node.
+            nodes = tops.select(
+                "key", F.col("block").alias("place"), "total", F.lit(None).cast("long").alias("number"), "digest",
+                F.lit(None).cast("binary").alias("changed"))
+        above = tops.select("key", "block", F.lit(b"").alias("above"), F.col("digest").alias("root"))
+        self.roots = above.select("key", "root")
+        for rows in reversed(rounds[1:]):  # one row for each block of the round below
+            above = rows.join(above, ["key", "block"]).select(
+                "key", F.col("place").alias("block"), F.concat("path", "above").alias("above"), "root")
+        self.nodes, self.blocks = rounds[0].drop("place", "total"), above
 
 
 MANIFEST = (
@@ -235,30 +232,34 @@ def manifest(
         # Bytewise with null first: null is the empty key, and no other is empty.
         F.coalesce(F.concat(F.lit("="), F.col(key_col).cast("string")), F.lit("")).alias("key"),
         original.alias("digest"), F.when(chosen, other).alias("changed"))
-    low = stage(paths(ranked(leaves, "key", ["number", "digest"]), depth), "merkle-paths")
-    subroots = low.select("key", "root").distinct().select(
-        F.lit("").alias("key"), F.col("key").alias("of"), F.col("root").alias("digest"))
+    low = Forest(ranked(leaves, "key", ["number", "digest"]), depth)
+    subroots = low.roots.select(F.lit("").alias("key"), F.col("key").alias("of"), F.col("root").alias("digest"))
     subroots = stage(ranked(subroots, "key", ["of"]), "merkle-subroots").withColumn("number", F.col("place"))
-    high = paths(subroots.withColumn("changed", F.lit(None).cast("binary")), depth)
-    high = subroots.select("number", F.col("of").alias("key")).join(
-        high.select("number", F.col("path").alias("beyond"), F.col("root").alias("whole")), "number").drop("number")
+    high = Forest(subroots.withColumn("changed", F.lit(None).cast("binary")), depth)
+    beyond = subroots.select("number", F.col("of").alias("key")).join(
+        high.nodes.join(high.blocks, ["key", "block"]).select(
+            "number", F.concat("path", "above").alias("beyond"), F.col("root").alias("whole")), "number")
+    # Joined to a block's one row first, so that a leaf's join has its block as key.
+    blocks = stage(
+        low.blocks.join(beyond.drop("number"), "key").select(
+            "key", "block", F.concat("above", "beyond").alias("above"), "root", "whole"), "merkle-above")
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("number", "digest", "path", "copies", "root", "beyond", "whole")
+        names = ("number", "digest", "path", "above", "copies", "root", "whole")
         for batch in batches:
             out = []
-            for number, leaf, path, copies, root, beyond, whole in zip(*(batch.column(c).to_pylist() for c in names)):
-                path, own = path + beyond, None
+            for number, leaf, path, above, copies, root, whole in zip(*(batch.column(c).to_pylist() for c in names)):
+                path, own = path + above, None
                 if copies is None:
                     last = [leaf, *ancestors(leaf, path)][-1]
-                else:  # what the block has not copied yet
+                else:  # the version goes on above its block
                     own = [copies[i : i + 32] for i in range(0, len(copies), 32)]
-                    own += ancestors(own[-1], _above(path, len(own) - 1))
+                    own += ancestors(own[-1], above)
                     last = own[-1]
                 out.append((
                     number, leaf.hex(), root.hex(), whole.hex(), proof_hash(path), last.hex(), last == whole,
                     own and [x.hex() for x in own]))
             yield from _table(out, _MANIFEST_KINDS, MANIFEST).to_batches()
 
-    return low.join(high, "key").select(
-        "number", "digest", "path", "copies", "root", "beyond", "whole").mapInArrow(fold, MANIFEST)
+    return low.nodes.join(blocks, ["key", "block"]).select(
+        "number", "digest", "path", "above", "copies", "root", "whole").mapInArrow(fold, MANIFEST)
