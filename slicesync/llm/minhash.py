@@ -8,11 +8,14 @@ some table with probability (1 - (1 - 0.8**2)**9)**2 = 0.9998, more similar ones
 
 Documents of equal sets form one class first, so copies cost one row each from there on.
 In each bucket all classes are paired with one centre: linear, however large the bucket.
-Pairs that cannot be similar enough by their sizes and sketches (one smallest hash of each
-of 512 ranges) go: a bound, no estimate. The others are confirmed on whole sets. Then
-classes that share a bucket but not a component are paired with their nearest, round by
-round while that links any, and at last with all that could still be linked to them. So
-no pair that meets in a bucket is left out unless it is in one component already.
+Pairs that cannot be similar enough by their sizes and sketches (the smallest hash of each of
+about as many ranges as the set has members) go: a bound, no estimate. The others are
+confirmed on whole sets. Buckets that still hold several components are dealt into blocks that
+meet two by two. There each pair is looked at in the first table that both its classes share;
+members that the bound leaves a partner bring their texts to the same block, where pairs are
+confirmed, nearest first, and only a spanning forest of links leaves the task. So no pair that
+meets in a bucket is left out unless it is in one component already, and no task emits more
+rows than it has members.
 
 Null or empty text, or text without words, has an empty set and links with nothing. A row
 without id links with nothing either: its component is null and it is kept. Rows with the
@@ -27,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slicesync.llm.batches import slices, words_of
@@ -39,13 +42,13 @@ SHINGLE = 5
 PERCENT = 80
 TABLES = 9
 ROWS = 2
-#: Bins of a sketch: the smallest hash of each of so many ranges of hashes, as one byte.
-BINS = 512
-#: Bins that are compared before the others.
-QUICK = 128
-#: Members of a block; a task compares two blocks of a bucket at once.
+#: Fewest bins of a sketch: the smallest hash of each of so many ranges of hashes, as one byte.
+BINS = 64
+#: Most members of a block, and shingles of them; a task compares two blocks of a bucket at once.
 CHUNK = 4096
-SMALL = 64
+CHUNK_SHINGLES = 1 << 20
+#: Members that are compared with a block's at once.
+TILE = 64
 SIGNED = (
     "doc_id long, text_hash long, n_shingles long, digest binary, first array<long>, "
     "second array<long>, sketch binary")
@@ -93,35 +96,38 @@ def _minhashes(sets: Sets, count: int) -> np.ndarray:
     return out
 
 
-def _sketch(sets: Sets) -> np.ndarray:
-    """Shape (sets that are not empty, bins): a byte of each bin's smallest hash, 0 if none.
-    Hashes are sorted, so a bin's smallest is the first that begins with its number."""
+def _bins(sizes: np.ndarray) -> np.ndarray:
+    """The power of two that a set's size does not exceed, ``BINS`` at least."""
+    return np.maximum(BINS, 1 << np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64))
+
+
+def _sketches(sets: Sets) -> list[bytes]:
+    """Of each set that is not empty: a byte of each bin's smallest hash, 0 if none. Hashes are
+    sorted, so a bin's smallest is the first that begins with its number."""
     counts = np.diff(sets.offsets)
-    full = np.cumsum(counts > 0) - 1
-    place = np.repeat(full, counts) * BINS + (sets.values >> np.uint64(55)).astype(np.int64)
+    bins = _bins(counts) * (counts > 0)
+    ends = np.cumsum(bins)
+    shift = (64 - np.log2(np.maximum(bins, 1))).astype(np.uint64)
+    place = np.repeat(ends - bins, counts) + (sets.values >> np.repeat(shift, counts)).astype(np.int64)
     first = np.flatnonzero(np.diff(place, prepend=-1))
-    out = np.zeros(int((counts > 0).sum()) * BINS, np.uint8)
+    out = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
     out[place[first]] = 1 + sets.values[first] % np.uint64(254)
-    return out.reshape(-1, BINS)
-
-
-def _near(
-    left: np.ndarray, right: np.ndarray, left_sizes: np.ndarray, right_sizes: np.ndarray, percent: int,
-) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows of left and right that may be similar enough, and how far their sketches agree:
-    some bins are compared for all of them, all bins for those that are then still possible."""
-    differ = np.zeros((len(left), len(right)), np.uint8)
-    for a, b in zip(left.T[:QUICK], right.T[:QUICK]):
-        differ += a[:, None] != b[None, :]
-    x, y = np.nonzero(_possible(differ, left_sizes[:, None], right_sizes[None, :], percent))
-    alike, good, step = np.zeros(len(x)), np.zeros(len(x), bool), 1 << 14
-    for low in range(0, len(x), step):
-        at = slice(low, low + step)
-        a, b = left[x[at]], right[y[at]]
-        unlike = (a != b).sum(axis=1)
-        good[at] = _possible(unlike, left_sizes[x[at]], right_sizes[y[at]], percent)
-        alike[at] = 1 - unlike / np.maximum(((a | b) != 0).sum(axis=1), 1)
-    return x[good], y[good], alike[good]
+    return [out[b - n : b].tobytes() for b, n in zip(ends.tolist(), bins.tolist()) if n]
+
+
+def _folded(sketches: np.ndarray, bins: int) -> np.ndarray:
+    """Rows of sketches as they would be with fewer bins."""
+    while sketches.shape[1] > bins:
+        even, odd = sketches[:, ::2], sketches[:, 1::2]
+        sketches = np.where(even != 0, even, odd)
+    return sketches
+
+
+def _unlike(left: bytes, right: bytes) -> int:
+    """How many bins differ, at the smaller number of bins."""
+    a, b = (np.frombuffer(x, np.uint8)[None, :] for x in (left, right))
+    bins = min(a.shape[1], b.shape[1])
+    return int((_folded(a, bins) != _folded(b, bins)).sum())
 
 
 def _possible(differ: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
@@ -151,7 +157,7 @@ def signatures(chosen: DataFrame, shingle: int, tables: int, rows: int) -> DataF
             halves = [
                 _keys(np.moveaxis(h.reshape(tables, rows, -1), 1, 0))
                 for h in (found[: tables * rows], found[tables * rows :])]
-            sketch = _sketch(sets)
+            sketch = _sketches(sets)
             full = np.concatenate([[0], np.cumsum(sizes > 0)])
             yield pa.RecordBatch.from_arrays([
                 part.column("doc_id"), part.column("text_hash"), pa.array(sizes),
@@ -160,17 +166,17 @@ def signatures(chosen: DataFrame, shingle: int, tables: int, rows: int) -> DataF
                 *(pa.ListArray.from_arrays(
                     pa.array((full * tables).astype(np.int32)),
                     pa.array(np.ascontiguousarray(h.T).reshape(-1).view(np.int64))) for h in halves),
-                pa.array([sketch[k].tobytes() if n else None for k, n in zip(full[:-1], sizes)], pa.binary()),
+                pa.array([sketch[k] if n else None for k, n in zip(full[:-1], sizes)], pa.binary()),
             ], ["doc_id", "text_hash", "n_shingles", "digest", "first", "second", "sketch"])
 
     return chosen.mapInArrow(sign, SIGNED)
 
 
 def _table_keys(classes: DataFrame) -> DataFrame:
-    """``(key, cls)``: the keys of all tables, each a pair of the two collections."""
+    """``(cls, table, key)``: the keys of all tables, each a pair of the two collections."""
     pairs = F.flatten(F.transform("first", lambda x, i: F.transform(
         "second", lambda y, j: F.xxhash64(x, y, i, j))))
-    return classes.select("cls", F.explode(pairs).alias("key"))
+    return classes.select("cls", F.posexplode(pairs).alias("table", "key"))
 
 
 def _agreeing(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -178,9 +184,9 @@ def _agreeing(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right = (_sketches(batch.column(c)) for c in ("left", "right"))
+            unlike = np.array(list(map(_unlike, *(batch.column(c).to_pylist() for c in ("left", "right")))), np.int64)
             sizes = (batch.column(c).to_numpy() for c in ("m", "n"))
-            good = _possible((left != right).sum(axis=1), *sizes, percent)
+            good = _possible(unlike, *sizes, percent)
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     joined = (
@@ -189,9 +195,13 @@ def _agreeing(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return joined.select("a", "b", "left", "right", "m", "n").mapInArrow(similar, "a long, b long")
 
 
-def _sketches(column: pa.Array) -> np.ndarray:
-    rows = column.to_pylist()
-    return np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), BINS)
+def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether whole sets, as sorted hashes, are similar enough."""
+    if len(a) > len(b):
+        a, b = b, a
+    at = np.searchsorted(b, a)
+    both = int((b[np.minimum(at, len(b) - 1)] == a).sum()) if len(b) else 0
+    return 100 * both >= percent * (len(a) + len(b) - both)
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -200,11 +210,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(slices(batches, "left"), "right"):
             left, right = (Sets(part.column(c), shingle) for c in ("left", "right"))
-            linked = []
-            for i in range(part.num_rows):
-                a, b = left[i], right[i]
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                linked.append(100 * both >= percent * (len(a) + len(b) - both))
+            linked = [_linked(left[i], right[i], percent) for i in range(part.num_rows)]
             yield part.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
     joined = (
@@ -213,41 +219,114 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -
     return joined.select("a", "b", "left", "right").mapInArrow(confirm, "a long, b long")
 
 
-def _compared(group: pa.Table, percent: int, every: bool) -> np.ndarray:
-    """Pairs of different components of one bucket that may be similar enough: all of them, or
-    in a bucket of more than ``SMALL`` members each one's nearest."""
-    cls, part = group.column("cls").to_numpy(), group.column("component").to_numpy()
-    sketch, sizes = _sketches(group.column("sketch").combine_chunks()), group.column("n_shingles").to_numpy()
-    left, right = (np.flatnonzero(group.column(c).to_numpy()) for c in ("left", "right"))
-    nearest = not every and group.column("members")[0].as_py() > SMALL
-    found = [np.zeros((2, 0), np.int64)]
-    for low in range(0, len(left) if len(right) else 0, 64):
-        probe = left[low : low + 64]
-        x, y, alike = _near(sketch[probe], sketch[right], sizes[probe], sizes[right], percent)
-        apart = part[probe[x]] != part[right[y]]
-        x, y, alike = x[apart], y[apart], alike[apart]
-        if nearest:  # the last of each, in order, is its nearest
-            order = np.lexsort((alike, x))
-            last = np.append(x[order][1:] != x[order][:-1], True)[: len(order)]
-            x, y = x[order][last], y[order][last]
-        found.append(np.stack([cls[probe[x]], cls[right[y]]]))
-    return np.concatenate(found, axis=1)
-
-
-def _proposals(members: DataFrame, percent: int, every: bool) -> DataFrame:
-    """Pairs of different components that share a bucket and may be similar enough; only those
-    leave a task."""
-
-    def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _first_table(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first table that each two classes share: the first key of either collection that is
+    the same. Shape (left, right)."""
+    found = []
+    for a, b in zip(left, right):
+        at = np.full((len(a), len(b)), a.shape[1], np.int16)
+        for i in range(a.shape[1] - 1, -1, -1):
+            at[a[:, i][:, None] == b[:, i][None, :]] = i
+        found.append(at)
+    return found[0] * left[1].shape[1] + found[1]
+
+
+def _differing(left: np.ndarray, right: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The chosen pairs, and how many bins of their sketches differ."""
+    x, y = np.nonzero(chosen)
+    if 8 * len(x) > chosen.size:  # most of them: whole rows of bins at once
+        unlike = np.zeros(chosen.shape, np.int32)
+        for low in range(0, left.shape[1], 255):
+            some = np.zeros(chosen.shape, np.uint8)
+            for a, b in zip(left.T[low : low + 255], right.T[low : low + 255]):
+                some += a[:, None] != b[None, :]
+            unlike += some
+        return x, y, unlike[x, y]
+    step = max(1, (1 << 22) // left.shape[1])
+    parts = [(left[x[k : k + step]] != right[y[k : k + step]]).sum(axis=1) for k in range(0, len(x), step)]
+    return x, y, np.concatenate([np.zeros(0, np.int64), *parts])
+
+
+def _possible_pairs(group: pa.Table, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of members of different components, by place in the group, that their sketches leave
+    possible, and how much of a sketch differs; each pair in the first table it shares only."""
+    part, sizes = (group.column(c).to_numpy() for c in ("component", "n_shingles"))
+    sketch = group.column("sketch").to_pylist()
+    keys = [np.array(group.column(c).to_pylist(), np.int64) for c in ("first", "second")]
+    table, bins = group.column("table")[0].as_py(), np.array(list(map(len, sketch)))
+    sides = [group.column(c).to_numpy() for c in ("left", "right")]
+    (left, right), itself = map(np.flatnonzero, sides), sides[0] & sides[1]
+    of = {n: np.frombuffer(b"".join(sketch[i] for i in np.flatnonzero(bins == n)), np.uint8).reshape(-1, n)
+          for n in np.unique(bins).tolist()}
+    row = np.zeros(len(bins), np.int64)  # place among the sketches of its size
+    for n in of:
+        row[bins == n] = np.arange(len(of[n]))
+    for m in of:
+        for n in of:
+            probes, others = left[bins[left] == m], right[bins[right] == n]
+            # A set is less than half as large as its bins are many only if those are the fewest.
+            if not len(probes) or not len(others) or 200 * min(m, n) < percent * max(m, n):
+                continue
+            b = _folded(of[n][row[others]], min(m, n))
+            for low in range(0, len(probes), TILE):
+                probe = probes[low : low + TILE]
+                chosen = (part[probe][:, None] != part[others][None, :]) & (
+                    _first_table(*([k[at] for k in keys] for at in (probe, others))) == table)
+                if m >= n:  # where a block meets itself, each pair once
+                    again = itself[probe][:, None] & itself[others][None, :]
+                    chosen &= ~(again & (probe[:, None] > others[None, :])) if m == n else ~again
+                x, y, unlike = _differing(_folded(of[m][row[probe]], min(m, n)), b, chosen)
+                good = _possible(unlike, sizes[probe[x]], sizes[others[y]], percent)
+                yield probe[x[good]], others[y[good]], unlike[good] / min(m, n)
+
+
+_MEMBER = "key long, chunk long, cls long"
+
+
+def _suspects(members: DataFrame, percent: int) -> DataFrame:
+    """The members of blocks that have a possible partner there."""
+
+    def suspect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches):
+            found = np.zeros(len(group), bool)
+            for x, y, _ in _possible_pairs(group, percent):
+                found[x] = found[y] = True
+            if found.any():
+                yield from group.select(["key", "chunk", "cls"]).filter(pa.array(found)).combine_chunks().to_batches()
+
+    return _by_block(members).mapInArrow(suspect, _MEMBER)
+
+
+def _forest(members: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links between members of blocks that have their texts with them: a spanning forest of
+    each block's components."""
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches):
-            pairs = _compared(group, percent, every)
-            if pairs.shape[1]:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(pairs.min(axis=0)), pa.array(pairs.max(axis=0))], ["a", "b"])
+            cls, part = (group.column(c).to_pylist() for c in ("cls", "component"))
+            sets, name, links = Sets(group.column("text"), shingle), {p: p for p in part}, []
+
+            def root(p: int) -> int:
+                while name[p] != p:
+                    name[p] = p = name[name[p]]
+                return p
+
+            for x, y, unlike in _possible_pairs(group, percent):
+                for at in np.argsort(unlike, kind="stable").tolist():
+                    i, j = int(x[at]), int(y[at])
+                    a, b = root(part[i]), root(part[j])
+                    if a != b and _linked(sets[i], sets[j], percent):
+                        name[a] = b
+                        links.append((cls[i], cls[j]))
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links)], ["a", "b"])
+
+    return _by_block(members).mapInArrow(link, "a long, b long")
+
 
+def _by_block(members: DataFrame) -> DataFrame:
     tasks = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = members.repartition(tasks, "key", "chunk").sortWithinPartitions("key", "chunk")
-    return dealt.mapInArrow(propose, "a long, b long").distinct()
+    return members.repartition(tasks, "key", "chunk").sortWithinPartitions("key", "chunk")
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -275,16 +354,21 @@ def _unsettled(met: DataFrame, names: DataFrame, classes: DataFrame) -> DataFram
     """Members of buckets with several components. What is outside a bucket's main component
     is dealt into blocks, and so is the main component; each block of the first kind meets
     each block of either kind once, so a group holds two blocks, however large the bucket."""
-    parts = met.select("key", "cls").join(
+    parts = met.select("key", "table", "cls").join(
         names.withColumnRenamed("node", "cls"), "cls", "left"
-    ).withColumn("component", F.coalesce("component", "cls"))
+    ).withColumn("component", F.coalesce("component", "cls")).join(classes.select("cls", "n_shingles"), "cls")
     split = (
-        parts.groupBy("key", "component").agg(F.count("*").alias("n"))
-        .groupBy("key").agg(F.max_by("component", "n").alias("main"), F.sum("n").alias("members"),
-                            F.max("n").alias("most"), F.count("*").alias("parts")).where("parts > 1"))
+        parts.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("size"))
+        .groupBy("key").agg(
+            F.max_by("component", "n").alias("main"), F.max(F.struct("n", "size")).alias("most"),
+            F.sum("n").alias("n"), F.sum("size").alias("size"), F.count("*").alias("parts")).where("parts > 1"))
+
+    def blocks_for(n: Column, size: Column) -> Column:
+        return F.ceil(F.greatest(n / CHUNK, size / CHUNK_SHINGLES)).cast("int")
+
     split = split.select(
-        "key", "main", "members", F.ceil((F.col("members") - F.col("most")) / CHUNK).cast("int").alias("outer"),
-        F.ceil(F.col("most") / CHUNK).cast("int").alias("inner"))
+        "key", "main", blocks_for(F.col("n") - F.col("most.n"), F.col("size") - F.col("most.size")).alias("outer"),
+        blocks_for(F.col("most.n"), F.col("most.size")).alias("inner"))
     outside, blocks = F.col("component") != F.col("main"), F.col("outer") + F.col("inner")
     mine = F.when(outside, F.pmod(F.xxhash64("cls"), "outer")).otherwise(
         F.col("outer") + F.pmod(F.xxhash64("cls"), "inner")).cast("int")
@@ -292,9 +376,8 @@ def _unsettled(met: DataFrame, names: DataFrame, classes: DataFrame) -> DataFram
         F.sequence(F.lit(0), F.when(outside, blocks).otherwise(F.col("outer")) - 1)))
     low, high = F.least("mine", "other"), F.greatest("mine", "other")
     return dealt.select(
-        "key", (low.cast("long") * blocks + high).alias("chunk"), "cls", "component", "members",
-        (F.col("mine") == low).alias("left"), (F.col("mine") == high).alias("right")
-    ).join(classes.select("cls", "n_shingles", "sketch"), "cls")
+        "key", (low.cast("long") * blocks + high).alias("chunk"), "table", "cls", "component",
+        (F.col("mine") == low).alias("left"), (F.col("mine") == high).alias("right"))
 
 
 def near_duplicates(
@@ -327,27 +410,25 @@ def _found(
     # one bucket: members are told by their number, ends and two 64-bit hashes.
     buckets = keys.groupBy("key").agg(
         F.min("cls").alias("centre"), F.max("cls").alias("last"), F.count("*").alias("n"),
-        F.bit_xor(F.xxhash64("cls")).alias("x"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("y")).where("n > 1")
-    buckets = buckets.groupBy("centre", "last", "n", "x", "y").agg(F.min("key").alias("key"))
-    met = stage(keys.join(buckets.select("key", "centre"), "key"), "met")
+        F.bit_xor(F.xxhash64("cls")).alias("x"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("y"),
+        F.min("table").alias("table")).where("n > 1")
+    # The first of their tables stands for them: what two members share first, all of them share.
+    buckets = buckets.groupBy("centre", "last", "n", "x", "y").agg(F.min(F.struct("table", "key")).alias("least"))
+    met = stage(keys.drop("table").join(buckets.select("least.*", "centre"), "key"), "met")
     texts = stage(_texts(chosen, classes.join(met.select("cls").distinct(), "cls", "left_semi")), "texts")
-    tried = stage(_agreeing(
+    likely = _agreeing(
         met.where("cls <> centre").select(F.col("centre").alias("a"), F.col("cls").alias("b")).distinct(),
-        classes, percent), "tried")
-    links = _confirmed(tried, texts, shingle, percent)
+        classes, percent)
+    links = _confirmed(likely, texts, shingle, percent)
     links = stage(links.unionAll(_same_id(known, classes)) if by_id else links, "links")
-    names, every = components(links), False
-    while True:
-        fresh = stage(_proposals(_unsettled(met, names, classes), percent, every).join(
-            tried, ["a", "b"], "left_anti"), "proposals")
-        more = stage(_confirmed(fresh, texts, shingle, percent), "links")
-        tried, linked = tried.unionAll(fresh), not more.isEmpty()
-        if linked:
-            links = links.unionAll(more)
-            names = components(links)
-        if every:
-            break
-        every = not linked  # the last pass, when nearer ones link no more
+    names = components(links)
+    members = stage(_unsettled(met, names, classes), "members")
+    compared = classes.select("cls", "n_shingles", "sketch", "first", "second")
+    found = stage(_suspects(members.join(compared, "cls"), percent), "suspects")
+    more = stage(_forest(
+        members.join(found, ["key", "chunk", "cls"]).join(compared, "cls").join(texts, "cls"), shingle, percent), "links")
+    if not more.isEmpty():
+        names = components(links.unionAll(more))
     return signed, classes, names
 
 
@@ -391,10 +472,18 @@ def one_of_each(
         classes.select("cls", row.alias("row")).join(names.withColumnRenamed("node", "cls"), "cls", "left")
         .groupBy(F.coalesce("component", "cls")).agg(F.min("row").alias("row")).select("row.*"))
     alone = signed.where("digest IS NULL AND doc_id IS NOT NULL").select("doc_id", "text_hash")
-    kept = first.unionAll(alone).select(F.col("doc_id").alias("_row_id"), F.col("text_hash").alias("_row_text"))
+    keys = [_unused(docs, "row_id"), _unused(docs, "row_text")]
+    kept = first.unionAll(alone).select(F.col("doc_id").alias(keys[0]), F.col("text_hash").alias(keys[1]))
     named = docs.where(F.col(id_col).isNotNull()).withColumns({
-        "_row_id": F.col(id_col).cast("long"), "_row_text": F.xxhash64(F.col(text_col).cast("string"))})
+        keys[0]: F.col(id_col).cast("long"), keys[1]: F.xxhash64(F.col(text_col).cast("string"))})
     # The join has dealt the rows by id and text, so that dropping rows equal in them costs no shuffle.
-    keys = ["_row_id", "_row_text"]
     stay = named.join(kept, keys, "left_semi").dropDuplicates(keys).drop(*keys)
     return stay.unionAll(docs.where(F.col(id_col).isNull()))
+
+
+def _unused(docs: DataFrame, name: str) -> str:
+    """A name that no column of ``docs`` has, whatever the case."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name

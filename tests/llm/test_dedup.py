@@ -97,6 +97,15 @@ def test_minhash_of_edge_cases(edge_docs, no_docs):
     assert sorted(-1 if r.doc_id is None else r.doc_id for r in stay.collect()) == [-1, *(i for i in range(18) if i != 15)]
 
 
+def test_columns_with_clashing_names_stay(spark):
+    docs = spark.createDataFrame(
+        [(1, "a b c d e f", 7, "x", 1, 2), (2, "a b c d e f", 8, "y", 3, 4), (3, None, 9, "z", 5, 6)],
+        "doc_id long, text string, _row_id long, _row_text string, ROW_ID int, row_text int")
+    stay = minhash.one_of_each(docs)
+    assert stay.columns == docs.columns
+    assert sorted(map(tuple, stay.collect())) == [(1, "a b c d e f", 7, "x", 1, 2), (3, None, 9, "z", 5, 6)]
+
+
 def test_rows_of_one_id_with_different_texts_stay(spark):
     a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
     rows = [(1, a), (1, b), (2, b + " more"), (3, a + " more"), (3, c), (4, c), (4, c), (5, ""), (5, None)]
@@ -121,9 +130,9 @@ def hot(spark):
     return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), texts
 
 
-@pytest.mark.parametrize("small", [64, 4])
-def test_minhash_loses_no_link_of_a_hot_group(hot, monkeypatch, small):
-    monkeypatch.setattr(minhash, "SMALL", small)
+@pytest.mark.parametrize("tile", [64, 4])
+def test_minhash_loses_no_link_of_a_hot_group(hot, monkeypatch, tile):
+    monkeypatch.setattr(minhash, "TILE", tile)
     monkeypatch.setattr(minhash, "CHUNK", 32)
     docs, texts = hot
     _, names = groups(texts, 5, 80)
@@ -136,7 +145,7 @@ def test_no_pair_is_lost_by_its_sketch(spark):
     each = [f"w{i}" for i in range(20_000)]
     bins = defaultdict(list)
     for word, value in zip(each, minhash.Sets(pa.array(each), 1).values):
-        bins[int(value) >> 55].append(word)
+        bins[int(value) >> 57].append(word)  # sets of 90 have 128 bins
     texts = []
     for k in range(8):
         common = [w for at in range(k * 4, k * 4 + 4) for w in bins[at][:20]]
@@ -149,6 +158,62 @@ def test_no_pair_is_lost_by_its_sketch(spark):
     assert [got[k].component_id for k in range(16)] == names
 
 
+@pytest.fixture(scope="module")
+def long_documents(spark):
+    """400 documents of 3,200 words that share 60 % of them, none similar enough but for a few."""
+    random = np.random.default_rng(11)
+    common = [f"c{i}" for i in range(1920)]
+    texts = [" ".join([*common, *(f"u{k}x{i}" for i in range(1280))]) for k in range(400)]
+    for k in (3, 7, 50, 399):  # near copies, some of them of copies
+        own = texts[k - 3].split()
+        for at in random.choice(len(own), 40, replace=False):
+            own[at] = f"e{k}x{at}"
+        texts[k] = " ".join(own)
+    return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), texts
+
+
+def test_long_documents_that_share_a_passage(long_documents, monkeypatch):
+    monkeypatch.setattr(minhash, "CHUNK", 128)
+    suspects, forests = [], []
+    for name, kept in (("_suspects", suspects), ("_forest", forests)):
+        plain = getattr(minhash, name)
+        monkeypatch.setattr(minhash, name, lambda *a, plain=plain, kept=kept: kept.append(plain(*a)) or kept[-1])
+    docs, texts = long_documents
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs).collect()}
+    assert [got[k] for k in range(400)] == groups(texts, 5, 80)[1]
+    assert got[3] == 0 and got[7] == 4 and got[399] == 396
+    # Only members with a possible partner come back with their texts, and no pair leaves a task.
+    assert suspects[0].count() <= 20 and forests[0].count() <= suspects[0].count()
+
+
+def test_a_block_emits_a_spanning_forest(spark):
+    """All 60 are near copies of each other, but only through one another: a chain of edits."""
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join([f"e{i}" for i in range(k)] + words[k:]) for k in range(0, 300, 5)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    signed = minhash.signatures(docs.selectExpr("doc_id", "text", "0L AS text_hash"), 5, 1, 1)
+    members = signed.join(docs, "doc_id").selectExpr(
+        "1L AS key", "0L AS chunk", "doc_id AS cls", "doc_id AS component", "true AS left", "true AS right",
+        "n_shingles", "sketch", "array(1L) AS first", "array(1L) AS second", "0 AS table", "text")
+    links = [tuple(r) for r in minhash._forest(members, 5, 80).collect()]
+    assert len(links) == 59
+    got = dict(components(spark.createDataFrame(links, "a long, b long")).collect())
+    assert [got[k] for k in range(60)] == groups(texts, 5, 80)[1] == [0] * 60
+    assert {r.cls for r in minhash._suspects(members, 80).collect()} == set(range(60))
+
+
+def test_sketches_fold():
+    sets = minhash.Sets(pa.array([" ".join(f"w{i}" for i in range(n)) for n in (40, 100, 700, 3000)]), 1)
+    for k, sketch in enumerate(minhash._sketches(sets)):
+        bins = len(sketch)
+        assert bins == max(64, 1 << (len(sets[k]) - 1).bit_length())
+        shift = 64 - (bins // 4).bit_length() + 1
+        folded = minhash._folded(np.frombuffer(sketch, np.uint8)[None, :], bins // 4)[0]
+        for at in range(bins // 4):
+            own = [int(v) for v in sets[k] if int(v) >> shift == at]
+            assert folded[at] == (1 + min(own) % 254 if own else 0)
+
+
 def test_sketches_bound_what_sets_can_share():
     size = np.array(810)  # two such sets need 720 in common
     assert minhash._possible(np.array([180, 181, 182]), size, size, 80).tolist() == [True, False, False]
@@ -160,10 +225,10 @@ def test_a_bucket_of_many_components_is_dealt_into_bounded_groups(spark, monkeyp
     monkeypatch.setattr(minhash, "CHUNK", 32)
     members = range(300)
     part = {c: 1000 if c < main else c for c in members}
-    met = spark.createDataFrame([(1, c) for c in members] + [(2, 0), (2, 299)], "key long, cls long")
+    met = spark.createDataFrame(
+        [(1, 5, c) for c in members] + [(2, 7, 0), (2, 7, 299)], "key long, table int, cls long")
     names = spark.createDataFrame([(c, 1000) for c in range(main)], "node long, component long")
-    classes = spark.createDataFrame([(c, 9, b"\0" * minhash.BINS) for c in members],
-                                    "cls long, n_shingles long, sketch binary")
+    classes = spark.createDataFrame([(c, 9) for c in members], "cls long, n_shingles long")
     rows, pairs = defaultdict(list), Counter()
     for r in minhash._unsettled(met, names, classes).collect():
         rows[r.key, r.chunk].append(r)
@@ -180,7 +245,7 @@ def test_tables_are_pairs_of_two_collections(spark, hot):
     docs, _ = hot
     signed = minhash.signatures(docs.selectExpr("doc_id", "text", "0L AS text_hash"), 5, 3, 2)
     row = signed.where("doc_id = 0").first()
-    assert len(row["first"]) == len(row["second"]) == 3 and len(row.sketch) == minhash.BINS
+    assert len(row["first"]) == len(row["second"]) == 3 and len(row.sketch) == 128
     assert minhash._table_keys(signed.withColumnRenamed("doc_id", "cls")).where("cls = 0").count() == 9
 
 
