@@ -46,12 +46,12 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("op8_token_files")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from slicesync.llm.tokenfiles import read_token_files, with_crc32, write_token_files
+    from slicesync.llm.tokenfiles import read_checksums, write_token_files
 
     folder = run_dir(spark, "tokens")
     write_token_files(
         table(spark, sf_dir, "documents"), folder, tokenizer_path("byte_bpe_50k.json"), END_ID)
-    return with_crc32(read_token_files(spark, folder))
+    return read_checksums(spark, folder)
 
 
 @register("op3_substring_dedup")

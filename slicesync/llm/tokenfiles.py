@@ -7,7 +7,8 @@ temporary file. Rows of a file carry where their ids start in the file, so a rea
 wants a few documents, or no ids at all, reads only those pages.
 
 Null text is empty text (only the end id). Null ids of documents come first. Rows with
-the same id are ordered by a hash of their text. An empty table gives no files and no rows.
+the same id keep the order of the input, and many of them are dealt over several files. An
+empty table gives no files and no rows.
 """
 
 from __future__ import annotations
@@ -133,9 +134,10 @@ def write_token_files(
 
     chosen = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
-    shards = shards_for(chosen, "text")
-    ordered = chosen.repartitionByRange(shards, *order).sortWithinPartitions(*order)
+    # The place in the input splits rows of one id; ranges are found without reading a text.
+    order = [F.col("doc_id").asc_nulls_first(), F.col("place")]
+    placed = chosen.withColumn("place", F.monotonically_increasing_id())
+    ordered = placed.repartitionByRange(shards_for(chosen, "text"), *order).sortWithinPartitions(*order)
     ordered.mapInArrow(write, MANIFEST).write.parquet(f"{folder}/manifest")
     return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
@@ -154,30 +156,49 @@ def file_starts(manifest: DataFrame) -> DataFrame:
 
 
 def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
-    """Rows ``(doc_id, start, n_tokens, ids)`` of the committed files; filters reach the pages."""
+    """Rows ``(doc_id, start, n_tokens, ids)`` of the committed files; filters reach the pages.
+    Only the files that the manifest lists are opened; their names are all the driver gets."""
     folder = qualified(spark, folder)
     manifest = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
     schema = "doc_id long, shard int, part int, start_in_file long, n_tokens int, ids array<int>"
-    if manifest.isEmpty():
-        rows = spark.createDataFrame([], schema)
-    else:
-        rows = spark.read.schema(schema).parquet(f"{folder}/data")
+    names = [f"{folder}/data/{r.name}" for r in manifest.select("name").collect()]
+    rows = spark.read.schema(schema).parquet(*names) if names else spark.createDataFrame([], schema)
     return rows.join(file_starts(manifest), ["shard", "part"]).select(
         "doc_id", (F.col("file_start") + F.col("start_in_file")).alias("start"),
         F.col("n_tokens").cast("long").alias("n_tokens"), "ids")
 
 
-def with_crc32(rows: DataFrame) -> DataFrame:
-    """``(doc_id, start, n_tokens, ids_crc32)`` of rows with ``ids``."""
+def read_checksums(spark: SparkSession, folder: str) -> DataFrame:
+    """``(doc_id, start, n_tokens, ids_crc32)`` of the committed files, a row group at a time:
+    each task opens files that the manifest lists and sends no ids on."""
+    folder = qualified(spark, folder)
+    manifest = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
+    files = manifest.select("shard", "part", "name").join(file_starts(manifest), ["shard", "part"])
 
-    def crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store = None
         for batch in batches:
-            ids = batch.column("ids")
-            bounds, flat = ids.offsets.to_numpy(), ids.values.to_numpy().astype("<u4")
-            sums = [zlib.crc32(flat[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("start"), batch.column("n_tokens"),
-                 pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return rows.select("doc_id", "start", "n_tokens", "ids").mapInArrow(
-        crc, "doc_id long, start long, n_tokens long, ids_crc32 long")
+            for name, start in zip(*(batch.column(c).to_pylist() for c in ("name", "file_start"))):
+                store = store or Files(f"{folder}/data")
+                with store.store.open_input_file(f"{store.root}/{name}") as source:
+                    file = pq.ParquetFile(source)
+                    for number in range(file.num_row_groups):
+                        rows = file.read_row_group(number, ["doc_id", "start_in_file", "ids"]).combine_chunks()
+                        for part in rows.to_batches():
+                            yield _checksums(part, start)
+
+    count = max(1, min(manifest.count(), 10_000))
+    return files.repartition(count, "name").select("name", "file_start").mapInArrow(read, CHECKSUMS)
+
+
+CHECKSUMS = "doc_id long, start long, n_tokens long, ids_crc32 long"
+
+
+def _checksums(part: pa.RecordBatch, start: int) -> pa.RecordBatch:
+    ids = part.column("ids")
+    bounds, flat = ids.offsets.to_numpy(), ids.values.to_numpy().astype("<u4", copy=False)
+    sums = [zlib.crc32(flat[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+    return pa.RecordBatch.from_arrays(
+        [part.column("doc_id"), pa.array(part.column("start_in_file").to_numpy() + start),
+         pa.array(np.diff(bounds).astype(np.int64)), pa.array(sums, pa.int64())],
+        ["doc_id", "start", "n_tokens", "ids_crc32"])

@@ -11,7 +11,7 @@ from slicesync.llm import lexicon as lx
 from slicesync.llm.bytebpe import ByteBpe
 from slicesync.llm.packing import best_fit, pack, token_pieces
 from slicesync.llm.queries import QUERIES
-from slicesync.llm.tokenfiles import read_token_files, with_crc32, write_token_files
+from slicesync.llm.tokenfiles import read_checksums, read_token_files, write_token_files
 
 END = 2
 
@@ -115,7 +115,24 @@ def test_token_files_roll_and_are_read_selectively(spark, edge_docs, no_docs, by
     assert [r.ids for r in some.collect()] == [ids.tolist() for i, ids in expected if i == 6]
     assert "EqualTo(doc_id,6)" in some._jdf.queryExecution().toString()
     write_token_files(no_docs, f"{folder}-none", byte_bpe, END)
-    assert with_crc32(read_token_files(spark, f"{folder}-none")).count() == 0
+    assert read_token_files(spark, f"{folder}-none").count() == 0
+    assert read_checksums(spark, f"{folder}-none").count() == 0
+
+
+def test_only_listed_token_files_are_read(spark, edge_docs, byte_bpe, tmp_path):
+    """A file of another attempt, with the same shard and part, is not in the manifest."""
+    folder = tmp_path / "t"
+    write_token_files(edge_docs, str(folder), byte_bpe, END, file_tokens=2000)
+    one = next((folder / "data").glob("tokens-*.parquet"))
+    one.with_name("tokens-of-a-lost-attempt.parquet").write_bytes(one.read_bytes())
+    one.with_name("tokens-99999-00000.parquet").write_bytes(b"not a file of rows")
+    expected = ids_of(edge_docs, byte_bpe)
+    assert read_token_files(spark, str(folder)).count() == len(expected)
+    sums = read_checksums(spark, str(folder)).collect()
+    assert sorted((r.doc_id or -1, r.n_tokens, r.ids_crc32) for r in sums) == sorted(
+        (i or -1, len(ids), zlib.crc32(ids.tobytes())) for i, ids in expected)
+    starts = sorted((r.start, r.n_tokens) for r in sums)
+    assert starts[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:]))
 
 
 def test_token_files_are_delta_encoded_with_page_indexes(spark, sf_dir, byte_bpe, tmp_path):
