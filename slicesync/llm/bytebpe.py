@@ -15,15 +15,15 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from slicesync.llm.batches import plain_text
+from slicesync.llm.batches import gather, plain_text
 
 # White space of Unicode, and the separators that some libraries count too.
 _BLANK = (
     r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}"
     r"\x{3000}]"
 )
-#: Words that one generation of the cache holds; two generations are kept.
-CACHE_WORDS = 250_000
+#: Words whose ids a worker keeps, or those of one batch if they are more.
+CACHE_WORDS = 1 << 20
 #: Bytes of text to encode at once: the more, the fewer words are looked up again.
 ENCODED_BYTES = 8 << 20
 _JOINED = 64
@@ -46,8 +46,8 @@ class ByteBpe:
             self.width[number] = len(token)  # one character for each byte
         special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.odd = "|".join([_BLANK + "{2}", *(pc_escape(s) for s in special)])
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.known = pa.array([], pa.large_string())  # words as they stand between spaces
+        self.ids, self.starts = np.zeros(0, np.uint32), np.zeros(1, np.int64)  # and their ids
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
@@ -66,40 +66,59 @@ class ByteBpe:
         raw, stops = ids.tobytes(), [0, *(4 * cuts + 4).tolist()]
         return [raw[a:b] for a, b in zip(stops[:-1], stops[1:])]
 
-    def _lookup(self, words: list[str]) -> list[bytes]:
-        young, old = self.young, self.old
-        values = [young.get(w) for w in words]
-        new, alone = [], []
-        for at, value in enumerate(values):
-            if value is None:
-                word = words[at]
-                value = old.get(word)
-                if value is None:
-                    (new if word[:1] in (" ", "\n") and not word[-1:].isspace() else alone).append(at)
-                else:
-                    young[word] = values[at] = value
-        for first in range(0, len(new), _JOINED):
-            part = new[first : first + _JOINED]
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words with what stands before them."""
+        values: list[bytes] = [b""] * len(words)
+        many, alone = [], []
+        for at, word in enumerate(words):
+            (many if word[:1] in (" ", "\n") and not word[-1:].isspace() else alone).append(at)
+        for first in range(0, len(many), _JOINED):
+            part = many[first : first + _JOINED]
             for at, value in zip(part, self._joined([words[i] for i in part])):
-                young[words[at]] = values[at] = value
+                values[at] = value
         for at, value in zip(alone, self._whole([words[i] for i in alone]) if alone else ()):
-            young[words[at]] = values[at] = value
-        if len(young) > CACHE_WORDS:
-            self.young, self.old = {}, young
+            values[at] = value
         return values
 
+    def _known(self, words: pa.Array) -> np.ndarray:
+        """The place of each word among the known ones; new words are encoded first."""
+        at = pc.index_in(words, value_set=self.known)
+        new = words.filter(at.is_null())
+        if len(new) + len(self.known) > CACHE_WORDS:  # keep those that are used now
+            used = np.unique(at.drop_null().to_numpy())
+            sizes = np.diff(self.starts)[used]
+            self.ids = self.ids[gather(self.starts[used], sizes)]
+            self.known, self.starts = self.known.take(pa.array(used)), np.append(0, np.cumsum(sizes))
+            at = None
+        if len(new):
+            # One space stands before each, but for those that begin a line.
+            values = self._words([w if w[:1] == "\n" else " " + w for w in new.to_pylist()])
+            sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
+            self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(values), np.uint32)])
+            self.starts = np.append(self.starts, self.starts[-1] + np.cumsum(sizes))
+            first = len(self.known)
+            self.known = pa.concat_arrays([self.known, new])
+            if at is not None:
+                found = at.fill_null(0).to_numpy().astype(np.int64)
+                found[at.is_null().to_numpy(zero_copy_only=False)] = np.arange(first, first + len(new))
+                return found
+        return (pc.index_in(words, value_set=self.known) if at is None else at).to_numpy().astype(np.int64)
+
     def _regular(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         pieces = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
         bounds = pieces.offsets.to_numpy() - pieces.offsets[0].as_py()
         flat = pieces.flatten()
         inner, firsts = flat.dictionary_encode(), flat.take(pa.array(bounds[:-1])).dictionary_encode()
-        words = [w if w[:1] == "\n" else " " + w for w in inner.dictionary.to_pylist()]
+        known = self._known(inner.dictionary)
+        begun = self._words(firsts.dictionary.to_pylist())  # no space before the first
+        ids = np.concatenate([self.ids, np.frombuffer(b"".join(begun), np.uint32)])
+        lengths = np.fromiter(map(len, begun), np.int64, len(begun)) // 4
+        starts = np.append(self.starts[known], len(self.ids) + np.cumsum(lengths) - lengths)
+        lengths = np.append((self.starts[1:] - self.starts[:-1])[known], lengths)
         codes = inner.indices.to_numpy().astype(np.int64)
-        codes[bounds[:-1]] = firsts.indices.to_numpy() + len(words)  # no space before the first
-        values = self._lookup(words + firsts.dictionary.to_pylist())
-        lengths = np.fromiter(map(len, values), np.int64, len(values)) // 4
-        ids = np.frombuffer(b"".join(map(values.__getitem__, codes.tolist())), np.uint32)
-        return ids, np.concatenate([[0], np.cumsum(lengths[codes])])[bounds]
+        codes[bounds[:-1]] = firsts.indices.to_numpy() + len(known)
+        sizes = lengths[codes]
+        return ids[gather(starts[codes], sizes)], np.concatenate([[0], np.cumsum(sizes)])[bounds]
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids (uint32) and the offsets of each text's ids; null is empty text."""
