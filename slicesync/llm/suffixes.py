@@ -6,7 +6,8 @@ that starts anywhere else too goes, same text included. Matches never cross text
 1. A window's anchor is the smallest hash of its ``gram``-byte strings, so equal windows have
    equal anchors. Consecutive windows of one anchor are a run. A block sends each bucket its
    distinct anchors and the hashes of its distinct whole runs, packed. A run that occurs twice
-   is a copy: all of it repeats, and it is looked at once from here on. An anchor that
+   is a copy: all of it repeats, and from here on only the first block that has it looks at
+   it, once. An anchor that
    occurs in different runs, or several times in one, leaves open which of their windows are
    equal; any other anchor leaves nothing to compare.
 2. Each block writes the windows of its open runs, every different run once, into parts of
@@ -39,10 +40,9 @@ from slicesync.llm.hashing import BASES, mixed
 from slicesync.llm.lyndon import suffix_array
 
 WIDTH = 200
-GRAM = 100
 BLOCK_BYTES = 4 << 20
 #: Windows that are hashed at once, and bytes of one suffix array.
-SLICE = 1 << 20
+SLICE = 1 << 17
 PART = 3 << 17
 BUCKET_VALUES = 1 << 21
 _SENT = pa.schema([
@@ -54,7 +54,7 @@ _MARKS_DDL = "block int, bucket int, kind int, marks binary"
 _JUDGED = (
     "n_bytes long, n_removed long, n_spans long, kept binary, "
     "removed array<struct<start: int, stop: int>>")
-ANCHORS, RUNS, WINDOWS = 0, 1, 2
+ANCHORS, RUNS, WINDOWS, LEADS = 0, 1, 2, 3
 _BYTES = mixed(np.arange(1, 513, dtype=np.uint64) << np.uint64(20)).reshape(2, 256)
 
 
@@ -86,12 +86,12 @@ class _Hasher:
 
 
 def _least(values: np.ndarray, width: int) -> np.ndarray:
-    """Smallest of every ``width`` consecutive values, from minima towards both ends of blocks."""
-    n, fill = len(values), -len(values) % width
-    rows = np.concatenate([values, np.full(fill, np.iinfo(np.uint64).max)]).reshape(-1, width)
-    ahead = np.minimum.accumulate(rows, axis=1).ravel()
-    back = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
-    return np.minimum(back[: n - width + 1], ahead[width - 1 : n])
+    """Smallest of every ``width`` consecutive values, from those of half as many."""
+    have = 1
+    while 2 * have <= width:
+        values, have = np.minimum(values[:-have], values[have:]), 2 * have
+    more = width - have
+    return np.minimum(values[: len(values) - more], values[more:]) if more else values
 
 
 def _several(grams: np.ndarray, least: np.ndarray, first: np.ndarray, stop: np.ndarray, within: int) -> np.ndarray:
@@ -150,6 +150,13 @@ class _Runs:
             if len(part) >= self.width:
                 yield at, part
 
+    def opened(self, answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """The runs whose windows this block compares, each different one once, and which runs are
+        copies. An open run that is no copy is compared by its own block."""
+        led = self.runs.first[self.runs.answered(answers, LEADS)]
+        led = led[self.anchors.answered(answers, ANCHORS)[self.anchors.number[led]]]
+        return np.sort(led), self.runs.answered(answers, RUNS)[self.runs.number]
+
     def windows(self, chosen: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Places, buckets and values of the windows of the chosen runs."""
         steps = np.zeros(len(self.raw) + 1, np.int8)
@@ -218,7 +225,7 @@ def _marks(table: pa.Table) -> pa.Table:
         packed, extra = rows.column("values").to_pylist(), rows.column("extra").to_pylist()
         sizes = [len(v) // 8 for v in packed]
         value = np.frombuffer(b"".join(packed), np.uint64)
-        order = np.argsort(value, kind="stable")
+        order = np.lexsort((np.repeat(rows.column("block").to_numpy(), sizes), value))
         same = value[order][1:] == value[order][:-1]
         group = np.cumsum(np.concatenate([[0], ~same]))
         if kind == ANCHORS:
@@ -230,13 +237,17 @@ def _marks(table: pa.Table) -> pa.Table:
             twice = np.concatenate([
                 np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x, n in zip(extra, sizes)])[order]
             good = np.bincount(group, weights=twice) + (np.bincount(group) > 1) > 0
-        answer = np.empty(len(value), bool)
-        answer[order] = good[group]
+        answers = [(kind, good[group])]
+        if kind == RUNS:  # the first block that has it, whatever the order of the rows
+            answers.append((LEADS, np.concatenate([[True], ~same])))
         cuts = np.cumsum([0, *sizes])
-        out.append(pa.Table.from_arrays([
-            rows.column("block"), rows.column("bucket"), rows.column("kind"),
-            pa.array([np.packbits(answer[a:b]).tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary()),
-        ], schema=_MARKS))
+        for name, found in answers:
+            answer = np.empty(len(value), bool)
+            answer[order] = found
+            out.append(pa.Table.from_arrays([
+                rows.column("block"), rows.column("bucket"), pa.array(np.full(len(rows), name, np.int32)),
+                pa.array([np.packbits(answer[a:b]).tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary()),
+            ], schema=_MARKS))
     return pa.concat_tables(out)
 
 
@@ -285,13 +296,13 @@ def remove_repeats(
 ) -> DataFrame:
     """``(row, n_bytes, n_removed, n_spans, kept, removed)``: the document's other columns, the
     bytes that are left, and the spans of bytes that went."""
-    gram = gram or max(1, width // 2)
+    gram = gram or max(1, 2 * width // 3)
     others = [F.col(c) for c in docs.columns if c != text_col]
     chosen = docs.select(
         F.struct(*others).alias("row"), F.col(text_col).cast("string").alias("text"))
     total = int(chosen.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     blocks = total // BLOCK_BYTES + 1
-    # Two windows of three begin a run at most, on average one of half the grams of a window.
+    # On average a run is half as long as a window has grams, and sends two values.
     buckets = total * 4 // max(1, width - gram) // BUCKET_VALUES + 1
     window_buckets = total // BUCKET_VALUES // 4 + 1
     dealt = chosen.withColumn(
@@ -310,11 +321,9 @@ def remove_repeats(
 
     def second(table: pa.Table, answers: pa.Table) -> pa.Table:
         found = _Runs(table.column("text"), width, gram, buckets)
-        opened = found.anchors.answered(answers, ANCHORS)[found.anchors.number]
-        chosen = np.zeros(len(opened), bool)
-        chosen[found.runs.first] = opened[found.runs.first]  # each different run once
-        at, bucket, value = found.windows(np.flatnonzero(chosen), window_buckets)
-        again = np.repeat(found.runs.twice[found.runs.number[chosen]], (found.stop - found.first)[chosen])
+        chosen, copied = found.opened(answers)
+        at, bucket, value = found.windows(chosen, window_buckets)
+        again = np.repeat(copied[chosen], (found.stop - found.first)[chosen])
         kept = [(np.zeros(0, np.int64), np.zeros(0, bool))]
         for part in _stretches(found.first[chosen], found.stop[chosen], width, PART):
             order, number = equal_windows(found.raw, part, width)
@@ -330,9 +339,8 @@ def remove_repeats(
 
     def third(table: pa.Table, answers: pa.Table) -> pa.Table:
         found = _Runs(table.column("text"), width, gram, buckets)
-        opened = found.anchors.answered(answers, ANCHORS)[found.anchors.number]
-        copied = found.runs.answered(answers, RUNS)[found.runs.number]
-        at, bucket, value = found.windows(np.flatnonzero(opened), window_buckets)
+        chosen, copied = found.opened(answers)
+        at, bucket, value = found.windows(chosen, window_buckets)
         windows = _Distinct(bucket, value)
         hits = at[windows.answered(answers, WINDOWS)[windows.number]]
         steps = np.zeros(len(found.raw) + 1, np.int32)
