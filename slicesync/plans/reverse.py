@@ -103,7 +103,7 @@ class EventApplier:
             raise A.ApplyError("duplicate primary keys in the source of an update")
         target = self.open_target(event["target_table"])
         current = target.read()
-        hits = keep_slices(current, source.select(*keys), keys)
+        hits = keep_slices(current, source.select(*keys).na.drop("any"), keys)  # a NULL key meets nothing
         if not target.partition_by:
             affected = hits.count()
             if affected:
