@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from slicesync.functions.periods import moment_literal, now_utc
 from slicesync.operators.events import queue_order
-from slicesync.plans.reverse import DEFAULT_MAX_DELETE_ROWS, RESULT_SCHEMA
+from slicesync.plans.reverse import DEFAULT_MAX_DELETE_ROWS, RESULT_SCHEMA, EventApplier, apply_events
 from slicesync.session import local_rows, stage
 from slicesync.sources.versions import VersionedTable
 
@@ -103,6 +103,15 @@ def fold_events(
     return stage(_results(queue, _union(outcomes), clock()), "results")
 
 
+def apply_all(events: DataFrame, applier: EventApplier) -> DataFrame:
+    """What ``apply_events`` gives. An applier that asks Python for permissions or caps, event by
+    event, can only do so one event after the other."""
+    if applier.allowed is not None or applier.delete_cap_of is not None:
+        return apply_events(events, applier)
+    return fold_events(
+        events, NamedSources(applier.read_source), applier.open_target, applier.max_delete_rows, clock=applier.clock)
+
+
 def _header_problem() -> Column:
     """What is wrong with an event by its header alone."""
     operation, keyless = F.col("operation"), F.size("keys") == 0

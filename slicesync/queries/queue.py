@@ -13,7 +13,8 @@ from slicesync.operators import apply as A
 from slicesync.operators import events as E
 from slicesync.operators.audit import audit_rows, search, severity
 from slicesync.operators.permissions import decide
-from slicesync.plans.reverse import EventApplier, apply_events
+from slicesync.plans.fold import RowSource, apply_all, fold_events
+from slicesync.plans.reverse import EventApplier
 from slicesync.queries.joins import (
     GRANTS_SQL,
     UPDATED_SQL,
@@ -94,14 +95,14 @@ DELETE = {"operation": "DELETE", "filter_conditions": json.dumps({"o_orderstatus
 @query("rev1_insert", "SELECT * FROM orders")
 def rev1(spark, sf_dir):
     desk = Desk(spark, sf_dir)
-    apply_events(desk.queue(INSERT), desk.applier())
+    apply_all(desk.queue(INSERT), desk.applier())
     return desk.target("dbo.orders").read()
 
 
 @query("rev2_update", UPDATED_SQL.format(extra="") + " WHERE o_orderdate < '2001-01-01'")
 def rev2(spark, sf_dir):
     desk = Desk(spark, sf_dir)
-    apply_events(desk.queue(UPDATE), desk.applier())
+    apply_all(desk.queue(UPDATE), desk.applier())
     return desk.target("dbo.orders").read()
 
 
@@ -111,7 +112,7 @@ def rev2(spark, sf_dir):
 )
 def rev3(spark, sf_dir):
     desk = Desk(spark, sf_dir)
-    apply_events(desk.queue(DELETE), desk.applier())
+    apply_all(desk.queue(DELETE), desk.applier())
     return desk.target("dbo.orders").read()
 
 
@@ -126,7 +127,7 @@ def rev3(spark, sf_dir):
 def rev3_over_cap(spark, sf_dir):
     """A delete beyond the cap is refused whole."""
     desk = Desk(spark, sf_dir)
-    results = apply_events(desk.queue(DELETE), desk.applier(max_delete_rows=1))
+    results = apply_all(desk.queue(DELETE), desk.applier(max_delete_rows=1))
     left = desk.target("dbo.orders").read().agg(F.count(F.lit(1)).alias("rows_left"))
     return results.select(
         "status", "rows_affected", F.col("error_message").contains("1").alias("says_why"),
@@ -217,7 +218,86 @@ def rev6(spark, sf_dir):
         {"operation": "DELETE", "filter_conditions": "{}"},
         {"operation": "DELETE", "filter_conditions": "{not json"},
     )
-    return apply_events(events, desk.applier()).drop("processed_at")
+    return apply_all(events, desk.applier()).drop("processed_at")
+
+
+# Every row of ``events`` is an event of its own, over three targets that begin with the customers.
+FOLD_CTE = """
+e AS (
+  SELECT 'ev-' || event_id AS event_id, event_id % 3 AS t, user_id, value, row_number() OVER (ORDER BY ts, 'ev-' || event_id) AS o,
+         CASE WHEN event_type IN ('signup', 'purchase') THEN 'INSERT' WHEN event_type = 'view' THEN 'UPDATE'
+              WHEN event_type = 'click' THEN 'DELETE' ELSE 'NONE' END AS op FROM events),
+i AS (
+  SELECT t, c_custkey AS user_id, c_acctbal AS value, 0 AS o FROM customer, (SELECT unnest([0, 1, 2]) AS t)
+  UNION ALL SELECT t, user_id, value, o FROM e WHERE op = 'INSERT'),
+d AS (
+  SELECT i.t, i.user_id, i.value, i.o, min(e.o) AS gone FROM i
+  LEFT JOIN e ON e.op = 'DELETE' AND e.t = i.t AND e.user_id = i.user_id AND e.o > i.o GROUP BY ALL)"""
+
+
+def fold_queue(spark, sf_dir):
+    """The queue of all events, its targets, and its results."""
+    events, root = table(spark, sf_dir, "events"), run_dir(spark, "fold")
+    kind = F.col("event_type")
+    requests = events.select(
+        F.concat(F.lit("ev-"), "event_id").alias("event_id"),
+        F.when(kind.isin("signup", "purchase"), "INSERT").when(kind == "view", "UPDATE").when(kind == "click", "DELETE")
+        .otherwise("NONE").alias("operation"),
+        F.concat(F.lit("lake.queue.ev-"), "event_id").alias("source_table"),
+        F.concat(F.lit("dbo.users_"), F.col("event_id") % 3).alias("target_table"), F.array(F.lit("user_id")).alias("primary_keys"),
+        F.when(kind == "click", F.to_json(F.struct("user_id"))).alias("filter_conditions"), "ts")
+    rows = events.select(F.concat(F.lit("lake.queue.ev-"), "event_id").alias("source_table"), "user_id", "value")
+    known = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_acctbal").alias("value"))
+    targets = {f"dbo.users_{t}": VersionedTable(spark, f"{root}/users_{t}") for t in range(3)}
+    for target in targets.values():
+        target.overwrite(known)
+    results = fold_events(
+        E.new_events(requests, F.col("ts")), RowSource(rows, "source_table"), targets.__getitem__, None,
+        clock=lambda: PROCESSED_AT)
+    return targets, results
+
+
+@query(
+    "rev6_fold_targets",
+    f"""
+    WITH {FOLD_CTE},
+    u AS (
+      SELECT d.t, d.user_id, d.o, d.value, arg_max(e.value, e.o) AS latest, count(*) AS copies
+      FROM (SELECT *, row_number() OVER () AS r FROM d WHERE gone IS NULL) d
+      LEFT JOIN e ON e.op = 'UPDATE' AND e.t = d.t AND e.user_id = d.user_id AND e.o > d.o
+      GROUP BY r, d.t, d.user_id, d.o, d.value)
+    SELECT 'dbo.users_' || t AS target_table, user_id, coalesce(latest, value) AS value FROM u
+    """,
+)
+def rev6_fold_targets(spark, sf_dir):
+    """Three targets after every event of the table was applied, each target by one write."""
+    targets, _ = fold_queue(spark, sf_dir)
+    out = None
+    for name, target in targets.items():
+        rows = target.read().select(F.lit(name).alias("target_table"), "user_id", "value")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query(
+    "rev6_fold_results",
+    f"""
+    WITH {FOLD_CTE},
+    n AS (
+      SELECT e.event_id, count(d.t) AS n FROM e LEFT JOIN d ON d.t = e.t AND d.user_id = e.user_id AND d.o < e.o
+        AND (d.gone IS NULL OR e.o <= d.gone) GROUP BY e.event_id),
+    r AS (
+      SELECT e.event_id, op, CASE op WHEN 'INSERT' THEN 1 WHEN 'NONE' THEN 0 ELSE n END AS affected
+      FROM e JOIN n USING (event_id))
+    SELECT event_id, CASE WHEN op = 'NONE' THEN 'failed' ELSE 'completed' END AS status, affected AS rows_affected,
+           CASE WHEN op = 'UPDATE' AND affected <> 1 THEN 1 - affected END AS discrepancy,
+           CASE WHEN op = 'NONE' THEN 'unknown operation: NONE' END AS error_message FROM r
+    """,
+)
+def rev6_fold_results(spark, sf_dir):
+    """What each event of the table did, from the same aggregates."""
+    _, results = fold_queue(spark, sf_dir)
+    return results.select("event_id", "status", "rows_affected", "discrepancy", "error_message")
 
 
 DECISION_SQL = """

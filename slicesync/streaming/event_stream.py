@@ -1,8 +1,10 @@
 """The event queue as a stream: new event files in, result rows out.
 
-``foreachBatch`` may see a batch again after a failure. An event that already
-has a result row is therefore skipped; an event interrupted before its result
-was written runs again, as the queue promises at-least-once.
+An event that is delivered again within ``horizon`` of its arrival is dropped by the stream's
+own keyed state, which expires with the horizon, so no result is read to find out what has
+run. Time is that of the batch an event arrives in, so no event is ever too late. ``foreachBatch``
+may see a batch again after a failure: a batch whose results are committed is skipped by its
+number; one that was interrupted before runs again, as the queue promises at-least-once.
 """
 
 from __future__ import annotations
@@ -13,15 +15,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from slicesync.operators.events import (
-    EVENT_SCHEMA,
-    conditions_problem,
-    queue_order,
-    request_problem,
-)
-from slicesync.plans.reverse import EventApplier, result_rows
+from slicesync.operators.events import EVENT_SCHEMA, conditions_problem, request_problem
+from slicesync.plans.fold import apply_all
+from slicesync.plans.reverse import EventApplier
+from slicesync.session import stage
 from slicesync.sources.versions import VersionedTable
 
+#: How long after its arrival an event's copies are known.
+HORIZON = "7 days"
+ARRIVED = "_arrived"
+
 
 def read_events(spark: SparkSession, landing: str, files_per_batch: int = 100) -> DataFrame:
     return (
@@ -30,39 +33,24 @@ def read_events(spark: SparkSession, landing: str, files_per_batch: int = 100) -
     )
 
 
-def unseen(events: DataFrame, results: VersionedTable) -> DataFrame:
-    """Pending events without a result, each once even if it was delivered twice."""
-    waiting = events.where("status = 'pending'").dropDuplicates(["event_id"])
-    if not results.exists():
-        return waiting
-    done = results.read().select(F.col("event_id").alias("_done"))
-    return waiting.join(done, F.col("event_id") == F.col("_done"), "left_anti")
+def once(events: DataFrame, horizon: str = HORIZON) -> DataFrame:
+    """Pending events, each once even if it is delivered again within the horizon."""
+    arrived = events.where("status = 'pending'").withColumn(ARRIVED, F.current_timestamp())
+    return arrived.withWatermark(ARRIVED, horizon).dropDuplicatesWithinWatermark(["event_id"]).drop(ARRIVED)
 
 
 def stream_apply(
-    events: DataFrame, results: VersionedTable, applier: EventApplier, checkpoint: str,
-    chunk: int = 100,
+    events: DataFrame, results: VersionedTable, applier: EventApplier, checkpoint: str, horizon: str = HORIZON,
 ) -> StreamingQuery:
-    """Apply events in queue order; results are committed every ``chunk`` events."""
-
-    def run(batch: DataFrame, _batch_id: int) -> None:
-        spark = batch.sparkSession
-        done: list[dict] = []
-
-        def flush() -> None:
-            if done:
-                results.append(result_rows(spark, done), operation="results")
-                done.clear()
+    """Apply each batch's events in queue order, all at once; a commit of results for each batch."""
 
-        waiting = unseen(batch, results).orderBy(*queue_order())
-        for event in waiting.toLocalIterator():
-            done.append(applier.apply(event))
-            if len(done) >= chunk:
-                flush()
-        flush()
+    def run(batch: DataFrame, batch_id: int) -> None:
+        label, waiting = f"{checkpoint}#{batch_id}", stage(batch, "batch")  # whole: its state is committed
+        if results.log().where(F.col("job_id") == label).isEmpty():
+            results.append(apply_all(waiting, applier), operation="results", job_id=label)
 
     return (
-        events.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+        once(events, horizon).writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()
     )
 

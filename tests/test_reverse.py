@@ -1,6 +1,7 @@
 """Insert, update and delete events against a target, one row per event."""
 
 import json
+import time
 from datetime import datetime
 
 import pytest
@@ -13,7 +14,7 @@ from slicesync.operators.audit import severity, token_prefix
 from slicesync.operators.permissions import PERMISSION_SCHEMA, accessible_tables, decide
 from slicesync.plans.reverse import EventApplier, apply_events
 from slicesync.sources.versions import VersionedTable
-from slicesync.streaming.event_stream import read_events, stream_apply
+from slicesync.streaming.event_stream import once, read_events, stream_apply
 
 NOW = datetime(2024, 1, 1)
 PEOPLE = [(1, "Alice", 100.0), (2, "Bob", 200.0), (3, "Charlie", 300.0)]
@@ -134,6 +135,42 @@ def test_stream_applies_each_event_once(spark, world, folder):
     assert len(world.rows()) == 4 and results.read().count() == 1
 
 
+def test_a_committed_batch_is_not_applied_again(spark, folder):
+    """The results' history names the batch; no result row is read for that."""
+    world = World(spark, folder)
+    world.source((4, "Dan", 1.0))
+    world.queue({"operation": "INSERT"}).write.parquet(f"{folder}/landing")
+    results = VersionedTable(spark, f"{folder}/results")
+    results.read = None  # would fail
+    applier = EventApplier(lambda name: world.sources[name], lambda name: world.target)
+    stream_apply(read_events(spark, f"{folder}/landing"), results, applier, f"{folder}/c").awaitTermination()
+    world.queue({"operation": "INSERT"}).withColumn("event_id", F.lit("e2")).write.mode("append").parquet(f"{folder}/landing")
+    for batch in range(1, 5):  # as if it had run
+        results.append(results.spark.createDataFrame([], results.schema()), job_id=f"{folder}/c#{batch}")
+    stream_apply(read_events(spark, f"{folder}/landing"), results, applier, f"{folder}/c").awaitTermination()
+    assert len(world.rows()) == 4
+
+
+def test_stream_state_ends_with_the_horizon(spark, folder):
+    """What the state holds is bounded by the horizon: old ids go, late events never do."""
+    schema = spark.createDataFrame([], E.EVENT_SCHEMA).schema
+    seen = []
+    for k in range(4):
+        row = spark.range(1).select(*(
+            (F.lit(f"e{k // 2}") if f.name == "event_id" else F.lit("pending") if f.name == "status" else F.lit(None))
+            .cast(f.dataType).alias(f.name) for f in schema))
+        row.write.mode("append").parquet(f"{folder}/in")
+        query = once(read_events(spark, f"{folder}/in"), "2 seconds").writeStream.foreachBatch(
+            lambda batch, _: seen.extend(r.event_id for r in batch.collect())).option(
+            "checkpointLocation", f"{folder}/c").trigger(availableNow=True).start()
+        query.awaitTermination()
+        held = query.lastProgress["stateOperators"][0]["numRowsTotal"]
+        assert held <= 1
+        if k == 1:
+            time.sleep(3)
+    assert seen == ["e0", "e1"]
+
+
 def test_queue_rules(spark):
     queue = spark.createDataFrame(
         [("a", "DELETE", ["id"], "{}", "pending", 0), ("b", "UPDATE", [], None, "failed", 0),
