@@ -46,11 +46,11 @@ def with_changes(rows, percent: int):
     )
 
 
-def sync_times(spark) -> tuple[dict[str, float], dict[str, int]]:
+def sync_times(spark, bucket_by: str | None = None) -> tuple[dict[str, float], dict[str, int]]:
     """A first sync, then syncs after 0, 1, 10 and 100 percent of the slices changed."""
     base = purchases(spark, SF_DIR)
     times, rows = {}, {}
-    target = VersionedTable(spark, run_dir(spark, "bench"), partition_by="period")
+    target = VersionedTable(spark, run_dir(spark, "bench"), partition_by="period", bucket_by=bucket_by)
     store = FingerprintStore(spark, run_dir(spark, "bench-fingerprints"))
     state = base
     for label, percent in (("first", None), ("0pct", 0), ("1pct", 1), ("10pct", 10),
@@ -77,6 +77,7 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     drain(purchases(spark, SF_DIR))  # start the engine before the clock
     times, rows = sync_times(spark)
+    bucketed, _ = sync_times(spark, "l_suppkey")
     for name in HEADLINES:
         started = time.perf_counter()
         drain(QUERIES[name](spark, SF_DIR))
@@ -89,6 +90,7 @@ def main() -> None:
                 "unit": "sec",
                 "queries": times,
                 "rows_downloaded": rows,
+                "with_buckets": bucketed,
                 "rows_per_sec_first_sync": round(rows["sync_first"] / times["sync_first"]),
                 "sf": os.path.basename(SF_DIR.rstrip("/")).removeprefix("sf"),
                 "cpus": CPUS,

@@ -119,25 +119,28 @@ def run_differential_sync(
     stored2 = store.load(country, table_name, "product", values, source.made_by)
     stored2 = stored2.where(F.lit(known)).select(*SLICE, *MEASURES)
     slices = stage(slices_to_sync(open1, classify(now2, stored2, SLICE)), "slices")
-    per_part = slices.groupBy("level1_value").agg(
+    # Units of the target that slices fall in: level-1 values, or buckets of level 2 in them.
+    bucket = target.bucket_of("level2_value") if target.bucket_by == level2 else F.lit(None).cast("int")
+    per_unit = slices.groupBy("level1_value", bucket.alias("bucket")).agg(
         F.count(F.lit(1)), F.coalesce(F.sum("row_count"), F.lit(0))
     ).collect()
-    stats.total_changed_pairs = sum(row[1] for row in per_part)
-    stats.rows_downloaded = sum(row[2] for row in per_part)
+    stats.total_changed_pairs = sum(row[2] for row in per_unit)
+    stats.rows_downloaded = sum(row[3] for row in per_unit)
     stats.rows_skipped = all_rows - stats.rows_downloaded
 
     stats.fingerprint_seconds, started = perf_counter() - started, perf_counter()
     # A level-1 value that is new may have rows from before it left the scope.
     new_values = {value for value, status in opened.items() if status == "new"}
-    parts = new_values | {row[0] for row in per_part}
-    if parts:
+    units = {(value, None) for value in new_values}
+    units |= {(row[0], row[1]) for row in per_unit if row[0] not in new_values}
+    if units:
         fresh = source.slice_rows(slices, values)
-        old = target.read(parts=[part for part in parts if part not in new_values])
+        old = target.read(parts=[unit for unit in units if unit[0] not in new_values])
         kept = drop_slices(keyed(old, level1, level2), slices, SLICE).drop(*SLICE)
         rows = kept.unionByName(align_columns(fresh, kept.schema))
         store.forget(country, table_name, ("window", "watermark"))
         stats.version = target.replace_parts(
-            rows, parts, operation="differential", job_id=job_id
+            rows, units, operation="differential", job_id=job_id
         )
     stats.write_seconds = perf_counter() - started
     store.save(now2, country, table_name, "product", job_id, level1_values=values,

@@ -57,8 +57,8 @@ def changed_slices(spark, sf_dir) -> DataFrame:
     return stage(G.slices_to_sync(status1, status2), "slices")
 
 
-def _target(spark, label: str, partition_by: str | None = "period") -> VersionedTable:
-    return VersionedTable(spark, run_dir(spark, label), partition_by=partition_by)
+def _target(spark, label: str, partition_by: str | None = "period", bucket_by: str | None = None) -> VersionedTable:
+    return VersionedTable(spark, run_dir(spark, label), partition_by=partition_by, bucket_by=bucket_by, buckets=16)
 
 
 def _store(spark) -> FingerprintStore:
@@ -134,12 +134,13 @@ def dif4(spark, sf_dir):
 )
 def dif5(spark, sf_dir):
     slices = changed_slices(spark, sf_dir)
-    target = _target(spark, "dif5")
+    target = _target(spark, "dif5", bucket_by="l_suppkey")
     target.overwrite(previous_purchases(spark, sf_dir))
-    parts = [row[0] for row in slices.select("level1_value").distinct().collect()]
+    # Only the buckets that changed slices fall in are read and written again.
+    units = slices.select("level1_value", target.bucket_of("level2_value")).distinct().collect()
     fresh = keep_slices(current_purchases(spark, sf_dir), slices, SLICE, NAMES)
-    replaced = replace_slices(target.read(parts=parts), fresh, slices, SLICE, NAMES)
-    target.replace_parts(replaced, parts)
+    replaced = replace_slices(target.read(parts=map(tuple, units)), fresh, slices, SLICE, NAMES)
+    target.replace_parts(replaced, map(tuple, units))
     return target.read()
 
 

@@ -5,6 +5,10 @@ rows to the history; only that append makes it visible. Nothing that a reader
 may be reading is overwritten, a failed commit leaves the table as it was, and
 only the partitions a commit touches are written again.
 
+A table may deal the rows of a partition into buckets by a hash of another
+column. Then a bucket of a partition is what a commit replaces, so a few changed
+slices cost their buckets and not the whole partition.
+
 One writer per table is assumed.
 """
 
@@ -15,7 +19,7 @@ from collections.abc import Iterable, Sequence
 from datetime import datetime
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Row, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
@@ -26,30 +30,49 @@ from slicesync.functions.periods import moment_literal, now_utc
 
 HISTORY_SCHEMA = (
     "version long, committed_at timestamp_ntz, operation string, action string, "
-    "part string, row_count long, job_id string, table_schema string"
+    "part string, bucket int, row_count long, job_id string, table_schema string"
 )
 _HISTORY = pa.schema(
     [("version", pa.int64()), ("committed_at", pa.timestamp("us")), ("operation", pa.string()),
-     ("action", pa.string()), ("part", pa.string()), ("row_count", pa.int64()),
+     ("action", pa.string()), ("part", pa.string()), ("bucket", pa.int32()), ("row_count", pa.int64()),
      ("job_id", pa.string()), ("table_schema", pa.string())]
 )
 VERSION_COLUMN = "_version"
+BUCKET_COLUMN = "_bucket"
+
+
+#: Buckets of a partition, where a table has any.
+DEFAULT_BUCKETS = 32
 
 
 class VersionedTable:
-    """A table at ``path``, optionally partitioned by one column.
+    """A table at ``path``, optionally partitioned by one column and, within
+    its partitions, dealt into ``buckets`` by a hash of ``bucket_by``.
 
-    History actions: ``reset`` (all earlier rows are gone), ``replace`` (the
+    A unit of replacement is a partition value or, in a table with buckets, also
+    a pair of it and a bucket. History actions: ``reset`` (all earlier rows are gone), ``replace`` (the
     part's earlier rows are gone), ``add`` and ``remove``.
     """
 
-    def __init__(self, spark: SparkSession, path: str, partition_by: str | None = None):
+    def __init__(
+        self, spark: SparkSession, path: str, partition_by: str | None = None,
+        bucket_by: str | None = None, buckets: int = DEFAULT_BUCKETS,
+    ):
+        if bucket_by and not partition_by:
+            raise ValueError("buckets are dealt within partitions")
         self.spark = spark
         self.path = path.rstrip("/")
         self.partition_by = partition_by
+        self.bucket_by, self.buckets = bucket_by, buckets
         self._data = f"{self.path}/data"
         self._history = f"{self.path}/history"
 
+    def bucket_of(self, column: str) -> Column:
+        """The bucket of a value of ``bucket_by``, given as text or as it is; NULL is a value."""
+        if not self.bucket_by:
+            return F.lit(None).cast("int")
+        return F.pmod(F.xxhash64(F.col(column).cast("string")), F.lit(self.buckets)).cast("int")
+
     # --- history ----------------------------------------------------------
 
     def log(self) -> DataFrame:
@@ -100,17 +123,20 @@ class VersionedTable:
         return self.log().where(F.col("version") == version).agg(F.sum("row_count")).first()[0]
 
     def live_parts(self, version: int | None = None) -> DataFrame:
-        """(part, version) pairs whose directories make up the given version."""
-        return self._live(self._existing_head(version))
+        """(part, bucket, version) whose directories make up the given version."""
+        return self._live(self._existing_head(version)).drop("whole")
 
     def _live(self, head: Row) -> DataFrame:
+        """Live directories; ``whole`` says that all that their version wrote is live."""
         log = self.log().where(F.col("version").between(head["start"], head["version"]))
         replaced = F.when(F.col("action").isin("replace", "remove"), F.col("version"))
-        base = F.max(replaced).over(Window.partitionBy("part"))
+        base = F.max(replaced).over(Window.partitionBy("part", "bucket"))
+        wrote = F.col("action").isin("replace", "add")
+        live = wrote & (F.col("version") >= F.coalesce("_base", "version"))
         return (
             log.where("action <> 'reset'").withColumn("_base", base)
-            .where((F.col("action") != "remove") & (F.col("version") >= F.coalesce("_base", "version")))
-            .select("part", "version")
+            .withColumn("whole", F.min(~wrote | live).over(Window.partitionBy("version")))
+            .where(live).select("part", "bucket", "version", "whole")
         )
 
     def _existing_head(self, version: int | None = None) -> Row:
@@ -124,41 +150,36 @@ class VersionedTable:
 
     # --- reading ----------------------------------------------------------
 
-    def read(self, version: int | None = None, parts: Sequence | None = None) -> DataFrame:
-        """The table as of a version (default: now), optionally only some parts."""
+    def read(self, version: int | None = None, parts: Iterable | None = None) -> DataFrame:
+        """The table as of a version (default: now), optionally only some units."""
         head = self._existing_head(version)
         schema = _schema_of(head)
-        live: dict[int, list] = {}
         if not self.partition_by and head["start"] == head["version"]:
-            live[head["version"]] = [None]  # nothing was added since the last overwrite
+            live = [(None, None, head["version"], True)]  # nothing was added since the last overwrite
         else:
-            for part, number in self._live(head).collect():
-                live.setdefault(number, []).append(part)
+            live = [tuple(row) for row in self._live(head).collect()]
         if parts is not None:
-            wanted = {None if part is None else str(part) for part in parts}
-            live = {
-                number: kept
-                for number, values in live.items()
-                if (kept := [value for value in values if value in wanted])
-            }
+            wanted = _units(parts)
+            live = [(p, b, v, False) for p, b, v, _ in live if (p, None) in wanted or (p, b) in wanted]
         if not live:
             return self.spark.createDataFrame([], schema)
-        stored = T.StructType([*schema.fields, T.StructField(VERSION_COLUMN, T.LongType())])
+        layout = [T.StructField(VERSION_COLUMN, T.LongType())]
+        if self.bucket_by:
+            layout.append(T.StructField(BUCKET_COLUMN, T.IntegerType()))
         files = (
-            self.spark.read.schema(stored).option("basePath", self._data)
-            .parquet(*[f"{self._data}/{VERSION_COLUMN}={number}" for number in sorted(live)])
+            self.spark.read.schema(T.StructType([*schema.fields, *layout])).option("basePath", self._data)
+            .parquet(*[f"{self._data}/{VERSION_COLUMN}={n}" for n in sorted({row[2] for row in live})])
         )
         if self.partition_by:
-            # Only partition columns occur here, so this prunes directories.
-            part_text = F.col(self.partition_by).cast("string")
-            condition = F.lit(False)
-            for number, values in live.items():
-                known = [value for value in values if value is not None]
-                hit = part_text.isin(known) if known else F.lit(False)
-                if len(known) < len(values):
-                    hit = hit | part_text.isNull()
-                condition = condition | ((F.col(VERSION_COLUMN) == number) & hit)
-            files = files.where(condition)
+            # Only partition columns occur here, so this prunes directories; one look-up in a
+            # set, however many commits and units there are.
+            whole = sorted({v for _, _, v, all_live in live if all_live})
+            some = [_directory(v, p, b) for p, b, v, all_live in live if not all_live]
+            part = F.col(self.partition_by).cast("string")
+            name = F.concat_ws(
+                "/", VERSION_COLUMN, BUCKET_COLUMN if self.bucket_by else F.lit(""),
+                F.when(part.isNull(), "").otherwise(F.concat(F.lit("="), part)))
+            files = files.where(F.col(VERSION_COLUMN).isin(whole) | name.isin(some) if whole else name.isin(some))
         return files.select(*schema.names)
 
     def read_at(self, moment: datetime) -> DataFrame:
@@ -180,8 +201,8 @@ class VersionedTable:
     def replace_parts(
         self, df: DataFrame, parts: Iterable, operation: str = "replace", **commit
     ) -> int:
-        """Put ``df`` in place of the given parts; its rows elsewhere are added."""
-        replaced = {None if part is None else str(part) for part in parts}
+        """Put ``df`` in place of the given units; its rows elsewhere are added."""
+        replaced = _units(parts)
         if replaced and not self.partition_by:
             raise ValueError("an unpartitioned table has no parts to replace")
         head = self._head()
@@ -189,6 +210,10 @@ class VersionedTable:
         if head["version"] is None:
             return self._commit(df, None, operation, None, **commit)
         df = align_columns(df, _schema_of(head))
+        if self.bucket_by:  # a partition stands for the buckets that it has
+            whole = {part for part, bucket in replaced if bucket is None}
+            live = self._live(head).select("part", "bucket").distinct().collect() if whole else []
+            replaced = {u for u in replaced if u[1] is not None} | {tuple(r) for r in live if r[0] in whole}
         return self._commit(df, replaced, operation, head["version"], **commit)
 
     def write_if_absent(self, df: DataFrame, **commit) -> int | None:
@@ -208,37 +233,43 @@ class VersionedTable:
         directory = f"{self._data}/{VERSION_COLUMN}={version}"
         # Rebalancing gathers each part's rows into few files, yet lets
         # adaptive execution split a part that is too large for one task.
-        if self.partition_by:
-            df = df.withColumn(self.partition_by, _no_empty_text(df, self.partition_by))
-            writer = df.hint("rebalance", self.partition_by).write.partitionBy(self.partition_by)
+        layout = [self.partition_by] if self.partition_by else []
+        rows = df
+        if layout:
+            rows = df.withColumn(self.partition_by, _no_empty_text(df, self.partition_by))
+            if self.bucket_by:
+                rows = rows.withColumn(BUCKET_COLUMN, self.bucket_of(self.bucket_by))
+                layout.append(BUCKET_COLUMN)
+            writer = rows.hint("rebalance", *layout).write.partitionBy(*layout)
         else:
             writer = df.write
         # A directory left by a failed commit was never visible.
         writer.mode("overwrite").option("partitionOverwriteMode", "static").parquet(directory)
 
-        written = self.spark.read.schema(df.schema).parquet(directory)
+        written = self.spark.read.schema(rows.schema).parquet(directory)
         if self.partition_by:
+            bucket = F.col(BUCKET_COLUMN) if self.bucket_by else F.lit(None)
             counts = {
-                row[0]: row[1]
-                for row in written.groupBy(F.col(self.partition_by).cast("string"))
+                (row[0], row[1]): row[2]
+                for row in written.groupBy(F.col(self.partition_by).cast("string"), bucket.cast("int"))
                 .count().collect()
             }
         else:
-            rows = written.count()
-            counts = {None: rows} if rows else {}
+            n = written.count()
+            counts = {(None, None): n} if n else {}
         if replaced is None:
-            actions = [(None, "reset", 0)] + [(part, "add", n) for part, n in counts.items()]
+            actions = [((None, None), "reset", 0)] + [(unit, "add", n) for unit, n in counts.items()]
         else:
             actions = [
-                (part, "replace" if part in replaced else "add", n) for part, n in counts.items()
+                (unit, "replace" if unit in replaced else "add", n) for unit, n in counts.items()
             ]
-            actions += [(part, "remove", 0) for part in replaced if part not in counts]
-            actions = actions or [(None, "none", 0)]
+            actions += [(unit, "remove", 0) for unit in replaced if unit not in counts]
+            actions = actions or [((None, None), "none", 0)]
         stamp = committed_at or now_utc()
         schema = df.schema.json()
         rows = [
-            dict(zip(_HISTORY.names, (version, stamp, operation, action, part, n, job_id, schema)))
-            for part, action, n in actions
+            dict(zip(_HISTORY.names, (version, stamp, operation, action, *unit, n, job_id, schema)))
+            for unit, action, n in actions
         ]
         # An Arrow table needs no Python worker; one file makes the commit atomic.
         entries = self.spark.createDataFrame(pa.Table.from_pylist(rows, schema=_HISTORY))
@@ -246,6 +277,17 @@ class VersionedTable:
         return version
 
 
+def _units(parts: Iterable) -> set[tuple]:
+    """Partition values, or pairs of one and a bucket, as pairs of text and bucket."""
+    pairs = [part if isinstance(part, tuple) else (part, None) for part in parts]
+    return {(None if part is None else str(part), bucket) for part, bucket in pairs}
+
+
+def _directory(version: int, part: str | None, bucket: int | None) -> str:
+    """A unit's name, as ``read`` makes it from the partition columns."""
+    return f"{version}/{'' if bucket is None else bucket}/{'' if part is None else f'={part}'}"
+
+
 def _no_empty_text(df: DataFrame, name: str):
     """The column itself; empty text is refused, as a directory name it reads as NULL."""
     column = F.col(name)
@@ -290,11 +332,8 @@ def change_feed(
     old, new = table.live_parts(before), table.live_parts(after)
     parts = None
     if table.partition_by:
-        parts = [
-            row[0]
-            for row in old.exceptAll(new).unionAll(new.exceptAll(old)).select("part")
-            .distinct().collect()
-        ]
+        apart = old.exceptAll(new).unionAll(new.exceptAll(old)).select("part", "bucket").distinct()
+        parts = [tuple(row) for row in apart.collect()]
     return changed_rows(table.read(before, parts), table.read(after, parts), keys)
 
 

@@ -23,9 +23,9 @@ def baseline():
 
 
 class Bench:
-    def __init__(self, spark, folder):
+    def __init__(self, spark, folder, bucket_by=None):
         self.spark = spark
-        self.target = VersionedTable(spark, f"{folder}/t", partition_by="periodo")
+        self.target = VersionedTable(spark, f"{folder}/t", partition_by="periodo", bucket_by=bucket_by, buckets=4)
         self.store = FingerprintStore(spark, f"{folder}/f")
 
     def sync(self, rows, **options):
@@ -44,8 +44,9 @@ def bench(spark, folder):
     return Bench(spark, folder)
 
 
-def test_baseline_mutate_restore(bench):
-    rows = baseline()
+@pytest.mark.parametrize("bucket_by", [None, "idproduto"])
+def test_baseline_mutate_restore(spark, folder, bucket_by):
+    bench, rows = Bench(spark, folder, bucket_by), baseline()
     first = bench.sync(rows)
     assert first.is_first_sync and first.rows_downloaded == 15 and first.new_level1 == 3
     assert bench.rows() == rows
@@ -55,6 +56,8 @@ def test_baseline_mutate_restore(bench):
     assert (second.changed_level1, second.unchanged_level1) == (2, 1)
     assert second.rows_downloaded == 2 and second.total_changed_pairs == 2
     assert bench.rows() == mutated and len(mutated) == 16
+    if bucket_by:  # each slice is in a bucket of its own, beside at most a few others
+        assert bench.target.rows_written(second.version) < 10
 
     third = bench.sync(rows)
     assert third.rows_downloaded == 1 and third.total_changed_pairs == 2

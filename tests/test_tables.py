@@ -152,3 +152,63 @@ def test_chunks_cover_every_row(spark):
     assert [tuple(r) for r in chunks] == [
         (0, 250, 5, 254), (1, 250, 255, 504), (2, 250, 505, 754), (3, 250, 755, 1004)]
     assert S.chunk_counts(df.limit(0), "k", 300).isEmpty()
+
+
+# --- buckets ----------------------------------------------------------------
+
+@pytest.fixture
+def bucketed(spark, folder):
+    return VersionedTable(spark, f"{folder}/t", partition_by="part", bucket_by="k", buckets=4)
+
+
+def units_of(table, df):
+    return {tuple(r) for r in df.select("part", table.bucket_of("k")).distinct().collect()}
+
+
+def test_a_bucket_is_replaced_alone(spark, bucketed):
+    rows = [(k, part, "x") for k in range(40) for part in ("a", "b", None)]
+    bucketed.overwrite(frame(spark, *rows, (None, "a", "x")))
+    changed = frame(spark, (3, "a", "y"), (5, None, "y"), (None, "a", "y"))
+    units = units_of(bucketed, changed)
+    old = bucketed.read(parts=units)
+    assert old.count() < 40 and units_of(bucketed, old) == units
+    kept = old.join(changed.select("k", F.col("part").alias("p")), old["k"].eqNullSafe(changed["k"]) & old["part"].eqNullSafe(F.col("p")), "left_anti")
+    version = bucketed.replace_parts(kept.unionByName(changed), units)
+    touched = {(3, "a"), (5, None), (None, "a")}
+    assert rows_of(bucketed.read()) == sorted(
+        [(k, p, "y" if (k, p) in touched else v) for k, p, v in [*rows, (None, "a", "x")]], key=repr)
+    # The commit wrote the buckets it touched, and the others are still the first commit's.
+    assert bucketed.rows_written(version) == old.count()
+    live = {(r["part"], r["bucket"]): r["version"] for r in bucketed.live_parts().collect()}
+    assert {unit for unit, number in live.items() if number == version} == units
+    assert rows_of(bucketed.read(version=1)) == sorted([*rows, (None, "a", "x")], key=repr)
+    assert len(changed_parts(bucketed)) == len(units)
+
+
+def changed_parts(table):
+    old, new = table.live_parts(1), table.live_parts(2)
+    return {(r["part"], r["bucket"]) for r in old.exceptAll(new).unionAll(new.exceptAll(old)).collect()}
+
+
+def test_a_partition_stands_for_all_its_buckets(spark, bucketed):
+    bucketed.overwrite(frame(spark, *[(k, p, "x") for k in range(20) for p in "ab"]))
+    bucketed.replace_parts(frame(spark, (1, "a", "y"), (99, "c", "y")), ["a"])
+    got = rows_of(bucketed.read())
+    assert [r for r in got if r[1] != "b"] == [(1, "a", "y"), (99, "c", "y")] and len(got) == 22
+    bucketed.append(frame(spark, (2, "a", "z")))
+    assert [r for r in rows_of(bucketed.read(parts=["a"]))] == [(1, "a", "y"), (2, "a", "z")]
+
+
+def test_a_failed_bucket_commit_is_not_seen(spark, bucketed):
+    bucketed.overwrite(frame(spark, (1, "a", "x")))
+    broken = frame(spark, (1, "a", "y")).withColumn("v", F.raise_error(F.lit("stop")).cast("string"))
+    with pytest.raises(Exception, match="stop"):
+        bucketed.replace_parts(broken, ["a"])
+    assert rows_of(bucketed.read()) == [(1, "a", "x")]
+    bucketed.replace_parts(frame(spark, (1, "a", "z")), ["a"])
+    assert rows_of(bucketed.read()) == [(1, "a", "z")]
+
+
+def test_buckets_need_partitions(spark, folder):
+    with pytest.raises(ValueError):
+        VersionedTable(spark, folder, bucket_by="k")
