@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slicesync.functions.periods import moment_literal, now_utc
+from slicesync.operators.print_changes import moved_on, refuse_wrong
 from slicesync.operators.slices import drop_slices, keep_slices
-from slicesync.session import local_rows
+from slicesync.session import local_rows, stage
 from slicesync.sources.versions import VersionedTable
 
 COLUMNS = (
@@ -113,6 +114,22 @@ class FingerprintStore:
             rows.sortWithinPartitions("level1_value"), operation="save", job_id=job_id
         )
 
+    def move_on(
+        self, change: DataFrame, country: str, table_name: str, level: str, made_by: str, job_id: str = "",
+    ) -> int | None:
+        """Stored fingerprints after a change, as ``change_prints`` gives it, was applied: nothing
+        but the change and what is stored of its level-1 values is read. None if nothing was
+        known, which stays so."""
+        if not self.known(country, table_name, level, made_by):
+            return None
+        keys = ["level1_value", "level2_value"] if "level2_value" in change.columns else ["level1_value"]
+        change = stage(change.withColumns({k: F.col(k).cast("string") for k in keys}), "change")
+        values = [row[0] for row in change.select("level1_value").distinct().collect()]
+        before = self.load(country, table_name, level, values, made_by)
+        after = stage(moved_on(before, change, keys), "moved-on")
+        refuse_wrong(after, keys)
+        return self.save(after, country, table_name, level, job_id, level1_values=values, made_by=made_by)
+
     def _values(self, values: list) -> DataFrame:
         texts = [(None if value is None else str(value),) for value in values]
         return local_rows(self.spark, texts, "level1_value string")

@@ -20,6 +20,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from datetime import datetime
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -77,9 +78,11 @@ def fold_events(
     events: DataFrame, sources: NamedSources | RowSource, open_target: Callable[[str], VersionedTable],
     max_delete_rows: int | None = DEFAULT_MAX_DELETE_ROWS, delete_cap: Column | None = None,
     allowed: Column | None = None, clock: Callable[[], datetime] = now_utc,
+    changed: Callable[[str, DataFrame, DataFrame], None] | None = None,
 ) -> DataFrame:
     """Apply all events; one result row each, written and read back. ``delete_cap`` and ``allowed``
-    are expressions over an event; a cap of NULL means ``max_delete_rows``."""
+    are expressions over an event; a cap of NULL means ``max_delete_rows``. ``changed`` gets each
+    written target's name, the rows that went and those that came, e.g. to move fingerprints on."""
     cap = F.lit(max_delete_rows).cast("long")
     if delete_cap is not None:
         cap = F.coalesce(delete_cap.cast("long"), cap)
@@ -99,7 +102,7 @@ def fold_events(
     for name in [row[0] for row in good.select("target_table").distinct().collect()]:
         own = good.where(F.col("target_table") == name)
         for run in _runs(own):
-            outcomes.append(_Run(run, sources, open_target(name)).apply())
+            outcomes.append(_Run(run, sources, open_target(name), changed and partial(changed, name)).apply())
     return stage(_results(queue, _union(outcomes), clock()), "results")
 
 
@@ -171,8 +174,8 @@ def _comparable(column: Column, kind: T.DataType) -> Column:
 class _Run:
     """Events of one target that are applied by one write."""
 
-    def __init__(self, events: DataFrame, sources, target: VersionedTable):
-        self.events, self.target, self.spark = events, target, events.sparkSession
+    def __init__(self, events: DataFrame, sources, target: VersionedTable, changed=None):
+        self.events, self.target, self.spark, self.changed = events, target, events.sparkSession, changed
         loads = events.where("operation <> 'DELETE'")
         self.groups, unread = sources.groups(loads.select("source_table"))
         unread_rows = local_rows(self.spark, list(unread.items()), "name string, error string")
@@ -283,6 +286,8 @@ class _Run:
         outcome = stage(loads.unionByName(dropped), "outcomes")
         try:
             self._write(schema, touched, versions, met, ends)
+            if self.changed is not None:
+                self.changed(*self._change(schema, versions, met, ends))
         except Exception as error:  # the other targets go on
             said = str(error).split("\n")[0]
             return outcome.withColumn("error", F.coalesce("error", F.lit(said))).withColumn("affected", F.lit(0).cast("long"))
@@ -454,6 +459,15 @@ class _Run:
             self.target.replace_parts(stay.unionByName(kept).unionByName(fresh), parts, operation="fold")
 
 
+    def _change(self, schema, versions, met, ends) -> tuple[DataFrame, DataFrame]:
+        """The rows that went and those that came."""
+        hit = met.select("iid").unionByName(ends.select("iid")).distinct()
+        was = versions.where("order = 0 AND born = 0").join(hit, "iid", "left_semi")
+        last = versions.where("until IS NULL").join(ends, "iid", "left_anti")
+        now = last.where("born > 0").unionByName(last.where("born = 0").join(hit, "iid", "left_semi"))
+        return was.select(*schema.names), now.select(*schema.names)
+
+
 def _failed(rows: DataFrame) -> DataFrame:
     """Outcomes of events with an ``error``."""
     none = F.lit(0).cast("long")

@@ -13,7 +13,10 @@ from slicesync.operators import apply as A
 from slicesync.operators import events as E
 from slicesync.operators.audit import audit_rows, search, severity
 from slicesync.operators.permissions import decide
-from slicesync.plans.fold import RowSource, apply_all, fold_events
+from slicesync.operators.fingerprint import fingerprint
+from slicesync.operators.print_changes import change_prints, moved_on, wrong_slices
+from slicesync.plans.fingerprints import FingerprintStore
+from slicesync.plans.fold import NamedSources, RowSource, apply_all, fold_events
 from slicesync.plans.reverse import EventApplier
 from slicesync.queries.joins import (
     GRANTS_SQL,
@@ -26,8 +29,13 @@ from slicesync.queries.registry import query
 from slicesync.queries.shared import (
     AS_OF_EVENTS,
     JOBS_CTE,
+    PURCHASE_COLUMNS,
+    PURCHASES_CTE,
     QUEUE_CTE,
+    SCALE,
     jobs,
+    prints_sql,
+    purchases,
     queue_events,
     table,
 )
@@ -300,6 +308,61 @@ def rev6_fold_results(spark, sf_dir):
     return results.select("event_id", "status", "rows_affected", "discrepancy", "error_message")
 
 
+ORDER_COLUMNS = "o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority"
+
+
+@query(
+    "agg2_prints_after_events",
+    f"""
+    WITH t AS ({UPDATED_SQL.format(extra="")} WHERE o_orderstatus <> 'P'),
+    f AS ({prints_sql('t', 'o_orderstatus, o_orderpriority', ORDER_COLUMNS)})
+    SELECT o_orderstatus AS level1_value, o_orderpriority AS level2_value, row_count, checksum_xor, checksum_sum
+    FROM f
+    """,
+)
+def agg2_after_events(spark, sf_dir):
+    """Stored fingerprints, moved on by the rows that events changed; SQL counts all rows again."""
+    desk, columns = Desk(spark, sf_dir), ORDER_COLUMNS.split(", ")
+    store = FingerprintStore(spark, run_dir(spark, "moved-on"))
+    target, keys, method = desk.target("dbo.orders"), ["level1_value", "level2_value"], {"method": "md5", "scale": SCALE}
+
+    def sliced(rows):
+        return rows.withColumns({"level1_value": F.col("o_orderstatus"), "level2_value": F.col("o_orderpriority")})
+
+    store.save(fingerprint(sliced(target.read()), keys, columns, **method), "all", "orders", "product", made_by="md5")
+    fold_events(
+        desk.queue(INSERT, UPDATE, DELETE), NamedSources(desk.source), desk.target, None, clock=lambda: PROCESSED_AT,
+        changed=lambda name, gone, came: store.move_on(
+            change_prints(sliced(gone), sliced(came), keys, columns, **method), "all", "orders", "product", "md5"))
+    return store.load("all", "orders", "product").select(
+        *keys, "row_count", "checksum_xor", F.col("checksum_sum").cast("string").alias("checksum_sum"))
+
+
+@query(
+    "agg2_wrong_base",
+    f"""
+    WITH {PURCHASES_CTE}, f AS ({prints_sql('p', 'period, l_suppkey')})
+    SELECT period AS level1_value, l_suppkey AS level2_value, 'changed' AS status, row_count,
+           row_count + 1 AS stored_row_count
+    FROM f WHERE l_suppkey % 50 = 7
+    """,
+)
+def agg2_wrong_base(spark, sf_dir):
+    """Fingerprints that were stored wrongly stay wrong by the same difference, and are found."""
+    keys, columns = ["level1_value", "level2_value"], PURCHASE_COLUMNS.split(", ")
+    rows = purchases(spark, sf_dir).withColumns({"level1_value": F.col("period"), "level2_value": F.col("l_suppkey")})
+    late = F.col("period") >= 200101
+    stored = fingerprint(rows.where(~late), keys, columns).withColumn(
+        "row_count", F.col("row_count") + (F.col("level2_value") % 50 == 7).cast("int"))
+    # Where the base has no such slice, the first rows bring the mistake.
+    change = change_prints(rows.where("false"), rows.where(late), keys, columns)
+    fresh = change.join(stored, keys, "left_anti").withColumn(
+        "row_count", F.col("row_count") + (F.col("level2_value") % 50 == 7).cast("int"))
+    change = change.join(stored, keys, "left_semi").unionByName(fresh)
+    wrong = wrong_slices(moved_on(stored, change, keys), rows, keys, columns)
+    return wrong.select(*keys, "status", "row_count", "stored_row_count")
+
+
 DECISION_SQL = """
 decided AS (
   SELECT event_id, target_table,

@@ -3,6 +3,10 @@ from pyspark.sql import functions as F
 
 from slicesync.functions.hashing import row_hash
 from slicesync.operators import fingerprint as G
+from slicesync.operators.fingerprint import fingerprint
+from slicesync.operators.print_changes import WrongBase, change_prints, wrong_slices
+from slicesync.plans.fingerprints import FingerprintStore
+from slicesync.plans.slice_source import keyed
 
 ROWS = "p int, s string, v double"
 
@@ -101,3 +105,49 @@ def test_small_changes_of_doubles_count(spark):
     assert len(prints) == 3
     with pytest.raises(ValueError):
         row_hash(spark.createDataFrame([(1.0,)], "v double"), method="md5")
+
+
+# --- fingerprints by differences ---------------------------------------------
+
+def test_prints_move_on_with_a_change(spark, folder):
+    """Stored prints after a change are those of a recount; nothing but the change is read."""
+    schema, keys = "a string, b int, v double", ["level1_value", "level2_value"]
+    rows = [("x", 1, 1.0), ("x", 1, 1.0), ("x", 2, None), ("y", 1, 3.0), (None, None, 4.0)]
+    gone = [("x", 1, 1.0), ("y", 1, 3.0), (None, None, 4.0)]
+    came = [("x", 2, 7.0), ("z", 9, 0.0), (None, 3, 1.0)]
+    after = [("x", 1, 1.0), ("x", 2, None), *came]
+
+    def sliced(values):
+        return keyed(spark.createDataFrame(values, schema), "a", "b")
+
+    def prints(values):
+        return fingerprint(sliced(values), keys, ["a", "b", "v"])
+
+    def known(df):
+        return sorted(map(tuple, df.select(*keys, "row_count", "checksum_xor", "checksum_sum").collect()), key=repr)
+
+    store = FingerprintStore(spark, folder)
+    change = change_prints(sliced(gone), sliced(came), keys, ["a", "b", "v"])
+    assert store.move_on(change, "c", "t", "product", "m") is None  # nothing known, nothing made up
+    store.save(prints(rows), "c", "t", "product", made_by="m")
+    store.move_on(change, "c", "t", "product", "m")
+    assert known(store.load("c", "t", "product", made_by="m")) == known(prints(after))
+    back = change_prints(sliced(came), sliced(gone), keys, ["a", "b", "v"])
+    store.move_on(back, "c", "t", "product", "m")
+    assert known(store.load("c", "t", "product")) == known(prints(rows))
+    assert store.move_on(back, "c", "t", "product", "another way") is None
+
+
+def test_a_wrong_base_is_found(spark, folder):
+    keys, schema = ["level1_value", "level2_value"], "a string, b int, v double"
+    held = keyed(spark.createDataFrame([("x", 1, 1.0), ("x", 2, 2.0)], schema), "a", "b")
+    others = keyed(spark.createDataFrame([("x", 1, 9.0), ("y", 1, 9.0)], schema), "a", "b")
+    none, columns, store = held.limit(0), ["a", "b", "v"], FingerprintStore(spark, folder)
+    store.save(fingerprint(held, keys, columns), "c", "t", "product", made_by="m")
+    for removed in (others.where("a = 'x'"), others.where("a = 'y'"), held.unionByName(held)):
+        with pytest.raises(WrongBase):  # rows that the base cannot have had
+            store.move_on(change_prints(removed, none, keys, columns), "c", "t", "product", "m")
+    prints = store.load("c", "t", "product").withColumn("checksum_xor", F.col("checksum_xor") + (F.col("level2_value") == "2").cast("int"))
+    assert [r["level2_value"] for r in wrong_slices(prints, held, keys, columns).collect()] == ["2"]
+    one = held.where("b = 1").select(*keys)
+    assert wrong_slices(prints, held, keys, columns, of=one).isEmpty()
