@@ -3,12 +3,15 @@
 A page is fed to the standard library's parser in pieces; its events make lines, one for
 each block, with the line's text, its tags, its links' text and the container it stands
 in. Page furniture that says what it is by element or role (navigation, forms, ...) gives
-no lines. Containers that go by a name of furniture (class or id) are left out, unless they
-hold most of the page's content: then the text-to-tag ratios overrule the name. Each line's ratio of text to tags is smoothed with a Gaussian over
-its neighbours; the smoothed ratios fall into two clusters, and the lines of the upper one
-are content. The region is the innermost container that holds most of the content's text:
-an article is taken whole, short paragraphs included; of any other container the lines
-from the first to the last content line are taken, without lines that are mostly links.
+no lines, nor does what a page hides. Containers that go by a name of furniture (class or id)
+are left out, unless they hold most of the page's content: then the text-to-tag ratios
+overrule the name. An article in furniture is none, but for one among readers' comments, or
+one that goes by a comment's name itself. Each line's ratio of text to tags is smoothed with
+a Gaussian over its neighbours; the smoothed ratios fall into two clusters, and the lines of
+the upper one are content. The region is the innermost container that holds most of the
+content's text: an article is taken whole, short paragraphs included, and goes before the
+``main`` around it; of any other container the lines from the first to the last content line
+are taken, without lines that are mostly links.
 
 Null or empty HTML gives empty text, as does a page without text. Rows with the same id
 are extracted each for itself. No rows give no rows. Pages are independent of each other.
@@ -57,6 +60,13 @@ NAMES = frozenset(
     "cookies disclaimer disqus footer header login masthead menu modal nav navbar navigation newsletter "
     "notice pagination popup promo promoted related replies reply respond share sharing sidebar signup "
     "skip social sponsor sponsored subscribe toolbar widget".split())
+#: What readers write below a page, in the languages of the tables.
+COMMENTS = frozenset(
+    "comment comments commentaire commentaires comentario comentarios disqus kommentar kommentare reactions replies "
+    "reply respond responses reviews".split())
+NAMES |= COMMENTS
+#: Two words that make a name only together.
+PAIRED = frozenset({("author", "bio"), ("author", "box"), ("author", "card"), ("author", "profile")})
 #: Words after which a class tells a state: has-sidebar, no-comments.
 MODIFIERS = frozenset("has no not with without".split())
 ADVERTS = frozenset("ad ads advert adverts advertisement".split())
@@ -68,33 +78,49 @@ ROLES = frozenset("alert banner complementary contentinfo dialog form menu navig
 _WORD = re.compile(r"[A-Za-z][a-z]*")
 
 
+_UNSEEN = re.compile(r"(?i)(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\s*(?:!important\s*)?(?:;|$)")
+
+
 def _is_furniture(attributes: list[tuple[str, str | None]]) -> bool:
     return any((name == "role" and value in ROLES) or name == "hidden" for name, value in attributes)
 
 
-def _is_named(tag: str, attributes: list[tuple[str, str | None]]) -> bool:
-    """True if a container's class or id has a word that furniture goes by; of other elements,
-    as ids are often made from headings, only a class that is the word for an advert counts."""
-    if tag in WHOLE or tag in HEADINGS:
-        return False
+def _is_unseen(attributes: list[tuple[str, str | None]]) -> bool:
+    return any((name == "aria-hidden" and (value or "").lower() == "true") or (
+        name == "style" and value and _UNSEEN.search(value)) for name, value in attributes)
+
+
+def _named(tag: str, attributes: list[tuple[str, str | None]]) -> str:
+    """The word that furniture goes by in a container's class or id, '' if none. A section's id, as
+    it is often made from its heading, and an article's class count if they are a comment's; of
+    other elements only a class that is the word for an advert counts."""
+    if tag in HEADINGS or tag in ("html", "body", "main"):
+        return ""
     for name, value in attributes:
         if name in ("class", "id") and value:
             for part in value.split():
+                words = [w.lower() for w in _WORD.findall(part)]
+                if tag == "article":
+                    if name == "class" and words and words[0] in COMMENTS:
+                        return words[0]
+                    continue
                 if tag not in JUDGED:
                     if name == "class" and part.lower() in ADVERTS:
-                        return True
+                        return part.lower()
                     continue
-                for word in _WORD.findall(part):
-                    if word.lower() in MODIFIERS:
+                for word, after in zip(words, [*words[1:], ""]):
+                    if word in MODIFIERS:
                         break  # what follows says what the element has, not what it is
-                    if word.lower() in NAMES:
-                        return True
-    return False
+                    if (word, after) in PAIRED and not (tag == "section" and name == "id"):
+                        return f"{word}-{after}"
+                    if word in (COMMENTS if tag == "section" and name == "id" else NAMES):
+                        return word
+    return ""
 
 
 class _Lines(HTMLParser):
     """Lines of a page. A container is its number; ``parents`` has the one around it and
-    ``named`` says whether it goes by a name of furniture.
+    ``named`` the name of furniture that it goes by, if any.
 
     ``open`` has the elements that are not closed yet, also while one is dropped, so that
     an element left open ends with its ancestor.
@@ -103,7 +129,7 @@ class _Lines(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, int, int, int]] = []  # text, tags, link characters, container
-        self.parents, self.kinds, self.named = [-1], [""], [False]
+        self.parents, self.kinds, self.named = [-1], [""], [""]
         self.before: dict[int, tuple[int, bool]] = {}  # tags and link outside a named element
         self.open: list[tuple[str, int]] = [("", 0)]  # tag and the container that text in it stands in
         self.places: dict[str, list[int]] = {}  # where in ``open`` a tag stands
@@ -156,10 +182,11 @@ class _Lines(HTMLParser):
         if self.dropped:
             self.open.append((tag, container))
             return
-        if tag in HIDDEN or tag in FURNITURE or (tag not in WHOLE and _is_furniture(attrs)):
+        if tag in HIDDEN or tag in FURNITURE or (tag not in WHOLE and _is_furniture(attrs)) or (
+                tag not in ("html", "body") and _is_unseen(attrs)):
             self._end_line()
             self.dropped = len(self.open)
-        elif (named := _is_named(tag, attrs)) or tag in CONTAINERS:
+        elif (named := _named(tag, attrs)) or tag in CONTAINERS:
             if named:
                 self._end_line()
                 self.before[len(self.open)] = self.tags, self.in_link
@@ -262,14 +289,27 @@ def _overruled(parser: _Lines) -> set[int]:
 
 
 def _furniture(parser: _Lines, overruled: set[int]) -> list[bool]:
-    """Of each container, whether its lines are left out; an article in furniture is none."""
-    out = [False]
+    """Of each container, whether its lines are left out; an article in furniture is none, unless
+    that is for comments."""
+    out, among = [False], [False]
     for c in range(1, len(parser.kinds)):
-        own = parser.named[c] and c not in overruled
-        out.append(own or (out[parser.parents[c]] and parser.kinds[c] not in ARTICLE))
+        around, own = parser.parents[c], parser.named[c] if c not in overruled else ""
+        among.append(among[around] or own in COMMENTS)
+        out.append(bool(own) or (out[around] and (among[c] or parser.kinds[c] not in ARTICLE)))
     return out
 
 
+def _article_within(parser: _Lines, region: int, mass: list[int], hidden: list[bool]) -> int:
+    """The first article within ``main`` that holds most of the content, else ``main`` itself."""
+    inside = {region}
+    for c in range(region + 1, len(mass)):
+        if parser.parents[c] in inside:
+            inside.add(c)
+            if parser.kinds[c] == "article" and not hidden[c] and mass[c] >= max(1, SHARE * mass[0]):
+                return c
+    return region
+
+
 def main_text(html: str) -> str:
     """The text of the content region, blocks joined by one space."""
     parser = _Lines()
@@ -295,6 +335,8 @@ def main_text(html: str) -> str:
         if not best or mass[best] < (1 if best in overruled else SHARE) * mass[0]:
             break
         region = best
+    if parser.kinds[region] == "main":
+        region = _article_within(parser, region, mass, hidden)
     within = [c == region for c in range(len(mass))]
     for c in range(region + 1, len(mass)):
         within[c] = within[parser.parents[c]]

@@ -237,3 +237,46 @@ def test_extraction_of_odd_tables(spark, odd_pages):
 def test_smoothing_and_threshold():
     assert htmltext.smoothed([5.0] * 4) == pytest.approx([5.0] * 4)
     assert 2 < htmltext.threshold([1, 2, 1, 90, 100, 95]) < 90
+
+
+POST = "<p>The post has a first paragraph of some length that says what it is about.</p><p>Short end.</p>"
+SAID = "The post has a first paragraph of some length that says what it is about. Short end."
+NOTE = "A reader writes a comment of some length here, which is not the post."
+
+
+@pytest.mark.parametrize("rest", [
+    f'<div id="comments" class="comments-area"><ol class="comment-list"><li class="comment">'
+    f'<article class="comment-body"><p>{NOTE}</p></article></li></ol></div>',
+    f'<section class="reactions"><article><p>{NOTE}</p></article></section>',
+    f'<div class="user-reviews"><p>{NOTE}</p></div>', f'<div class="responses"><div><p>{NOTE}</p></div></div>',
+    f'<div class="comentarios"><p>{NOTE}</p></div>', f'<ul id="kommentare"><li>{NOTE}</li></ul>',
+    f'<div class="author-box"><p>{NOTE}</p></div>', f'<article class="comment"><p>{NOTE}</p></article>',
+    f'<div aria-hidden="true"><p>{NOTE}</p></div>', f'<div style="color:red; display : none"><p>{NOTE}</p></div>',
+])
+def test_what_stands_beside_a_post_in_main(rest):
+    page = f"<html><body><main><article>{POST}</article>{rest}</main><footer>x</footer></body></html>"
+    assert htmltext.main_text(page) == SAID
+
+
+@pytest.mark.parametrize("name", ["reactions", "responses", "user-reviews", "comentarios", "kommentare", "comments"])
+def test_comments_within_an_article(name):
+    page = f'<body><article>{POST}<div class="{name}"><article><p>{NOTE}</p></article></div></article></body>'
+    assert htmltext.main_text(page) == SAID
+    hidden = f'<body><article>{POST}<p style="visibility:hidden">{NOTE}</p><span aria-hidden="true">x</span></article></body>'
+    assert htmltext.main_text(hidden) == SAID
+
+
+def test_two_articles_in_main_stay():
+    page = f"<body><main><article>{POST}</article><article><p>{NOTE}</p></article></main></body>"
+    assert htmltext.main_text(page) == f"{SAID} {NOTE}"
+
+
+def test_a_section_by_the_name_of_its_heading_stays():
+    page = f'<body><article>{POST}<section id="related"><h2>Related work</h2><p>{NOTE}</p></section></article></body>'
+    assert htmltext.main_text(page) == f"{SAID} Related work {NOTE}"
+
+
+def test_a_page_of_comments_has_no_other_text():
+    many = "".join(f'<li class="comment"><p>{NOTE} {i}</p></li>' for i in range(9))
+    page = f'<body><h1>Thread</h1><div class="comments"><ol>{many}</ol></div></body>'
+    assert htmltext.main_text(page) == "Thread"
