@@ -41,9 +41,9 @@ from slicesync.llm.lyndon import suffix_array
 
 WIDTH = 200
 BLOCK_BYTES = 4 << 20
-#: Windows that are hashed at once, and bytes of one suffix array.
+#: Windows that are hashed at once, and bytes of one suffix array; both stay in a core's cache.
 SLICE = 1 << 17
-PART = 3 << 17
+PART = 1 << 16
 BUCKET_VALUES = 1 << 21
 _SENT = pa.schema([
     ("bucket", pa.int32()), ("block", pa.int32()), ("kind", pa.int32()), ("values", pa.binary()),
