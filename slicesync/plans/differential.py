@@ -126,6 +126,9 @@ def run_differential_sync(
     ).collect()
     stats.total_changed_pairs = sum(row[2] for row in per_unit)
     stats.rows_downloaded = sum(row[3] for row in per_unit)
+    if source.reads_level1_whole and per_unit:
+        # The slices are picked from all rows of their level-1 values, which the wire carries.
+        stats.rows_downloaded = open1.agg(F.coalesce(F.sum("row_count"), F.lit(0))).first()[0]
     stats.rows_skipped = all_rows - stats.rows_downloaded
 
     stats.fingerprint_seconds, started = perf_counter() - started, perf_counter()

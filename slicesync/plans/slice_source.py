@@ -33,6 +33,8 @@ def keyed(df: DataFrame, level1: str, level2: str) -> DataFrame:
 class FrameSource:
     """Slices of a DataFrame: files, a lake table, or any extraction of them."""
 
+    reads_level1_whole = False
+
     def __init__(self, df: DataFrame, level1: str, level2: str):
         self.df = lower_case_names(df)
         self.level1, self.level2 = level1.lower(), level2.lower()
@@ -62,9 +64,12 @@ class DatabaseSource:
 
     ``run`` executes one statement, ``read`` reads the rows of each predicate
     in a task of its own and ``read_all`` the whole relation. The spelling of
-    the hash is the database's own.
+    the hash is the database's own. All rows of a changed level-1 value come
+    over the wire, and count as downloaded.
     """
 
+    reads_level1_whole = True
+
     def __init__(
         self,
         relation: str,

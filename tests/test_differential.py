@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from slicesync.operators.fingerprint import sync_stats
 from slicesync.plans.differential import run_differential_sync
 from slicesync.plans.fingerprints import FingerprintStore
+from slicesync.plans.slice_source import DatabaseSource
 from slicesync.sources.versions import VersionedTable
 
 SCHEMA = "Periodo int, idproduto int, valor decimal(10,2), descripcion string"
@@ -205,3 +206,30 @@ def test_fingerprints_made_in_another_way_say_nothing(bench):
     again = bench.sync(rows, mutable_months=1, as_of=datetime(2024, 3, 15))
     assert not again.is_first_sync and again.new_level1 == 3 and again.rows_downloaded == 15
     assert bench.rows() == rows and bench.sync(rows).rows_downloaded == 0
+
+
+def test_a_database_sends_level1_values_whole(spark, folder):
+    """What is counted as downloaded is what the predicates read, not the slices picked from it."""
+    rows, read = baseline(), []
+    target, store = VersionedTable(spark, f"{folder}/t", partition_by="periodo"), FingerprintStore(spark, f"{folder}/f")
+
+    def sync(values):
+        frame = spark.createDataFrame([(p, q, v, "d") for (p, q), v in values.items()], SCHEMA)
+        frame.createOrReplaceTempView("sent_whole")
+
+        def rows_of(predicates):
+            sent = spark.table("sent_whole").where(" OR ".join(f"({p})" for p in predicates))
+            read.append(sent.count())
+            return sent
+
+        source = DatabaseSource(
+            "sent_whole", "Periodo", "idproduto", run=spark.sql, read=rows_of, read_all=lambda: spark.table("sent_whole"),
+            row_hash="xxhash64(*)", xor="bit_xor", hash_sum="sum(cast(xxhash64(*) AS decimal(20,0)))",
+            bucket_hash="abs(cast(hash({}) AS bigint))")
+        return run_differential_sync(
+            source, target, store, country="x", table_name="t", level1="Periodo", level2="idproduto")
+
+    assert sync(rows).rows_downloaded == 15
+    stats = sync({**rows, (202402, 3): Decimal("1.00")})
+    assert read == [5] and (stats.rows_downloaded, stats.rows_skipped, stats.total_changed_pairs) == (5, 10, 1)
+    assert sync({**rows, (202402, 3): Decimal("1.00")}).rows_downloaded == 0 and read == [5]
