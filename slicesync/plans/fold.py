@@ -272,8 +272,7 @@ class _Run:
 
         alive = F.col("end").isNull() | (F.col("order") < F.col("end"))
         hits = met.join(ends, "iid", "left").where(alive).groupBy("order").agg(F.count(F.lit(1)).alias("n"))
-        hits = stage(hits, "update-hits")
-        killed = stage(ends.groupBy(F.col("end").alias("order")).agg(F.count(F.lit(1)).alias("n")), "delete-hits")
+        killed = ends.groupBy(F.col("end").alias("order")).agg(F.count(F.lit(1)).alias("n"))
         nowhere = F.when(early, f"no table at {self.target.path}") if born is not None else F.lit(None).cast("string")
         loads = self._load_outcomes(nowhere, hits, unknown)
         dropped = self.events.where("operation = 'DELETE'").select("order").join(killed, "order", "left").join(
@@ -389,6 +388,9 @@ class _Run:
 
     def _ends(self, schema, versions, deletes) -> tuple[DataFrame, DataFrame]:
         """``(iid, end)``: the delete that ends an instance; and the deletes that are refused."""
+        if not deletes:
+            return (self.spark.createDataFrame([], "iid long, end long"),
+                    self.spark.createDataFrame([], "order long, error string"))
         every = _union([self.spark.createDataFrame([], "order long, cap long"), *(d.select("order", "cap") for _, d in deletes)])
         refused = self.spark.createDataFrame([], "order long")
         while True:
