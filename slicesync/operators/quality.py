@@ -6,7 +6,9 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from slicesync.operators.distinct_bitmaps import distinct_counts, key_bitmaps
 from slicesync.session import local_rows
 
 
@@ -16,14 +18,29 @@ def profile(
     distinct: Mapping[str, str],
     flags: Mapping[str, Column] | None = None,
 ) -> DataFrame:
-    """Count, first and last moment, distinct counts and flagged rows, in one row."""
-    return df.agg(
+    """Count, first and last moment, distinct counts and flagged rows, in one row.
+
+    Each distinct count is a scalar subquery that reads its own column: together
+    with the other aggregates every row would be copied once for each of them.
+    """
+    totals = df.agg(
         F.count(F.lit(1)).alias("row_count"),
         F.min(moment).alias("first_date"),
         F.max(moment).alias("last_date"),
-        *[F.count_distinct(F.col(column)).alias(out) for out, column in distinct.items()],
         *[F.count_if(flag).alias(out) for out, flag in (flags or {}).items()],
     )
+    return totals.select(
+        "row_count", "first_date", "last_date",
+        *[_distinct(df, column).scalar().alias(out) for out, column in distinct.items()],
+        *(flags or {}),
+    )
+
+
+def _distinct(df: DataFrame, column: str) -> DataFrame:
+    if isinstance(df.schema[column].dataType, T.IntegralType):
+        counted = distinct_counts(key_bitmaps(df, [], column), [], "n")
+        return counted.select(F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+    return df.select(column).distinct().agg(F.count(F.col(f"`{column}`")).alias("n"))
 
 
 def period_availability(

@@ -141,7 +141,7 @@ def run_differential_sync(
         old = target.read(parts=[unit for unit in units if unit[0] not in new_values])
         kept = drop_slices(keyed(old, level1, level2), slices, SLICE).drop(*SLICE)
         rows = kept.unionByName(align_columns(fresh, kept.schema))
-        store.forget(country, table_name, ("window", "watermark"))
+        store.forget(country, table_name, ("window", "watermark", "ranges"))
         stats.version = target.replace_parts(
             rows, units, operation="differential", job_id=job_id
         )

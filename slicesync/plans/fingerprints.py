@@ -18,7 +18,7 @@ COLUMNS = (
     "level2_value string, row_count long, checksum_xor long, checksum_sum decimal(38,0), "
     "synced_at timestamp_ntz, job_id string, made_by string"
 )
-LEVELS = ("period", "product", "window", "watermark")
+LEVELS = ("period", "product", "window", "watermark", "ranges")
 
 
 # In place of a method: the target was written by a run that took no fingerprints.

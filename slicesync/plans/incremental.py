@@ -5,13 +5,15 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slicesync.functions.columns import lower_case_names
 from slicesync.functions.hashing import made_by
 from slicesync.functions.periods import moment_literal, now_utc, shift_months
-from slicesync.operators.fingerprint import window_fingerprint
+from slicesync.operators.fingerprint import MEASURES, classify, fingerprint, window_fingerprint
+from slicesync.operators.intervals import cover, within
+from slicesync.operators.slices import drop_slices, keep_slices
 from slicesync.plans.fingerprints import FingerprintStore
 from slicesync.session import local_rows, stage
 from slicesync.sources.versions import VersionedTable
@@ -50,6 +52,8 @@ class IncrementalStats:
     mode: str = "nothing"
     rows_window: int = 0
     rows_new: int = 0
+    rows_late: int = 0
+    ranges_read: int = 0
     version: int | None = None
 
 
@@ -66,13 +70,16 @@ def run_incremental_sync(
     as_of: datetime | None = None,
     job_id: str = "",
     force_full: bool = False,
+    range_keys: int | None = None,
 ) -> IncrementalStats:
     """Append rows whose key exceeds the target's, and replace a changed window.
 
     ``force_full`` writes the whole source instead, as a first run does.
     The window's boundary is one value for the rows removed and the rows read.
-    A row that arrives late, with a key below the watermark and a date before
-    the window, is not found; use the differential sync where that happens.
+    With ``range_keys`` the source's keys are counted in ranges of so many, and
+    ranges in which a key came late (below the watermark, dated before the
+    window) are read again; of their rows those are appended whose key the
+    target lacks, so keys must be unique. Without it such rows are not found.
     """
     source = lower_case_names(source)
     key = key.lower()
@@ -92,6 +99,10 @@ def run_incremental_sync(
         stats.rows_new = target.rows_written(stats.version)
         if windowed:
             store.save(now, country, table_name, "window", job_id, made_by=how)
+        if range_keys:
+            ranges = stage(key_ranges(source, key, range_keys), "ranges")
+            store.save(ranges, country, table_name, "ranges", job_id,
+                       made_by=_ranged_by(key, range_keys))
         return stats
 
     # One read of the source: what may be written is staged, and the fingerprint, the
@@ -99,9 +110,22 @@ def run_incremental_sync(
     wanted = F.col(key) > max_key
     if windowed:
         wanted = wanted | (F.col(date_column) >= moment_literal(boundary))
+    ranges = grown = None
+    if range_keys:
+        ranges = stage(key_ranges(source, key, range_keys), "ranges")
+        grown, intervals = _grown_ranges(
+            ranges, store, country, table_name, key, range_keys, max_key)
+        stats.ranges_read = grown.count()
+        wanted = wanted | within(source, key, intervals)
     staged = stage(source.where(wanted), "incremental")
     fresh = beyond(staged, key, max_key, date_column, boundary)
     window = in_window(staged, date_column, boundary) if windowed else staged.where(F.lit(False))
+    if stats.ranges_read:
+        late = stage(_late_rows(
+            staged, target.read(), key, max_key, grown, range_keys, intervals, date_column, boundary,
+        ), "late")
+        stats.rows_late = late.count()
+        fresh = fresh.unionByName(late)
     new_rows, highest = fresh.agg(F.count(F.lit(1)), F.max(F.col(key).cast("bigint"))).first()
     now = _window_prints(window) if windowed else None
     if windowed and not _same(now, store.load(country, table_name, "window", made_by=how)):
@@ -122,9 +146,59 @@ def run_incremental_sync(
         stats.rows_new = new_rows
     if stats.version is not None:
         _keep_key(store, max(max_key, highest or max_key), country, table_name, key, job_id)
+    if range_keys and (stats.version is not None or stats.ranges_read):
+        store.save(ranges, country, table_name, "ranges", job_id,
+                   made_by=_ranged_by(key, range_keys))
     return stats
 
 
+def key_ranges(source: DataFrame, key: str, range_keys: int) -> DataFrame:
+    """Fingerprints of the keys in ranges of ``range_keys`` keys; only the key is read."""
+    if range_keys < 1:
+        raise ValueError("range_keys must be positive")
+    keys = source.where(F.col(key).isNotNull()).select(
+        F.col(key).cast("bigint").alias(key), _range_of(key, range_keys).alias("level1_value"))
+    return fingerprint(keys, ["level1_value"], [key])
+
+
+def _range_of(key: str, range_keys: int) -> Column:
+    value, width = F.col(key).cast("bigint"), F.lit(range_keys).cast("bigint")
+    return F.call_function("div", value - F.pmod(value, width), width)
+
+
+def _ranged_by(key: str, range_keys: int) -> str:
+    return f"{key} in ranges of {range_keys}"
+
+
+def _grown_ranges(ranges, store, country, table_name, key, range_keys, max_key):
+    """Ranges up to the watermark whose keys are not those last seen, and intervals over them.
+
+    What was never counted has to be looked at whole once.
+    """
+    before = store.load(country, table_name, "ranges", made_by=_ranged_by(key, range_keys)).select(
+        F.col("level1_value").cast("bigint").alias("level1_value"), *MEASURES)
+    status = classify(ranges, before, ["level1_value"]).where("status IN ('changed', 'new')")
+    grown = stage(status.select("level1_value").where(
+        F.col("level1_value") <= max_key // range_keys), "grown")
+    intervals = [
+        (low * range_keys, min((high + 1) * range_keys - 1, max_key))
+        for low, high in cover(grown, "level1_value")
+    ]
+    return grown, intervals
+
+
+def _late_rows(staged, target, key, max_key, grown, range_keys, intervals, date_column, boundary):
+    """Staged rows of the grown ranges, outside the window, whose key the target lacks there."""
+    def settled(rows):
+        rows = rows.where(within(rows, key, intervals) & (F.col(key) <= max_key))
+        if boundary is not None:
+            rows = rows.where(F.coalesce(F.col(date_column) < moment_literal(boundary), F.lit(False)))
+        return rows.withColumn("_range", _range_of(key, range_keys))
+
+    late = keep_slices(settled(staged), grown, ["_range"], ["level1_value"]).drop("_range")
+    return drop_slices(late, settled(target), [key])
+
+
 def _window_prints(window: DataFrame) -> DataFrame:
     prints = window_fingerprint(window).withColumn("level1_value", F.lit(WINDOW_KEY))
     return stage(prints, "window")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from slicesync.functions.columns import lower_case_names
 from slicesync.functions.hashing import made_by
+from slicesync.operators.chunks import scan_balanced
 from slicesync.operators.fingerprint import fingerprint, level1_fingerprint
 from slicesync.operators.slices import keep_slices, restrict
 from slicesync.sources import jdbc
@@ -100,7 +101,7 @@ class DatabaseSource:
             table, level1, level2,
             run=lambda text: jdbc.scan_query(spark, database, text),
             read=lambda predicates: jdbc.scan_slices(spark, database, table, predicates),
-            read_all=lambda: jdbc.scan_chunked(spark, database, table, chunk_key),
+            read_all=lambda: scan_balanced(spark, database, table, chunk_key, level2),
             **spelling,
         )
 

@@ -10,6 +10,7 @@ def load_all() -> None:
         aggregates,
         filters,
         joins,
+        narrowing,
         pages,
         projections,
         queue,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from slicesync.functions.periods import period_of, since_days
 from slicesync.operators import analytics as N
 from slicesync.operators import apply as A
+from slicesync.operators import distinct_bitmaps as B
 from slicesync.operators import fingerprint as G
 from slicesync.operators import jobs as J
 from slicesync.operators import quality as Q
@@ -35,6 +36,7 @@ from slicesync.queries.shared import (
     table,
 )
 from slicesync.queries.scans import regional_servers
+from slicesync.session import stage
 from slicesync.sources.tables import union_servers
 
 
@@ -123,6 +125,34 @@ def agg7(spark, sf_dir):
     )
 
 
+@query(
+    "agg7_distinct_by_bitmaps",
+    f"""
+    WITH {PURCHASES_CTE},
+    d AS (
+      SELECT 'month' AS span, period AS value, l_orderkey FROM p
+      UNION ALL SELECT 'quarter', period // 100 * 10 + (period % 100 + 2) // 3, l_orderkey FROM p
+      UNION ALL SELECT 'year', period // 100, l_orderkey FROM p
+      UNION ALL SELECT 'all', NULL, l_orderkey FROM p
+    )
+    SELECT span, value::INT AS value, count(DISTINCT l_orderkey) AS orders FROM d GROUP BY 1, 2
+    """,
+)
+def agg7_bitmaps(spark, sf_dir):
+    """Distinct orders per month, quarter and year, and of all: the longer ones from stored months."""
+    rows = purchases(spark, sf_dir).select("period", "l_orderkey")
+    months = stage(B.key_bitmaps(rows, ["period"], "l_orderkey"), "bitmaps")
+    quarter = F.expr("period div 100 * 10 + (period % 100 + 2) div 3")
+    spans = {"month": F.col("period"), "quarter": quarter, "year": F.expr("period div 100"),
+             "all": F.lit(None)}
+    combined = None
+    for span, value in spans.items():
+        part = B.distinct_counts(months.withColumn("value", value.cast("int")), ["value"], "orders")
+        part = part.withColumn("span", F.lit(span))
+        combined = part if combined is None else combined.unionByName(part)
+    return combined
+
+
 @query(
     "agg8_profile_with_flags",
     """

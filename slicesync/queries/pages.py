@@ -96,6 +96,42 @@ def srt2(spark, sf_dir):
     return P.page(orders, [F.desc("o_orderdate"), "o_orderkey"], 50, 100)
 
 
+@query(
+    "srt2_deep_page",
+    """
+    SELECT l_shipdate, l_orderkey, l_linenumber, l_partkey, l_extendedprice FROM lineitem
+    ORDER BY l_shipdate DESC, l_orderkey, l_linenumber, l_partkey, l_extendedprice
+    LIMIT 5 OFFSET (SELECT count(*) // 10 * 8 FROM lineitem)
+    """,
+)
+def srt2_deep(spark, sf_dir):
+    """A page behind 80 % of all rows: page 9,600 of five rows at 60,000 rows."""
+    lines = table(spark, sf_dir, "lineitem").select(
+        "l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
+    behind = lines.count() // 10 * 8
+    return P.page_at(lines, lines.columns, 5, behind, descending=["l_shipdate"], range_rows=10)
+
+
+@query(
+    "srt2_page_after",
+    """
+    SELECT o_orderkey, o_orderdate, o_totalprice FROM orders
+    WHERE o_orderdate < (SELECT max(o_orderdate) FROM orders WHERE o_orderstatus = 'P')
+       OR (o_orderdate = (SELECT max(o_orderdate) FROM orders WHERE o_orderstatus = 'P')
+           AND o_orderkey > (SELECT min_by(o_orderkey, (-epoch(o_orderdate), o_orderkey)) FROM orders
+                             WHERE o_orderstatus = 'P'))
+    ORDER BY o_orderdate DESC, o_orderkey LIMIT 50
+    """,
+)
+def srt2_after(spark, sf_dir):
+    """The page behind the newest pending order."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_totalprice", "o_orderstatus")
+    order = ["o_orderdate", "o_orderkey"]
+    newest = P.newest(orders.where("o_orderstatus = 'P'"), "o_orderdate", 1, "o_orderkey").first()
+    found = P.page_after(orders, order, [newest[name] for name in order], 50, descending=["o_orderdate"])
+    return found.drop("o_orderstatus")
+
+
 @query(
     "srt3_newest_rows",
     """

@@ -304,10 +304,10 @@ def _orders_before(spark, sf_dir):
     )
 
 
-def _window_sync(source, target, store):
+def _window_sync(source, target, store, **options):
     return run_incremental_sync(
         source, target, store, country="all", table_name="orders", key="o_orderkey",
-        date_column="o_orderdate", mutable_months=BOUNDARY_MONTHS, as_of=AS_OF_ORDERS,
+        date_column="o_orderdate", mutable_months=BOUNDARY_MONTHS, as_of=AS_OF_ORDERS, **options
     )
 
 
@@ -353,6 +353,38 @@ def inc4(spark, sf_dir):
     return target.read()
 
 
+@query(
+    "inc_late_rows",
+    "SELECT event_id, ts, user_id, event_type, value, props FROM events",
+)
+def inc_late(spark, sf_dir):
+    """Errors are reported after other events with higher ids; the ranges that grew give them."""
+    target, store, width = _target(spark, "inc-late", None), _store(spark), 500
+    punctual = _events_before_cut(spark, sf_dir).where("event_type <> 'error'")
+    _append_sync(spark, punctual, target, store, range_keys=width)
+    _append_sync(spark, table(spark, sf_dir, "events"), target, store, range_keys=width)
+    return target.read()
+
+
+@query(
+    "inc_late_rows_and_window",
+    f"""
+    WITH {BEFORE_CTE}, b AS (SELECT * FROM before WHERE o_orderpriority <> '5-LOW')
+    SELECT * FROM b WHERE o_orderdate < '2001-05-02'
+    UNION ALL SELECT * FROM o WHERE o_orderdate >= '2001-05-02'
+    UNION ALL SELECT * FROM o
+    WHERE o_orderdate < '2001-05-02' AND o_orderkey NOT IN (SELECT o_orderkey FROM b)
+    """,
+)
+def inc_late_window(spark, sf_dir):
+    """Low-priority orders come late, of all dates, while the window changes too."""
+    target, store = _target(spark, "inc-late-window"), _store(spark)
+    known = _orders_before(spark, sf_dir).where("o_orderpriority <> '5-LOW'")
+    for source in (known, _dated_orders(spark, sf_dir)):
+        _window_sync(source, target, store, range_keys=1_000)
+    return target.read()
+
+
 @query(
     "inc5_mode_choice",
     """

@@ -88,7 +88,7 @@ def spool(df: DataFrame, directory: str, rows_per_file: int = DEFAULT_FETCH_ROWS
     return df.sparkSession.read.schema(df.schema).parquet(directory)
 
 
-def _literal(value: object) -> str:
+def sql_literal(value: object) -> str:
     if isinstance(value, bool):
         raise TypeError("boolean keys are not supported")
     if isinstance(value, (int, float)):
@@ -109,13 +109,13 @@ def slice_predicates(
     """
     predicates = []
     for outer, inner in slices.items():
-        head = f"{level1} IS NULL" if outer is None else f"{level1} = {_literal(outer)}"
+        head = f"{level1} IS NULL" if outer is None else f"{level1} = {sql_literal(outer)}"
         if inner is None:
             predicates.append(head)
             continue
         known = [value for value in inner if value is not None]
         for start in range(0, len(known), per_predicate):
-            values = ", ".join(_literal(v) for v in known[start : start + per_predicate])
+            values = ", ".join(sql_literal(v) for v in known[start : start + per_predicate])
             predicates.append(f"{head} AND {level2} IN ({values})")
         if len(known) < len(inner):
             predicates.append(f"{head} AND {level2} IS NULL")
