@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -74,6 +75,24 @@ def schema_rows(
     return local_rows(spark, rows, "table_name string, tenant string, column_name string")
 
 
+def filled_columns(tables: Mapping[tuple[str, str], DataFrame]) -> DataFrame:
+    """(table, tenant, column, values) rows: how many values each column really holds.
+
+    One scan a table, and one row of counts a task; a column without values is no row.
+    """
+    parts = []
+    for (table, tenant), df in tables.items():
+        counted = df.agg(*[F.count(F.col(f"`{name}`")).alias(name) for name in df.columns])
+        pairs = [
+            F.struct(F.lit(name).alias("column_name"), F.col(f"`{name}`").alias("value_count"))
+            for name in df.columns
+        ]
+        parts.append(counted.select(
+            F.lit(table).alias("table_name"), F.lit(tenant).alias("tenant"),
+            F.inline(F.array(*pairs)).alias("column_name", "value_count")))
+    return reduce(DataFrame.unionByName, parts).where("value_count > 0")
+
+
 def column_availability(rows: DataFrame, tenants: Sequence[str]) -> DataFrame:
     """Per table and column: in how many tenants of the table, and where it is missing.
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -121,10 +122,17 @@ class DatabaseSource:
         return self._prints([(self.level1, "level1_value")])
 
     def level2_prints(self, values: list | None = None) -> DataFrame:
+        """One statement, and so one task, a bucket of level-2 values; a slice is in one bucket."""
         groups = [(self.level1, "level1_value"), (self.level2, "level2_value")]
-        if values is None:
-            return self._prints(groups)
-        return self._prints(groups, " OR ".join(self._level1_predicates(values)))
+        scope = [] if values is None else [" OR ".join(self._level1_predicates(values))]
+        parts = [
+            self._prints(groups, " AND ".join(f"({term})" for term in [*scope, bucket]))
+            for bucket in self._buckets()
+        ]
+        return reduce(DataFrame.unionByName, parts)
+
+    def _buckets(self) -> list[str]:
+        return jdbc.bucket_predicates(self.bucket_hash.format(self.level2), self.buckets)
 
     def all_rows(self) -> DataFrame:
         return lower_case_names(self.read_all())
@@ -138,7 +146,7 @@ class DatabaseSource:
         predicates = [
             f"({value}) AND ({bucket})"
             for value in self._level1_predicates(values)
-            for bucket in jdbc.bucket_predicates(self.bucket_hash.format(self.level2), self.buckets)
+            for bucket in self._buckets()
         ]
         rows = lower_case_names(self.read(predicates))
         return keep_slices(keyed(rows, self.level1, self.level2), slices, SLICE).drop(*SLICE)

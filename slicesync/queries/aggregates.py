@@ -432,21 +432,40 @@ def agg20(spark, sf_dir):
     return Q.column_availability(rows, region_names(spark, sf_dir))
 
 
+_PLACES = {
+    "customer": {"nationkey": "c_nationkey", "name": "c_name", "overdrawn": "nullif(greatest(c_acctbal, 0), c_acctbal)",
+                 "unused": "nullif(c_custkey, c_custkey)"},
+    "nation": {"nationkey": "n_nationkey", "name": "n_name", "regionkey": "n_regionkey"},
+    "region": {"regionkey": "r_regionkey", "name": "r_name"},
+}
+
+
 @query(
     "agg20_schema_availability",
-    """
-    SELECT 'place' AS table_name, column_name, 'tenant-specific' AS availability, 1 AS tenant_count,
-           tenant AS tenants_with_column,
-           (SELECT string_agg(t, ',' ORDER BY t) FROM (VALUES ('nation'), ('region')) v(t) WHERE t <> tenant)
-             AS tenants_without_column, 'supplier' AS tenants_without_table
-    FROM (VALUES ('nation', 'n_nationkey'), ('nation', 'n_name'), ('nation', 'n_regionkey'),
-                 ('region', 'r_regionkey'), ('region', 'r_name')) c(tenant, column_name)
-    """,
+    "WITH v AS ("
+    + " UNION ALL ".join(
+        f"SELECT '{name}' AS tenant, '{column}' AS column_name, count({value}) AS n FROM {name}"
+        for name, columns in _PLACES.items() for column, value in columns.items())
+    + """),
+    f AS (SELECT * FROM v WHERE n > 0)
+    SELECT 'place' AS table_name, column_name, sum(n)::BIGINT AS value_count,
+           CASE WHEN count(*) = 3 THEN 'common' ELSE 'tenant-specific' END AS availability,
+           count(*)::INT AS tenant_count, string_agg(tenant, ',' ORDER BY tenant) AS tenants_with_column,
+           coalesce((SELECT string_agg(t, ',' ORDER BY t) FROM (VALUES ('customer'), ('nation'), ('region')) w(t)
+                     WHERE t NOT IN (SELECT tenant FROM f f2 WHERE f2.column_name = f.column_name)), '')
+             AS tenants_without_column,
+           'supplier' AS tenants_without_table
+    FROM f GROUP BY column_name""",
 )
 def agg20_schema(spark, sf_dir):
-    """Out of the columns that two tenants' tables really have; a third tenant has none."""
-    schemas = {("place", name): table(spark, sf_dir, name).columns for name in ("nation", "region")}
-    return Q.column_availability(Q.schema_rows(spark, schemas), ["nation", "region", "supplier"])
+    """Columns that hold values in the tables of three tenants; a fourth has no such table."""
+    tables = {
+        ("place", name): table(spark, sf_dir, name).selectExpr(*[f"{v} AS {c}" for c, v in columns.items()])
+        for name, columns in _PLACES.items()
+    }
+    filled = stage(Q.filled_columns(tables), "filled")
+    values = filled.groupBy("column_name").agg(F.sum("value_count").alias("value_count"))
+    return Q.column_availability(filled, [*_PLACES, "supplier"]).join(values, "column_name")
 
 
 @query(

@@ -195,7 +195,8 @@ def ver7(spark, sf_dir):
 
 
 def _probes(spark, sf_dir):
-    """Per region: its customers, its overdrawn customers, and a query that is broken."""
+    """Per region: its customers, its overdrawn customers, a query that is broken, and one whose
+    column only a region has that has customers of some nation."""
     everyone = customers_with_nation(spark, sf_dir)
     queries = {}
     for name in region_names(spark, sf_dir):
@@ -203,6 +204,7 @@ def _probes(spark, sf_dir):
         queries[(name, "customers")] = lambda own=own: own
         queries[(name, "overdrawn")] = lambda own=own: own.where("c_acctbal < -990")
         queries[(name, "broken")] = lambda own=own: own.select("no_such_column")
+        queries[(name, "by nation")] = lambda own=own: own.groupBy().pivot("n_name").count().select("NATION_1")
     return Q.probe_queries(spark, queries)
 
 
@@ -214,6 +216,8 @@ def _probes(spark, sf_dir):
     UNION ALL SELECT r_name, 'overdrawn', 'OK', 3, count_if(c_acctbal < -990) > 0
       FROM {CUSTOMERS_SQL} GROUP BY 1
     UNION ALL SELECT r_name, 'broken', 'FAIL', 0, false FROM region
+    UNION ALL SELECT r_name, 'by nation', CASE WHEN bool_or(n_name = 'NATION_1') THEN 'OK' ELSE 'FAIL' END,
+           bool_or(n_name = 'NATION_1')::INT, bool_or(n_name = 'NATION_1') FROM {CUSTOMERS_SQL} GROUP BY 1
     """,
 )
 def val1(spark, sf_dir):
@@ -222,7 +226,10 @@ def val1(spark, sf_dir):
 
 @query(
     "val2_probe_summary",
-    "SELECT r_name AS tenant, 3::BIGINT AS total, 2::BIGINT AS ok, 1::BIGINT AS failed FROM region",
+    f"""
+    SELECT r_name AS tenant, 4::BIGINT AS total, 2 + bool_or(n_name = 'NATION_1')::BIGINT AS ok,
+           2 - bool_or(n_name = 'NATION_1')::BIGINT AS failed FROM {CUSTOMERS_SQL} GROUP BY 1
+    """,
 )
 def val2(spark, sf_dir):
     return Q.probe_summary(_probes(spark, sf_dir))

@@ -60,3 +60,22 @@ def test_changed_slices_are_read_in_buckets_and_picked_by_a_join(spark, slices):
     got = source.slice_rows(chosen, ["1", "3"]).collect()
     assert sorted((str(a), str(b)) for a, b in got) == sorted(wanted)
     assert len(asked) == 8  # two values in four buckets, however many slices
+
+
+@pytest.mark.parametrize("values", [None, ["1", None]])
+def test_slice_prints_come_in_buckets(spark, values):
+    rows = [(p, q) for p in (1, 2, None) for q in [None, *range(9)] for _ in range(2)]
+    spark.createDataFrame(rows, "p int, q int").createOrReplaceTempView("bucketed_prints")
+    asked = []
+
+    def run(text):
+        asked.append(text)
+        return spark.sql(text)
+
+    source = DatabaseSource(
+        "bucketed_prints", "p", "q", run=run, read=None, read_all=None, row_hash="xxhash64(*)", xor="bit_xor",
+        hash_sum="sum(cast(xxhash64(*) AS decimal(20,0)))", bucket_hash="abs(cast(hash({}) AS bigint))", buckets=3)
+    got = [tuple(r)[:3] for r in source.level2_prints(values).collect()]
+    wanted = {(None if p is None else str(p), None if q is None else str(q), 2) for p, q in rows
+              if values is None or (None if p is None else str(p)) in values}
+    assert len(got) == len(set(got)) and set(got) == wanted and len(asked) == 3
