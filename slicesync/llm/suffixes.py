@@ -1,7 +1,8 @@
 """Removal of byte strings that repeat, by suffix arrays built from Lyndon-prefix groups.
 
 Texts are UTF-8 bytes, dealt into blocks by a hash of their row; a string of ``width`` bytes
-that starts anywhere else too goes, same text included. Matches never cross texts.
+that starts anywhere else too goes, same text included. Matches never cross texts. A block is
+read three times, and its rows come in any order, so each time it puts its texts in order.
 
 1. A window's anchor is the smallest hash of its ``gram``-byte strings, so equal windows have
    equal anchors. Consecutive windows of one anchor are a run. A block sends each bucket its
@@ -108,13 +109,18 @@ def _several(grams: np.ndarray, least: np.ndarray, first: np.ndarray, stop: np.n
 
 
 class _Runs:
-    """All runs of a block's texts: first window, stop, anchor, two hashes of the run, and
-    whether the anchor is in it several times."""
+    """All runs of a block's texts: first window, stop, anchor, two hashes of the run, and, if
+    asked for, whether the anchor is in it several times."""
 
-    def __init__(self, texts: pa.Array | pa.ChunkedArray, width: int, gram: int, buckets: int):
+    def __init__(
+        self, texts: pa.Array | pa.ChunkedArray, width: int, gram: int, buckets: int, several: bool = False,
+    ):
         if isinstance(texts, pa.ChunkedArray):
             texts = texts.combine_chunks()
         texts = texts.cast(pa.large_binary()).fill_null(b"")
+        # Where slices cut the runs depends on the order of the texts.
+        self.order = pc.sort_indices(texts)
+        texts = texts.take(self.order)
         ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
         data = texts.buffers()[2]
         self.raw = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data else np.zeros(0, np.uint8)
@@ -138,7 +144,8 @@ class _Runs:
             end = stop + width - 1
             found.append((
                 first + at, stop + at, least[first], self.hasher.stretches(sums, first, end, 0),
-                self.hasher.stretches(other, first, end, 1), _several(grams, least, first, stop, within)))
+                self.hasher.stretches(other, first, end, 1),
+                _several(grams, least, first, stop, within) if several else np.zeros(len(first), bool)))
         self.first, self.stop, self.anchor, self.value, second, self.several = map(np.concatenate, zip(*found))
         self.bucket = (second % np.uint64(buckets)).astype(np.int32)
         self.anchor_bucket = (mixed(self.anchor) % np.uint64(buckets)).astype(np.int32)
@@ -309,7 +316,7 @@ def remove_repeats(
         "block", F.pmod(F.xxhash64(f"row.{id_col}", "text"), F.lit(blocks)).cast("int"))
 
     def first(table: pa.Table) -> pa.Table:
-        found = _Runs(table.column("text"), width, gram, buckets)
+        found = _Runs(table.column("text"), width, gram, buckets, True)
         block, anchors = table.column("block")[0].as_py(), found.anchors
         several = np.zeros(len(anchors), bool)
         several[anchors.number[found.several]] = True
@@ -344,13 +351,13 @@ def remove_repeats(
         windows = _Distinct(bucket, value)
         hits = at[windows.answered(answers, WINDOWS)[windows.number]]
         steps = np.zeros(len(found.raw) + 1, np.int32)
-        np.add.at(steps, hits, 1)
-        np.add.at(steps, hits + width, -1)
-        np.add.at(steps, found.first[copied], 1)
-        np.add.at(steps, found.stop[copied] + width - 1, -1)
-        return _cut(table, found, np.cumsum(steps[:-1]) > 0)
+        steps[hits] += 1  # no place is twice in one of the four
+        steps[hits + width] -= 1
+        steps[found.first[copied]] += 1
+        steps[found.stop[copied] + width - 1] -= 1
+        return _cut(table.column("row").take(found.order), found, np.cumsum(steps[:-1]) > 0)
 
-    def _cut(table: pa.Table, found: _Runs, gone: np.ndarray) -> pa.Table:
+    def _cut(rows: pa.ChunkedArray, found: _Runs, gone: np.ndarray) -> pa.Table:
         offsets, n = found.offsets, len(gone)
         edge = np.zeros(n, bool)
         edge[offsets[:-1][offsets[:-1] < n]] = True  # a text's first byte
@@ -363,14 +370,14 @@ def remove_repeats(
         own = np.repeat(offsets[:-1], np.diff(spans_before))
         left_before = np.concatenate([[0], np.cumsum(~gone)])[offsets]
         left = pa.LargeBinaryArray.from_buffers(
-            pa.large_binary(), len(table),
+            pa.large_binary(), len(rows),
             [None, pa.py_buffer(left_before.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(found.raw[~gone]))])
         spans = pa.ListArray.from_arrays(
             pa.array(spans_before.astype(np.int32)), pa.StructArray.from_arrays(
                 [pa.array((first - own).astype(np.int32)), pa.array((stop - own).astype(np.int32))], ["start", "stop"]))
         sizes = np.diff(offsets)
         return pa.Table.from_arrays(
-            [table.column("row"), pa.array(sizes), pa.array(sizes - np.diff(left_before)),
+            [rows, pa.array(sizes), pa.array(sizes - np.diff(left_before)),
              pa.array(np.diff(spans_before).astype(np.int64)), left.cast(pa.binary()), spans],
             ["row", "n_bytes", "n_removed", "n_spans", "kept", "removed"])
 

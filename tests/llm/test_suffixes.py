@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -126,3 +127,35 @@ def test_removal_from_edited_copies(spark, monkeypatch):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert outcome(suffixes.remove_repeats(docs, width=40).collect()) == sorted(
         (i, *e) for i, e in enumerate(removed(texts, 40)))
+
+
+def test_runs_do_not_depend_on_the_order_of_rows(monkeypatch):
+    """A block is read three times, each time with its rows in any order."""
+    monkeypatch.setattr(suffixes, "SLICE", 700)
+    source = random.Random(4)
+    texts = [None, "", *("".join(source.choice("abc d\n") for _ in range(source.randrange(400))) for _ in range(30))] * 2
+    seen = set()
+    for _ in range(4):
+        source.shuffle(texts)
+        found = suffixes._Runs(pa.array(texts, pa.string()), 40, 26, 3)
+        assert [texts[i] or "" for i in found.order.to_pylist()] == sorted(t or "" for t in texts)
+        seen.add((found.runs.value.tobytes(), found.runs.bucket.tobytes(), found.anchors.value.tobytes()))
+    assert len(seen) == 1
+
+
+def test_removal_with_rows_in_another_order_each_time(spark, monkeypatch):
+    """As on a cluster, where blocks come from executors in any order."""
+    source, runs = random.Random(6), suffixes._Runs
+
+    def shuffled(texts, *rest):
+        again = pa.array(np.random.default_rng().permutation(len(texts)))
+        found = runs(texts.take(again), *rest)
+        found.order = again.take(found.order)
+        return found
+
+    base = "".join(source.choice("abcdefgh \n") for _ in range(2000))
+    texts = [base[source.randrange(1900) :][:300] + str(i) + base[: source.randrange(900)] for i in range(500)]
+    monkeypatch.setattr(suffixes, "_Runs", shuffled)  # more text than one slice holds
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert outcome(suffixes.remove_repeats(docs, width=40).collect()) == sorted(
+        (i, *e) for i, e in enumerate(removed(texts, 40)))
