@@ -55,11 +55,14 @@ def words_of(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarr
         len(texts), pa.py_buffer((ends - ends[0]).copy()), pa.py_buffer(raw)
     )
     pieces = pc.split_pattern(spaced, " ")
+    del raw, spaced, data, texts  # each is as large as the texts
     flat = pieces.flatten()
     real = pc.not_equal(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
     bounds = pieces.offsets.to_numpy()
     offsets = np.concatenate([[0], np.cumsum(real, dtype=np.int64)])[bounds - bounds[0]]
-    coded = flat.filter(pa.array(real)).dictionary_encode()
+    flat = flat.filter(pa.array(real))
+    del pieces, bounds
+    coded = flat.dictionary_encode()
     return coded.indices.to_numpy(), offsets, coded.dictionary
 
 

@@ -78,8 +78,9 @@ class _Chunks:
         pairs, self.count = np.unique(owner * max(len(self.words), 1) + codes, return_counts=True)
         self.owner, self.code = pairs // max(len(self.words), 1), pairs % max(len(self.words), 1)
         self.bucket = _bucket_of(self.words, buckets)
-        # By bucket, then as the words came: the same order each time a block is read.
-        self.order = np.argsort(self.bucket, kind="stable")
+        # By bucket, then by word: the same order each time a block is read, whose rows come in any.
+        self.order = pc.sort_indices(self.words).to_numpy().astype(np.int64)
+        self.order = self.order[np.argsort(self.bucket[self.order], kind="stable")]
         self.used, cuts = np.unique(self.bucket[self.order], return_index=True)
         self.cuts = np.append(cuts, len(self.order))
 
@@ -100,17 +101,20 @@ def _packed(values: np.ndarray) -> bytes:
 
 
 def _unpacked(packed: bytes) -> np.ndarray:
-    return np.frombuffer(packed, f"<u{packed[0]}", offset=1).astype(np.int64)
+    """The numbers in the same few bytes; sums of them need more."""
+    values = np.frombuffer(packed, f"<u{packed[0]}", offset=1)
+    return values.astype(np.int64) if packed[0] == 8 else values
 
 
 class _Cells:
     """Sums for each term and group, added up over rows of ``_CELLS``."""
 
     def __init__(self, terms: pa.Array, groups: list[tuple], term, group, docs, occurrences):
-        order = np.argsort(term * max(len(groups), 1) + group, kind="stable")
-        key = (term * max(len(groups), 1) + group)[order]
+        key = term.astype(np.int64) * max(len(groups), 1) + group
+        order = np.argsort(key, kind="stable")
+        key = key[order]
         starts = np.flatnonzero(np.diff(key, prepend=-1))
-        add = (lambda x: np.add.reduceat(x[order], starts)) if len(key) else (lambda x: x)
+        add = (lambda x: np.add.reduceat(x[order], starts, dtype=np.int64)) if len(key) else (lambda x: x.astype(np.int64))
         self.terms, self.groups = terms, groups
         self.term, self.group = key[starts] // max(len(groups), 1), key[starts] % max(len(groups), 1)
         self.docs, self.occurrences = add(docs), add(occurrences)
@@ -128,12 +132,13 @@ class _Cells:
                 if name not in number:
                     number[name] = len(names)
                     names.append(name)
-            own = np.array([number[x] for x in zip(langs, sources)], np.int64)
-            codes = coded.indices.slice(first[k], first[k + 1] - first[k]).to_numpy().astype(np.int64)
+            own = np.array([number[x] for x in zip(langs, sources)], np.int32)
+            codes = coded.indices.slice(first[k], first[k + 1] - first[k]).to_numpy()
             parts[0].append(np.repeat(codes, _unpacked(held)))
             parts[1].append(own[_unpacked(groups)])
             parts[2].append(_unpacked(docs))
             parts[3].append(_unpacked(occurrences))
+        del rows
         return cls(coded.dictionary, names, *map(np.concatenate, parts))
 
     def rows(self, block: int, buckets: int) -> pa.Table:
@@ -201,15 +206,20 @@ def term_counts(docs: DataFrame, least: int = MIN_DOCS) -> DataFrame:
         answer = answers.sort_by("bucket").column("terms").combine_chunks().flatten()
         answer = pc.coalesce(answer, found.words.take(pa.array(found.order)).cast(pa.string()))
         codes, offsets, terms = words_of(answer)  # the terms of each distinct chunk
+        del answer
         place = np.empty(len(found.order), np.int64)
         place[found.order] = np.arange(len(found.order))
         at = place[found.code]
         sizes = offsets[at + 1] - offsets[at] if len(at) else at
         term = codes[gather(offsets[at], sizes)] if len(at) else at
         n_terms = max(len(terms), 1)
-        pair, own = np.unique(np.repeat(found.owner, sizes) * n_terms + term, return_inverse=True)
+        count, term = np.repeat(found.count, sizes), np.repeat(found.owner, sizes) * n_terms + term
+        del found, codes, offsets, place, at, sizes
+        pair, own = np.unique(term, return_inverse=True)
+        del term
         times = np.zeros(len(pair), np.int64)
-        np.add.at(times, own, np.repeat(found.count, sizes))
+        np.add.at(times, own, count)
+        del own, count
         number: dict[tuple, int] = {}
         group = np.array([
             number.setdefault(x, len(number)) for x in zip(*(table.column(c).to_pylist() for c in ("lang", "source")))],

@@ -1,8 +1,10 @@
 """The audit of sources against SQL and brute force."""
 
+import random
 import re
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from compare import connect, differences
 from slicesync.llm import divergence
@@ -84,3 +86,13 @@ def test_text_of_20_mb(spark):
     rows = {(r.source, r.item): r.value for r in divergence.audit(docs, min_docs=1).collect() if r.part == "pair"}
     brute = {(a[1], a[3]): a[4] for a in audit([("en", "s", long), ("en", "t", "alpha")], 1, 10) if a[2] == "pair"}
     assert rows == brute
+
+
+def test_chunks_do_not_depend_on_the_order_of_rows():
+    """A block is read twice, each time with its rows in any order; answers go by place."""
+    texts, seen = [t for t in TEXTS if t is not None] * 2, set()
+    for seed in range(4):
+        random.Random(seed).shuffle(texts)
+        found = divergence._Chunks(pa.array(texts, pa.string()), 3)
+        seen.add((tuple(found.words.take(pa.array(found.order)).to_pylist()), tuple(found.cuts.tolist())))
+    assert len(seen) == 1
