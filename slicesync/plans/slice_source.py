@@ -67,7 +67,8 @@ class DatabaseSource:
     ``run`` executes one statement, ``read`` reads the rows of each predicate
     in a task of its own and ``read_all`` the whole relation. The spelling of
     the hash is the database's own. All rows of a changed level-1 value come
-    over the wire, and count as downloaded.
+    over the wire, and count as downloaded. An engine that is ``parallel`` gives
+    each statement many tasks itself, and is not asked once a bucket.
     """
 
     reads_level1_whole = True
@@ -85,12 +86,13 @@ class DatabaseSource:
         hash_sum: str = "SUM(CAST(CHECKSUM(*) AS BIGINT))",
         bucket_hash: str = "ABS(CAST(CHECKSUM({}) AS BIGINT))",
         buckets: int = LEVEL2_BUCKETS,
+        parallel: bool = False,
     ):
         self.relation = relation
         self.level1, self.level2 = level1.lower(), level2.lower()
         self.run, self.read, self.read_all = run, read, read_all
         self.row_hash, self.xor, self.hash_sum = row_hash, xor, hash_sum
-        self.bucket_hash, self.buckets = bucket_hash, buckets
+        self.bucket_hash, self.buckets, self.parallel = bucket_hash, buckets, parallel
         self.made_by = f"{row_hash} {xor} {hash_sum}"
 
     @classmethod
@@ -122,17 +124,20 @@ class DatabaseSource:
         return self._prints([(self.level1, "level1_value")])
 
     def level2_prints(self, values: list | None = None) -> DataFrame:
-        """One statement, and so one task, a bucket of level-2 values; a slice is in one bucket."""
+        """One statement, and so one task unless the engine is parallel, a bucket of level-2 values;
+        a slice is in one bucket."""
         groups = [(self.level1, "level1_value"), (self.level2, "level2_value")]
         scope = [] if values is None else [" OR ".join(self._level1_predicates(values))]
         parts = [
-            self._prints(groups, " AND ".join(f"({term})" for term in [*scope, bucket]))
-            for bucket in self._buckets()
+            self._prints(groups, _all_of([*scope, *bucket])) for bucket in self._buckets()
         ]
         return reduce(DataFrame.unionByName, parts)
 
-    def _buckets(self) -> list[str]:
-        return jdbc.bucket_predicates(self.bucket_hash.format(self.level2), self.buckets)
+    def _buckets(self) -> list[list[str]]:
+        """Terms of each bucket; together the buckets hold every row, so one alone needs none."""
+        if self.parallel:
+            return [[]]
+        return [[term] for term in jdbc.bucket_predicates(self.bucket_hash.format(self.level2), self.buckets)]
 
     def all_rows(self) -> DataFrame:
         return lower_case_names(self.read_all())
@@ -144,9 +149,13 @@ class DatabaseSource:
         """Rows of the changed level-1 values, a task for each value and bucket of level 2;
         the slices among them are picked by a semi join, however many they are."""
         predicates = [
-            f"({value}) AND ({bucket})"
+            _all_of([value, *bucket])
             for value in self._level1_predicates(values)
             for bucket in self._buckets()
         ]
         rows = lower_case_names(self.read(predicates))
         return keep_slices(keyed(rows, self.level1, self.level2), slices, SLICE).drop(*SLICE)
+
+
+def _all_of(terms: list[str]) -> str:
+    return " AND ".join(f"({term})" for term in terms)

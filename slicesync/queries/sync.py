@@ -650,7 +650,7 @@ def dif_pushed_down(spark, sf_dir):
             read_all=lambda view=view: spark.table(view),
             row_hash="xxhash64(*)", xor="bit_xor",
             hash_sum="sum(cast(xxhash64(*) AS decimal(20,0)))",
-            bucket_hash="abs(cast(hash({}) AS bigint))",
+            bucket_hash="abs(cast(hash({}) AS bigint))", parallel=True,
         )
         _sync(source, target, store)
     return target.read().groupBy("period").agg(

@@ -79,3 +79,31 @@ def test_slice_prints_come_in_buckets(spark, values):
     wanted = {(None if p is None else str(p), None if q is None else str(q), 2) for p, q in rows
               if values is None or (None if p is None else str(p)) in values}
     assert len(got) == len(set(got)) and set(got) == wanted and len(asked) == 3
+
+
+def test_a_parallel_engine_is_asked_once(spark):
+    rows = [(p, q) for p in (1, 2, None) for q in [None, *range(9)]]
+    spark.createDataFrame(rows, "p int, q int").createOrReplaceTempView("parallel_prints")
+    asked, read = [], []
+
+    def run(text):
+        asked.append(text)
+        return spark.sql(text)
+
+    def rows_of(predicates):
+        read.extend(predicates)
+        return spark.table("parallel_prints").where(" OR ".join(f"({p})" for p in predicates))
+
+    def source(**engine):
+        return DatabaseSource(
+            "parallel_prints", "p", "q", run=run, read=rows_of, read_all=None, row_hash="xxhash64(*)", xor="bit_xor",
+            hash_sum="sum(cast(xxhash64(*) AS decimal(20,0)))", bucket_hash="abs(cast(hash({}) AS bigint))", **engine)
+
+    for values in (None, ["1", None]):
+        whole, dealt = ([tuple(r) for r in source(**engine).level2_prints(values).collect()]
+                        for engine in ({"parallel": True}, {}))
+        assert len(whole) == (30 if values is None else 20) and set(whole) == set(dealt)
+    assert len(asked) == 2 * (1 + 8)
+    chosen = spark.createDataFrame([("1", "2"), (None, None)], "level1_value string, level2_value string")
+    got = source(parallel=True).slice_rows(chosen, ["1", None]).collect()
+    assert {tuple(r) for r in got} == {(1, 2), (None, None)} and len(got) == 2 == len(read)
