@@ -65,13 +65,14 @@ class HashTree:
     @classmethod
     def build(
         cls, df: DataFrame, path: str, slices: Sequence[str], key: Sequence[str], depth: int,
-        columns: list[str] | None = None, **hashing,
+        columns: list[str] | None = None, placed: bool = False, **hashing,
     ) -> HashTree:
-        """One scan for the leaves; each level above is added up from the one below."""
+        """One scan for the leaves; each level above is added up from the one below. ``placed``:
+        the rows hold the leaf that ``by_place`` gave them for the same key, depth and hash."""
         tree = cls(df.sparkSession, path, slices, depth)
         columns = columns or [name for name in df.columns if name != PLACE]
-        placed = df.withColumn("node", place(df, key, depth, **hashing))
-        nodes = fingerprint(placed, [*slices, "node"], columns, **hashing)
+        leaf = F.col(PLACE) if placed else place(df, key, depth, **hashing)
+        nodes = fingerprint(df.withColumn("node", leaf), [*slices, "node"], columns, **hashing)
         for level in range(depth, 0, -1):
             nodes.sortWithinPartitions("node").write.parquet(tree._level(level))
             nodes = tree.nodes(level).groupBy(

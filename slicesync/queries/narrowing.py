@@ -41,7 +41,8 @@ def _narrowed(spark, sf_dir):
         placed = H.by_place(rows, run_dir(spark, f"placed-{label}"), ["slice"], KEY, DEPTH, **PORTABLE)
         states.append(placed)
         trees.append(H.HashTree.build(
-            placed, run_dir(spark, f"tree-{label}"), ["slice"], KEY, DEPTH, columns=now.columns, **PORTABLE))
+            placed, run_dir(spark, f"tree-{label}"), ["slice"], KEY, DEPTH, columns=now.columns, placed=True,
+            **PORTABLE))
     return states, H.differing_leaves(*trees)
 
 

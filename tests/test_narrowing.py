@@ -67,6 +67,16 @@ def _tree(spark, rows, folder, depth):
     return placed, H.HashTree.build(placed, f"{folder}/tree", ["slice"], ["id"], depth)
 
 
+def test_a_tree_of_placed_rows_takes_their_leaves(spark, folder, monkeypatch):
+    rows = [(s, i, "a") for s, n in (("hot", 300), ("b", 40), (None, 40)) for i in [None, *range(n)]] * 2
+    placed, tree = _tree(spark, rows, folder, 2)
+    monkeypatch.setattr(H, "place", None)  # not computed again
+    again = H.HashTree.build(placed, f"{folder}/again", ["slice"], ["id"], 2, placed=True)
+    for level in (1, 2):
+        a, b = (sorted(map(str, t.nodes(level).collect())) for t in (tree, again))
+        assert a == b and a
+
+
 @pytest.mark.parametrize("depth", [1, 3])
 def test_the_tree_finds_the_rows_that_differ(spark, folder, depth):
     draw = random.Random(depth)
