@@ -19,7 +19,7 @@ from slicesync.operators.fingerprint import (
 )
 from slicesync.operators.slices import drop_slices
 from slicesync.plans.fingerprints import FingerprintStore
-from slicesync.plans.slice_source import MEASURES, SLICE, DatabaseSource, FrameSource, keyed
+from slicesync.plans.slice_source import MEASURES, SLICE, DatabaseSource, FrameSource, by_value
 from slicesync.session import stage
 from slicesync.sources.versions import VersionedTable, align_columns
 
@@ -139,7 +139,8 @@ def run_differential_sync(
     if units:
         fresh = source.slice_rows(slices, values)
         old = target.read(parts=[unit for unit in units if unit[0] not in new_values])
-        kept = drop_slices(keyed(old, level1, level2), slices, SLICE).drop(*SLICE)
+        rows, named, keys = by_value(old, slices, source.kinds)
+        kept = drop_slices(rows, named, keys, SLICE).select(*old.columns)
         rows = kept.unionByName(align_columns(fresh, kept.schema))
         store.forget(country, table_name, ("window", "watermark", "ranges"))
         stats.version = target.replace_parts(

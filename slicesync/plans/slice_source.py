@@ -7,17 +7,24 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from slicesync.functions.columns import lower_case_names
 from slicesync.functions.hashing import made_by
 from slicesync.operators.chunks import scan_balanced
-from slicesync.operators.fingerprint import fingerprint, level1_fingerprint
+from slicesync.operators.fingerprint import fingerprint, level1_fingerprint, level2_fingerprint
 from slicesync.operators.slices import keep_slices, restrict
 from slicesync.sources import jdbc
 
 SLICE = ["level1_value", "level2_value"]
 MEASURES = ["row_count", "checksum_xor", "checksum_sum"]
 
+# Each value of these types has one text and each text one value, so a slice may be named by either.
+# Others may not: 0.0 and -0.0 are equal and differ as text.
+ONE_TEXT_A_VALUE = (
+    T.ByteType(), T.ShortType(), T.IntegerType(), T.LongType(), T.BooleanType(), T.DateType(), T.StringType(),
+)
+
 # Tasks that read one changed level-1 value, so that a large one is not read by one alone.
 LEVEL2_BUCKETS = 8
 
@@ -32,6 +39,26 @@ def keyed(df: DataFrame, level1: str, level2: str) -> DataFrame:
     )
 
 
+def by_value(
+    df: DataFrame, slices: DataFrame, kinds: list[tuple[str, T.DataType | None]]
+) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Rows and slices for a join, and the rows' keys in it; ``kinds``: the slice columns and
+    their types in the source, which are None if it does not say.
+
+    Slices get values in place of texts where that is the same, so that the rows,
+    which are many and wide, need not carry texts of columns that they hold.
+    """
+    keys = []
+    for name, (column, kind) in zip(SLICE, kinds):
+        if kind in ONE_TEXT_A_VALUE and df.schema[column].dataType == kind:
+            slices = slices.withColumn(name, F.col(name).cast(kind))
+            keys.append(column)
+        else:
+            df = df.withColumn(name, F.col(column).cast("string"))
+            keys.append(name)
+    return df, slices, keys
+
+
 class FrameSource:
     """Slices of a DataFrame: files, a lake table, or any extraction of them."""
 
@@ -42,6 +69,10 @@ class FrameSource:
         self.level1, self.level2 = level1.lower(), level2.lower()
         self.made_by = made_by(self.df)
 
+    @property
+    def kinds(self) -> list[tuple[str, T.DataType | None]]:
+        return [(name, self.df.schema[name].dataType) for name in (self.level1, self.level2)]
+
     def level1_prints(self) -> DataFrame:
         prints = level1_fingerprint(self.df, self.level1)
         return prints.withColumn("level1_value", F.col("level1_value").cast("string"))
@@ -49,6 +80,9 @@ class FrameSource:
     def level2_prints(self, values: list | None = None) -> DataFrame:
         """All slices, or those of some level-1 values, in one pass."""
         rows = self.df if values is None else restrict(self.df, self.level1, values)
+        if all(kind in ONE_TEXT_A_VALUE for _, kind in self.kinds):
+            prints = level2_fingerprint(rows, self.level1, self.level2, columns=self.df.columns)
+            return prints.withColumns({name: F.col(name).cast("string") for name in SLICE})
         return fingerprint(
             keyed(rows, self.level1, self.level2), SLICE, self.df.columns
         )
@@ -57,8 +91,8 @@ class FrameSource:
         return self.df
 
     def slice_rows(self, slices: DataFrame, values: list) -> DataFrame:
-        rows = keyed(restrict(self.df, self.level1, values), self.level1, self.level2)
-        return keep_slices(rows, slices, SLICE).drop(*SLICE)
+        rows, slices, keys = by_value(restrict(self.df, self.level1, values), slices, self.kinds)
+        return keep_slices(rows, slices, keys, SLICE).select(*self.df.columns)
 
 
 class DatabaseSource:
@@ -94,6 +128,7 @@ class DatabaseSource:
         self.row_hash, self.xor, self.hash_sum = row_hash, xor, hash_sum
         self.bucket_hash, self.buckets, self.parallel = bucket_hash, buckets, parallel
         self.made_by = f"{row_hash} {xor} {hash_sum}"
+        self.kinds = [(self.level1, None), (self.level2, None)]
 
     @classmethod
     def over_jdbc(

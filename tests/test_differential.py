@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from slicesync.operators.fingerprint import sync_stats
 from slicesync.plans.differential import run_differential_sync
 from slicesync.plans.fingerprints import FingerprintStore
-from slicesync.plans.slice_source import DatabaseSource
+from slicesync.plans.slice_source import DatabaseSource, FrameSource
 from slicesync.sources.versions import VersionedTable
 
 SCHEMA = "Periodo int, idproduto int, valor decimal(10,2), descripcion string"
@@ -233,3 +233,46 @@ def test_a_database_sends_level1_values_whole(spark, folder):
     stats = sync({**rows, (202402, 3): Decimal("1.00")})
     assert read == [5] and (stats.rows_downloaded, stats.rows_skipped, stats.total_changed_pairs) == (5, 10, 1)
     assert sync({**rows, (202402, 3): Decimal("1.00")}).rows_downloaded == 0 and read == [5]
+
+
+def test_rows_are_joined_to_slices_without_texts(spark):
+    """Rows that are shuffled to meet the slices carry their own columns and nothing else."""
+    source = FrameSource(spark.range(100).selectExpr("CAST(id % 3 AS int) AS p", "id % 7 AS q", "id AS v"), "p", "q")
+    slices = spark.createDataFrame([("1", "2"), ("2", "5"), (None, "1")], "level1_value string, level2_value string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = source.slice_rows(slices, ["1", "2"])
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert "LeftSemi" in plan and "as string" not in plan
+        assert {r["v"] for r in rows.collect()} == {
+            v for v in range(100) if (v % 3, v % 7) in ((1, 2), (2, 5))}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("kinds", [
+    ("int", "bigint"), ("string", "date"), ("string", "string"), ("smallint", "double"), ("date", "boolean")])
+def test_slices_of_any_type_are_found(spark, folder, kinds):
+    """Also a text that looks like a number, NULL, and 0.0 beside -0.0, which differ as slices only."""
+    inner = {"bigint": ("7", "8"), "date": ("2024-01-01", "0999-12-31"), "string": ("07", "7 "),
+             "double": ("0.0", "-0.0"), "boolean": ("true", "false")}[kinds[1]]
+    outer = {"int": ("1", "2"), "string": ("01", "1"), "smallint": ("3", "2"), "date": ("2024-02-29", "1999-12-31")}[kinds[0]]
+    keys = [(a, b) for a in (*outer, None) for b in (*inner, None)]
+
+    def state(values):
+        rows = [(a, b, v) for (a, b), v in zip(keys, values)] * 2
+        frame = spark.createDataFrame(rows, "p string, q string, v int")
+        return frame.select(F.col("p").cast(kinds[0]), F.col("q").cast(kinds[1]), "v")
+
+    target, store = VersionedTable(spark, f"{folder}/t", partition_by="p"), FingerprintStore(spark, f"{folder}/f")
+    options = {"country": "x", "table_name": "t", "level1": "p", "level2": "q"}
+    run_differential_sync(state(range(9)), target, store, **options)
+    changed = state([10 + v if v % 2 else v for v in range(9)])
+    stats = run_differential_sync(changed, target, store, **options)
+    assert (stats.rows_downloaded, stats.total_changed_pairs) == (8, 4)
+
+    def sorted_rows(df):
+        return sorted(map(tuple, df.select(F.col("p").cast("string"), F.col("q").cast("string"), "v").collect()), key=repr)
+
+    assert sorted_rows(target.read()) == sorted_rows(changed)
+    assert run_differential_sync(changed, target, store, **options).rows_downloaded == 0
